@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteledger.llm import decontaminate, packing, shards, simhash, substrings, toxicity
+from siteledger.llm import decontaminate, packing, quality, shards, simhash, substrings, toxicity, urlfilter
 from siteledger.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules(spark, URL_RULES), default="allow")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
@@ -26,6 +34,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.encode_and_read(table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
@@ -36,11 +48,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
     "op5_lines": op5_lines,
     "op6_token_shards": op6_token_shards,
+    "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": r"""
+        WITH parsed AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules(rule_host, rule_path, rule_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        best AS (
+            SELECT host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+            FROM (SELECT DISTINCT host, path FROM parsed) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY host, path)
+        SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict
+        FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path""",
+}
