@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteledger.llm import decontaminate, packing, quality, shards, simhash, substrings, toxicity, urlfilter
+from siteledger.llm import decontaminate, langid, packing, quality, shards, simhash, substrings, toxicity, urlfilter
 from siteledger.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
+    "op4_language": op4_language,
     "op5_lines": op5_lines,
     "op6_token_shards": op6_token_shards,
     "op7_quality": op7_quality,
