@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteledger.llm import decontaminate, langid, packing, quality, shards, simhash, substrings, toxicity, urlfilter
+from siteledger.llm import decontaminate, langid, packing, quality, shards, simhash, substrings, toxicity, urlfilter, warc
 from siteledger.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -60,9 +64,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY ALL HAVING count(*) > 1)
+        SELECT page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes = f.payload_bytes""",
     "op2_url_filter": r"""
         WITH parsed AS (
             SELECT page_id,
