@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siteledger.plans import commerce, site
+
+QUERIES: dict = {**site.QUERIES, **commerce.QUERIES}
+ORACLES: dict[str, str] = {**site.ORACLES, **commerce.ORACLES}

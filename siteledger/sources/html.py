@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the key is closed by a start tag of the values.
@@ -63,7 +64,6 @@ FIELDS = {
     "selections": "array<struct<ord:int,label:string,required:boolean,options:array<string>>>",
     "cards": "array<struct<ord:int,signature:string,href:string,label:string,image:string>>",
 }
-SCHEMA = f"struct<{','.join(f'{k}:{v}' for k, v in FIELDS.items())}>"
 
 
 class Node:
@@ -232,7 +232,7 @@ def _srcset(value: str) -> list[str]:
 
 
 def parse(html: str | None) -> dict:
-    """The fields of SCHEMA."""
+    """A value for each of FIELDS."""
     root = tree(html or "")
     nodes = list(root.walk())
     first = lambda it: next(iter(it), None)
@@ -321,25 +321,19 @@ def _commerce(nodes: list[Node]) -> tuple[list[dict], list[dict], list[dict], li
     return prices, attributes, selections, cards
 
 
-def _arrow(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(kind))
-
-
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages' other columns and a struct column ``parse``; the HTML itself is dropped, so later shuffles do not carry it."""
 
     keep = [c for c in pages.columns if c != html]
-    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("parse", T._parse_datatype_string(SCHEMA))])
+    kind = T.StructType.fromDDL(",".join(f"{k}:{v}" for k, v in FIELDS.items()))
+    schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("parse", kind)])
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _arrow(SCHEMA)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # parses are larger than their rows
                 part = batch.slice(at, 256)
-                structs = pa.array([parse(t) for t in part.column(len(keep)).to_pylist()], kind)
+                structs = pa.array([parse(t) for t in part.column(len(keep)).to_pylist()], pa.struct(list(arrow)))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), structs], [*keep, "parse"])
 
     return pages.select(*keep, F.col(html).cast("string").alias(html)).mapInArrow(run, schema)
