@@ -31,37 +31,47 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    """Holds at most two generations of ``entries``: what the last one had is taken over when it is asked for."""
+
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make = make
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key):
-        got = self[key] = self.make(key)
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
         return got
 
 
 class Encoder:
     """Text to little-endian ids (2 bytes each if the vocabulary allows it, else 4)."""
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 350_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.entries = Tokenizer.from_file(path), entries
+        self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.letters = _byte_letters()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces, self.units, self.heads = _Memo(self._piece), _Memo(lambda u: self._unit(" " + u)), _Memo(self._unit)
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        # With and without a space before them.
+        self.units, self.heads = _Memo(lambda u: self._unit(" " + u), entries), _Memo(self._unit, entries // 4)
 
     def _unit(self, unit: str) -> bytes:
-        if len(unit) < 200 and _PLAIN.fullmatch(unit, 1 if unit[:1] == " " else 0):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(unit)))
-        return array(self.code, self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
+        """A unit of one piece goes to the library's model; a longer one is made of the memos' pieces."""
+        if len(unit) > 200 or not _PLAIN.fullmatch(unit, 1 if unit[:1] == " " else 0):
+            return array(self.code, self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
+        pieces = _PIECE.findall(unit)
+        if len(pieces) != 1:
+            return b"".join([self.units[p[1:]] if p[0] == " " else self.heads[p] for p in pieces])
+        shown = unit.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -69,21 +79,19 @@ class Encoder:
         if any(a in text for a in self.added):
             return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = _SAFE_SPACE.split(text) if _ADJACENT.search(text) else text.split(" ")
-        got = self.heads[first] + b"".join(map(self.units.__getitem__, rest))
-        for memo in (self.pieces, self.units, self.heads):
-            if len(memo) > self.entries:
-                memo.clear()
-        return got
+        return self.heads[first] + b"".join(map(self.units.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that its memo lasts over the worker's tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, entries: int = 350_000) -> Encoder:
+    """One encoder for each Python worker, so that its memo lasts over the worker's tasks. ``entries`` bounds the memo
+    (some 200 bytes an entry, two generations); it changes speed and memory, never ids."""
+    key = f"{entries}:{path}"
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, entries)
+    return _ENCODERS[key]
 
 
 def default_vocabulary() -> str:
