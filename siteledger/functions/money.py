@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siteledger.functions.text import compact, trim_wide
+from siteledger.functions.text import compact, let, trim_wide
 
 SCALE = 1_000_000  # quantities are integers in millionths
 # Digits after the point that a currency's minor unit has, spellings of currencies and of units.
@@ -26,7 +26,10 @@ def canonical(value: Column) -> Column:
 
 
 def commerce_decimal(raw: Column, places: int = 6) -> Column:
-    value = trim_wide(raw)
+    return let(trim_wide(raw), lambda value: _decimal(value, places))
+
+
+def _decimal(value: Column, places: int) -> Column:
     fits = (F.length(value) <= 128) & value.rlike(rf"^(?:\d+|\d{{1,3}}(?:[ \u00A0\u202F]\d{{3}})+)(?:[.,]\d{{1,{places}}})?$")
     return F.when(fits, canonical(F.regexp_replace(F.regexp_replace(value, r"[ \u00A0\u202F]", ""), ",", ".")))
 
@@ -81,37 +84,66 @@ def price(raw: Column, role: Column, currency_hint: Column, amount_hint: Column,
 
     Metadata may supply a currency or unit that the text lacks; it never replaces what the text says.
     """
-    amounts = F.regexp_extract_all(raw, F.lit(PRICED), F.lit(1))
-    n = F.size(amounts)
-    seen, hint = currency_in(raw), F.upper(trim_wide(currency_hint))
-    currency = F.when(n > 0, seen).otherwise(F.coalesce(hint, seen))
-    visible = F.when(n == 1, commerce_decimal(F.try_element_at(amounts, F.lit(1)))).when(n == 0, commerce_decimal(raw))
+    # Each step is evaluated once and handed to the next as a struct.
+    seen = F.struct(
+        raw.alias("raw"),
+        role.alias("role"),
+        F.regexp_extract_all(raw, F.lit(PRICED), F.lit(1)).alias("amounts"),
+        currency_in(raw).alias("currency"),
+        F.upper(trim_wide(currency_hint)).alias("currency_hint"),
+        commerce_decimal(amount_hint).alias("amount_hint"),
+        amount_hint.isNotNull().alias("has_amount_hint"),
+        commerce_decimal(raw).alias("bare"),
+        units_in(raw).alias("units"),
+        unit_in(raw).alias("unit"),
+        trim_wide(unit_hint).alias("unit_hint"),
+        conditions.alias("conditions"),
+    )
+    return let(seen, lambda s: let(_amounts(s), lambda a: let(_judged(s, a), lambda j: _priced(s, a, j))))
+
+
+def _amounts(s: Column) -> Column:
+    n, raw = F.size(s["amounts"]), s["raw"]
+    first, second = (trim_wide(F.try_element_at(s["amounts"], F.lit(i))) for i in (1, 2))
+    visible = F.when(n == 1, commerce_decimal(first)).when(n == 0, s["bare"])
     is_range = (n == 2) & raw.rlike("[–—-]")
     negative = ~is_range & raw.rlike(r"(?:^|\s)[−-]\s*\d")
-    first = trim_wide(F.try_element_at(amounts, F.lit(1)))
-    amount = F.when(is_range, first).when(negative, F.lit(None)).otherwise(visible)
-    final_role = F.when(is_range, "RANGE").when(raw.rlike(r"(?iu)(?:^|\s)(?:от|from)(?=\s|\d|$)") & (role != "OLD"), "FROM").otherwise(role)
-    value = money(amount, currency)
-    maximum = F.when(is_range, money(trim_wide(F.try_element_at(amounts, F.lit(2))), currency))
-    seen_unit, unit_text = unit_in(raw), trim_wide(unit_hint)
+    currency = F.when(n > 0, s["currency"]).otherwise(F.coalesce(s["currency_hint"], s["currency"]))
+    amount = F.when(is_range, first).when(~negative, visible)
+    return F.struct(n.alias("n"), visible.alias("visible"), is_range.alias("is_range"), money(amount, currency).alias("value"), F.when(is_range, money(second, currency)).alias("maximum"))
+
+
+def _judged(s: Column, a: Column) -> Column:
+    raw = s["raw"]
     conflicts = compact(
-        F.when((n > 0) & hint.isNotNull() & ~hint.eqNullSafe(seen), F.lit("Visible currency conflicts with metadata")),
-        F.when(amount_hint.isNotNull() & ~F.coalesce(commerce_decimal(amount_hint) == visible, F.lit(False)), F.lit("Visible amount conflicts with metadata")),
-        F.when(F.size(units_in(raw)) > 1, F.lit("Conflicting visible price units")),
-        F.when((unit_text != "") & (unit_text != seen_unit), F.lit("Visible unit conflicts with metadata")),
+        F.when((a["n"] > 0) & s["currency_hint"].isNotNull() & ~s["currency_hint"].eqNullSafe(s["currency"]), F.lit("Visible currency conflicts with metadata")),
+        F.when(s["has_amount_hint"] & ~F.coalesce(s["amount_hint"] == a["visible"], F.lit(False)), F.lit("Visible amount conflicts with metadata")),
+        F.when(F.size(s["units"]) > 1, F.lit("Conflicting visible price units")),
+        F.when((s["unit_hint"] != "") & (s["unit_hint"] != s["unit"]), F.lit("Visible unit conflicts with metadata")),
     )
     rest = F.regexp_replace(raw, rf"(?i){AMOUNT}\s*(?:{CODES}|₽|€|{RUBLES})(?=\s|$|/)", "")
     rest = F.regexp_replace(rest, "(?iu)" + UNIT, "")
     rest = F.regexp_replace(rest, r"(?iu)(?:^|\s)(?:от|from|цена|price)(?=\s|$|:)", "")
     rest = F.regexp_replace(rest, r"[\s\u00A0\u202F:;,.()–—-]", "")
-    bare = currency_hint.isNotNull() & commerce_decimal(raw, 2).isNotNull()
+    bare = s["currency_hint"].isNotNull() & F.coalesce(commerce_decimal(raw, 2).isNotNull(), F.lit(False))
+    role = F.when(a["is_range"], "RANGE").when(raw.rlike(r"(?iu)(?:^|\s)(?:от|from)(?=\s|\d|$)") & (s["role"] != "OLD"), "FROM").otherwise(s["role"])
     leftover = F.when(~bare & (rest != ""), F.concat(F.lit("Unparsed price condition/text: "), raw))
-    all_conditions = F.concat(conditions, compact(leftover), conflicts)
-    review = value.isNull() | (F.size(conflicts) > 0) | ((n > 1) & ~is_range) | (final_role == "UNKNOWN")
-    status = F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED")
-    unit = F.coalesce(seen_unit, unit_text)
-    eligible = ~review & (final_role == "CURRENT") & value["minor"].isNotNull() & unit.isNotNull() & (F.size(all_conditions) == 0)
-    return F.struct(final_role.alias("role"), status.alias("status"), value.alias("money"), maximum.alias("maximum"), unit.alias("unit"), all_conditions.alias("conditions"), F.coalesce(eligible, F.lit(False)).alias("totals_eligible"))
+    return F.struct(role.alias("role"), conflicts.alias("conflicts"), F.concat(s["conditions"], compact(leftover), conflicts).alias("conditions"))
+
+
+def _priced(s: Column, a: Column, j: Column) -> Column:
+    review = a["value"].isNull() | (F.size(j["conflicts"]) > 0) | ((a["n"] > 1) & ~a["is_range"]) | (j["role"] == "UNKNOWN")
+    unit = F.coalesce(s["unit"], s["unit_hint"])
+    eligible = ~review & (j["role"] == "CURRENT") & a["value"]["minor"].isNotNull() & unit.isNotNull() & (F.size(j["conditions"]) == 0)
+    return F.struct(
+        j["role"].alias("role"),
+        F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED").alias("status"),
+        a["value"].alias("money"),
+        a["maximum"].alias("maximum"),
+        unit.alias("unit"),
+        j["conditions"].alias("conditions"),
+        F.coalesce(eligible, F.lit(False)).alias("totals_eligible"),
+    )
 
 
 def subtotal_minor(minor: Column, quantity_scaled: Column) -> Column:

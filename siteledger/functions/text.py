@@ -19,3 +19,8 @@ def collapse(c: Column) -> Column:
 def compact(*parts: Column) -> Column:
     """An array of the parts that are not null, in order."""
     return F.array_compact(F.array(*parts))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once for each row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -126,3 +126,16 @@ def fold(mutations: DataFrame) -> DataFrame:
         return pd.DataFrame([(session, line, *v) for line, v in cart.items()], columns=["session", "line_id", "item_id", "variant_id", "quantity"])
 
     return mutations.select("session", "seq", *MUTATION).groupBy("session").applyInPandas(run, STATE)
+
+
+def idempotency_outcomes(operations: DataFrame) -> DataFrame:
+    """Batch form: APPLIED for the first operation of each key, REPLAYED for the same request again, else IDEMPOTENCY_CONFLICT.
+
+    The first request of a key is found by a map-side minimum and joined back. operations: session, idempotency_key,
+    request_sha256, ts, seq.
+    """
+    keys = ["session", "idempotency_key"]
+    first = operations.groupBy(*keys).agg(F.min(F.struct("ts", "seq", "request_sha256")).alias("first"))
+    rows = operations.join(first, keys)
+    outcome = F.when((F.col("ts") == F.col("first.ts")) & (F.col("seq") == F.col("first.seq")), "APPLIED").when(F.col("request_sha256") == F.col("first.request_sha256"), "REPLAYED").otherwise("IDEMPOTENCY_CONFLICT")
+    return rows.select(*keys, "seq", outcome.alias("outcome"))

@@ -13,17 +13,18 @@ def replay(changes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return last.filter("last.present").select(*keys, F.col("last.value").alias("value"), "sequence")
 
 
-def audit(journal: DataFrame, generation: str = "generation") -> DataFrame:
+def audit(journal: DataFrame, generation: str = "generation", body_only: bool = False) -> DataFrame:
     """generation, sequence, reason of each bad row. journal: generation, sequence, previous, checksum, body.
 
-    Order matters only within a generation of the journal.
+    A checksum is the digest of the previous one and the body, or of the body only. Order matters only within a
+    generation of the journal.
     """
     order = Window.partitionBy(generation).orderBy("sequence")
     before_seq, before_sum = F.lag("sequence").over(order), F.lag("checksum").over(order)
     reason = (
         F.when(before_seq.isNotNull() & (F.col("sequence") != before_seq + 1), "SEQUENCE_GAP")
         .when(~F.col("previous").eqNullSafe(F.coalesce(before_sum, F.lit(""))), "PREVIOUS_MISMATCH")
-        .when(F.col("checksum") != F.sha2(F.concat_ws("|", "previous", "body"), 256), "CHECKSUM_MISMATCH")
+        .when(F.col("checksum") != F.sha2(F.col("body") if body_only else F.concat_ws("|", "previous", "body"), 256), "CHECKSUM_MISMATCH")
     )
     return journal.withColumn("reason", reason).filter("reason is not null").select(generation, "sequence", "reason")
 
