@@ -22,10 +22,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
-    """The same rows; a row for which ``bad`` holds fails the job."""
-    first, *rest = df.columns
-    checked = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message))).otherwise(F.col(first))
-    return df.select(checked.cast(df.schema[first].dataType).alias(first), *rest)
+    """The same rows; a row for which ``bad`` holds fails the job.
+
+    The check is a filter, so that dropping columns later cannot drop it; rand() keeps the optimiser from moving it
+    into a join, or trying it on a row of nulls.
+    """
+    fails = F.coalesce(bad, F.lit(False)) & (F.rand(0) >= 0)
+    return df.filter(F.when(fails, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

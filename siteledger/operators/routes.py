@@ -81,7 +81,7 @@ def subset(entities: DataFrame, selected: DataFrame) -> DataFrame:
     kept = entities.join(selected.select(F.col("crawl_key").alias("source_url")).distinct(), "source_url", "left_semi")
     counts = selected.select(F.col("crawl_key").alias("source_url")).distinct().join(kept.groupBy("source_url").agg(F.count("*").alias("_n")), "source_url", "left")
     checked = require(counts, F.coalesce("_n", F.lit(0)) != 1, "a selected page has no entity, or several")
-    return kept.join(checked.filter("_n = 1"), "source_url").drop("_n")
+    return kept.join(checked, "source_url").drop("_n")
 
 
 def route_defects(routes: DataFrame, entities: DataFrame, source_origin: Column | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from siteledger.sources import jsonld
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element of the key is closed by a start tag of the values.
 IMPLIED_END = {
@@ -52,6 +54,7 @@ FIELDS = {
     "anchors": "array<string>",
     "headings": "array<struct<ord:int,level:int,text:string>>",
     "structured_data": "array<string>",
+    "ld": f"array<{jsonld.NODE}>",
     "primary": "string",
     "blocks": f"array<{BLOCK}>",
     "text": "string",
@@ -261,6 +264,7 @@ def parse(html: str | None) -> dict:
     headings = [n for n in nodes if re.fullmatch("h[1-6]", n.tag)]
     name, region = _primary(nodes, body)
     forms = [n for n in nodes if n.tag == "form"]
+    scripts = ["".join(c for c in n.children if isinstance(c, str)).strip() for n in _own(nodes, "script", type="application/ld+json")]
     prices, attributes, selections, cards = _commerce(nodes)
     return {
         "title": title.text() if title else None,
@@ -274,7 +278,8 @@ def parse(html: str | None) -> dict:
         "media": list(dict.fromkeys(media)),
         "anchors": [v for n in nodes for v in (n.attrs.get("id") or (n.attrs.get("name") if n.tag == "a" else None),) if v],
         "headings": [{"ord": k, "level": int(n.tag[1]), "text": n.text()} for k, n in enumerate(headings)],
-        "structured_data": ["".join(c for c in n.children if isinstance(c, str)).strip() for n in _own(nodes, "script", type="application/ld+json")],
+        "structured_data": scripts,
+        "ld": jsonld.nodes(scripts),
         "primary": name,
         "blocks": _blocks(region, name == "body"),
         "text": region.text(),
