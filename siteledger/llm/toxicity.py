@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 
 from siteledger.llm.common import crc_mod
 
-MAX_POSITIVES = 6_000
-MAX_UNLABELLED = 14_000
+MAX_POSITIVES = 5_000
+MAX_UNLABELLED = 10_000
 MAX_FEATURES = 6_000
 #: At most this many distinct features a sampled document go to the driver: those of the smallest hashes.
-MAX_DOC_FEATURES = 3_000
+MAX_DOC_FEATURES = 2_000
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (6, 7, 8)
 
@@ -78,27 +78,24 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     """positives, unlabelled: each text's distinct feature hashes. prior: the share of toxic texts among the unlabelled."""
     if not positives or not unlabelled:
         return Model({}, -100.0)
-    count = lambda docs: dict(zip(*(x.tolist() for x in np.unique(np.concatenate(docs or [np.zeros(0, np.int64)]), return_counts=True)), strict=True))
-    in_p, in_u, n_p, n_u = count(positives), count(unlabelled), len(positives), len(unlabelled)
-    score = {}
-    for f, k in in_p.items():
-        if k < max(2, n_p // 1000):
-            continue
-        a, b = k / n_p, in_u.get(f, 0) / n_u
-        spread = np.sqrt((a * (1 - a) + 0.25 / n_p) / n_p + (b * (1 - b) + 0.25 / n_u) / n_u)
-        ratio = (k + 0.5) / (n_p + 1) / ((in_u.get(f, 0) + 0.5) / (n_u + 1))
-        if (a - b) / spread > 2.5 and ratio > 3:
-            score[f] = (a - b) / spread * min(np.log(ratio), 6)
-    names = sorted(score, key=lambda f: (-score[f], f))[:MAX_FEATURES]
-    place = {f: i for i, f in enumerate(names)}
-
-    def rows(docs):
-        at = [[place[f] for f in d.tolist() if f in place] for d in docs]
-        return np.repeat(np.arange(len(at)), [len(x) for x in at]), np.array([i for x in at for i in x], np.int64)
-
-    (p_row, p_col), (u_row, u_col) = rows(positives), rows(unlabelled)
+    n_p, n_u = len(positives), len(unlabelled)
+    values, in_p = np.unique(np.concatenate(positives), return_counts=True)
+    known = values[in_p >= max(2, n_p // 1000)]
+    p_row, p_col = _places(positives, known)
+    u_row, u_col = _places(unlabelled, known)
+    k_p, k_u = np.bincount(p_col, minlength=len(known)), np.bincount(u_col, minlength=len(known))
+    a, b = k_p / n_p, k_u / n_u
+    spread = np.sqrt((a * (1 - a) + 0.25 / n_p) / n_p + (b * (1 - b) + 0.25 / n_u) / n_u)
+    ratio = (k_p + 0.5) / (n_p + 1) / ((k_u + 0.5) / (n_u + 1))
+    score = np.where(((a - b) / spread > 2.5) & (ratio > 3), (a - b) / spread * np.minimum(np.log(ratio), 6), 0.0)
+    chosen = np.sort(np.lexsort((known, -score))[: min(MAX_FEATURES, int((score > 0).sum()))])
+    names, score = known[chosen], score[chosen]
+    slot = np.full(len(known), -1)
+    slot[chosen] = np.arange(len(chosen))
+    p_row, p_col = p_row[slot[p_col] >= 0], slot[p_col][slot[p_col] >= 0]
+    u_row, u_col = u_row[slot[u_col] >= 0], slot[u_col][slot[u_col] >= 0]
     hit_p, hit_u = np.bincount(p_row, minlength=n_p) > 0, np.bincount(u_row, minlength=n_u) > 0
-    start = np.array([min(np.log1p(score[f]), 3.0) for f in names]) * 0.3
+    start = np.minimum(np.log1p(score), 3.0) * 0.3
     if prior is None:
         # Toxic texts are hit as often among the unlabelled as among the positives, so the hit rates bound the prior;
         # a first classifier gives a tighter bound.
@@ -109,7 +106,18 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     # The threshold of 0.5 is put where, by the same estimate, precision and recall of the training texts balance.
     z_p, z_u = b + np.bincount(p_row, w[p_col], n_p), b + np.bincount(u_row, w[u_col], n_u)
     shift = _balance(z_p, z_u, prior)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b - shift))
+    return Model({f: x for f, x in zip(names.tolist(), w.tolist(), strict=True) if x}, float(b - shift))
+
+
+def _places(docs: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place in known) of every known feature of every document."""
+    rows, cols = [], []
+    for i, found in enumerate(docs):
+        at = np.searchsorted(known, found)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found)] if len(known) else at[:0]
+        rows.append(np.full(len(at), i, np.int32))
+        cols.append(at.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def _descend(start, p_row, p_col, n_p, u_row, u_col, n_u, prior, epochs):
@@ -179,7 +187,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sorted((r.doc_id, r.kind, bytes(r.features)) for r in training_sample(docs, labels).collect())
-    of = lambda kind: [np.frombuffer(x, "<u4").astype(np.int64) for _, k, x in rows if k == kind]
+    of = lambda kind: [np.frombuffer(x, "<u4") for _, k, x in rows if k == kind]
     return train(of("p"), of("u"))
 
 
