@@ -168,8 +168,8 @@ def plan(nodes: DataFrame, distance: int) -> list[tuple[list[int], int]]:
         for i, bits in enumerate(g):
             n, pairs = measured.get(m * 10 + i, (0, 0.0))
             spread = n * n / 2.0 ** min(len(bits), 60) / 2  # of a neighbouring value, as if values were spread evenly
-            # A candidate costs 1, a row that is sent to a partition's table 4.
-            costs.append({-1: 0.0, 0: 4.0 * n + pairs, 1: 4.0 * n * (1 + len(bits)) + pairs + len(bits) * max(spread, pairs / 4)})
+            # A candidate costs 1, a row that is sent to a partition's table 20.
+            costs.append({-1: 0.0, 0: 20.0 * n + pairs, 1: 20.0 * n * (1 + len(bits)) + pairs + len(bits) * max(spread, pairs / 4)})
         cost, ts = allocate(costs, distance - m + 1)
         if cost < best[0]:
             best = cost, [(bits, t) for bits, t in zip(g, ts, strict=True) if t >= 0]
@@ -187,7 +187,7 @@ def _blocks(limits: list[int], fps: list[str]):
     """A spanning forest of the links inside one pair of blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node", ignore_index=True)  # home and variant of one node, or both blocks the same
+        pdf = pdf.drop_duplicates(fps, ignore_index=True)  # home and variant of one node, or both blocks the same
         near = np.ones((len(pdf), len(pdf)), bool)
         for c, most in zip(fps, limits, strict=True):
             v = pdf[c].to_numpy().view(np.uint64)
@@ -200,16 +200,21 @@ def _blocks(limits: list[int], fps: list[str]):
                 break
             label = new
         at = np.nonzero(label != np.arange(len(pdf)))[0]
-        names = pdf["node"].to_numpy()
-        return pd.DataFrame({"src": names[at], "dst": names[label[at]]})
+        ends = [(f"{side}{k}", pdf[c].to_numpy()[rows]) for side, rows in (("a", at), ("b", label[at])) for k, c in enumerate(fps)]
+        return pd.DataFrame(dict(ends))
 
     return run
 
 
-def links(nodes: DataFrame, limits: list[int], group: int = 32, block: int = 512) -> DataFrame:
-    """src, dst: links whose connected components are those of all links within the limits.
+def node_name(columns: list[str]) -> Column:
+    return F.concat_ws("", *[F.lpad(F.hex(c), 16, "0") for c in columns])
 
-    nodes: node (string), fp0, ...; limits[k] bounds the bits in which fp<k> may differ; fp0 is probed.
+
+def links(nodes: DataFrame, limits: list[int], group: int = 96, block: int = 512) -> DataFrame:
+    """src, dst (names): links whose connected components are those of all links within the limits.
+
+    nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ; fp0 is probed. Values that up to
+    ``group`` fingerprints share are joined; larger ones are compared in blocks.
     """
     fps = [f"fp{k}" for k in range(len(limits))]
     probes = []
@@ -219,25 +224,28 @@ def links(nodes: DataFrame, limits: list[int], group: int = 32, block: int = 512
         probes += [F.struct(F.lit(p).alias("part"), v.alias("value"), F.lit(home).alias("home")) for v, home in values]
     if not probes:
         return nodes.sparkSession.createDataFrame([], "src string, dst string")
-    sent = nodes.select("node", *fps, F.explode(F.array(*probes)).alias("k")).select("node", *fps, "k.*")
+    sent = nodes.select(*fps, F.explode(F.array(*probes)).alias("k")).select(*fps, "k.*")
     sizes = sent.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).filter("n >= 2 and any_home").drop("any_home")
     members = materialise(sent.join(materialise(sizes, "sizes"), ["part", "value"]), "members")
 
     few = members.filter(F.col("n") <= group)
     a, b = few.filter("home").alias("a"), few.alias("b")
-    close = [differing(F.col(f"a.{c}"), F.col(f"b.{c}")) <= most for c, most in zip(fps, limits, strict=True)]
-    on = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
-    on &= F.when(F.col("b.home"), F.col("a.node") < F.col("b.node")).otherwise(F.col("a.node") != F.col("b.node"))
-    for c in close:
-        on &= c
-    pairs = a.join(b, on).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
+    left, right = F.struct(*[F.col(f"a.{c}") for c in fps]), F.struct(*[F.col(f"b.{c}") for c in fps])
+    same &= F.when(F.col("b.home"), left < right).otherwise(left != right)
+    for c, most in zip(fps, limits, strict=True):
+        same &= differing(F.col(f"a.{c}"), F.col(f"b.{c}")) <= most
+    ends = [F.col(f"{side}.{c}").alias(f"{side}{k}") for side in "ab" for k, c in enumerate(fps)]
+    pairs = a.join(b, same).select(*ends)
 
     many = members.filter(F.col("n") > group).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64(*fps), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *fps)
-    forest = many.groupBy("part", "value", "i", "j").applyInPandas(_blocks(limits, fps), "src string, dst string")
-    return pairs.unionByName(forest).distinct()
+    many = many.select("part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *fps)
+    schema = ", ".join(f"{side}{k} long" for side in "ab" for k in range(len(fps)))
+    forest = many.groupBy("part", "value", "i", "j").applyInPandas(_blocks(limits, fps), schema)
+    found = pairs.unionByName(forest).distinct()
+    return found.select(*[node_name([f"{side}{k}" for k in range(len(fps))]).alias(name) for side, name in (("a", "src"), ("b", "dst"))])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,7 +271,7 @@ def groups(docs: DataFrame, schemes: list[tuple[str, int]], limits: list[int]) -
     """doc_id, fp0, ..., component_id for each row: the smallest doc_id that links reach from its fingerprint."""
     fps = [f"fp{k}" for k in range(len(schemes))]
     rows = materialise(fingerprints(docs, schemes), "fingerprints")
-    named = F.concat_ws("", *[F.lpad(F.hex(c), 16, "0") for c in fps])
+    named = node_name(fps)
     nodes = materialise(rows.groupBy(*fps).agg(F.min("doc_id").alias("least")).withColumn("node", named), "nodes")
     labels = components(links(nodes, limits))
     labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
