@@ -44,47 +44,44 @@ def majority_bits(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int.from_bytes(np.packbits(2 * total > half).tobytes(), "big")
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """XXH64 (seed 42) of the n-word shingles of the text with A-Z lower-cased, repeats included."""
-    import xxhash
-
+def shingles(text: str | None, n: int) -> list[bytes]:
+    """The n-word shingles of the text with A-Z lower-cased, repeats included; fewer words are one shingle."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    line, hash_ = b" ".join(words), xxhash.xxh64_intdigest
+    if n == 1 or not words:
+        return words
+    line = b" ".join(words)
     if len(words) <= n:
-        return np.array([hash_(line, 42)], np.uint64)
+        return [line]
     starts = [0, *accumulate(len(w) + 1 for w in words)]
-    return np.array([hash_(line[a : b - 1], 42) for a, b in zip(starts, starts[n:], strict=False)], np.uint64)
-
+    return [line[a : b - 1] for a, b in zip(starts, starts[n:], strict=False)]
 
-def count_fingerprint(text: str | None, n: int) -> int:
-    return majority_bits(shingle_hashes(text, n))
 
+def fingerprints_of(text: str | None, schemes: list[tuple[str, int, int]]) -> list[int]:
+    """A fingerprint for each (kind, words in a shingle, seed of XXH64).
 
-def root_fingerprint(text: str | None, n: int) -> int:
-    """As count_fingerprint, but a shingle that occurs c times weighs the root of c: common words count less."""
-    hashes = shingle_hashes(text, n)
-    if not len(hashes):
-        return 0
-    values, counts = np.unique(hashes, return_counts=True)
-    return majority_bits(values, np.sqrt(counts))
-
+    count: every occurrence weighs one. root: a shingle that occurs c times weighs the root of c, so that common
+    words count less.
+    """
+    import xxhash
 
-SCHEMES = {"count": count_fingerprint, "root": root_fingerprint}
+    hash_, made, out = xxhash.xxh64_intdigest, {}, []
+    for kind, n, seed in schemes:
+        if (kind, n) not in made:
+            found = shingles(text, n)
+            tally = Counter(found) if kind == "root" else None
+            made[kind, n] = (list(tally), np.sqrt(list(tally.values()))) if tally is not None else (found, None)
+        units, weights = made[kind, n]
+        out.append(majority_bits(np.array([hash_(u, seed) for u in units], np.uint64), weights))
+    return out
 
 
-def fingerprints(docs: DataFrame, schemes: list[tuple[str, int]]) -> DataFrame:
-    """doc_id and one signed long fp0, fp1, ... for each (scheme, words in a shingle)."""
+def fingerprints(docs: DataFrame, schemes: list[tuple[str, int, int]]) -> DataFrame:
+    """doc_id and one signed long fp0, fp1, ... for each scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: list[list[int]] = [[] for _ in schemes]
-            for text in batch.column(1):
-                text = text.as_py()
-                for out, (kind, n) in zip(got, schemes, strict=True):
-                    out.append(SCHEMES[kind](text, n))
-            cols = [pa.array(np.array(g, np.uint64).view(np.int64)) for g in got]
+            got = np.array([fingerprints_of(text.as_py(), schemes) for text in batch.column(1)], np.uint64).reshape(-1, len(schemes))
+            cols = [pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(schemes))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f"fp{k}" for k in range(len(cols)))])
 
     schema = "doc_id long, " + ", ".join(f"fp{k} long" for k in range(len(schemes)))
@@ -183,13 +180,15 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _blocks(limits: list[int], fps: list[str]):
+def _blocks(limits: list[int | None], fps: list[str]):
     """A spanning forest of the links inside one pair of blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(fps, ignore_index=True)  # home and variant of one node, or both blocks the same
         near = np.ones((len(pdf), len(pdf)), bool)
         for c, most in zip(fps, limits, strict=True):
+            if most is None:
+                continue
             v = pdf[c].to_numpy().view(np.uint64)
             near &= np.bitwise_count(v[:, None] ^ v[None, :]) <= most
         label = np.arange(len(pdf))
@@ -210,16 +209,17 @@ def node_name(columns: list[str]) -> Column:
     return F.concat_ws("", *[F.lpad(F.hex(c), 16, "0") for c in columns])
 
 
-def links(nodes: DataFrame, limits: list[int], group: int = 96, block: int = 512) -> DataFrame:
+def links(nodes: DataFrame, limits: list[int | None], group: int = 96, block: int = 512, probe: int = 0) -> DataFrame:
     """src, dst (names): links whose connected components are those of all links within the limits.
 
-    nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ; fp0 is probed. Values that up to
-    ``group`` fingerprints share are joined; larger ones are compared in blocks.
+    nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ (None: any); fp<probe> is probed.
+    Values that up to ``group`` fingerprints share are joined; larger ones are compared in blocks.
     """
     fps = [f"fp{k}" for k in range(len(limits))]
+    probed = F.col(fps[probe])
     probes = []
-    for p, (bits, t) in enumerate(plan(nodes, limits[0])):
-        value = F.col("fp0").bitwiseAND(F.lit(mask_of(bits)))
+    for p, (bits, t) in enumerate(plan(nodes.select(probed.alias("fp0")).distinct(), limits[probe])):
+        value = probed.bitwiseAND(F.lit(mask_of(bits)))
         values = [(value, True)] + [(value.bitwiseXOR(F.lit(mask_of([b]))), False) for b in bits if t == 1]
         probes += [F.struct(F.lit(p).alias("part"), v.alias("value"), F.lit(home).alias("home")) for v, home in values]
     if not probes:
@@ -233,7 +233,7 @@ def links(nodes: DataFrame, limits: list[int], group: int = 96, block: int = 512
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
     left, right = F.struct(*[F.col(f"a.{c}") for c in fps]), F.struct(*[F.col(f"b.{c}") for c in fps])
     same &= F.when(F.col("b.home"), left < right).otherwise(left != right)
-    for c, most in zip(fps, limits, strict=True):
+    for c, most in ((c, most) for c, most in zip(fps, limits, strict=True) if most is not None):
         same &= differing(F.col(f"a.{c}"), F.col(f"b.{c}")) <= most
     ends = [F.col(f"{side}.{c}").alias(f"{side}{k}") for side in "ab" for k, c in enumerate(fps)]
     pairs = a.join(b, same).select(*ends)
@@ -267,13 +267,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, schemes: list[tuple[str, int]], limits: list[int]) -> DataFrame:
-    """doc_id, fp0, ..., component_id for each row: the smallest doc_id that links reach from its fingerprint."""
+def groups(docs: DataFrame, schemes: list[tuple[str, int, int]], rules: list[tuple[int, list[int | None]]]) -> DataFrame:
+    """doc_id, fp0, ..., component_id for each row: the smallest doc_id that links reach from its fingerprints.
+
+    Two documents link if any of the rules (the fingerprint that is probed, limits of all) holds for them.
+    """
     fps = [f"fp{k}" for k in range(len(schemes))]
     rows = materialise(fingerprints(docs, schemes), "fingerprints")
     named = node_name(fps)
     nodes = materialise(rows.groupBy(*fps).agg(F.min("doc_id").alias("least")).withColumn("node", named), "nodes")
-    labels = components(links(nodes, limits))
+    edges = None
+    for probe, limits in rules:
+        found = links(nodes, limits, probe=probe)
+        edges = found if edges is None else edges.unionByName(found)
+    labels = components(edges)
     labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     smallest = materialise(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
     classes = materialise(labelled.join(smallest, "label").select("node", "component_id"), "classes")
@@ -282,18 +289,21 @@ def groups(docs: DataFrame, schemes: list[tuple[str, int]], limits: list[int]) -
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
-    found = groups(docs, [("count", shingle)], [distance])
+    found = groups(docs, [("count", shingle, 42)], [(0, [distance])])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, schemes: list[tuple[str, int]] | None = None, limits: list[int] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, seeds: int = 4, distance: int = 3, verify: int = 12) -> DataFrame:
     """The documents without all but one of each group: its row with the smallest doc_id stays.
 
-    The default finds near copies (five-word similarity of 0.8 and more) better than one count fingerprint would:
-    it probes a root-weighted fingerprint of single words and verifies on one of three-word shingles.
-    Rows with a null id, and repeated rows of the id that stays, are kept once each only if their group has no
-    smaller id.
+    Near copies (five-word similarity of 0.8 and more) lie within ``verify`` bits of a three-word fingerprint, which
+    is far too wide to probe. So several fingerprints of single words, independent by their seeds, are probed within
+    ``distance`` bits each, and what any of them finds is verified on the three-word one. Each finds about 0.5 to 0.6
+    of such pairs, four of them some 0.9 and more; groups join further ones.
+    Rows with a null id, and repeated rows of the id that stays, are kept only if their group has no smaller id.
     """
-    found = groups(docs, schemes or [("root", 1), ("count", 3)], limits or [3, 12])
+    schemes = [*(("root", 1, 42 + k) for k in range(seeds)), ("count", 3, 42)]
+    rules = [(k, [distance if i == k else None for i in range(seeds)] + [verify]) for k in range(seeds)]
+    found = groups(docs, schemes, rules)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
