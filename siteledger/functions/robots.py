@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions.text import trim_wide
 
-TOKEN = "upgraderesearch"  # fixed value: the agent token that groups are matched with
+TOKEN = "siteledgerbot"  # our agent token; a group names us if its agent text is part of it
 
 
 def _lines(texts: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from siteledger.functions.text import WIDE_SPACE
 
 ABSOLUTE = r"(?i)^https?://"
 FORBIDDEN = r"[\x00-\x20\x7f\\]"
+# Extensions of media and of page resources.
 MEDIA = r"(?i)\.(?:jpe?g|png|gif|webp|avif|svg|ico|css|js|woff2?|ttf|zip|mp4|webm|pdf|docx?|xlsx?)$"
 RESOURCE = r"(?i)\.(?:jpe?g|png|gif|webp|avif|svg|ico|css|js|woff2?|ttf|zip|mp4|webm)$"
 

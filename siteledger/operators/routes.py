@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteledger.functions import urls
 from siteledger.operators.common import first_of, ranked, require
 
+# Fixed value: path roots that the target keeps for itself.
 RESERVED = r"(?i)^/(?:bitrix|local|upload|api|upgrade)(?:/|$)"
 SUPPORTED_STATUS = (200, 301, 302, 307, 308, 404, 410)
 

@@ -49,7 +49,7 @@ def test_public_addresses(spark):
 
 
 def test_robots_groups_patterns_and_ties(spark):
-    text = "User-agent: *\nDisallow: /\n\nUser-agent: UpgradeResearch # us\nuser-agent: other\nDisallow: /private\nAllow: /private/public\nDisallow: /x?secret\nDisallow: /*.pdf$\nAllow: /tie\nDisallow: /tie\nDisallow:\nSitemap: https://h/s.xml"
+    text = "User-agent: *\nDisallow: /\n\nUser-agent: SiteLedger # us\nuser-agent: other\nDisallow: /private\nAllow: /private/public\nDisallow: /x?secret\nDisallow: /*.pdf$\nAllow: /tie\nDisallow: /tie\nDisallow:\nSitemap: https://h/s.xml"
     texts = spark.createDataFrame([("h", text), ("open", "# nothing\n")], "host string, text string")
     want = {"/private": False, "/private/public": True, "/x?secret=value": False, "/x?a=1": True, "/a.pdf": False, "/a.pdf?x": True, "/tie": True, "/": True}
     targets = spark.createDataFrame([("h", k) for k in want] + [("open", "/any"), ("unknown", "/any")], "host string, request_target string")
