@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import crc_mod
+from siteledger.llm.common import crc_mod, materialise
 
 WINDOW = 48
 HIDDEN = 6
@@ -194,7 +194,8 @@ def training_windows(docs: DataFrame) -> list[tuple[str, bytes]]:
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     # Tasks keep their own first MAX_DOCS of each language before anything is shuffled.
     ids = part.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= MAX_DOCS).select("doc_id", "lang").distinct()
-    texts = part.join(F.broadcast(ids), ["doc_id", "lang"])  # bounded by MAX_DOCS for each language
+    # MAX_DOCS rows for each language; a written table, so that Spark knows its size and broadcasts it only if small.
+    texts = part.join(materialise(ids, "sample"), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

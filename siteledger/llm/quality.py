@@ -116,10 +116,12 @@ def _bin(distance: Column) -> Column:
 def estimates(rows: DataFrame, key: str = "cell", vector: list[str] = VECTOR) -> DataFrame:
     """key, mean and Cholesky factor of each group's minimum-covariance-determinant estimate. rows: key and vector."""
     d = len(vector)
+    # Estimates are written tables, so that Spark knows their size: it broadcasts them only while they are small.
     # Start: medians and median absolute deviations of each axis, to a 200th.
     long = rows.select(key, F.posexplode(F.array(*vector)).alias("axis", "x"))
     median = _quantile(long, [key, "axis"], F.col("x") * 200, 0.5).select(key, "axis", ((F.col("bin") + 0.5) / 200).alias("med"))
-    spread = _quantile(long.join(F.broadcast(median), [key, "axis"]), [key, "axis"], F.abs(F.col("x") - F.col("med")) * 200, 0.5)
+    median = materialise(median, "median")
+    spread = _quantile(long.join(median, [key, "axis"]), [key, "axis"], F.abs(F.col("x") - F.col("med")) * 200, 0.5)
     start = median.join(spread, [key, "axis"]).groupBy(key).agg(
         *[F.max(F.when(F.col("axis") == i, F.col("med"))).alias(f"m{i}") for i in range(d)],
         *[F.max(F.when(F.col("axis") == i, F.greatest(1.4826 * (F.col("bin") + 0.5) / 200, F.lit(FLOOR)))).alias(f"l{i}{i}") for i in range(d)],
@@ -129,9 +131,9 @@ def estimates(rows: DataFrame, key: str = "cell", vector: list[str] = VECTOR) ->
             start = start.withColumn(f"l{i}{j}", F.lit(0.0))
     now = materialise(start, "mcd")
     for _ in range(STEPS):
-        far = rows.join(F.broadcast(now), key).withColumn("bin", F.floor(_bin(_distance(vector, d))))
+        far = rows.join(now, key).withColumn("bin", F.floor(_bin(_distance(vector, d))))
         half = _quantile(far, [key], F.col("bin"), 0.5).withColumnRenamed("bin", "half")
-        near = far.join(F.broadcast(half), key).filter(F.col("bin") <= F.col("half"))
+        near = far.join(materialise(half, "half"), key).filter(F.col("bin") <= F.col("half"))
         shifted = [(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(vector)]  # about the last mean, for exactness
         sums = near.groupBy(key, *[f"m{i}" for i in range(d)]).agg(F.count("*").alias("n"), *[F.sum(F.round(s, 9)).alias(f"s{i}") for i, s in enumerate(shifted)], *[F.sum(F.round(shifted[i] * shifted[j], 9)).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)])
         n = F.col("n")
@@ -166,7 +168,7 @@ def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     wide = passing.select(F.explode("of").alias("cell"), *VECTOR).join(groups.select("cell").distinct(), "cell", "left_semi")
     fitted = estimates(materialise(wide, "vectors"))
     judged = stats.join(groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cell"), stats["lang"].eqNullSafe(F.col("_lang")) & stats["source"].eqNullSafe(F.col("_source")) & ~F.col("base_failed"), "left")
-    far = judged.join(F.broadcast(fitted), "cell", "left").withColumn("distance", _distance(VECTOR, len(VECTOR)))
+    far = judged.join(fitted, "cell", "left").withColumn("distance", _distance(VECTOR, len(VECTOR)))
     return far.select(*_OUT, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"), "distance")
 
 
