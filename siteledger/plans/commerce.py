@@ -291,7 +291,7 @@ def w2_journal_audit(spark, d):
     from pyspark.sql import Window
 
     own = Window.partitionBy("generation").orderBy("event_id")
-    e = t(spark, d, "events").select(F.col("user_id").alias("generation"), "event_id", F.concat_ws("|", "event_type", F.col("event_id").cast("string")).alias("body")).withColumn("sequence", F.row_number().over(own))
+    e = t(spark, d, "events").select(F.col("user_id").alias("generation"), "event_id", F.concat_ws("|", "event_type", F.col("event_id").cast("string")).alias("body")).withColumn("sequence", F.row_number().over(own).cast("bigint"))
     # A chain over every row: what a row hands on is the digest of its own body, so each can be made by itself.
     link = e.withColumn("mark", F.sha2("body", 256)).withColumn("previous", F.coalesce(F.lag("mark").over(own), F.lit("")))
     bad = F.col("event_id") % 100 == 7
