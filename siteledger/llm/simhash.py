@@ -209,7 +209,7 @@ def node_name(columns: list[str]) -> Column:
     return F.concat_ws("", *[F.lpad(F.hex(c), 16, "0") for c in columns])
 
 
-def links(nodes: DataFrame, limits: list[int | None], group: int = 96, block: int = 512, probe: int = 0) -> DataFrame:
+def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: int = 512, probe: int = 0) -> DataFrame:
     """src, dst (names): links whose connected components are those of all links within the limits.
 
     nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ (None: any); fp<probe> is probed.
