@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -75,17 +76,18 @@ def fingerprints_of(text: str | None, schemes: list[tuple[str, int, int]]) -> li
     return out
 
 
-def fingerprints(docs: DataFrame, schemes: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id and one signed long fp0, fp1, ... for each scheme."""
+def fingerprints(docs: DataFrame, schemes: list[tuple[str, int, int]], more: list[Column] | None = None) -> DataFrame:
+    """doc_id, further columns and one signed long fp0, fp1, ... for each scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprints_of(text.as_py(), schemes) for text in batch.column(1)], np.uint64).reshape(-1, len(schemes))
             cols = [pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(schemes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *(f"fp{k}" for k in range(len(cols)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *cols], [*kept, *(f"fp{k}" for k in range(len(cols)))])
 
-    schema = "doc_id long, " + ", ".join(f"fp{k} long" for k in range(len(schemes)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(more or []))
+    kept = [c for c in rows.columns if c != "text"]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), *(f"fp{k} long" for k in range(len(schemes)))])
     return rows.mapInArrow(run, schema)
 
 
@@ -180,24 +182,32 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def labels_of(near: np.ndarray) -> np.ndarray:
+    """The smallest place that links reach from each place; near: a symmetric matrix, true on its diagonal."""
+    label = np.arange(len(near))
+    while True:
+        new = np.where(near, label[None, :], len(near)).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _within(pdf: pd.DataFrame, limits: list[int | None]) -> np.ndarray:
+    near = np.ones((len(pdf), len(pdf)), bool)
+    for k, most in enumerate(limits):
+        if most is not None:
+            v = pdf[f"fp{k}"].to_numpy().view(np.uint64)
+            near &= np.bitwise_count(v[:, None] ^ v[None, :]) <= most
+    return near
+
+
 def _blocks(limits: list[int | None], fps: list[str]):
     """A spanning forest of the links inside one pair of blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(fps, ignore_index=True)  # home and variant of one node, or both blocks the same
-        near = np.ones((len(pdf), len(pdf)), bool)
-        for c, most in zip(fps, limits, strict=True):
-            if most is None:
-                continue
-            v = pdf[c].to_numpy().view(np.uint64)
-            near &= np.bitwise_count(v[:, None] ^ v[None, :]) <= most
-        label = np.arange(len(pdf))
-        while True:
-            new = np.where(near, label[None, :], len(pdf)).min(1)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = labels_of(_within(pdf, limits))
         at = np.nonzero(label != np.arange(len(pdf)))[0]
         ends = [(f"{side}{k}", pdf[c].to_numpy()[rows]) for side, rows in (("a", at), ("b", label[at])) for k, c in enumerate(fps)]
         return pd.DataFrame(dict(ends))
@@ -209,13 +219,12 @@ def node_name(columns: list[str]) -> Column:
     return F.concat_ws("", *[F.lpad(F.hex(c), 16, "0") for c in columns])
 
 
-def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: int = 512, probe: int = 0) -> DataFrame:
-    """src, dst (names): links whose connected components are those of all links within the limits.
+def candidates(nodes: DataFrame, limits: list[int | None], group: int, block: int, probe: int, more: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs within the limits (a0, b0, ...) of the values that up to ``group`` nodes share, and the other values' blocks.
 
-    nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ (None: any); fp<probe> is probed.
-    Values that up to ``group`` fingerprints share are joined; larger ones are compared in blocks.
+    more: what names a node beside its fingerprints.
     """
-    fps = [f"fp{k}" for k in range(len(limits))]
+    fps = [*(f"fp{k}" for k in range(len(limits))), *more]
     probed = F.col(fps[probe])
     probes = []
     for p, (bits, t) in enumerate(plan(nodes.select(probed.alias("fp0")).distinct(), limits[probe])):
@@ -223,7 +232,7 @@ def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: in
         values = [(value, True)] + [(value.bitwiseXOR(F.lit(mask_of([b]))), False) for b in bits if t == 1]
         probes += [F.struct(F.lit(p).alias("part"), v.alias("value"), F.lit(home).alias("home")) for v, home in values]
     if not probes:
-        return nodes.sparkSession.createDataFrame([], "src string, dst string")
+        return None
     sent = nodes.select(*fps, F.explode(F.array(*probes)).alias("k")).select(*fps, "k.*")
     sizes = sent.groupBy("part", "value").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).filter("n >= 2 and any_home").drop("any_home")
     members = materialise(sent.join(materialise(sizes, "sizes"), ["part", "value"]), "members")
@@ -233,7 +242,7 @@ def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: in
     same = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value"))
     left, right = F.struct(*[F.col(f"a.{c}") for c in fps]), F.struct(*[F.col(f"b.{c}") for c in fps])
     same &= F.when(F.col("b.home"), left < right).otherwise(left != right)
-    for c, most in ((c, most) for c, most in zip(fps, limits, strict=True) if most is not None):
+    for c, most in ((c, most) for c, most in zip(fps, limits, strict=False) if most is not None):
         same &= differing(F.col(f"a.{c}"), F.col(f"b.{c}")) <= most
     ends = [F.col(f"{side}.{c}").alias(f"{side}{k}") for side in "ab" for k, c in enumerate(fps)]
     pairs = a.join(b, same).select(*ends)
@@ -241,7 +250,20 @@ def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: in
     many = members.filter(F.col("n") > group).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64(*fps), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *fps)
+    return pairs, many.select("part", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *fps)
+
+
+def links(nodes: DataFrame, limits: list[int | None], group: int = 16, block: int = 512, probe: int = 0) -> DataFrame:
+    """src, dst (names): links whose connected components are those of all links within the limits.
+
+    nodes: distinct fp0, ...; limits[k] bounds the bits in which fp<k> may differ (None: any); fp<probe> is probed.
+    Values that up to ``group`` fingerprints share are joined; larger ones are compared in blocks.
+    """
+    fps = [f"fp{k}" for k in range(len(limits))]
+    found = candidates(nodes, limits, group, block, probe, [])
+    if found is None:
+        return nodes.sparkSession.createDataFrame([], "src string, dst string")
+    pairs, many = found
     schema = ", ".join(f"{side}{k} long" for side in "ab" for k in range(len(fps)))
     forest = many.groupBy("part", "value", "i", "j").applyInPandas(_blocks(limits, fps), schema)
     found = pairs.unionByName(forest).distinct()
@@ -293,17 +315,118 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, seeds: int = 4, distance: int = 3, verify: int = 12) -> DataFrame:
+# -- near copies by the similarity of their texts -----------------------------------------------------------
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct n-word shingles."""
+    import xxhash
+
+    return np.array(sorted({xxhash.xxh64_intdigest(s) for s in shingles(text, n)}), np.uint64)
+
+
+def similar(sets: list[np.ndarray], least: float, chunk: int = 4096) -> np.ndarray:
+    """Which of the sets have a Jaccard similarity of at least ``least``; two empty sets are the same."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, at, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    owner, at = owner[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, chunk):
+        a, b = np.searchsorted(at, [low, low + chunk])
+        has = np.zeros((len(sets), chunk), np.float32)
+        has[owner[a:b], at[a:b] - low] = 1
+        both += has @ has.T
+    np.fill_diagonal(both, sizes)
+    return both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+
+
+def _clusters(limits: list[int | None]):
+    """The members of each group that links within the limits join inside one pair of blocks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("digest").sort_values("digest", ignore_index=True)
+        label, names = labels_of(_within(pdf, limits)), pdf["digest"].to_numpy()
+        out = []
+        for root in np.nonzero(np.bincount(label, minlength=len(pdf)) > 1)[0]:
+            members = names[label == root].tolist()
+            # Groups of the same members, found by several values, are one.
+            cluster = hashlib.blake2b("".join(members).encode(), digest_size=16).hexdigest()
+            out += [(cluster, m) for m in members]
+        return pd.DataFrame(out, columns=["cluster", "digest"])
+
+    return run
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, rules: list[tuple[int, list[int | None]]], n: int, least: float, group: int = 16, block: int = 512) -> DataFrame:
+    """src, dst (digests): their components are those of all candidates with a similarity of ``least`` and more.
+
+    nodes: digest, fp0, ...; the n-word shingles are read for the candidates only. Candidates of small values come
+    in pairs, those of large ones in groups of two blocks at most, in which all pairs are compared.
+    """
+    spark = nodes.sparkSession
+    pairs, members = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "cluster string, digest string")
+    for probe, limits in rules:
+        found = candidates(nodes, limits, group, block, probe, ["digest"])
+        if found is not None:
+            few, many = found
+            at = len(limits)  # the digest follows the fingerprints
+            pairs = pairs.union(few.select(F.least(f"a{at}", f"b{at}"), F.greatest(f"a{at}", f"b{at}")))
+            members = members.union(many.groupBy("part", "value", "i", "j").applyInPandas(_clusters(limits), "cluster string, digest string"))
+    pairs, members = materialise(pairs.distinct(), "pairs"), materialise(members.distinct(), "clusters")
+    wanted = materialise(pairs.select("src").union(pairs.select("dst")).union(members.select("digest")).toDF("digest").distinct(), "wanted")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = pa.array([shingle_set(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["digest", "shingles"])
+
+    texts = docs.select(digest().alias("digest"), F.col("text").cast("string").alias("text")).join(wanted, "digest", "left_semi")
+    sets = materialise(texts.mapInArrow(read, "digest string, shingles binary").dropDuplicates(["digest"]), "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                near.append(bool(similar([np.frombuffer(x.as_py(), np.uint64) for x in (a, b)], least)[0, 1]))
+            yield batch.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, names = labels_of(similar([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], least)), pdf["digest"].to_numpy()
+        at = np.nonzero(label != np.arange(len(pdf)))[0]
+        return pd.DataFrame({"src": names[at], "dst": names[label[at]]})
+
+    a, b = (sets.select(F.col("digest").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
+    good = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(compare, "src string, dst string")
+    grouped = members.join(sets, "digest").groupBy("cluster").applyInPandas(forest, "src string, dst string")
+    return good.unionByName(grouped)
+
+
+def digest() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
+def deduplicate(docs: DataFrame, seeds: int = 4, distance: int = 3, verify: int = 12, least: float = 0.8) -> DataFrame:
     """The documents without all but one of each group: its row with the smallest doc_id stays.
 
-    Near copies (five-word similarity of 0.8 and more) lie within ``verify`` bits of a three-word fingerprint, which
-    is far too wide to probe. So several fingerprints of single words, independent by their seeds, are probed within
-    ``distance`` bits each, and what any of them finds is verified on the three-word one. Each finds about 0.5 to 0.6
-    of such pairs, four of them some 0.9 and more; groups join further ones.
+    Near copies have a five-word Jaccard similarity of ``least`` and more. They lie within ``verify`` bits of a
+    three-word fingerprint, which is far too wide to probe. So several fingerprints of single words, independent by
+    their seeds, are probed within ``distance`` bits each, what any of them finds within ``verify`` bits is a
+    candidate, and candidates link if their shingle sets are as similar as that. Each finds about 0.5 to 0.6 of such
+    pairs, four of them some 0.9 and more; groups join further ones. Texts, not fingerprints, are the nodes.
     Rows with a null id, and repeated rows of the id that stays, are kept only if their group has no smaller id.
     """
     schemes = [*(("root", 1, 42 + k) for k in range(seeds)), ("count", 3, 42)]
     rules = [(k, [distance if i == k else None for i in range(seeds)] + [verify]) for k in range(seeds)]
-    found = groups(docs, schemes, rules)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    fps = [f"fp{k}" for k in range(len(schemes))]
+    rows = materialise(fingerprints(docs, schemes, [digest().alias("digest")]), "fingerprints")
+    nodes = materialise(rows.groupBy("digest", *fps).agg(F.min("doc_id").alias("least")), "nodes")
+    labels = components(verified_links(docs, nodes.drop("least"), rules, 5, least)).withColumnRenamed("node", "digest")
+    labelled = materialise(nodes.join(labels, "digest", "left").select("least", F.coalesce("label", "digest").alias("label")), "labelled")
+    keep = labelled.groupBy("label").agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")

@@ -89,6 +89,33 @@ def test_simhash_deduplicates_near_copies(docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_keeps_texts_below_the_similarity(spark):
+    rng = random.Random(12)
+    rows = [(1, "same " * 300 + "one"), (2, "same " * 300 + "two"), (3, "same " * 300 + "two")]  # equal fingerprints
+    for c in range(12):
+        base = [f"w{c}x{i}" for i in range(400)]
+        rows.append((1000 * c + 10, " ".join(base)))
+        for k in range(24):  # close in words, and for odd k far in five-word shingles
+            words = list(base)
+            for at in rng.sample(range(400), 14 if k % 2 else 2):
+                words[at] = f"n{rng.random()}"
+            rows.append((1000 * c + 11 + k, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.deduplicate(table).collect()}
+    dropped = {*sets} - kept
+    assert {1, 2} <= kept and 3 in dropped and len(dropped) > 20
+    assert all(any(alike(i, j) for j in sets if j != i) for i in dropped)
+
+
+def test_similarity_is_that_of_the_sets():
+    rng = random.Random(1)
+    sets = [set(rng.sample(range(12), rng.randint(0, 12))) for _ in range(40)]
+    got = simhash.similar([np.array(sorted(s), np.uint64) for s in sets], 0.5, chunk=5)
+    assert got.tolist() == [[2 * len(a & b) >= len(a | b) for b in sets] for a in sets]
+
+
 @pytest.mark.parametrize(("limits", "group", "block"), [([2], 96, 512), ([3, 20], 96, 512), ([3], 4, 8)])
 def test_links_have_the_components_of_all_pairs(spark, limits, group, block):
     rng = random.Random(7)
