@@ -1,10 +1,13 @@
 """Repeated passages across documents, by hashing lines and their sentences.
 
-Units are the sentences of each line (a line without full stops is one unit). A unit is normalised (lower case,
-white space collapsed, closing punctuation dropped) and digested to 128 bits; units under ``min_unit`` words are
-not hashed on their own. Digests are grouped globally with map-side counts; the occurrence that comes first by
-(doc_id, place) stays. Every other occurrence is a repeat, and a run of neighbouring repeats of at least
-``min_words`` words is cut out. Results hold the original offsets, in code points.
+Units are the sentences of each line (a line without full stops is one unit), all numbered. A unit is normalised
+(lower case, white space collapsed, closing punctuation dropped) and digested to 128 bits. A unit under ``min_unit``
+words is digested together with the units after it, and with those before it, until they have as many words: it is a
+repeat between the same neighbours only. So whole lines that repeat are repeats whatever their sentences' lengths.
+Digests are grouped globally with map-side counts; the occurrence that comes first by (doc_id, place) stays. Every
+other occurrence is a repeat unless it overlaps that one, and a run of neighbouring repeats of at least
+``min_words`` words is cut out; a unit that is no repeat ends it. So every unit that is cut stays somewhere before.
+Results hold the original offsets, in code points.
 
 Defined cases: null and empty texts have no unit and stay as they are; rows with a null id take no part and stay
 whole; repeated rows (same id and text) are one document, so neither loses what the other has; rows of one id with
@@ -13,10 +16,12 @@ other texts rank by the text's checksum; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,45 +32,55 @@ from siteledger.llm.common import materialise
 
 #: From a character that is not white space to the end of the sentence or line.
 _UNIT = re.compile(r"\S[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*[.!?]*")
-UNITS = "doc_id long, checksum long, idx int, start int, stop int, words int, h1 long, h2 long"
+UNITS = "doc_id long, checksum long, idx int, span int, start int, stop int, before int, words int, h1 long, h2 long"
 
 
 def normalise(unit: str) -> str:
     return " ".join(unit.lower().split()).rstrip(".!?")
 
 
-def units_of(text: str, min_unit: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, stop, words, digest) of each unit that is long enough."""
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
-        if len(words) >= min_unit:
-            yield m.start(), m.end(), len(words), hashlib.blake2b(" ".join(words).rstrip(".!?").encode(), digest_size=16).digest()
+def units_of(text: str, min_unit: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+    """(place, units, start, stop, words before, words, digest) of each unit, short ones with their neighbours."""
+    found = [(m.start(), m.end(), m[0].lower().split()) for m in _UNIT.finditer(text)]
+    before = [0, *accumulate(len(words) for _, _, words in found)]
+    for i, (_, _, words) in enumerate(found):
+        ranges = [(i, i + 1)]
+        if len(words) < min_unit:
+            after = bisect.bisect_left(before, before[i] + min_unit)
+            since = bisect.bisect_right(before, before[i + 1] - min_unit) - 1
+            ranges = [(i, after)] if after <= len(found) else []
+            # A range that starts with a short unit is given by that unit.
+            if since >= 0 and (len(found[since][2]) >= min_unit or bisect.bisect_left(before, before[since] + min_unit) != i + 1):
+                ranges.append((since, i + 1))
+        for a, b in ranges:
+            line = "\n".join(" ".join(words).rstrip(".!?") for _, _, words in found[a:b])
+            yield a, b - a, found[a][0], found[b - 1][1], before[a], before[b] - before[a], hashlib.blake2b(line.encode(), digest_size=16).digest()
 
 
 def units(docs: DataFrame, min_unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, cols, digests = 0, [[] for _ in range(6)], []
+            size, cols, digests = 0, [[] for _ in range(8)], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 if not text or doc_id is None:
                     continue
                 checksum = zlib.crc32(text.encode())
-                for idx, (start, stop, words, digest) in enumerate(units_of(text, min_unit)):
-                    for c, v in zip(cols, (doc_id, checksum, idx, start, stop, words), strict=True):
+                for *at, digest in units_of(text, min_unit):
+                    for c, v in zip(cols, (doc_id, checksum, *at), strict=True):
                         c.append(v)
                     digests.append(digest)
                 size += len(text)
                 if size > 4_000_000:
                     yield pack(cols, digests)
-                    size, cols, digests = 0, [[] for _ in range(6)], []
+                    size, cols, digests = 0, [[] for _ in range(8)], []
             yield pack(cols, digests)
 
     def pack(cols: list[list[int]], digests: list[bytes]) -> pa.RecordBatch:
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 6)
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + [pa.array(h[:, 0]), pa.array(h[:, 1])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "checksum", "idx", "start", "stop", "words", "h1", "h2"])
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "checksum", "idx", "span", "start", "stop", "before", "words", "h1", "h2"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, UNITS)
@@ -79,21 +94,22 @@ def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20) -> DataFram
     digests = all_units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialise(digests.filter("first != last").select("h1", "h2", "first"), "repeated")
     found = all_units.join(repeated, ["h1", "h2"]).filter(place != F.col("first"))
-    own = found.groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_set(F.struct("idx", "start", "stop", "words"))).alias("units"))
+    found = found.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("checksum") != F.col("first.checksum")) | (F.col("idx") >= F.col("first.idx") + F.col("span")))
+    own = found.groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_set(F.struct("idx", "span", "start", "stop", "before", "words"))).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, checksum, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                runs: list[list[dict]] = []
+                runs: list[list[int]] = []  # unit after the last, start, stop, words before, words up to the end
                 for u in found:
-                    if runs and runs[-1][-1]["idx"] == u["idx"] - 1:
-                        runs[-1].append(u)
+                    end, words = u["idx"] + u["span"], u["before"] + u["words"]
+                    if runs and u["idx"] <= runs[-1][0]:
+                        last = runs[-1]
+                        last[0], last[2], last[4] = max(last[0], end), max(last[2], u["stop"]), max(last[4], words)
                     else:
-                        runs.append([u])
-                for r in runs:
-                    if sum(u["words"] for u in r) >= min_words:
-                        out.append((doc_id, checksum, r[0]["start"], r[-1]["stop"] - r[0]["start"], sum(u["words"] for u in r)))
+                        runs.append([end, u["start"], u["stop"], u["before"], words])
+                out += [(doc_id, checksum, start, stop - start, words - before) for _, start, stop, before, words in runs if words - before >= min_words]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "checksum", "start", "length", "words"])
 

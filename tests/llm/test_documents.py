@@ -251,6 +251,17 @@ def test_repeats_are_found_with_their_offsets(spark, docs, empty):
     assert substrings.remove(docs).columns == docs.columns and substrings.remove(empty).count() == 0
 
 
+def test_short_units_end_runs_and_repeat_between_neighbours(spark):
+    head, foot = "This header of ten words stands on top of pages", "This footer of ten words stands at end of pages"
+    body = "\n".join(f"own {i}" for i in range(30))
+    short = " ".join(f"W{i}A.!! X{i} B!!" for i in range(20))
+    rows = [(1, f"{head}\n{foot}"), (2, f"{head}\n{body}\n{foot}"), (3, f"Something first here now.\n{short}\nThen one more line."), (4, f"Another text begins.\n{short}\nIt ends."), (5, "go. " * 50), (6, f"One last.\n{head}\nMenu\n{foot}"), (7, f"A line.\n{head}\nMenu\n{foot}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in substrings.remove(table).collect()}
+    assert all(got[i] == t for i, t in rows if i in (1, 2, 3, 6))
+    assert got[4] == "Another text begins.\n\nIt ends." and got[5].split() == ["go."] * 4 and got[7] == "A line.\n"
+
+
 def brute_tiling(item, doc, least):
     """The textbook greedy tiling: longest common unmarked run first."""
     free_i, free_t, total = [True] * len(item), [True] * len(doc), 0
