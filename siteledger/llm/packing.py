@@ -3,8 +3,9 @@
 Tokenising tasks cut every document into pieces of at most ``capacity`` tokens and pass on lengths and digests only.
 Pieces are dealt at random into groups of a bounded size. Each group is packed best-fit, largest first; then bins
 that are not full exchange pieces (move, one for one, two for one) wherever that raises the sum of squared fills,
-until bins run empty. Bins that stay underfull are dissolved and dealt anew into fewer groups, round by round,
-until one group is left, so that the loss does not grow with the number of groups.
+until a pass changes nothing. Bins that stay underfull are dissolved and dealt anew into fewer groups, round by
+round, until one group is left, so that the loss does not grow with the number of groups. A group passes on half of
+its pieces at most and closes its fullest bins beyond that, so every round has fewer groups than the one before.
 
 Defined cases: null text packs as an empty document (its end token alone); repeated rows are packed each for
 itself; rows with a null id are packed too; an empty table gives an empty result; other columns are ignored.
@@ -77,17 +78,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = 4) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, donors: int = 24) -> list[list[int]]:
     """Exchanges between underfull bins that raise the squared fill, until a pass changes nothing.
 
     For the receiver a and the donor b, fill(a) >= fill(b), every exchange raises fill(a) by a gain of 1 to its free
     room and lowers fill(b) by as much, so the sum of squares rises. A receiver takes the exchange of the largest
-    gain: one piece for nothing (move), one for a shorter one, or two for one. ``passes`` bounds the work only:
-    the result is a valid packing after any of them.
+    gain: one piece for nothing (move), one for a shorter one, or two for one. It looks at the ``donors`` emptiest
+    bins only (the README has what that costs).
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(passes):
+    changed = True
+    while changed:
         changed = False
         order = sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=lambda k: -fill[k])
         # Donors: the emptiest bins first; as many as one receiver can be served from.
@@ -96,7 +98,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pass
             if not room or not fill[a]:
                 continue
             best: tuple[int, int, list[int], list[int]] | None = None
-            for b in order[: at : -1][:24]:
+            for b in order[: at : -1][:donors]:
                 if b == a or not fill[b] or fill[b] > fill[a]:
                     continue
                 found = _exchange(bins[a], bins[b], size, room)
@@ -111,8 +113,6 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pass
                 fill[a] += gain
                 fill[b] -= gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
@@ -175,12 +175,15 @@ def _round(rest: DataFrame, groups: int, round_: int, capacity: int, closing: bo
         lengths = pdf["length"].to_numpy()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         keys, seq, off, closed = pdf["key"].to_numpy(), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
-        for b in bins:
+        left = len(pdf)
+        for b in sorted(bins, key=lambda b: -int(lengths[b].sum())):  # the fullest first
             at = np.array(b)
             ends = np.cumsum(lengths[at])
             off[at] = ends - lengths[at]
             seq[at] = keys[at].min() * 2 + 1  # a piece is in one sequence only, so its key names the sequence
-            closed[at] = closing or ends[-1] >= capacity - capacity // 128
+            if closing or ends[-1] >= capacity - capacity // 128 or 2 * left > len(pdf):
+                closed[at] = True
+                left -= len(b)
         return pdf.drop(columns="g").assign(sequence_id=seq, offset=off, closed=closed)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)

@@ -188,6 +188,17 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == [*range(6)] and all(lengths[b].sum() <= 12 for b in bins) and len(bins) == 2
 
 
+def test_packing_ends_when_no_two_pieces_fit(spark, monkeypatch):
+    rows = [(i, 0, 0, 600, 1) for i in range(20_000)]
+    table = spark.createDataFrame(rows, packing.PIECES)
+    monkeypatch.setattr(packing, "pieces", lambda docs, *_: docs)
+    rounds, real = [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda rest, groups, *a, **k: (rounds.append(groups), pytest.fail("no progress") if len(rounds) > 3 else None, real(rest, groups, *a, **k))[2])
+    got = packing.pack(table).collect()
+    assert len({r.sequence_id for r in got}) == len(got) == len(rows) and {r.doc_id for r in got} == {*range(20_000)}
+    assert rounds == sorted({*rounds}, reverse=True)
+
+
 def test_shards_round_trip_and_keyed_access(spark, docs, empty):
     manifest = shards.write(docs, shards.fresh_path(spark, "t"), shards=3)
     got = sorted(shards.read(manifest).collect(), key=lambda r: r.start)
