@@ -113,6 +113,11 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#document", {}, None)
         self.depth = 0
 
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):  # of any name, as in HTML: a comment up to the next >
+            return self.parse_bogus_comment(i, report=0)
+        return super().parse_html_declaration(i)
+
     def handle_starttag(self, tag, attrs):
         self._imply(tag)
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
@@ -147,13 +152,19 @@ class _Builder(HTMLParser):
             node, up = node.parent, up + 1
 
 
+#: Python converts no decimal number of more than 4300 digits.
+LONG_REFERENCE = re.compile(r"&#[0-9]{4000,}")
+
+
+def _short_reference(m: re.Match) -> str:
+    digits = m[0][2:].lstrip("0") or "0"
+    return "&#" + (digits if len(digits) < 8 else "1114112")
+
+
 def tree(html: str) -> Node:
     builder = _Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except Exception:  # noqa: BLE001 - markup declarations that the tokenizer refuses: what came before is kept
-        pass
+    builder.feed(LONG_REFERENCE.sub(_short_reference, html))
+    builder.close()
     return builder.root
 
 

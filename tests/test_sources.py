@@ -113,3 +113,10 @@ def test_results_are_named_by_content(spark, tmp_path):
     assert readers.write_named_by_content(spark.range(11), f"file://{tmp_path}/r") != path
     readers.export_events(spark.range(3).withColumnRenamed("id", "sequence"), f"{tmp_path}/events")
     assert spark.read.json(f"{tmp_path}/events").count() == 3
+
+
+@pytest.mark.parametrize("markup", ["<![foo[bar]]>", "<![ x >", "<![if !IE>", "<![CDATA[x>", "<![endif]-->", "<!>", "<!x>", "<![foo[", "&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65;"])
+def test_unknown_declarations_do_not_end_the_page(markup):
+    got = html.parse(f"<a href=/1>x</a>{markup}<h2>h</h2><a href=/2>y</a><!-- a --><p>text</p>")
+    assert [x["href"] for x in got["links"]] == ["/1", "/2"]
+    assert "text" in got["text"] and ("[foo[" in markup or got["headings"][0]["text"] == "h")
