@@ -15,11 +15,13 @@ SPACE = r"[\x20\x09-\x0D]"
 def work_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor can reach.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (local tests) a temporary folder is
-    used, and remembered in the session so that later calls share it.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and the master is local (tests) a
+    temporary folder is used, and remembered in the session so that later calls share it; elsewhere it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("siteledger.local.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="siteledger-")
@@ -39,6 +41,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have (Spark tells names apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

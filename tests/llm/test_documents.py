@@ -89,6 +89,18 @@ def test_simhash_deduplicates_near_copies(docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_keeps_one_row_of_repeated_ones(spark):
+    rng = random.Random(8)
+    one, two = text(rng, 60), text(rng, 60)
+    names = "doc_id long, text string, digest string, of_id long, of_text string, Kept_ID string, node long, label string"
+    rows = [(5, one), (5, one), (5, two), (3, two), (9, one), (None, one), (None, "nobody else has these words at all here"), (7, None), (8, "")]
+    table = spark.createDataFrame([(*r, "a", 1, "b", "c", 2, "d") for r in rows], names).repartition(2)
+    got = simhash.deduplicate(table)
+    assert got.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, one), (3, two), (None, rows[6][1]), (7, None)], key=repr)
+    assert all(tuple(r)[2:] == ("a", 1, "b", "c", 2, "d") for r in got.collect())
+
+
 def test_deduplicate_keeps_texts_below_the_similarity(spark):
     rng = random.Random(12)
     rows = [(1, "same " * 300 + "one"), (2, "same " * 300 + "two"), (3, "same " * 300 + "two")]  # equal fingerprints
@@ -116,23 +128,61 @@ def test_similarity_is_that_of_the_sets():
     assert got.tolist() == [[2 * len(a & b) >= len(a | b) for b in sets] for a in sets]
 
 
-@pytest.mark.parametrize(("limits", "group", "block"), [([2], 96, 512), ([3, 20], 96, 512), ([3], 4, 8)])
-def test_links_have_the_components_of_all_pairs(spark, limits, group, block):
+@pytest.mark.parametrize(("distance", "group", "block"), [(2, 16, 1024), (2, 4, 8), (1, 2, 4), (3, 3, 60), (4, 16, 200)])
+def test_links_have_the_components_of_all_pairs(spark, distance, group, block):
     rng = random.Random(7)
-    centres = [tuple(rng.getrandbits(64) for _ in limits) for _ in range(6)]
-    nodes = set()
-    for _ in range(400):
-        c = rng.choice(centres)
-        nodes.add(tuple(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for x in c))
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    nodes = {rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)}
+    nodes |= {centres[0] ^ sum(1 << b for b in rng.sample(range(9), rng.randint(0, 6))) for _ in range(150)}  # values that many share
     nodes = sorted(nodes)
-    signed = [tuple(int(np.uint64(x).astype(np.int64)) for x in n) for n in nodes]
-    df = spark.createDataFrame(signed, ", ".join(f"fp{k} long" for k in range(len(limits)))).repartition(4)
-    edges = simhash.links(df, limits, group, block)
+    signed = [(seed, int(np.uint64(x).astype(np.int64))) for x in nodes for seed in (0, 1)]
+    df = simhash.materialise(spark.createDataFrame(signed, "seed int, fp long").repartition(4), "t")
+    name = lambda c: F.concat_ws(":", "seed", F.col(c).cast("string"))
+    edges = simhash.links(df, distance, group, block).select(name("a").alias("src"), name("b").alias("dst"))
     labels = {r.node: r.label for r in simhash.components(edges).collect()}
-    names = ["".join(f"{x:016X}" for x in n) for n in nodes]
-    roots = brute_components(nodes, limits)
-    mine = [labels.get(n, n) for n in names]
-    assert len({*zip(roots, mine)}) == len({*roots}) == len({*mine})
+    roots = brute_components([(x,) for x in nodes], [distance])
+    for seed in (0, 1):
+        mine = [labels.get(f"{seed}:{n}", n) for _, n in signed[::2]]
+        assert len({*zip(roots, mine)}) == len({*roots}) == len({*mine})
+
+
+def test_distances_out_of_range_are_told(spark):
+    nodes = simhash.materialise(spark.createDataFrame([(0, 5)], "seed int, fp long"), "t")
+    for distance in (-1, 5, 10):
+        with pytest.raises(ValueError, match="distance"):
+            simhash.links(nodes, distance)
+
+
+def test_links_grow_with_the_nodes_of_a_hot_value(spark):
+    made = []
+    for n in (200, 400):
+        rows = [(0, x << 3) for x in range(n)]  # all within a few bits of each other
+        df = simhash.materialise(spark.createDataFrame(rows, "seed int, fp long"), "t")
+        made.append(simhash.links(df, 2, group=4, block=64).count())
+    assert made[1] <= 2.5 * made[0]
+
+
+def test_large_classes_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(90):  # one large group of near copies
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.sample(base, 200))) for i in range(40)]  # the same words in other orders
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.deduplicate(table, size=16).collect()}
+    assert kept == {0, *range(1000, 1040)}
+
+
+def test_sketches_estimate_second_moments(spark):
+    rng = np.random.default_rng(1)
+    values = rng.zipf(1.5, 20_000) % 5000
+    df = spark.createDataFrame([(0, int(v)) for v in values], "seed int, fp long").repartition(3)
+    n, f2 = simhash.second_moments(df, {0: [-1]})[0, 0]
+    exact = float((np.unique(values, return_counts=True)[1].astype(float) ** 2).sum())
+    assert n == 20_000 and abs(f2 - exact) < 0.1 * exact
 
 
 def test_thresholds_are_allocated_by_least_cost():
