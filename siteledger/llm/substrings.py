@@ -1,134 +1,134 @@
 """Repeated passages across documents, by hashing lines and their sentences.
 
-Units are the sentences of each line (a line without full stops is one unit), all numbered. A unit is normalised
-(lower case, white space collapsed, closing punctuation dropped) and digested to 128 bits. A unit under ``min_unit``
-words is digested together with the units after it, and with those before it, until they have as many words: it is a
-repeat between the same neighbours only. So whole lines that repeat are repeats whatever their sentences' lengths.
-Digests are grouped globally with map-side counts; the occurrence that comes first by (doc_id, place) stays. Every
-other occurrence is a repeat unless it overlaps that one, and a run of neighbouring repeats of at least
-``min_words`` words is cut out; a unit that is no repeat ends it. So every unit that is cut stays somewhere before.
-Results hold the original offsets, in code points.
-
-Defined cases: null and empty texts have no unit and stay as they are; rows with a null id take no part and stay
-whole; repeated rows (same id and text) are one document, so neither loses what the other has; rows of one id with
-other texts rank by the text's checksum; an empty table gives an empty result; other columns pass through.
+Units are the sentences of each line (passages also stand inside lines); they part a text without gaps. A unit is
+normalised (lower case, white space collapsed, closing punctuation dropped) and digested to 128 bits. A unit of fewer
+than ``min_unit`` words is digested with its neighbours in the line, or, if the whole line has so few, with those
+around it. So equal lines have equal digests, unless they are as short. Digests are grouped globally.
+A digest that stands in ``min_documents`` documents is repeated: the occurrence that comes first by (doc_id, place)
+stays and every other one is a repeat. A run of neighbouring repeats of at least ``min_words`` words is cut out. Only
+units that were compared are cut, and each of them stays somewhere before. Results hold the original offsets, in code
+points. ``min_words=0`` cuts every repeat; ``min_documents=1`` also those inside one document, which are otherwise
+left to the quality rules.
+
+Defined cases: null, empty and blank texts have no unit and stay as they are; very long texts are read whole; rows with
+a null id take no part and stay whole; ties (equal units of one document) rank by their place; repeated rows (same id
+and text) are one document, so neither loses what the other has; rows of one id with other texts are documents of
+their own and rank by the text's checksum; an empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import materialise
+from siteledger.llm.common import fresh_name, materialise
 
 #: From a character that is not white space to the end of the sentence or line.
-_UNIT = re.compile(r"\S[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*[.!?]*")
-UNITS = "doc_id long, checksum long, idx int, span int, start int, stop int, before int, words int, h1 long, h2 long"
+_SENTENCE = re.compile(r"\S[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*[.!?]*")
+UNITS = "doc_id long, checksum long, idx int, start int, stop int, words int, h1 long, h2 long"
 
 
-def normalise(unit: str) -> str:
-    return " ".join(unit.lower().split()).rstrip(".!?")
-
-
-def units_of(text: str, min_unit: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
-    """(place, units, start, stop, words before, words, digest) of each unit, short ones with their neighbours."""
-    found = [(m.start(), m.end(), m[0].lower().split()) for m in _UNIT.finditer(text)]
-    before = [0, *accumulate(len(words) for _, _, words in found)]
-    for i, (_, _, words) in enumerate(found):
-        ranges = [(i, i + 1)]
+def units_of(text: str, min_unit: int) -> list[tuple[int, int, int, str]]:
+    """(start, stop, words, what is digested) of each unit, in order."""
+    spans = [m.span() for m in _SENTENCE.finditer(text)]
+    own = [text[a:b].lower().split() for a, b in spans]
+    plain = [" ".join(words).rstrip(".!?") for words in own]
+    out = []
+    for i, ((a, b), words, key) in enumerate(zip(spans, own, plain, strict=True)):
         if len(words) < min_unit:
-            after = bisect.bisect_left(before, before[i] + min_unit)
-            since = bisect.bisect_right(before, before[i + 1] - min_unit) - 1
-            ranges = [(i, after)] if after <= len(found) else []
-            # A range that starts with a short unit is given by that unit.
-            if since >= 0 and (len(found[since][2]) >= min_unit or bisect.bisect_left(before, before[since] + min_unit) != i + 1):
-                ranges.append((since, i + 1))
-        for a, b in ranges:
-            line = "\n".join(" ".join(words).rstrip(".!?") for _, _, words in found[a:b])
-            yield a, b - a, found[a][0], found[b - 1][1], before[a], before[b] - before[a], hashlib.blake2b(line.encode(), digest_size=16).digest()
+            before, after = text.rfind("\n", 0, a), text.find("\n", b)
+            alone = len(text[before + 1 : after if after >= 0 else len(text)].split(None, min_unit)) < min_unit
+            left = plain[i - 1] if i and (alone or spans[i - 1][0] > before) else ""
+            right = plain[i + 1] if i + 1 < len(spans) and (alone or after < 0 or spans[i + 1][0] < after) else ""
+            key = f"{left}\n{key}\n{right}"
+        out.append((a, b, len(words), key))
+    return out
 
 
 def units(docs: DataFrame, min_unit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            size, cols, digests = 0, [[] for _ in range(8)], []
+            size, rows, digests = 0, [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 if not text or doc_id is None:
                     continue
                 checksum = zlib.crc32(text.encode())
-                for *at, digest in units_of(text, min_unit):
-                    for c, v in zip(cols, (doc_id, checksum, *at), strict=True):
-                        c.append(v)
-                    digests.append(digest)
+                for idx, (start, stop, words, key) in enumerate(units_of(text, min_unit)):
+                    rows.append((doc_id, checksum, idx, start, stop, words))
+                    digests.append(xxh3_128_digest(key))
                 size += len(text)
-                if size > 4_000_000:
-                    yield pack(cols, digests)
-                    size, cols, digests = 0, [[] for _ in range(8)], []
-            yield pack(cols, digests)
+                if size > 1_000_000:
+                    yield pack(rows, digests)
+                    size, rows, digests = 0, [], []
+            yield pack(rows, digests)
 
-    def pack(cols: list[list[int]], digests: list[bytes]) -> pa.RecordBatch:
+    def pack(rows: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
+        at = np.array(rows, np.int64).reshape(-1, 6)
         h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 6)
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + [pa.array(h[:, 0]), pa.array(h[:, 1])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "checksum", "idx", "span", "start", "stop", "before", "words", "h1", "h2"])
+        cols = [pa.array(np.ascontiguousarray(at[:, k])) for k in range(2)] + [pa.array(at[:, k].astype(np.int32)) for k in range(2, 6)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names)
 
+    names = ["doc_id", "checksum", "idx", "start", "stop", "words", "h1", "h2"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, UNITS)
 
 
-def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20) -> DataFrame:
-    """doc_id, checksum, start, length, words: the passages to cut out."""
+def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2) -> DataFrame:
+    """doc_id, checksum (of the text), start, length, words: the passages to cut out."""
     all_units = materialise(units(docs, min_unit), "units")
     place = F.struct("doc_id", "checksum", "idx")
     # Repeated rows of a document count once: a digest is repeated if its first and last places differ.
     digests = all_units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = materialise(digests.filter("first != last").select("h1", "h2", "first"), "repeated")
-    found = all_units.join(repeated, ["h1", "h2"]).filter(place != F.col("first"))
-    found = found.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("checksum") != F.col("first.checksum")) | (F.col("idx") >= F.col("first.idx") + F.col("span")))
-    own = found.groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_set(F.struct("idx", "span", "start", "stop", "before", "words"))).alias("units"))
+    other = F.struct("first.doc_id", "first.checksum") != F.struct("last.doc_id", "last.checksum")
+    repeated = digests.filter("first != last" if min_documents < 2 else other)
+    if min_documents > 2:
+        many = all_units.join(repeated, ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "checksum").distinct()
+        repeated = repeated.join(many.groupBy("h1", "h2").count().filter(F.col("count") >= min_documents), ["h1", "h2"], "left_semi")
+    repeated = materialise(repeated.select("h1", "h2", "first"), "repeated")
+    found = all_units.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select(*[c for c in all_units.columns if c not in ("h1", "h2")])
+    # One row a document: as large as the document at most.
+    own = found.distinct().groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("idx", "start", "stop", "words"))).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, checksum, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                runs: list[list[int]] = []  # unit after the last, start, stop, words before, words up to the end
-                for u in found:
-                    end, words = u["idx"] + u["span"], u["before"] + u["words"]
-                    if runs and u["idx"] <= runs[-1][0]:
-                        last = runs[-1]
-                        last[0], last[2], last[4] = max(last[0], end), max(last[2], u["stop"]), max(last[4], words)
-                    else:
-                        runs.append([end, u["start"], u["stop"], u["before"], words])
-                out += [(doc_id, checksum, start, stop - start, words - before) for _, start, stop, before, words in runs if words - before >= min_words]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "checksum", "start", "length", "words"])
+            for doc_id, checksum, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                flat = found.values
+                idx, start, stop, words = (flat.field(k).to_numpy() for k in range(4))
+                head = np.flatnonzero(np.diff(idx, prepend=idx[0] - 2) != 1)
+                last = np.append(head[1:], len(idx)) - 1
+                total = np.add.reduceat(words, head)
+                out += [(doc_id, checksum, a, b - a, n) for a, b, n in zip(start[head].tolist(), stop[last].tolist(), total.tolist(), strict=True) if n >= min_words]
+            at = np.array(out, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, k])) for k in range(5)], ["doc_id", "checksum", "start", "length", "words"])
 
-    # One row a document: as large as the document at most.
     return own.mapInArrow(run, "doc_id long, checksum long, start long, length long, words long")
 
 
-def remove(docs: DataFrame, min_unit: int = 4, min_words: int = 20) -> DataFrame:
+def remove(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2) -> DataFrame:
     """The documents without repeated passages; n_chars, where there is one, is the new length."""
-    spans = repeats(docs, min_unit, min_words).groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
-    keyed = docs.withColumn("_checksum", F.crc32(F.col("text").cast("string").cast("binary")))
-    spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("checksum", "_sum")
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_checksum") == F.col("_sum")), "left")
+    of_sum, of_id, key, cuts = (fresh_name(docs, n) for n in ("text_sum", "cut_id", "cut_sum", "cuts"))
+    spans = repeats(docs, min_unit, min_words, min_documents).groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
+    keyed = docs.withColumn(of_sum, F.crc32(F.col("text").cast("string").cast("binary")))
+    joined = keyed.join(spans.select(F.col("doc_id").alias(of_id), F.col("checksum").alias(key), cuts), (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(of_sum) == F.col(key)), "left")
     # What lies between spans, in code points: SQL substring counts from 1.
-    stops = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["start"] + s["length"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    stops = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda s: s["start"] + s["length"]))
+    starts = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length("text").cast("long")))
     kept = F.zip_with(stops, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat_ws("", kept))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    none = F.col(cuts).isNull()
+    new = {"text": F.when(none, F.col("text")).otherwise(F.concat_ws("", kept))}
+    out = joined.withColumns(new)
+    for c in docs.columns:
+        if c.lower() == "n_chars":
+            out = out.withColumn(c, F.when(none, F.col(c)).otherwise(F.length("text")).cast(docs.schema[c].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

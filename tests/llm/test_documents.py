@@ -312,15 +312,81 @@ def test_repeats_are_found_with_their_offsets(spark, docs, empty):
     assert substrings.remove(docs).columns == docs.columns and substrings.remove(empty).count() == 0
 
 
-def test_short_units_end_runs_and_repeat_between_neighbours(spark):
+def brute_cut(rows, min_words, min_documents):
+    """What stays of every text, by plain loops over the units (None ids take no part)."""
+    texts = {(i, zlib.crc32(t.encode()), t) for i, t in rows if i is not None and t}
+    place, owners = {}, {}
+    for i, c, t in sorted(texts):
+        for k, (_, _, _, key) in enumerate(brute_units(t)):
+            place.setdefault(key, (i, c, k))
+            owners.setdefault(key, set()).add((i, c))
+    out = {}
+    for i, c, t in texts:
+        gone, run = set(), []
+        for k, (a, b, n, key) in enumerate([*brute_units(t), (0, 0, 0, None)]):
+            if key is not None and len(owners[key]) >= min_documents and place[key] != (i, c, k):
+                run.append((a, b, n))
+                continue
+            if run and sum(r[2] for r in run) >= min_words:
+                gone |= set(range(run[0][0], run[-1][1]))
+            run = []
+        out[i, c] = "".join(x for at, x in enumerate(t) if at not in gone)
+    return out
+
+
+def brute_units(t, least=4):
+    """(start, stop, words, key): sentences of each line; short ones have their neighbours in their keys."""
+    out = []
+    for n, line in enumerate(re.finditer(r"[^\n]+", t)):
+        alone = len(line[0].split()) < least
+        for m in substrings._SENTENCE.finditer(line[0]):
+            out.append((line.start() + m.start(), line.start() + m.end(), " ".join(m[0].lower().split()).rstrip(".!?"), n, alone))
+    got = []
+    for k, (a, b, own, line, alone) in enumerate(out):
+        around = ["", ""]
+        for side, at in enumerate((k - 1, k + 1)):
+            if 0 <= at < len(out) and (alone or out[at][3] == line):
+                around[side] = out[at][2]
+        words = len(t[a:b].split())
+        got.append((a, b, words, own if words >= least else (around[0], own, around[1])))
+    return got
+
+
+@pytest.mark.parametrize(("min_words", "min_documents"), [(20, 2), (0, 2), (0, 1), (8, 3)])
+def test_kept_text_is_that_of_brute_force(spark, min_words, min_documents):
+    rng = random.Random(21)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 3, 5, 9, 14]))) + rng.choice([".", "!", "", "?.."]) for _ in range(40)]
+    rows = []
+    for i in range(40):
+        parts = [rng.choice(pool) if rng.random() < 0.7 else text(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 25))]
+        rows.append((i, "".join(p + rng.choice([" ", "\n", "\n\n", "  \t"]) for p in parts)))
+    rows += [(3, rows[3][1]), (4, rows[5][1] + " more"), (50, rows[7][1].upper()), (51, None), (52, ""), (53, " \n\t"), (54, text(rng, 3000) + "\n" + rows[9][1]), (None, rows[6][1])]
+    want = brute_cut(rows, min_words, min_documents)
+    names = "doc_id long, text string, _id long, _sum long, _spans string, _checksum long, Text_Sum int, cuts int, cut_id int, cut_sum int, n_chars int"
+    table = spark.createDataFrame([(i, t, 1, 2, "s", 3, 4, 5, 6, 7, -1) for i, t in rows], names).repartition(3)
+    got = substrings.remove(table, min_words=min_words, min_documents=min_documents)
+    assert got.columns == table.columns
+    mine = got.collect()
+    left = {(i, t and zlib.crc32(t.encode())): want.get((i, zlib.crc32((t or "").encode())), t) for i, t in rows}
+    assert sorted(((r.doc_id, r.text) for r in mine), key=repr) == sorted(((i, left[i, t and zlib.crc32(t.encode())]) for i, t in rows), key=repr)
+    assert all(tuple(r)[2:10] == (1, 2, "s", 3, 4, 5, 6, 7) for r in mine)
+    originals = {i: t for i, t in rows}
+    assert all(r.n_chars in (-1, len(r.text or "")) and (r.text == originals[r.doc_id]) <= (r.n_chars == -1) for r in mine if r.doc_id not in (3, 4))
+
+
+def test_unique_text_between_repeats_stays(spark):
     head, foot = "This header of ten words stands on top of pages", "This footer of ten words stands at end of pages"
     body = "\n".join(f"own {i}" for i in range(30))
     short = " ".join(f"W{i}A.!! X{i} B!!" for i in range(20))
-    rows = [(1, f"{head}\n{foot}"), (2, f"{head}\n{body}\n{foot}"), (3, f"Something first here now.\n{short}\nThen one more line."), (4, f"Another text begins.\n{short}\nIt ends."), (5, "go. " * 50), (6, f"One last.\n{head}\nMenu\n{foot}"), (7, f"A line.\n{head}\nMenu\n{foot}")]
+    rows = [(1, f"{head}\n{foot}"), (2, f"{head}\n{body}\n{foot}"), (3, f"Something first here now.\n{short}\nThen one more line."), (4, f"Another text begins here.\n{short}\nIt ends."), (5, "go. " * 50)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in substrings.remove(table).collect()}
-    assert all(got[i] == t for i, t in rows if i in (1, 2, 3, 6))
-    assert got[4] == "Another text begins.\n\nIt ends." and got[5].split() == ["go."] * 4 and got[7] == "A line.\n"
+    assert all(got[i] == t for i, t in rows if i in (1, 2, 3, 5))
+    assert got[4] == "Another text begins here.\n\nIt ends."
+    ten = spark.createDataFrame([(1, head), (2, f"Other words here now\n{head}")], "doc_id long, text string")
+    assert [r.text for r in substrings.remove(ten, min_words=0).orderBy("doc_id").collect()] == [head, "Other words here now\n"]
+    inside = [r.text for r in substrings.remove(table, min_documents=1, min_words=0).collect() if r.doc_id == 5]
+    assert inside[0].split() == ["go."] * 3  # the first, one between such neighbours, and the last
 
 
 def brute_tiling(item, doc, least):
