@@ -87,7 +87,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 class ShardWriter:
     def __init__(self, uri: str, width: int):
-        self.uri, self.width, self.keys, self.counts = uri, width, [], []
+        self.uri, self.width, self.keys, self.counts, self.ids = uri, width, [], [], 0
         self.fs, self.path = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.path)
@@ -96,6 +96,7 @@ class ShardWriter:
         self.out.write(ids)
         self.keys.append(key)
         self.counts.append(len(ids) // self.width)
+        self.ids += self.counts[-1]
 
     def close(self) -> None:
         keys, counts = np.array(self.keys, np.int64), np.array(self.counts, np.int64)
@@ -168,9 +169,17 @@ class ShardReader:
             yield self.read(at, min(block, self.footer["ids"] - at))
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, shards: int | None = None) -> DataFrame:
-    """Write the shards; the manifest (one row a shard): uri, low, high (keys), documents, ids, start (ids before it)."""
+def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0, shards: int | None = None, max_ids: int = 1 << 27, max_rows: int = 1 << 20) -> DataFrame:
+    """Write the shards; the manifest (one row a shard): uri, low, high (keys), documents, ids, start (ids before it).
+
+    A task begins another shard after ``max_ids`` ids or ``max_rows`` rows, so a shard's index always fits in memory.
+    """
     vocabulary, spark = vocabulary or default_vocabulary(), docs.sparkSession
+    schema = pa.schema([("uri", pa.string()), *((n, pa.int64()) for n in ("low", "high", "documents", "ids"))])
+
+    def closed(out: ShardWriter) -> pa.RecordBatch:
+        out.close()
+        return pa.RecordBatch.from_pylist([{"uri": out.uri, "low": out.keys[0], "high": out.keys[-1], "documents": len(out.keys), "ids": out.ids}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(vocabulary), None
@@ -180,10 +189,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
                     out = ShardWriter(f"{folder}/shard-{uuid.uuid4().hex}.ids", enc.width)
                 end = int(end_id).to_bytes(enc.width, "little")
                 out.add(NULL_KEY if doc_id is None else doc_id, enc.encode(text.as_py()) + end)
+                if out.ids >= max_ids or len(out.keys) >= max_rows:
+                    yield closed(out)
+                    out = None
         if out is not None:
-            out.close()
-            row = {"uri": out.uri, "low": out.keys[0], "high": out.keys[-1], "documents": len(out.keys), "ids": sum(out.counts)}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("uri", pa.string()), *((n, pa.int64()) for n in ("low", "high", "documents", "ids"))]))
+            yield closed(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The text's hash only breaks ties, so that even the rows of one id can be dealt to several shards.
@@ -208,10 +218,12 @@ def read(manifest: DataFrame) -> DataFrame:
                 first = shard.locate(shard.keys)
                 if len(first) and (first < 0).any():
                     raise ValueError(f"{m['uri']}: a key is missing from the index")
-                starts = np.cumsum(shard.counts) - shard.counts
+                # The index gives the offset of a key's first row; the others of the key follow by their counts.
+                before = np.cumsum(shard.counts) - shard.counts
+                starts = shard.start[shard.hash.find(shard.keys)] + before - before[first]
                 for at in range(0, len(starts), 2048):
                     some = slice(at, min(at + 2048, len(starts)))
-                    lo, hi = int(starts[some][0]), int(starts[some][-1] + shard.counts[some][-1])
+                    lo, hi = int(starts[some].min()), int((starts[some] + shard.counts[some]).max())
                     ids = shard.read(lo, hi - lo).astype("<u4")
                     crcs = [zlib.crc32(ids[s - lo : s - lo + n].tobytes()) for s, n in zip(starts[some].tolist(), shard.counts[some].tolist(), strict=True)]
                     keys = [None if k == NULL_KEY else k for k in shard.keys[some].tolist()]

@@ -250,7 +250,8 @@ def test_packing_ends_when_no_two_pieces_fit(spark, monkeypatch):
 
 
 def test_shards_round_trip_and_keyed_access(spark, docs, empty):
-    manifest = shards.write(docs, shards.fresh_path(spark, "t"), shards=3)
+    manifest = shards.write(docs, shards.fresh_path(spark, "t"), shards=3, max_ids=3000, max_rows=11)
+    assert manifest.count() > 6
     got = sorted(shards.read(manifest).collect(), key=lambda r: r.start)
     source = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0))
     start, want = 0, []
