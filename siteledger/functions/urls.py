@@ -22,14 +22,16 @@ MEDIA = r"(?i)\.(?:jpe?g|png|gif|webp|avif|svg|ico|css|js|woff2?|ttf|zip|mp4|web
 RESOURCE = r"(?i)\.(?:jpe?g|png|gif|webp|avif|svg|ico|css|js|woff2?|ttf|zip|mp4|webm)$"
 
 # Path segments, query names and routes that act on a shop or lead to an account.
-ACTION_SEGMENTS = "cart checkout payment payments order orders wishlist compare api add remove delete"
-ACCOUNT_SEGMENTS = "admin bitrix local login logout register account"
-ACTION_KEYS = "action do act add remove delete submit checkout logout login payment order quantity cart token sessid csrf csrf_token"
-ACTION_ROUTES = "account checkout payment api tool cart compare wishlist"
+ACTION_SEGMENTS = ("cart", "checkout", "payment", "payments", "order", "orders", "wishlist", "compare", "api", "add", "remove", "delete")
+ACCOUNT_SEGMENTS = ("admin", "local", "login", "logout", "register", "account")
+ACTION_KEYS = ("action", "do", "act", "add", "remove", "delete", "submit", "checkout", "logout", "login", "payment", "order", "quantity", "cart", "token", "sessid", "csrf", "csrf_token")
+ACTION_ROUTES = ("account", "checkout", "payment", "api", "tool", "cart", "compare", "wishlist")
+#: Path roots that no route may take; callers add those of their own target.
+RESERVED_ROOTS = ("local", "upload", ".well-known")
 
 
-def alternatives(words: str) -> str:
-    return "|".join(w.replace(".", r"\.") for w in words.split())
+def alternatives(words: tuple[str, ...]) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words)
 
 
 SAFE_PATH_BAR = rf"(?i)(?:^|/)(?:{alternatives(ACTION_SEGMENTS)}|{alternatives(ACCOUNT_SEGMENTS)})(?:[/.]|$)"
@@ -153,14 +155,14 @@ def query_parameters(target: Column) -> Column:
     return F.when(query == "", F.array().cast("array<struct<raw:string,name:string,class:string>>")).otherwise(F.transform(F.split(query, "&"), one))
 
 
-def target_error(target: Column) -> Column:
+def target_error(target: Column, reserved_roots: tuple[str, ...] = RESERVED_ROOTS) -> Column:
     """Why a request target cannot be a route; null if it can."""
     decoded = decode_path(path_of(target))
     return (
         F.when(target.isNull() | (F.length(target) > 8192) | ~target.startswith("/") | target.startswith("//") | target.rlike(r"[\x00-\x20\x7f#\\]"), "INVALID_REQUEST_TARGET")
         .when(decoded.isNull() | path_of(target).rlike("%(?![0-9A-Fa-f]{2})"), "INVALID_PERCENT_ENCODING")
         .when(decoded.rlike(r"(?:^|/)\.{1,2}(?:/|$)") | decoded.rlike(r"[\x00-\x1f\\]"), "UNSAFE_ROUTE")
-        .when(decoded.rlike(r"(?i)^/(?:bitrix|local|upload|\.well-known)(?:/|$)") | (decoded == "/robots.txt"), "RESERVED_ROUTE_COLLISION")
+        .when(decoded.rlike(rf"(?i)^/(?:{alternatives(reserved_roots)})(?:/|$)") | (decoded == "/robots.txt"), "RESERVED_ROUTE_COLLISION")
     )
 
 

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that spark.checkpoint.dir names (a temporary one only if that is unset)."""
+    """The rows as a table in the folder that spark.checkpoint.dir names.
+
+    Where that is unset, local sessions use a temporary folder; on a cluster, whose executors could not read it, that
+    is an error.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siteledger.local.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siteledger-")
         spark.conf.set("siteledger.local.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -21,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns, each computed once a row: the optimiser does not copy them into what uses them.
+
+    Nested conditions that are used many times would otherwise multiply the plan.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
     """The same rows; a row for which ``bad`` holds fails the job.
 
@@ -38,12 +52,13 @@ def first_of(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataF
     return best.select(*keys, *[F.col("row")[c].alias(c) for c in rest])
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str, buckets: int | None = None) -> DataFrame:
     """Adds a dense 0-based number in the given order without one task for all rows.
 
     Rows are dealt into ranges of the order; within a range they are numbered by a window, and each range starts
-    after the counts of those before it (one row a range).
+    after the counts of those before it (one row a range). buckets: as many as shuffle partitions if not given.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = written(df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id()), "ranked")
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import urls
 from siteledger.functions.text import compact
-from siteledger.operators.common import ranked, require, written
+from siteledger.operators.common import bound, ranked, require, written
 
 LINK_KINDS = ("raw-link", "dom-link", "selected-link")
+# Fixed value: what a path to general information begins with.
+INFORMATION = ("about", "contact", "kontak", "dostav", "oplata", "garant", "instruction", "instruk", "document", "support", "news", "novosti", "article")
 CONTEXT = ["kind", "input_id", "html_sha256", "source_url", "observed_at", "base_url", "role"]
 
 
@@ -40,7 +42,7 @@ def with_identity(witnesses: DataFrame) -> DataFrame:
     """Adds queue_key, id, url, origin and request_target; what cannot be resolved keeps a key of its own."""
     spaced = F.trim("raw_reference") != F.col("raw_reference")
     absolute = F.when(spaced | (F.col("raw_reference") == ""), F.lit(None).cast("string")).otherwise(urls.resolve(F.col("raw_reference"), F.col("base_url")))
-    rows = witnesses.withColumn("_id", urls.identity(absolute))
+    rows = bound(bound(witnesses, _absolute=absolute), _id=urls.identity(F.col("_absolute")))
     unresolved = F.concat(F.lit("unresolved:"), F.to_json(F.array("raw_reference", "base_url")))
     key = F.coalesce(F.concat(F.lit("url:"), F.col("_id.crawl_key")), unresolved)
     return rows.select(*witnesses.columns, key.alias("queue_key"), F.sha2(key, 256).alias("id"), F.col("_id.crawl_key").alias("url"), F.col("_id.origin").alias("origin"), F.col("_id.request_target").alias("request_target"))
@@ -75,7 +77,8 @@ def queue(witnesses: DataFrame, observations: DataFrame, source_origin: str | Co
     that the witnesses of a menu link are never gathered.
     """
     kind, role = F.col("kind"), F.col("role")
-    deduped = witnesses.dropDuplicates(["queue_key", "kind", "source_url", "raw_reference", "label", "role", "observed_at", "html_sha256"])
+    # Written, so that pages are parsed once: entries and pending navigation both read it.
+    deduped = written(witnesses.dropDuplicates(["queue_key", "kind", "source_url", "raw_reference", "label", "role", "observed_at", "html_sha256"]), "witnesses")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     entries = deduped.groupBy("queue_key").agg(
         F.first("id").alias("id"),
@@ -98,15 +101,16 @@ def queue(witnesses: DataFrame, observations: DataFrame, source_origin: str | Co
 
 
 def classify(rows: DataFrame, source_origin: str | Column) -> DataFrame:
-    target, path = F.col("request_target"), urls.path_of(F.col("request_target"))
-    decoded = urls.decode_path(path)
-    shown = F.coalesce(decoded, path)
+    target = F.col("request_target")
+    rows = bound(rows, _path=urls.path_of(target))
+    rows = bound(rows, _decoded=urls.decode_path(F.col("_path")), _acts=urls.acts(target))
+    path, decoded, shown = F.col("_path"), F.col("_decoded"), F.coalesce("_decoded", "_path")
     origin = F.lit(source_origin) if isinstance(source_origin, str) else source_origin
     first = (
         F.when(F.col("url").isNull(), "INVALID_URL_REVIEW")
         .when(F.col("origin") != origin, "FOREIGN_ORIGIN_REVIEW")
         .when(shown.rlike(urls.PROTECTED_PATH), "PROTECTED_REVIEW")
-        .when(shown.rlike(urls.ACTION_PATH) | urls.acts(target) | F.col("controls"), "SOURCE_ACTION_REVIEW")
+        .when(shown.rlike(urls.ACTION_PATH) | F.col("_acts") | F.col("controls"), "SOURCE_ACTION_REVIEW")
         .when(path.rlike(r"(?i)\.pdf$"), "DOCUMENT_REVIEW")
         .when(path.rlike(urls.RESOURCE), "MEDIA_REVIEW")
         .when(F.col("only_fragments"), "FRAGMENT_REVIEW")
@@ -114,9 +118,10 @@ def classify(rows: DataFrame, source_origin: str | Column) -> DataFrame:
         .when(target.contains("?"), "QUERY_VARIANT_REVIEW")
         .otherwise("CONTENT_CANDIDATE")
     )
-    rows = rows.withColumn("first_class", first)
+    rows = bound(rows, first_class=first)
     pending = F.coalesce("pending", F.lit(False)) & F.col("first_class").isin("CONTENT_CANDIDATE", "QUERY_VARIANT_REVIEW", "UNWITNESSED_INVENTORY_REVIEW")
-    rows = rows.withColumn("classification", F.when(pending, "HTTP_NAVIGATION_UNVERIFIED").otherwise(F.col("first_class")))
+    rows = bound(rows, classification=F.when(pending, "HTTP_NAVIGATION_UNVERIFIED").otherwise(F.col("first_class")), _pending=pending)
+    pending = F.col("_pending")
     seen = F.col("observation_status")
     status = F.when(F.col("classification") == "HTTP_NAVIGATION_UNVERIFIED", "REVIEW_REQUIRED").when(seen == "DOM_OBSERVED", "ALREADY_OBSERVED").when((F.col("classification") == "CONTENT_CANDIDATE") & seen.isNull(), "OUTSTANDING").otherwise("REVIEW_REQUIRED")
     reasons = compact(
@@ -125,10 +130,12 @@ def classify(rows: DataFrame, source_origin: str | Column) -> DataFrame:
         F.when(seen.isin("ACCESS_CHALLENGE", "DOCUMENT_MISMATCH", "SELECTED_FIELDS_ONLY"), seen),
         F.when(pending, F.lit("HTTP_NAVIGATION_UNVERIFIED")),
     )
-    info = target.rlike(r"(?i)(?:^|/)(?:about|contact|kontak|dostav|oplata|garant|instruction|instruk|document|support|news|novosti|article)")
+    info = target.rlike(rf"(?i)(?:^|/)(?:{urls.alternatives(INFORMATION)})")
     priority = F.when(F.col("in_navigation"), 10).when(F.col("in_heading"), 20).when(F.coalesce(info, F.lit(False)), 30).when(F.size(F.split(F.coalesce(target, F.lit("")), "/")) > 2, 40).otherwise(50)
+    rows = bound(rows, priority=priority, queue_status=status)
+    priority = F.col("priority")
     because = F.element_at(F.create_map(*[F.lit(x) for kv in {10: "navigation", 20: "heading", 30: "information path", 40: "nested path", 50: "ordinary link"}.items() for x in kv]), priority)
-    return rows.select("queue_key", "id", "url", "origin", "request_target", "classification", status.alias("queue_status"), F.coalesce(seen, F.lit("NOT_OBSERVED")).alias("observation_status"), priority.alias("priority"), because.alias("priority_reason"), reasons.alias("review_reasons"), "witnesses", "representative", "first_link")
+    return rows.select("queue_key", "id", "url", "origin", "request_target", "classification", "queue_status", F.coalesce(seen, F.lit("NOT_OBSERVED")).alias("observation_status"), "priority", because.alias("priority_reason"), reasons.alias("review_reasons"), "witnesses", "representative", "first_link")
 
 
 def next_batch(entries: DataFrame, n: int = 50) -> DataFrame:
@@ -153,6 +160,7 @@ def within_budget(entries: DataFrame, limit: int, what: str = "entries") -> Data
 
 def encode_witnesses(witnesses: DataFrame, context: list[str] = CONTEXT) -> tuple[DataFrame, DataFrame]:
     """(contexts, witnesses): distinct contexts get a dense number in sorted order, witnesses keep the number."""
+    witnesses = written(witnesses, "witnesses")  # read three times below
     contexts = ranked(witnesses.select(*context).distinct(), [F.col(c).asc_nulls_first() for c in context], "context")
     contexts = written(contexts, "contexts")
     right = contexts.select(*[F.col(c).alias(f"_{c}") for c in context], "context")

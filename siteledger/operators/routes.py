@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from siteledger.functions import urls
 from siteledger.operators.common import first_of, ranked, require
 
-# Fixed value: path roots that the target keeps for itself.
-RESERVED = r"(?i)^/(?:bitrix|local|upload|api|upgrade)(?:/|$)"
+#: Path roots that a target keeps for itself; callers add those of their own target.
+RESERVED = ("local", "upload", "api")
 SUPPORTED_STATUS = (200, 301, 302, 307, 308, 404, 410)
 
 
@@ -20,7 +20,7 @@ def _relative_to(url: Column, origin: Column, prefix: Column | None = None) -> C
     return F.when(me["origin"] == origin, own).otherwise(me["crawl_key"])
 
 
-def plan(ledger: DataFrame, entities: DataFrame, physical_paths: DataFrame | None = None, demo_origin: str = "") -> DataFrame:
+def plan(ledger: DataFrame, entities: DataFrame, physical_paths: DataFrame | None = None, demo_origin: str = "", reserved_roots: tuple[str, ...] = RESERVED) -> DataFrame:
     """One row for each ledger row with its outcome (exclusion, unresolved, conflict, route) and, for routes, the route.
 
     ledger: crawl_key, origin, request_target, status, http_status, reason, redirect_location, canonical_url.
@@ -35,7 +35,7 @@ def plan(ledger: DataFrame, entities: DataFrame, physical_paths: DataFrame | Non
         taken = physical_paths.select(F.col("path").alias("_path")).distinct().withColumn("_taken", F.lit(True))
         rows = rows.withColumn("_own_path", path).join(taken, F.col("_own_path") == F.col("_path"), "left")
         physical = F.coalesce("_taken", F.lit(False))
-    reserved = F.coalesce(urls.decode_path(path), path).rlike(RESERVED)
+    reserved = F.coalesce(urls.decode_path(path), path).rlike(rf"(?i)^/(?:{urls.alternatives(reserved_roots)})(?:/|$)")
     outcome = (
         F.when(F.col("status") == "EXCLUDED", "exclusion")
         .when(~F.col("status").isin("FETCHED", "RENDERED") | F.col("http_status").isNull(), "unresolved")

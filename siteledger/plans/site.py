@@ -27,15 +27,19 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def pages(spark: SparkSession, d: str, parse: bool = True) -> DataFrame:
-    """page_id, url and the parse; the capture time is derived from the id."""
+def pages(spark: SparkSession, d: str, parse: bool = True, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """page_id, url and the parse (all of it or some fields); the capture time is derived from the id."""
     p = t(spark, d, "pages").withColumn("observed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")))
     p = p.withColumn("html_sha256", F.sha2(F.col("html").cast("binary"), 256))
-    return html.parsed(p) if parse else p
+    if not parse:
+        return p
+    # A parse takes far longer than sending its page: a scan of few splits is dealt over all cores.
+    cores = spark.sparkContext.defaultParallelism
+    return html.parsed(p.repartition(cores) if p.rdd.getNumPartitions() < cores else p, fields=fields)
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    p = pages(spark, d).select("page_id", "url", F.explode("parse.links").alias("l"))
+    p = pages(spark, d, fields=("links",)).select("page_id", "url", F.explode("parse.links").alias("l"))
     return p.select("page_id", "url", F.col("l.ord").alias("ord"), F.col("l.href").alias("href"), F.col("l.label").alias("label"), urls.resolve(F.col("l.href"), F.col("url")).alias("absolute"))
 
 
@@ -83,7 +87,7 @@ def u6_target_errors(spark, d):
     return links(spark, d).select("page_id", F.col("ord").cast("long").alias("ord"), urls.target_error(urls.identity(F.col("absolute"))["request_target"]).alias("error"))
 
 
-SAFE = "regexp_matches(url_decode(request_target), '(?i)(^|/)(cart|checkout|payment|payments|order|orders|wishlist|compare|api|add|remove|delete|admin|bitrix|local|login|logout|register|account)([/.]|$)')"
+SAFE = "regexp_matches(url_decode(request_target), '(?i)(^|/)(cart|checkout|payment|payments|order|orders|wishlist|compare|api|add|remove|delete|admin|local|login|logout|register|account)([/.]|$)')"
 
 
 @query(f"WITH {TARGETS} SELECT page_id, ord, CASE WHEN NOT {SAFE} THEN request_target END AS target FROM targets")
@@ -194,12 +198,12 @@ def r8_content_dedup(spark, d):
 
 
 def _queue(spark, d):
-    p = pages(spark, d)
-    own = p.select(F.lit("capture-inventory").alias("kind"), F.lit("pages").alias("input_id"), F.lit(None).cast("string").alias("html_sha256"), F.col("url").alias("source_url"), F.lit(None).cast("timestamp").alias("observed_at"), F.lit("inventory").alias("locator"), F.col("url").alias("raw_reference"), F.lit(None).cast("string").alias("base_url"), F.lit("").alias("label"), F.lit("other").alias("role"), F.lit(False).alias("action_control"), F.lit(False).alias("fragment_only"))
+    p, plain = pages(spark, d, fields=("base", "links")), pages(spark, d, False)
+    own = plain.select(F.lit("capture-inventory").alias("kind"), F.lit("pages").alias("input_id"), F.lit(None).cast("string").alias("html_sha256"), F.col("url").alias("source_url"), F.lit(None).cast("timestamp").alias("observed_at"), F.lit("inventory").alias("locator"), F.col("url").alias("raw_reference"), F.lit(None).cast("string").alias("base_url"), F.lit("").alias("label"), F.lit("other").alias("role"), F.lit(False).alias("action_control"), F.lit(False).alias("fragment_only"))
     witnesses = queue.with_identity(queue.link_witnesses(p).unionByName(own))
     key = urls.identity(F.col("url"))["crawl_key"]
     # Every fourth page has been looked at; the others are outstanding.
-    seen = p.filter("page_id % 4 = 0").select(F.lit("pages").alias("input_id"), key.alias("source_url"), key.alias("document_url"), "observed_at", F.col("html_sha256").alias("snapshot_sha256"), F.lit("DOM_OBSERVED").alias("status"))
+    seen = plain.filter("page_id % 4 = 0").select(F.lit("pages").alias("input_id"), key.alias("source_url"), key.alias("document_url"), "observed_at", F.col("html_sha256").alias("snapshot_sha256"), F.lit("DOM_OBSERVED").alias("status"))
     return queue.queue(witnesses, seen, F.col("origin"))
 
 
@@ -209,7 +213,7 @@ QUEUE = (
     w AS (SELECT origin || request_target AS url, request_target, true AS linked FROM targets UNION ALL SELECT origin || request_target, request_target, false FROM ids),
     e AS (SELECT url, min(request_target) AS request_target, bool_or(linked) AS linked FROM w GROUP BY url),
     c AS (SELECT e.url, e.request_target, linked, s.url IS NOT NULL AS observed, CASE
-        WHEN regexp_matches(url_decode(split_part(request_target, '?', 1)), '(?i)(^|/)(admin|bitrix|local|login|logout|register|account|auth|private)([/.]|$)') THEN 'PROTECTED_REVIEW'
+        WHEN regexp_matches(url_decode(split_part(request_target, '?', 1)), '(?i)(^|/)(admin|local|login|logout|register|account|auth|private)([/.]|$)') THEN 'PROTECTED_REVIEW'
         WHEN regexp_matches(url_decode(split_part(request_target, '?', 1)), '(?i)(^|/)(cart|checkout|payment|payments|order|orders|wishlist|compare|api|add|remove|delete|\\.write_feed)([/.]|$)') THEN 'SOURCE_ACTION_REVIEW'
         WHEN NOT linked AND s.url IS NULL THEN 'UNWITNESSED_INVENTORY_REVIEW'
         WHEN contains(request_target, '?') THEN 'QUERY_VARIANT_REVIEW' ELSE 'CONTENT_CANDIDATE' END AS classification FROM e LEFT JOIN seen s ON e.url = s.url),
@@ -235,7 +239,7 @@ def a3_queue_summary(spark, d):
 
 @query(f"WITH {HREFS} SELECT count(*) AS witnesses, count(DISTINCT page_id) AS contexts FROM (SELECT DISTINCT page_id, href, ord FROM hrefs)")
 def s8_encoded_witnesses(spark, d):
-    contexts, encoded = queue.encode_witnesses(queue.link_witnesses(pages(spark, d)))
+    contexts, encoded = queue.encode_witnesses(queue.link_witnesses(pages(spark, d, fields=("base", "links"))))
     back = queue.decode_witnesses(contexts, encoded)
     return back.agg(F.count("*").alias("witnesses")).join(F.broadcast(contexts.agg(F.count("*").alias("contexts"))))
 

@@ -245,8 +245,9 @@ def _srcset(value: str) -> list[str]:
     return [part.split()[0] for part in value.split(",") if part.split()]
 
 
-def parse(html: str | None) -> dict:
-    """A value for each of FIELDS."""
+def parse(html: str | None, fields: tuple[str, ...] | None = None) -> dict:
+    """A value for each of FIELDS, or of the given ones: what none of them needs is not worked out."""
+    wanted = set(fields or FIELDS)
     root = tree(html or "")
     nodes = list(root.walk())
     first = lambda it: next(iter(it), None)
@@ -273,11 +274,12 @@ def parse(html: str | None) -> dict:
         if "url(" in n.attrs.get("style", ""):
             media.extend(m.strip("'\" ") for m in re.findall(r"url\(([^)]*)\)", n.attrs["style"]))
     headings = [n for n in nodes if re.fullmatch("h[1-6]", n.tag)]
-    name, region = _primary(nodes, body)
+    name, region = _primary(nodes, body) if wanted & {"primary", "blocks", "text"} else (None, body)
     forms = [n for n in nodes if n.tag == "form"]
     scripts = ["".join(c for c in n.children if isinstance(c, str)).strip() for n in _own(nodes, "script", type="application/ld+json")]
-    prices, attributes, selections, cards = _commerce(nodes)
-    return {
+    prices, attributes, selections, cards = _commerce(nodes) if wanted & {"prices", "attributes", "selections", "cards"} else ([], [], [], [])
+    blocks = _blocks(region, name == "body") if "blocks" in wanted else []
+    found = {
         "title": title.text() if title else None,
         "description": meta("description"),
         "canonical": canonical,
@@ -290,10 +292,10 @@ def parse(html: str | None) -> dict:
         "anchors": [v for n in nodes for v in (n.attrs.get("id") or (n.attrs.get("name") if n.tag == "a" else None),) if v],
         "headings": [{"ord": k, "level": int(n.tag[1]), "text": n.text()} for k, n in enumerate(headings)],
         "structured_data": scripts,
-        "ld": jsonld.nodes(scripts),
+        "ld": jsonld.nodes(scripts) if "ld" in wanted else [],
         "primary": name,
-        "blocks": _blocks(region, name == "body"),
-        "text": region.text(),
+        "blocks": blocks,
+        "text": region.text() if "text" in wanted else None,
         "forms": len(forms),
         "search_forms": sum(1 for f in forms if f.attrs.get("role") == "search" or any(n.tag == "input" and (n.attrs.get("type") == "search" or n.attrs.get("name") in ("q", "s", "query", "search")) for n in f.walk())),
         "cart_controls": sum(1 for n in nodes if n.tag in ("button", "a", "form") and re.search(r"\bcart\b|basket|add-to", n.attrs.get("class", "") + " " + n.attrs.get("action", ""), re.I)),
@@ -303,6 +305,7 @@ def parse(html: str | None) -> dict:
         "selections": selections,
         "cards": cards,
     }
+    return {k: v for k, v in found.items() if k in wanted}
 
 
 def _commerce(nodes: list[Node]) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
@@ -337,11 +340,13 @@ def _commerce(nodes: list[Node]) -> tuple[list[dict], list[dict], list[dict], li
     return prices, attributes, selections, cards
 
 
-def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The pages' other columns and a struct column ``parse``; the HTML itself is dropped, so later shuffles do not carry it."""
+def parsed(pages: DataFrame, html: str = "html", fields: tuple[str, ...] | None = None) -> DataFrame:
+    """The pages' other columns and a struct column ``parse``; the HTML itself is dropped, so later shuffles do not carry it.
 
+    fields: those of FIELDS that are wanted; others cost nothing.
+    """
     keep = [c for c in pages.columns if c != html]
-    kind = T.StructType.fromDDL(",".join(f"{k}:{v}" for k, v in FIELDS.items()))
+    kind = T.StructType.fromDDL(",".join(f"{k}:{v}" for k, v in FIELDS.items() if not fields or k in fields))
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("parse", kind)])
     arrow = to_arrow_schema(kind)
 
@@ -349,7 +354,7 @@ def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # parses are larger than their rows
                 part = batch.slice(at, 256)
-                structs = pa.array([parse(t) for t in part.column(len(keep)).to_pylist()], pa.struct(list(arrow)))
+                structs = pa.array([parse(t, fields) for t in part.column(len(keep)).to_pylist()], pa.struct(list(arrow)))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), structs], [*keep, "parse"])
 
     return pages.select(*keep, F.col(html).cast("string").alias(html)).mapInArrow(run, schema)

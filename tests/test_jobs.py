@@ -72,7 +72,7 @@ def test_discovery_sitemaps_and_redirects(spark):
 
 
 def test_route_plans_and_defects(spark):
-    ledger = spark.createDataFrame([("k1", O, "/a?b=1", "FETCHED", 200, None, None, f"{O}/c"), ("k2", O, "/b", "FETCHED", 200, None, None, None), ("k3", O, "/%62itrix/x", "FETCHED", 200, None, None, None), ("k4", O, "/old", "FETCHED", 301, None, f"{O}/new", None), ("k5", O, "/x", "EXCLUDED", None, None, None, None), ("k6", O, "/y", "FAILED", None, "timeout", None, None), ("k7", O, "/file", "FETCHED", 404, None, None, None), ("k8", O, "/gone", "RENDERED", 404, None, None, None)], "crawl_key string, origin string, request_target string, status string, http_status int, reason string, redirect_location string, canonical_url string")
+    ledger = spark.createDataFrame([("k1", O, "/a?b=1", "FETCHED", 200, None, None, f"{O}/c"), ("k2", O, "/b", "FETCHED", 200, None, None, None), ("k3", O, "/%75pload/x", "FETCHED", 200, None, None, None), ("k4", O, "/old", "FETCHED", 301, None, f"{O}/new", None), ("k5", O, "/x", "EXCLUDED", None, None, None, None), ("k6", O, "/y", "FAILED", None, "timeout", None, None), ("k7", O, "/file", "FETCHED", 404, None, None, None), ("k8", O, "/gone", "RENDERED", 404, None, None, None)], "crawl_key string, origin string, request_target string, status string, http_status int, reason string, redirect_location string, canonical_url string")
     entities = spark.createDataFrame([("k1", "e1", "text"), ("k1", "e0", "text")], "source_url string, source_id string, page_type string")
     got = {r.crawl_key: (r.outcome, r.reason, r.redirect_to, r.page_type, r.canonical_url) for r in routes.plan(ledger, entities, spark.createDataFrame([("/file",)], "path string"), "https://demo").collect()}
     assert got == {"k1": ("route", None, None, "text", "https://demo/c"), "k2": ("unresolved", "NO_ENTITY", None, None, None), "k3": ("conflict", "RESERVED_OR_PHYSICAL_PATH", None, None, None), "k4": ("route", None, "/new", "redirect", None), "k5": ("exclusion", "Excluded", None, None, None), "k6": ("unresolved", "timeout", None, None, None), "k7": ("conflict", "RESERVED_OR_PHYSICAL_PATH", None, None, None), "k8": ("route", None, None, "not-found", None)}
