@@ -113,19 +113,32 @@ MUTATION = ["idempotency_key", "action", "item_id", "variant_id", "line_id", "qu
 
 
 def fold(mutations: DataFrame) -> DataFrame:
-    """The carts that an ordered mutation log leaves. A group is one session, which its caps bound; the rows of the log
-    beyond the operation cap have no effect, so each session's group is cut to distinct keys in the tasks.
+    """The carts that an ordered mutation log leaves.
 
+    Sessions are dealt by their key and sorted on disk where memory does not do; a task reads its rows batch by batch
+    and holds one session's cart and operations, which their caps bound, however long the session's log is.
     mutations: session, seq, and the columns of MUTATION (quantities scaled, policies joined on before).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").astype(object).where(lambda d: d.notna(), None)
-        cart, _, _ = fold_session(pdf[MUTATION].itertuples(index=False, name=None))
-        session = pdf["session"].iloc[0]
-        return pd.DataFrame([(session, line, *v) for line, v in cart.items()], columns=["session", "line_id", "item_id", "variant_id", "quantity"])
-
-    return mutations.select("session", "seq", *MUTATION).groupBy("session").applyInPandas(run, STATE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, cart, operations = None, {}, {}
+
+        def left() -> pd.DataFrame:
+            return pd.DataFrame([(session, line, *v) for line, v in cart.items()], columns=["session", "line_id", "item_id", "variant_id", "quantity"])
+
+        for pdf in batches:
+            pdf = pdf.astype(object).where(lambda d: d.notna(), None)
+            starts = [0, *(k for k in range(1, len(pdf)) if pdf["session"].iat[k] != pdf["session"].iat[k - 1]), len(pdf)]
+            for low, high in zip(starts, starts[1:], strict=False):
+                part = pdf.iloc[low:high]
+                if part["session"].iat[0] != session:
+                    yield left()
+                    session, cart, operations = part["session"].iat[0], {}, {}
+                cart, operations, _ = fold_session(part[MUTATION].itertuples(index=False, name=None), cart, operations)
+        yield left()
+
+    dealt = mutations.select("session", "seq", *MUTATION).repartition("session").sortWithinPartitions("session", "seq", "idempotency_key")
+    return dealt.mapInPandas(run, STATE)
 
 
 def idempotency_outcomes(operations: DataFrame) -> DataFrame:

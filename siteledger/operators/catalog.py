@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions import urls
 from siteledger.functions.money import scaled
 from siteledger.functions.text import compact, trim_wide
 
-REQUIRED_FIELDS = {"Product": ("name", "sku", "price"), "Article": ("title", "text"), "Service": ("title", "text"), "Page": ("title",)}
+# The fields that each type of entity must have.
+REQUIRED_FIELDS = {
+    "Page": ("source_id", "source_url", "title", "blocks", "seo", "evidence"),
+    "Product": ("source_id", "source_url", "title", "evidence"),
+    "Article": ("source_id", "source_url", "title", "blocks", "evidence"),
+    "Service": ("source_id", "source_url", "title", "blocks", "evidence"),
+}
+# Fixed value: a label with one of these advertises something and names no category.
+PROMOTION = r"(?i)купить|корзин|руб[ .]|₽|подробнее|акци|скидк|логотип"
 
 
 def unique_facts(candidates: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -44,31 +53,35 @@ def long_facts(wide: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def purchase_rule(prices: DataFrame) -> DataFrame:
-    """owner, price_id, blockers. prices: owner, id, role, minor, currency, unit, conditions, eligible, min_quantity, quantity_step, max_quantity, selection_required.
+    """owner, price_id, blockers: whether an owner's prices and quantities allow an exact total.
 
-    Quantities are scaled integers. Blockers keep their order.
+    prices: owner, ord, id, role, status, minor, currency, unit, conditions, eligible (the price allows totals),
+    min_quantity, quantity_step, max_quantity (scaled integers, null if unknown), max_given, selection_required.
+    Observed current prices with money are in one group if money, unit and conditions are equal; one group chooses
+    its first price. Blockers keep their order.
     """
-    group = F.struct("minor", "currency", "unit", "conditions")
-    eligible = F.col("eligible") & (F.col("role") == "CURRENT")
+    current = (F.col("role") == "CURRENT") & (F.col("status") == "OBSERVED") & F.col("minor").isNotNull()
+    group = F.to_json(F.struct("minor", "currency", "unit", "conditions"), {"ignoreNullFields": "false"})
     agg = prices.groupBy("owner").agg(
-        F.count_distinct(F.when(eligible, F.concat_ws("|", F.col("minor"), "currency", "unit"))).alias("groups"),
-        F.min(F.when(eligible, F.struct(group, F.col("id")))).alias("best"),
-        F.bool_or(~eligible & (F.col("role") == "CURRENT")).alias("unresolved"),
+        F.count_distinct(F.when(current, group)).alias("groups"),
+        F.min(F.when(current, F.struct("ord", "id", "eligible"))).alias("first"),
         F.max("min_quantity").alias("lo"),
         F.max("quantity_step").alias("step"),
         F.max("max_quantity").alias("hi"),
+        F.bool_or("max_given").alias("given"),
         F.bool_or("selection_required").alias("choose"),
     )
+    chosen = F.col("groups") == 1
     blockers = compact(
-        F.when(F.col("groups") > 1, F.lit("AMBIGUOUS_CURRENT_PRICE")),
-        F.when((F.col("groups") == 0) | F.col("unresolved"), F.lit("PRICE_UNRESOLVED")),
+        F.when(F.col("groups") > 1, F.lit("AMBIGUOUS_CURRENT_PRICE")).when(F.col("groups") == 0, F.lit("CURRENT_EXACT_PRICE_UNKNOWN")),
+        F.when(chosen & ~F.coalesce("first.eligible", F.lit(False)), F.lit("PRICE_UNIT_CURRENCY_OR_CONDITIONS_UNRESOLVED")),
         F.when(F.col("lo").isNull(), F.lit("MIN_QUANTITY_UNKNOWN")),
         F.when(F.col("step").isNull(), F.lit("QUANTITY_STEP_UNKNOWN")),
         F.when(F.col("choose"), F.lit("VARIANT_SELECTION_REQUIRED")),
-        F.when(F.col("hi") <= 0, F.lit("MAX_QUANTITY_INVALID")),
-        F.when(F.col("hi") < F.col("lo"), F.lit("QUANTITY_RANGE_INCONSISTENT")),
+        F.when(F.col("given") & F.col("hi").isNull(), F.lit("INVALID_MAX_QUANTITY")),
+        F.when(F.col("lo") > F.col("hi"), F.lit("INCONSISTENT_QUANTITY_RANGE")),
     )
-    return agg.select("owner", F.when(F.col("groups") == 1, F.col("best.id")).alias("price_id"), blockers.alias("blockers"))
+    return agg.select("owner", F.when(chosen, F.col("first.id")).alias("price_id"), blockers.alias("blockers"))
 
 
 def exact_price_blockers(p: Column, purchase: Column, source_url: Column) -> Column:
@@ -105,23 +118,46 @@ def items(entities: DataFrame, commerce: DataFrame, routes: DataFrame, blocks: D
     return joined.withColumn("body_text", F.coalesce("body_text", F.lit("")))
 
 
-def tiles(links: DataFrame, promo: tuple[str, ...] = ("sale", "new", "акция", "новинка"), most: int = 40) -> DataFrame:
-    """Category tiles of each page: named linked images of one origin; a tile below another tile's path is dropped.
+def tiles(links: DataFrame, most: int = 40) -> DataFrame:
+    """Category tiles of each page: named linked images of the page's own origin, none below another tile's path.
 
-    The prefix test is an equi-join: each target is expanded to its path prefixes. links: page, ord, label, target.
+    links: page, page_url, ord, label, url (absolute), image (absolute, null without one). A label has 3 to 75
+    characters and does not advertise; of equal URLs the first counts. The prefix test is an equi-join: each URL is
+    expanded to what stands before each of its slashes.
     """
     from pyspark.sql import Window
 
-    fine = links.filter(F.length("label").between(3, 75) & ~F.lower("label").isin(*promo) & F.col("target").isNotNull())
-    firsts = fine.groupBy("page", "target").agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
-    parts = F.split(F.regexp_replace("target", "/$", ""), "/")
-    prefixes = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))).otherwise(F.array().cast("array<string>"))
-    below = firsts.select("page", "target", F.explode(prefixes).alias("prefix"))
-    roots = firsts.select("page", F.regexp_replace("target", "/$", "").alias("prefix")).distinct()
-    kept = firsts.join(below.join(roots, ["page", "prefix"], "left_semi").select("page", "target").distinct(), ["page", "target"], "left_anti")
+    http = r"(?i)^https?://"
+    own = F.coalesce((urls.origin_of(F.col("url")) == urls.origin_of(F.col("page_url"))) & (F.col("url") != F.col("page_url")), F.lit(False))
+    fine = links.filter(own & F.coalesce(F.col("image").rlike(http), F.lit(False)) & F.length("label").between(3, 75) & ~F.col("label").rlike(PROMOTION))
+    firsts = fine.groupBy("page", "url").agg(F.min_by(F.struct("label", "image"), "ord").alias("first"), F.min("ord").alias("ord"))
+    parts = F.split("url", "/")  # scheme, nothing, host, ...
+    before = F.when(F.size(parts) > 3, F.transform(F.sequence(F.lit(3), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))).otherwise(F.array().cast("array<string>"))
+    below = firsts.select("page", "url", F.explode(before).alias("prefix"))
+    roots = firsts.select("page", F.regexp_replace("url", "/$", "").alias("prefix"), F.col("url").alias("root"))
+    under = below.join(roots, ["page", "prefix"]).filter("url != root").select("page", "url").distinct()
+    kept = firsts.join(under, ["page", "url"], "left_anti").select("page", "ord", "first.label", "url", "first.image")
     return kept.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("ord"))).filter(F.col("n") <= most)
 
 
+def tile_issues(pages: DataFrame, tiles_: DataFrame, shown: DataFrame) -> DataFrame:
+    """page, issue: a page that promises a catalog but has under three tiles, and tiles that the built page lost.
+
+    pages: page, catalog_expected. tiles_: page, url. shown: page, url, has_image of the cards that were built.
+    """
+    found = tiles_.groupBy("page").agg(F.count("*").alias("tiles"))
+    lost = tiles_.select("page", "url").join(shown.select("page", "url"), ["page", "url"], "left_anti").select("page").distinct().withColumn("lost", F.lit(True))
+    images = shown.groupBy("page").agg(F.count_if("has_image").alias("images"))
+    rows = pages.join(found, "page", "left").join(lost, "page", "left").join(images, "page", "left")
+    n = F.coalesce("tiles", F.lit(0))
+    issues = compact(
+        F.when(F.col("catalog_expected") & (n < 3), F.lit("HTML_CATALOG_STRUCTURE_MISSING")),
+        F.when(F.coalesce("lost", F.lit(False)), F.lit("CATALOG_COVERAGE_LOST")),
+        F.when(F.coalesce("images", F.lit(0)) < F.least(n, F.lit(3)), F.lit("CATALOG_IMAGES_MISSING")),
+    )
+    return rows.select("page", F.explode(issues).alias("issue"))
+
+
 def coverage(entities: DataFrame, facts: DataFrame, required: dict[str, tuple[str, ...]] = REQUIRED_FIELDS) -> DataFrame:
     """type, name, entities, observed: how many entities of a type have each field that the type requires."""
     pairs = F.create_map(*[x for k, names in required.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])

@@ -12,13 +12,19 @@ ACCEPTED = ("FETCHED", "RENDERED")
 
 
 def page_registry(references: DataFrame) -> DataFrame:
-    """One row for each crawl_key: first raw spelling, sorted distinct sources, count of references.
+    """One row for each crawl_key: first raw spelling, counts of references and of distinct sources.
 
-    references: crawl_key, raw_url, discovered_from, ord. Distinct sources are combined before they are collected.
+    references: crawl_key, raw_url, discovered_from, ord. A menu link has a whole site as its sources, so these are
+    counted here and listed, one row each, by page_sources.
     """
+    counts = page_sources(references).groupBy("crawl_key").agg(F.count("*").alias("sources"))
     firsts = references.groupBy("crawl_key").agg(F.min_by("raw_url", F.struct("ord", "raw_url")).alias("raw_url"), F.count("*").alias("references"))
-    sources = references.select("crawl_key", "discovered_from").distinct().groupBy("crawl_key").agg(F.array_sort(F.collect_list("discovered_from")).alias("discovered_from"))
-    return firsts.join(sources, "crawl_key")
+    return firsts.join(counts, "crawl_key")
+
+
+def page_sources(references: DataFrame) -> DataFrame:
+    """crawl_key, discovered_from: one row for each page that refers to a key."""
+    return references.select("crawl_key", "discovered_from").distinct()
 
 
 def asset_registry(references: DataFrame, origin: str | None = None) -> DataFrame:
@@ -73,17 +79,22 @@ OBSERVATION_RANK = {"UNOBSERVED": 0, "SELECTED_FIELDS": 1, "DOM": 2}
 
 
 def capture_inventory(rows: DataFrame) -> DataFrame:
-    """crawl_key, raw_urls, discovered_from, observation: the union of all ways a URL came in; the best observation counts.
+    """crawl_key, spellings, sources, observation: counts of all ways a URL came in; the best observation counts.
 
-    rows: crawl_key, raw_url, source, observation (null for mere mentions).
+    rows: crawl_key, raw_url, source, observation (null for mere mentions). The ways themselves are capture_ways.
     """
     ranks = F.create_map(*[F.lit(x) for kv in OBSERVATION_RANK.items() for x in kv])
     names = F.array(*[F.lit(n) for n in OBSERVATION_RANK])
     best = F.max(F.coalesce(F.try_element_at(ranks, F.col("observation")), F.lit(0)))
     facts = rows.groupBy("crawl_key").agg(best.alias("best"))
-    spelled = rows.select("crawl_key", "raw_url").distinct().groupBy("crawl_key").agg(F.array_sort(F.collect_list("raw_url")).alias("raw_urls"))
-    came = rows.select("crawl_key", "source").distinct().groupBy("crawl_key").agg(F.array_sort(F.collect_list("source")).alias("discovered_from"))
-    return facts.join(spelled, "crawl_key").join(came, "crawl_key").select("crawl_key", "raw_urls", "discovered_from", F.element_at(names, F.col("best") + 1).alias("observation"))
+    ways = capture_ways(rows).groupBy("crawl_key").agg(F.count_if(F.col("way") == "raw_url").alias("spellings"), F.count_if(F.col("way") == "source").alias("sources"))
+    return facts.join(ways, "crawl_key").select("crawl_key", "spellings", "sources", F.element_at(names, F.col("best") + 1).alias("observation"))
+
+
+def capture_ways(rows: DataFrame) -> DataFrame:
+    """crawl_key, way (raw_url or source), value: one row for each spelling and each source of a key."""
+    ways = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.col(c).alias("value")) for c in ("raw_url", "source")]))
+    return rows.select("crawl_key", ways.alias("w")).select("crawl_key", "w.*").filter("value is not null").distinct()
 
 
 def inherited(prior: DataFrame, current: DataFrame) -> DataFrame:
@@ -120,29 +131,33 @@ def combined_registry(crawl: DataFrame, captures: DataFrame) -> DataFrame:
     return both.select("crawl_key", F.col("status").alias("crawl_status"), F.coalesce("captures", F.lit(0)).alias("captures"), F.coalesce("verified_captures", F.lit(0)).alias("verified_captures"), "latest_capture", F.coalesce(F.col("latest_capture") < F.col("fetched_at"), F.lit(False)).alias("stale"))
 
 
-def discovery_closure(seeds: DataFrame, links: DataFrame, budget: int = 10_000, levels: int = 50) -> DataFrame:
-    """crawl_key, level of every page that links reach from the seeds, level by level, within the page budget.
+def discovery_closure(seeds: DataFrame, links: DataFrame, budget: int | None = 10_000) -> DataFrame:
+    """crawl_key, level of every page that links reach from the seeds, level by level, until none is new.
 
-    links: src, dst (already within the origin and allowed). A level that would exceed the budget is cut in key
-    order, which is what a budget is; rows beyond it are not visited.
+    links: src, dst (already within the origin and allowed). A level that would exceed the page budget is cut in key
+    order, which is what a budget is; None sets no budget. Each level joins its frontier only.
     """
-    visited = written(seeds.select("crawl_key").distinct().withColumn("level", F.lit(0)), "visited")
-    size, level = visited.count(), 0
+    frontier = written(seeds.select("crawl_key").distinct().withColumn("level", F.lit(0)), "frontier")
     edges = written(links.select("src", "dst").distinct(), "links")
-    while level < levels and size < budget:
-        frontier = visited.filter(F.col("level") == level)
-        fresh = edges.join(frontier, edges.src == frontier.crawl_key, "left_semi").select(F.col("dst").alias("crawl_key")).distinct().join(visited, "crawl_key", "left_anti")
-        fresh = written(fresh.orderBy("crawl_key").limit(budget - size).withColumn("level", F.lit(level + 1)), "frontier")
-        n = fresh.count()
+    visited, size, level = frontier, frontier.count(), 0
+    while budget is None or size < budget:
+        reached = edges.join(frontier, edges.src == frontier.crawl_key, "left_semi").select(F.col("dst").alias("crawl_key")).distinct()
+        fresh = reached.join(visited, "crawl_key", "left_anti")
+        if budget is not None:
+            fresh = fresh.orderBy("crawl_key").limit(budget - size)
+        frontier = written(fresh.withColumn("level", F.lit(level + 1)), "frontier")
+        n = frontier.count()
         if not n:
             break
-        visited = written(visited.unionByName(fresh), "visited")
-        size, level = size + n, level + 1
+        visited, size, level = visited.unionByName(frontier), size + n, level + 1
+        if level % 10 == 0:
+            visited = written(visited, "visited")
     return visited
 
 
-def expand_sitemaps(seeds: DataFrame, documents: DataFrame, levels: int = 10) -> DataFrame:
-    """url, kind (page or failed), discovered_from: indexes lead to nested sitemaps, urlsets to pages; each is read once.
+def expand_sitemaps(seeds: DataFrame, documents: DataFrame) -> DataFrame:
+    """url, kind (page or failed), discovered_from: indexes lead to nested sitemaps, urlsets to pages; each is read once,
+    so the levels end when no sitemap is new.
 
     seeds: url. documents: url, text. Read by pattern, since malformed XML must give a failed row.
     """
@@ -152,7 +167,7 @@ def expand_sitemaps(seeds: DataFrame, documents: DataFrame, levels: int = 10) ->
     docs = written(documents.select("url", kind.alias("kind"), unescaped.alias("locs")), "sitemaps")
     visited = written(seeds.select("url").distinct(), "visited")
     frontier, out = visited, None
-    for _ in range(levels):
+    while True:
         read = frontier.join(docs, "url", "left").withColumn("kind", F.coalesce("kind", F.lit("failed")))
         pages = read.filter("kind = 'urlset'").select(F.explode("locs").alias("page"), F.concat(F.lit("sitemap:"), F.col("url")).alias("discovered_from")).select(F.col("page").alias("url"), F.lit("page").alias("kind"), "discovered_from")
         failed = read.filter("kind = 'failed'").select("url", F.lit("failed").alias("kind"), F.lit(None).cast("string").alias("discovered_from"))

@@ -29,13 +29,17 @@ def bound_nodes(parsed: DataFrame, key: str = "url") -> DataFrame:
 
 
 def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
-    """Offers of the page-bound node: identity, kind (exact, from, range, unknown), price and limitations.
+    """Offers of the page-bound node: identity, kind (exact, from, range), price, conditions and limitations.
 
+    Only nodes of the types Offer and AggregateOffer count. An aggregate, or an offer that has a lowest price only, is
+    "from", and an aggregate with a highest price a range. What limits an offer (validity, customers, region, tax) is
+    a condition, spelled as a name and the JSON of its value.
     A nested identity (url, sku, offered item) that names something else than the owner is a limitation, and so is an
     identity that several offers share; such offers are kept for review.
     """
     owner = bound_nodes(parsed, key).join(parsed.select(key, F.col("url").alias("_page")).distinct() if key != "url" else parsed.select("url").distinct().withColumn("_page", F.col("url")), key)
     rows = owner.select(key, "_page", F.col("node.sku").alias("owner_sku"), F.posexplode("node.offers").alias("ord", "o"))
+    rows = rows.filter(F.arrays_overlap("o.types", F.array(F.lit("Offer"), F.lit("AggregateOffer"))))
     page = urls.identity(F.col("_page"))["crawl_key"]
     foreign = compact(
         F.when(F.col("o.url").isNotNull() & ~_own_key(F.col("o.url"), F.col("_page")).eqNullSafe(page), F.lit("OFFER_URL_FOREIGN")),
@@ -43,9 +47,11 @@ def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
         F.when(F.col("o.sku") != F.col("owner_sku"), F.lit("OFFER_SKU_FOREIGN")),
     )
     amount = F.coalesce("o.price", "o.low")
-    kind = F.when(F.col("o.high").isNotNull() & F.col("o.low").isNotNull(), "range").when(F.col("o.price").isNotNull(), "exact").when(F.col("o.low").isNotNull(), "from").otherwise("unknown")
+    aggregate = F.col("o.kind") == "AggregateOffer"
+    kind = F.when(aggregate & F.col("o.high").isNotNull(), "range").when(aggregate | (F.col("o.price").isNull() & F.col("o.low").isNotNull()), "from").otherwise("exact")
     identity = F.coalesce("o.id", "o.url", F.concat(F.lit("sku:"), F.col("o.sku")), F.concat(F.lit("ord:"), F.col("ord").cast("string")))
-    conditions = compact(F.when(F.col("o.region").isNotNull(), F.concat(F.lit("region: "), F.col("o.region"))), F.when(F.col("o.valid_until").isNotNull(), F.concat(F.lit("valid until: "), F.col("o.valid_until"))))
+    named = {"priceValidUntil": "valid_until", "eligibleCustomerType": "customer", "eligibleRegion": "region", "valueAddedTaxIncluded": "vat"}
+    conditions = compact(*[F.concat(F.lit(f"{name}: "), F.col(f"o.{c}")) for name, c in named.items()])
     out = rows.select(
         key,
         "ord",
@@ -70,7 +76,8 @@ def offer_prices(offer_rows: DataFrame, visible: DataFrame, key: str = "url") ->
     seen = visible.groupBy(key).agg(F.count_distinct("minor").alias("visible_amounts"), F.min("minor").alias("visible_minor"))
     rows = offer_rows.join(seen, key, "left")
     mismatch = (F.col("kind") == "exact") & (F.col("visible_amounts") == 1) & (F.col("visible_minor") != F.col("money.minor"))
-    review = (F.size("limitations") > 0) | F.col("money").isNull() | F.coalesce(mismatch, F.lit(False))
+    open_range = (F.col("kind") == "range") & F.col("maximum").isNull()
+    review = (F.size("limitations") > 0) | F.col("money").isNull() | open_range | F.coalesce(mismatch, F.lit(False))
     return rows.withColumn("status", F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED")).drop("visible_amounts", "visible_minor")
 
 

@@ -37,11 +37,15 @@ def _parts(spark, d):
     return t(spark, d, "part").withColumn("cents", cents).withColumn("amount", text)
 
 
-@query("SELECT event_id, user_id % 256 AS a, event_id % 256 AS b, NOT (user_id % 256 IN (0, 10, 127) OR user_id % 256 >= 224 OR (user_id % 256 = 100 AND event_id % 256 BETWEEN 64 AND 127) OR (user_id % 256 = 172 AND event_id % 256 BETWEEN 16 AND 31) OR (user_id % 256 = 192 AND event_id % 256 = 168)) AS public FROM events WHERE NOT (user_id % 256 IN (169, 192, 198, 203))")
+@query(
+    """WITH o AS (SELECT event_id, user_id % 256 AS a, event_id % 256 AS b, event_id // 256 % 120 AS c FROM events), n AS (SELECT *, a * 65536 + b * 256 + c AS net FROM o)
+    SELECT event_id, a, b, c, NOT (a IN (0, 10, 127) OR a >= 224 OR net BETWEEN 100 * 65536 + 64 * 256 AND 100 * 65536 + 127 * 256 + 255 OR net // 256 IN (169 * 256 + 254, 192 * 256 + 168, 198 * 256 + 18, 198 * 256 + 19)
+        OR net // 256 BETWEEN 172 * 256 + 16 AND 172 * 256 + 31 OR net IN (192 * 65536, 192 * 65536 + 2, 198 * 65536 + 51 * 256 + 100, 203 * 65536 + 113)) AS public FROM n"""
+)
 def u2_public_ipv4(spark, d):
-    a, b = F.col("user_id") % 256, F.col("event_id") % 256
-    ip = F.concat_ws(".", a, b, F.lit(7), F.lit(9))
-    return t(spark, d, "events").filter(~a.isin(169, 192, 198, 203)).select("event_id", a.alias("a"), b.alias("b"), http.public_ipv4(ip).alias("public"))
+    a, b, c = F.col("user_id") % 256, F.col("event_id") % 256, F.floor(F.col("event_id") / 256) % 120
+    ip = F.concat_ws(".", a, b, c, F.lit(9))
+    return t(spark, d, "events").select("event_id", a.alias("a"), b.alias("b"), c.alias("c"), http.public_ipv4(ip).alias("public"))
 
 
 @query("SELECT event_type, CASE event_type WHEN 'click' THEN 'text/html' WHEN 'view' THEN 'application/octet-stream' ELSE lower(event_type) || '/x' END AS mime, count(*) AS n FROM events GROUP BY 1, 2")
@@ -342,7 +346,7 @@ def _inventory(spark, d):
 
 @query(f"SELECT CAST(event_id // 3 AS VARCHAR) AS crawl_key, count(DISTINCT user_id) AS spellings, count(DISTINCT event_type) AS sources, {OBSERVED} AS observation FROM events GROUP BY 1")
 def r10_capture_inventory(spark, d):
-    return _inventory(spark, d).select("crawl_key", F.size("raw_urls").cast("long").alias("spellings"), F.size("discovered_from").cast("long").alias("sources"), "observation")
+    return _inventory(spark, d).select("crawl_key", "spellings", "sources", "observation")
 
 
 @query(f"WITH i AS (SELECT event_id // 3 AS k, {OBSERVED} AS o FROM events GROUP BY 1) SELECT count(*) AS known, count(*) FILTER (o = 'UNOBSERVED') AS unobserved, count(*) FILTER (o = 'SELECTED_FIELDS') AS selected, count(*) FILTER (o = 'DOM') AS dom FROM i")
@@ -363,11 +367,13 @@ def r15_combined_registry(spark, d):
     return registry.combined_registry(crawl, captures).drop("crawl_status")
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 + 1 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 3 + 2 FROM part), v AS (SELECT 0::BIGINT AS k, 0 AS level UNION SELECT dst, level + 1 FROM v JOIN e ON v.k = e.src WHERE level < 4) SELECT k AS crawl_key, min(level) AS level FROM v GROUP BY k")
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 + 1 AS dst FROM part UNION ALL SELECT p_partkey, p_partkey * 3 + 2 FROM part), v AS (SELECT p_partkey AS k, 0 AS level FROM part WHERE p_size = 1 UNION SELECT dst, level + 1 FROM v JOIN e ON v.k = e.src) SELECT k AS crawl_key, min(level) AS level FROM v GROUP BY k")
 def r4_discovery_closure(spark, d):
+    """From all parts of size 1, to the last page that links reach."""
     p = F.col("p_partkey")
     links = t(spark, d, "part").select(p.alias("src"), F.explode(F.array(p * 2 + 1, p * 3 + 2)).alias("dst"))
-    return registry.discovery_closure(spark.range(1).select(F.col("id").alias("crawl_key")), links, 100_000, 4)
+    seeds = t(spark, d, "part").filter("p_size = 1").select(p.alias("crawl_key"))
+    return registry.discovery_closure(seeds, links, budget=None)
 
 
 @query("WITH RECURSIVE h AS (SELECT p_partkey AS url, p_partkey AS cur, 0 AS hops FROM part UNION ALL SELECT url, cur // 4, hops + 1 FROM h WHERE cur % 4 = 0 AND cur > 0 AND hops < 5) SELECT 'https://a.example/' || url AS url, 'https://a.example/' || arg_max(cur, hops) AS final_url, max(hops) AS hops FROM h GROUP BY url")
@@ -403,10 +409,17 @@ def a13_provenance(spark, d):
     return reports.provenance(t(spark, d, "events"), t(spark, d, "part").select(F.sha2("p_name", 256).alias("sha256"), F.length("p_name").cast("long").alias("size_bytes")))
 
 
-@query("SELECT event_type AS type, 'title' AS name, count(*) AS entities, count(*) FILTER (value > 50) AS observed FROM (SELECT CASE event_type WHEN 'click' THEN 'Page' ELSE 'Article' END AS event_type, value FROM events) GROUP BY 1 UNION ALL SELECT 'Article', 'text', count(*), 0 FROM events WHERE event_type <> 'click'")
+@query(
+    """WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'Page' WHEN 'view' THEN 'Article' WHEN 'error' THEN 'Service' ELSE 'Product' END AS type, value, user_id FROM events),
+    w AS (SELECT *, unnest(CASE type WHEN 'Page' THEN ['source_id', 'source_url', 'title', 'blocks', 'seo', 'evidence'] WHEN 'Product' THEN ['source_id', 'source_url', 'title', 'evidence'] ELSE ['source_id', 'source_url', 'title', 'blocks', 'evidence'] END) AS name FROM e)
+    SELECT type, name, count(*) AS entities, count(*) FILTER (CASE name WHEN 'title' THEN value > 50 WHEN 'blocks' THEN value > 25 WHEN 'seo' THEN user_id % 2 = 0 WHEN 'source_url' THEN value > 10 ELSE name = 'source_id' END) AS observed FROM w GROUP BY 1, 2"""
+)
 def a8_field_coverage(spark, d):
-    e = t(spark, d, "events").select(F.col("event_id").alias("source_id"), F.when(F.col("event_type") == "click", "Page").otherwise("Article").alias("type"), "value")
-    facts = e.filter("value > 50").select("source_id", F.lit("title").alias("name"), F.lit("OBSERVED").alias("status"))
+    kinds = {"click": "Page", "view": "Article", "error": "Service"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.lit("Product"))
+    e = t(spark, d, "events").select(F.col("event_id").alias("source_id"), kind.alias("type"), "value", "user_id")
+    seen = {"source_id": F.lit(True), "title": F.col("value") > 50, "blocks": F.col("value") > 25, "seo": F.col("user_id") % 2 == 0, "source_url": F.col("value") > 10, "evidence": F.lit(False)}
+    facts = e.select("source_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(c, "OBSERVED").otherwise("ABSENT").alias("status")) for n, c in seen.items()])).alias("f")).select("source_id", "f.*")
     return catalog.coverage(e, facts)
 
 
@@ -427,18 +440,23 @@ def t2_idempotency(spark, d):
     return cart.idempotency_outcomes(e).groupBy("session", "idempotency_key", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("WITH m AS (SELECT user_id AS session, event_type AS item_id, ts, event_id, CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS action, CAST(round(value) AS BIGINT) AS q FROM events WHERE event_type <> 'error') SELECT session, item_id, sum(q * 1000000)::BIGINT AS quantity FROM m WHERE q > 0 GROUP BY 1, 2")
+@query(
+    """WITH m AS (SELECT user_id AS session, event_type AS item_id, event_id, CAST(round(value) AS BIGINT) AS q FROM events WHERE event_type <> 'error'),
+    r AS (SELECT user_id AS session, max(event_id) AS emptied FROM events WHERE event_type = 'error' GROUP BY 1)
+    SELECT m.session, item_id, sum(q * 1000000)::BIGINT AS quantity FROM m LEFT JOIN r ON m.session = r.session WHERE q > 0 AND (item_id <> 'click' OR emptied IS NULL OR event_id > emptied) GROUP BY 1, 2"""
+)
 def w8_cart_fold(spark, d):
-    e = t(spark, d, "events").filter("event_type <> 'error'")
+    """Every event adds its own type to the session's cart, but an error takes out all clicks."""
+    e, out = t(spark, d, "events"), F.col("event_type") == "error"
     none = F.lit(None).cast("bigint")
-    rows = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("idempotency_key"), F.lit("cart.add").alias("action"), F.col("event_type").alias("item_id"), F.lit(None).cast("string").alias("variant_id"), F.lit(None).cast("string").alias("line_id"), (F.round("value").cast("bigint") * cart.SCALE).alias("quantity"), F.lit("x").alias("request_sha256"), none.alias("low"), none.alias("high"), none.alias("step"))
-    return cart.fold(rows.withColumn("session", F.col("session").cast("string"))).select(F.col("session").cast("bigint").alias("session"), "item_id", "quantity")
+    rows = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("idempotency_key"), F.when(out, "cart.remove").otherwise("cart.add").alias("action"), F.when(~out, F.col("event_type")).alias("item_id"), F.lit(None).cast("string").alias("variant_id"), F.when(out, F.lit("click\x1f")).alias("line_id"), (F.round("value").cast("bigint") * cart.SCALE).alias("quantity"), F.lit("x").alias("request_sha256"), none.alias("low"), none.alias("high"), none.alias("step"))
+    return cart.fold(rows).select(F.col("session").cast("bigint").alias("session"), "item_id", "quantity")
 
 
-@query("SELECT n_nationkey AS entity_source_id, 1 AS categories, sha256('product:' || n_nationkey) AS product_key FROM nation")
+@query("SELECT p_partkey AS entity_source_id, CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_brand LIKE '%5' THEN 1 ELSE 2 END AS categories, sha256('product:' || p_partkey) AS product_key FROM part")
 def j15_catalog_projection(spark, d):
-    n = t(spark, d, "nation")
-    products = n.select(F.col("n_nationkey").alias("entity_source_id"))
-    category_map = t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("category"), F.col("r_name").alias("target_category"))
-    crumbs = n.select(F.col("n_nationkey").alias("entity_source_id"), F.col("n_regionkey").cast("string").alias("category"))
-    return catalog.project(products, category_map, crumbs).select("entity_source_id", F.size("categories").alias("categories"), "product_key")
+    p = t(spark, d, "part")
+    brands = p.select("p_brand").distinct()
+    category_map = brands.select(F.col("p_brand").alias("category"), F.concat(F.lit("B/"), F.col("p_brand")).alias("target_category")).unionByName(brands.filter("p_brand not like '%5'").select(F.col("p_brand").alias("category"), F.lit("all").alias("target_category")))
+    crumbs = p.select(F.col("p_partkey").alias("entity_source_id"), F.when(F.col("p_size") % 3 == 0, F.lit("unmapped")).otherwise(F.col("p_brand")).alias("category"))
+    return catalog.project(p.select(F.col("p_partkey").alias("entity_source_id")), category_map, crumbs).select("entity_source_id", F.size("categories").alias("categories"), "product_key")

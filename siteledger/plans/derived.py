@@ -84,11 +84,37 @@ def c15_selections(spark, d):
     return structured.selections(_product_pages(spark, d), "p_partkey").select("p_partkey", "label", F.size("options").alias("options"), "selection_required")
 
 
-@query("WITH g AS (SELECT l_orderkey AS owner, count(DISTINCT CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'A') AS n, bool_or(l_returnflag <> 'A') AS unresolved FROM lineitem GROUP BY 1) SELECT owner, CASE WHEN n > 1 THEN 'AMBIGUOUS_CURRENT_PRICE' WHEN n = 0 OR unresolved THEN 'PRICE_UNRESOLVED' END AS first_blocker FROM g")
+@query(
+    """WITH p AS (SELECT l_orderkey AS owner, l_linenumber * 10000000 + l_partkey * 100 + l_suppkey % 100 AS ord, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_returnflag <> 'R' AND l_linestatus = 'F' AS current,
+        concat(CAST(l_quantity AS BIGINT) % 3, ' ', CASE WHEN l_suppkey % 7 <> 0 THEN 'piece' END, ' ', l_discount > 0.08) AS grp, l_suppkey % 7 <> 0 AND NOT l_discount > 0.08 AS eligible,
+        CASE WHEN l_linenumber < 6 THEN 2 END AS lo, CASE WHEN l_linenumber < 5 THEN 1 END AS step, CASE WHEN l_tax > 0.06 THEN CAST(l_quantity AS BIGINT) % 4 END AS hi, l_linenumber % 2 = 0 AS given, l_linenumber = 3 AS choose FROM lineitem),
+    g AS (SELECT owner, count(DISTINCT grp) FILTER (current) AS n, min_by(id, ord) FILTER (current) AS id, min_by(eligible, ord) FILTER (current) AS eligible, max(lo) AS lo, max(step) AS step, max(hi) AS hi, bool_or(given) AS given, bool_or(choose) AS choose FROM p GROUP BY owner)
+    SELECT owner, CASE WHEN n = 1 THEN id END AS price_id, concat_ws(',', CASE WHEN n > 1 THEN 'AMBIGUOUS_CURRENT_PRICE' WHEN n = 0 THEN 'CURRENT_EXACT_PRICE_UNKNOWN' END, CASE WHEN n = 1 AND NOT eligible THEN 'PRICE_UNIT_CURRENCY_OR_CONDITIONS_UNRESOLVED' END,
+        CASE WHEN lo IS NULL THEN 'MIN_QUANTITY_UNKNOWN' END, CASE WHEN step IS NULL THEN 'QUANTITY_STEP_UNKNOWN' END, CASE WHEN choose THEN 'VARIANT_SELECTION_REQUIRED' END, CASE WHEN given AND hi IS NULL THEN 'INVALID_MAX_QUANTITY' END, CASE WHEN lo > hi THEN 'INCONSISTENT_QUANTITY_RANGE' END) AS blockers FROM g"""
+)
 def c12_purchase_rules(spark, d):
-    one = F.lit(1_000_000).cast("bigint")
-    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("id"), F.lit("CURRENT").alias("role"), F.col("l_quantity").cast("bigint").alias("minor"), F.lit("RUB").alias("currency"), F.lit("piece").alias("unit"), F.array().cast("array<string>").alias("conditions"), (F.col("l_returnflag") == "A").alias("eligible"), one.alias("min_quantity"), one.alias("quantity_step"), F.lit(None).cast("bigint").alias("max_quantity"), F.lit(False).alias("selection_required"))
-    return catalog.purchase_rule(rows).select("owner", F.try_element_at("blockers", F.lit(1)).alias("first_blocker"))
+    l = t(spark, d, "lineitem")
+    n, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
+    limited = F.col("l_discount") > 0.08
+    unit = F.when(F.col("l_suppkey") % 7 != 0, "piece")
+    rows = l.select(
+        F.col("l_orderkey").alias("owner"),
+        (n * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("ord"),
+        F.concat_ws("-", n, "l_partkey", "l_suppkey").alias("id"),
+        F.when(F.col("l_returnflag") != "R", "CURRENT").otherwise("OLD").alias("role"),
+        F.when(F.col("l_linestatus") == "F", "OBSERVED").otherwise("REQUIRES_REVIEW").alias("status"),
+        (quantity % 3).alias("minor"),
+        F.lit("RUB").alias("currency"),
+        unit.alias("unit"),
+        F.when(limited, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("conditions"),
+        (unit.isNotNull() & ~limited).alias("eligible"),
+        F.when(n < 6, 2).cast("bigint").alias("min_quantity"),
+        F.when(n < 5, 1).cast("bigint").alias("quantity_step"),
+        F.when(F.col("l_tax") > 0.06, quantity % 4).alias("max_quantity"),
+        (n % 2 == 0).alias("max_given"),
+        (n == 3).alias("selection_required"),
+    )
+    return catalog.purchase_rule(rows).select("owner", "price_id", F.array_join("blockers", ",").alias("blockers"))
 
 
 @query("SELECT CASE p_size % 6 WHEN 0 THEN 'HOME' WHEN 1 THEN 'PRODUCT' WHEN 2 THEN 'ARTICLE' WHEN 3 THEN 'SERVICE' WHEN 4 THEN 'CATEGORY' ELSE 'CONTENT' END AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -116,10 +142,15 @@ def r9_stored_challenges(spark, d):
 
 @query("SELECT 'u' || p_partkey AS url, 'page' AS kind, count(*) AS n FROM part GROUP BY 1, 2 UNION ALL SELECT 'missing', 'failed', 1")
 def r5_sitemaps(spark, d):
+    """Sitemaps of 500 pages each, under indexes of 50 sitemaps each, under one index."""
     p = t(spark, d, "part")
     loc = lambda c: F.concat(F.lit("<loc> "), c, F.lit(" </loc>"))
-    sets = p.groupBy(F.concat(F.lit("set-"), F.regexp_replace("p_brand", "[^0-9]", "")).alias("url")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(loc(F.concat(F.lit("u"), F.col("p_partkey").cast("string"))))), F.lit("</urlset>")).alias("text"))
-    index = sets.agg(F.concat(F.lit("<sitemapindex><loc>missing</loc><loc>index</loc>"), F.concat_ws("", F.collect_list(loc(F.col("url")))), F.lit("</sitemapindex>")).alias("text")).select(F.lit("index").alias("url"), "text")
+    listed = lambda c, kind: F.concat(F.lit(f"<{kind}>"), F.concat_ws("", F.collect_list(loc(c))), F.lit(f"</{kind}>"))
+    sets = p.groupBy(F.floor(F.col("p_partkey") / 500).alias("k")).agg(listed(F.concat(F.lit("u"), F.col("p_partkey").cast("string")), "urlset").alias("text"))
+    sets = sets.select(F.concat(F.lit("set-"), F.col("k").cast("string")).alias("url"), "text", "k")
+    middle = sets.groupBy(F.floor(F.col("k") / 50).alias("m")).agg(listed(F.col("url"), "sitemapindex").alias("text")).select(F.concat(F.lit("index-"), F.col("m").cast("string")).alias("url"), "text")
+    index = middle.agg(F.concat(F.lit("<sitemapindex><loc>missing</loc><loc>index</loc>"), F.concat_ws("", F.collect_list(loc(F.col("url")))), F.lit("</sitemapindex>")).alias("text")).select(F.lit("index").alias("url"), "text")
+    sets = sets.drop("k").unionByName(middle)
     seeds = spark.range(1).select(F.lit("index").alias("url"))
     return registry.expand_sitemaps(seeds, sets.unionByName(index)).groupBy("url", "kind").agg(F.count("*").alias("n"))
 
@@ -147,12 +178,18 @@ def r19_pending_navigation(spark, d):
     return queue.pending_navigation(asked, final.unionByName(own), queue.latest_status(own))
 
 
-@query(f"WITH {TARGETS}, f AS (SELECT page_id, request_target, min(ord) AS ord FROM targets GROUP BY ALL) SELECT page_id AS page, request_target AS target FROM f WHERE length(url_decode(request_target)) BETWEEN 4 AND 76")
+@query(
+    f"""WITH {TARGETS}, l AS (SELECT page_id, ord, origin || request_target AS target, regexp_replace(url, '#.*$', '') AS own, CASE WHEN ord % 7 = 0 THEN 'Все акции ' ELSE '' END || substr(href, 2) AS label FROM targets WHERE ord % 5 <> 0),
+    f AS (SELECT page_id, target, min(ord) AS ord FROM l WHERE target <> own AND length(label) BETWEEN 3 AND 75 AND NOT contains(label, 'акци') GROUP BY ALL),
+    k AS (SELECT page_id, target, ord FROM f WHERE NOT EXISTS (SELECT 1 FROM f p WHERE p.page_id = f.page_id AND p.target <> f.target AND starts_with(f.target, CASE WHEN ends_with(p.target, '/') THEN p.target ELSE p.target || '/' END)))
+    SELECT page_id AS page, target AS url FROM k QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ord) <= 40"""
+)
 def x20_tiles(spark, d):
     from siteledger.functions import urls
 
-    rows = links(spark, d).select(F.col("page_id").alias("page"), "ord", F.expr("substring(href, 2)").alias("label"), urls.identity(F.col("absolute"))["request_target"].alias("target"))
-    return catalog.tiles(rows).select("page", "target")
+    label = F.concat(F.when(F.col("ord") % 7 == 0, F.lit("Все акции ")).otherwise(F.lit("")), F.expr("substring(href, 2)"))
+    rows = links(spark, d).select(F.col("page_id").alias("page"), F.regexp_replace("url", "#.*$", "").alias("page_url"), "ord", label.alias("label"), urls.identity(F.col("absolute"))["crawl_key"].alias("url"), F.when(F.col("ord") % 5 != 0, F.lit("https://img.example/i.png")).alias("image"))
+    return catalog.tiles(rows).select("page", "url")
 
 
 @query("SELECT CAST(event_id // 3 AS VARCHAR) AS crawl_key, CASE WHEN o = 'UNOBSERVED' THEN 'UNOBSERVED' WHEN k % 2 = 1 THEN 'NOT_SELECTED' WHEN k % 3 = 0 THEN 'NO_ENTITY' ELSE 'CONFLICT' END AS outcome FROM (SELECT event_id // 3 AS k, min(event_id) AS event_id, CASE WHEN bool_or(event_type IN ('purchase', 'signup')) THEN 'SEEN' ELSE 'UNOBSERVED' END AS o FROM events GROUP BY 1)")

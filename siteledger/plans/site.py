@@ -189,7 +189,7 @@ def x19_limitations(spark, d):
 )
 def r1_page_registry(spark, d):
     rows = links(spark, d).select(urls.identity(F.col("absolute"))["crawl_key"].alias("crawl_key"), F.col("absolute").alias("raw_url"), F.col("url").alias("discovered_from"), F.struct("page_id", "ord").alias("ord"))
-    return registry.page_registry(rows).select("crawl_key", "raw_url", "references", F.size("discovered_from").cast("long").alias("sources"))
+    return registry.page_registry(rows).select("crawl_key", "raw_url", "references", "sources")
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, max(octet_length(encode(text))) AS size_bytes, count(*) AS copies FROM documents GROUP BY 1")

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 
-OFFER = "struct<kind:string,id:string,url:string,sku:string,item_id:string,price:string,low:string,high:string,currency:string,unit:string,availability:string,valid_until:string,region:string>"
+OFFER = "struct<kind:string,types:array<string>,id:string,url:string,sku:string,item_id:string,price:string,low:string,high:string,currency:string,unit:string,availability:string,valid_until:string,customer:string,region:string,vat:string>"
 PROPERTY = "struct<name:string,value:string,unit:string>"
 VARIANT = f"struct<id:string,sku:string,name:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>>"
 NODE = f"struct<ord:int,schema_org:boolean,classes:array<string>,url:string,id:string,name:string,description:string,sku:string,brand:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>,variants:array<{VARIANT}>>"
 
 
+def _json(value) -> str | None:
+    """A condition's value as it stands: compact JSON, null if there is none."""
+    return None if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def _list(value) -> list:
     return value if isinstance(value, list) else [] if value is None else [value]
 
@@ -42,8 +47,10 @@ def _offers(node: dict) -> list[dict]:
         spec = next((s for s in _list(o.get("priceSpecification")) if isinstance(s, dict)), {})
         item = o.get("itemOffered") if isinstance(o.get("itemOffered"), dict) else {}
         pick = lambda name, a=o, b=spec: _text(a.get(name, b.get(name)))
-        kind = next((_name(str(k)) for k in _list(o.get("@type"))), "Offer")
-        row = {"kind": kind, "id": _text(o.get("@id")), "url": _text(o.get("url")), "sku": _text(o.get("sku")) or _text(item.get("sku")), "item_id": _text(item.get("@id")) or _text(item.get("url")), "price": pick("price"), "low": _text(o.get("lowPrice")), "high": _text(o.get("highPrice")), "currency": pick("priceCurrency"), "unit": pick("unitText"), "availability": _text(o.get("availability")), "valid_until": pick("priceValidUntil"), "region": _text(o.get("eligibleRegion"))}
+        types = [_name(str(k)) for k in _list(o.get("@type"))]
+        kind = "AggregateOffer" if "AggregateOffer" in types else "Offer"
+        measure = spec.get("referenceQuantity") if isinstance(spec.get("referenceQuantity"), dict) else {}
+        row = {"kind": kind, "types": types, "id": _text(o.get("@id")), "url": _text(o.get("url")), "sku": _text(o.get("sku")) or _text(item.get("sku")), "item_id": _text(item.get("@id")) or _text(item.get("url")), "price": pick("price"), "low": _text(o.get("lowPrice")), "high": _text(o.get("highPrice")), "currency": pick("priceCurrency"), "unit": _text(spec.get("unitText")) or _text(measure.get("unitText")), "availability": _text(o.get("availability")), "valid_until": _json(o.get("priceValidUntil")), "customer": _json(o.get("eligibleCustomerType")), "region": _json(o.get("eligibleRegion")), "vat": _json(spec.get("valueAddedTaxIncluded"))}
         out.append(row)
         if kind == "AggregateOffer":
             out.extend(_offers(o))

@@ -107,11 +107,12 @@ def test_apply_is_idempotent_and_refuses_conflicts(spark):
 
 
 def test_purchase_rules(spark):
-    cols = "owner string, id string, role string, minor long, currency string, unit string, conditions array<string>, eligible boolean, min_quantity long, quantity_step long, max_quantity long, selection_required boolean"
-    row = lambda o, i, minor, **k: (o, i, k.get("role", "CURRENT"), minor, "RUB", "piece", [], k.get("ok", True), k.get("lo", 1), k.get("step", 1), k.get("hi"), k.get("choose", False))
-    rows = [row("one", "p1", 100), row("same", "p2", 100), row("same", "p1", 100), row("two", "p1", 100), row("two", "p2", 200), row("none", "p", 1, ok=False), row("lim", "p", 1, lo=5, hi=2, choose=True), row("unk", "p", 1, lo=None, step=None)]
+    cols = "owner string, ord int, id string, role string, status string, minor long, currency string, unit string, conditions array<string>, eligible boolean, min_quantity long, quantity_step long, max_quantity long, max_given boolean, selection_required boolean"
+    row = lambda o, i, minor, **k: (o, k.get("ord", 0), i, k.get("role", "CURRENT"), k.get("status", "OBSERVED"), minor, "RUB", k.get("unit", "piece"), k.get("cond", []), k.get("ok", True), k.get("lo", 1), k.get("step", 1), k.get("hi"), k.get("given", False), k.get("choose", False))
+    rows = [row("one", "p1", 100), row("same", "p2", 100), row("same", "p1", 100, ord=1), row("two", "p1", 100), row("two", "p2", 200, ord=1), row("cond", "p1", 100), row("cond", "p2", 100, ord=1, cond=["x"]), row("none", "p", 1, status="REQUIRES_REVIEW"), row("lim", "p", 1, lo=5, hi=2, choose=True, ok=False), row("unk", "p", 1, lo=None, step=None, given=True), row("units", "p1", 5, unit=None), row("units", "p2", 5, ord=1)]
     got = {r.owner: (r.price_id, r.blockers) for r in catalog.purchase_rule(spark.createDataFrame(rows, cols)).collect()}
-    assert got == {"one": ("p1", []), "same": ("p1", []), "two": (None, ["AMBIGUOUS_CURRENT_PRICE"]), "none": (None, ["PRICE_UNRESOLVED"]), "lim": ("p", ["VARIANT_SELECTION_REQUIRED", "QUANTITY_RANGE_INCONSISTENT"]), "unk": ("p", ["MIN_QUANTITY_UNKNOWN", "QUANTITY_STEP_UNKNOWN"])}
+    ambiguous = (None, ["AMBIGUOUS_CURRENT_PRICE"])
+    assert got == {"one": ("p1", []), "same": ("p2", []), "two": ambiguous, "cond": ambiguous, "units": ambiguous, "none": (None, ["CURRENT_EXACT_PRICE_UNKNOWN"]), "lim": ("p", ["PRICE_UNIT_CURRENCY_OR_CONDITIONS_UNRESOLVED", "VARIANT_SELECTION_REQUIRED", "INCONSISTENT_QUANTITY_RANGE"]), "unk": ("p", ["MIN_QUANTITY_UNKNOWN", "QUANTITY_STEP_UNKNOWN", "INVALID_MAX_QUANTITY"])}
     with pytest.raises(Exception, match="more than 1"):
         catalog.within_caps(spark.createDataFrame(rows, cols), "owner", 1, "prices").collect()
 

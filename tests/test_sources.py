@@ -83,8 +83,36 @@ def test_selected_fields_and_site_names(spark):
 
 
 def test_tiles_below_another_are_dropped(spark):
-    links = spark.createDataFrame([(1, 0, "Doors", "/c/doors/"), (1, 1, "Inner", "/c/doors/inner"), (1, 2, "Doorsets", "/c/doorsets"), (1, 3, "Sale", "/sale"), (1, 4, "No", None), (1, 5, "Doors again", "/c/doors/")], "page long, ord int, label string, target string")
-    assert sorted(r.label for r in catalog.tiles(links).collect()) == ["Doors", "Doorsets"]
+    o, image = "https://a.example", "https://img.example/i.png"
+    rows = [("Doors", "/c/doors/", image), ("Inner", "/c/doors/inner", image), ("Doorsets", "/c/doorsets", image), ("Новые акции", "/new", image), ("No", "/no", image), ("Doors again", "/c/doors/", image), ("No image", "/x", None), ("Data image", "/y", "data:x"), ("Own page", "/", image), ("Same with slash", "/c/doorsets/", image)]
+    links = spark.createDataFrame([(1, f"{o}/", k, label, o + path, img) for k, (label, path, img) in enumerate(rows)] + [(1, f"{o}/", 20, "Foreign", "https://b.example/q", image)], "page long, page_url string, ord int, label string, url string, image string")
+    got = catalog.tiles(links)
+    assert sorted(r.label for r in got.collect()) == ["Doors", "Doorsets"]
+    pages = spark.createDataFrame([(1, True), (2, True), (3, False)], "page long, catalog_expected boolean")
+    shown = spark.createDataFrame([(1, f"{o}/c/doors/", True)], "page long, url string, has_image boolean")
+    issues = sorted((r.page, r.issue) for r in catalog.tile_issues(pages, got, shown).collect())
+    assert issues == [(1, "CATALOG_COVERAGE_LOST"), (1, "CATALOG_IMAGES_MISSING"), (1, "HTML_CATALOG_STRUCTURE_MISSING"), (2, "HTML_CATALOG_STRUCTURE_MISSING")]
+
+
+def test_offers_of_all_kinds_and_conditions(spark):
+    def page(i, offers):
+        node = {"@context": "https://schema.org", "@type": "Product", "url": "/d", "offers": offers}
+        return (i, "https://a.example/d", f'<script type="application/ld+json">{json.dumps(node)}</script>')
+
+    rows = [
+        page(1, [{"@type": "Offer", "price": "5.00", "priceCurrency": "RUB", "priceValidUntil": "2027-01-01", "eligibleCustomerType": {"a": 1}, "eligibleRegion": "RU", "priceSpecification": {"valueAddedTaxIncluded": False, "unitText": "m2"}}]),
+        page(2, [{"@type": "AggregateOffer", "price": "7", "priceCurrency": "RUB"}, {"@type": "AggregateOffer", "lowPrice": "5", "highPrice": "x", "priceCurrency": "RUB", "url": "/d#2"}]),
+        page(3, [{"@type": "Offer", "lowPrice": "5", "highPrice": "9", "priceCurrency": "RUB"}, {"@type": "Demand", "price": "1"}, {"price": "2"}]),
+    ]
+    parsed = html.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = structured.offer_prices(structured.offers(parsed, "page_id"), spark.createDataFrame([], "page_id long, minor long"), "page_id")
+    mine = sorted((r.page_id, r.ord, r.kind, r.conditions, r.unit, r.status) for r in got.collect())
+    assert mine == [
+        (1, 0, "exact", ['priceValidUntil: "2027-01-01"', 'eligibleCustomerType: {"a":1}', 'eligibleRegion: "RU"', "valueAddedTaxIncluded: false"], "m2", "OBSERVED"),
+        (2, 0, "from", [], None, "OBSERVED"),
+        (2, 1, "range", [], None, "REQUIRES_REVIEW"),
+        (3, 0, "from", [], None, "OBSERVED"),
+    ]
 
 
 def test_raw_exports_and_their_files(spark, tmp_path):
