@@ -1,29 +1,31 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other text of the training part is unlabelled, whatever its label.
-With the class prior p, the risk of a classifier g over positives P and unlabelled U is
+Confirmed toxic texts are the positives; all texts of the training part, whatever their label, are the unlabelled ones,
+that is a sample of the marginal distribution. With the class prior p, the risk of a classifier g over positives P and
+unlabelled U is
 
     p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)])
 
 where the second term, an estimate of the negatives' risk, is kept from going below zero (when it does, a step
 goes the other way, to undo overfitting). The classifier is linear over hashed word and word-prefix presence, with
-weights kept to features whose share among positives exceeds that among unlabelled texts, counted over the whole
-sample.
+weights kept to features whose share among positives exceeds that among unlabelled texts.
 
-Training uses a bounded sample, MAX_POSITIVES and MAX_UNLABELLED documents with the smallest hashes of their ids;
-the counts that choose features come from the same sample. Everything is seeded, so that equal input gives equal
-scores. Scoring reads whole texts.
+Features are counted over all training texts, and the class prior and the threshold come from the scores of all of them
+(counts of score bins). Only the gradient steps use bounded samples: MAX_POSITIVES labelled texts, whose features are
+the candidates, and MAX_UNLABELLED others, those with the smallest hashes of their ids, one row an id. Of texts the
+driver sees the chosen features only. Everything is seeded, so that equal input gives equal scores.
 
-Defined cases: null and empty texts have no features and get the score of the bias; repeated rows are scored each;
-rows with a null id are scored but never trained on; labels without a document and documents without a label are
-fine; without any positive or any unlabelled text every score is 0; other columns are ignored.
+Defined cases: null and empty texts have no features and get the score of the bias; very long texts are read whole;
+repeated rows are scored each, and train once; ties (equal texts) have equal scores; rows with a null id are scored but
+never trained on; labels without a document and documents without a label are fine; without any positive every score
+is 0; an empty table gives an empty result; other columns are ignored, or passed through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteledger.llm.common import crc_mod
+from siteledger.llm.common import crc_mod, fresh_name, materialise
 
 MAX_POSITIVES = 5_000
 MAX_UNLABELLED = 10_000
-MAX_FEATURES = 6_000
-#: At most this many distinct features a sampled document go to the driver: those of the smallest hashes.
-MAX_DOC_FEATURES = 2_000
+#: Score bins for each unit of the logit.
+BINS = 64
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (6, 7, 8)
 
@@ -56,171 +57,230 @@ class _Memo(dict):
 
     def __missing__(self, key):
         got = self[key] = self.make(key)
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         return got
 
 
+def slots_of(known: np.ndarray) -> Callable[[str | None], set[int]]:
+    """A function from a text to the places of its features in ``known``, which is sorted."""
+    place = {f: k for k, f in enumerate(known.tolist())}
+    memo = _Memo(lambda word: tuple(place[f] for f in features(word) if f in place))
+
+    def run(text: str | None) -> set[int]:
+        found: set[int] = set()
+        for slots in map(memo.__getitem__, set(_WORD.findall((text or "").lower()))):
+            found.update(slots)
+        return found
+
+    return run
+
+
 @dataclass
 class Model:
-    weights: dict[int, float]
+    names: np.ndarray  # sorted feature hashes
+    weights: np.ndarray
     bias: float
 
-    def logit(self, found: set[int]) -> float:
-        return self.bias + sum(self.weights[f] for f in sorted(found))
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """rows: each text's distinct places."""
+        sizes = [len(r) for r in rows]
+        at = np.repeat(np.arange(len(rows)), sizes)
+        places = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+        return self.bias + np.bincount(at, self.weights[places] if len(places) else None, len(rows))
 
 
 def _sigmoid(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, epochs: int = 400, seed: int = 7) -> Model:
-    """positives, unlabelled: each text's distinct feature hashes. prior: the share of toxic texts among the unlabelled."""
-    if not positives or not unlabelled:
-        return Model({}, -100.0)
-    n_p, n_u = len(positives), len(unlabelled)
-    values, in_p = np.unique(np.concatenate(positives), return_counts=True)
-    known = values[in_p >= max(2, n_p // 1000)]
-    p_row, p_col = _places(positives, known)
-    u_row, u_col = _places(unlabelled, known)
-    k_p, k_u = np.bincount(p_col, minlength=len(known)), np.bincount(u_col, minlength=len(known))
+def choose(known: np.ndarray, k_p: np.ndarray, n_p: int, k_u: np.ndarray, n_u: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features, and their starting weights, whose share among positives clearly exceeds that among all texts."""
     a, b = k_p / n_p, k_u / n_u
     spread = np.sqrt((a * (1 - a) + 0.25 / n_p) / n_p + (b * (1 - b) + 0.25 / n_u) / n_u)
     ratio = (k_p + 0.5) / (n_p + 1) / ((k_u + 0.5) / (n_u + 1))
     score = np.where(((a - b) / spread > 2.5) & (ratio > 3), (a - b) / spread * np.minimum(np.log(ratio), 6), 0.0)
-    chosen = np.sort(np.lexsort((known, -score))[: min(MAX_FEATURES, int((score > 0).sum()))])
-    names, score = known[chosen], score[chosen]
-    slot = np.full(len(known), -1)
-    slot[chosen] = np.arange(len(chosen))
-    p_row, p_col = p_row[slot[p_col] >= 0], slot[p_col][slot[p_col] >= 0]
-    u_row, u_col = u_row[slot[u_col] >= 0], slot[u_col][slot[u_col] >= 0]
-    hit_p, hit_u = np.bincount(p_row, minlength=n_p) > 0, np.bincount(u_row, minlength=n_u) > 0
-    start = np.minimum(np.log1p(score), 3.0) * 0.3
-    if prior is None:
-        # Toxic texts are hit as often among the unlabelled as among the positives, so the hit rates bound the prior;
-        # a first classifier gives a tighter bound.
-        first = float(np.clip(hit_u.mean() / max(hit_p.mean(), 1e-3), 0.01, 0.5))
-        w, b = _descend(start, p_row, p_col, n_p, u_row, u_col, n_u, first, epochs // 2)
-        prior = min(first, _prior_bound(b + np.bincount(p_row, w[p_col], n_p), b + np.bincount(u_row, w[u_col], n_u)))
-    w, b = _descend(start, p_row, p_col, n_p, u_row, u_col, n_u, prior, epochs)
-    # The threshold of 0.5 is put where, by the same estimate, precision and recall of the training texts balance.
-    z_p, z_u = b + np.bincount(p_row, w[p_col], n_p), b + np.bincount(u_row, w[u_col], n_u)
-    shift = _balance(z_p, z_u, prior)
-    return Model({f: x for f, x in zip(names.tolist(), w.tolist(), strict=True) if x}, float(b - shift))
+    return known[score > 0], np.minimum(np.log1p(score[score > 0]), 3.0) * 0.3
 
 
-def _places(docs: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, place in known) of every known feature of every document."""
-    rows, cols = [], []
-    for i, found in enumerate(docs):
-        at = np.searchsorted(known, found)
-        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == found)] if len(known) else at[:0]
-        rows.append(np.full(len(at), i, np.int32))
-        cols.append(at.astype(np.int32))
-    return np.concatenate(rows), np.concatenate(cols)
+def risk(w: np.ndarray, b: float, p_row, p_col, n_p: int, u_row, u_col, n_u: int, prior: float) -> tuple[float, float, np.ndarray, float]:
+    """The corrected risk's two terms, and the gradient of the step: of their sum, or away from a negative second term.
 
+    Logistic loss l(z) = log(1 + exp(-z)): derivatives s - 1 for a positive, s for a negative.
+    """
+    z_p = b + np.bincount(p_row, w[p_col], n_p)
+    z_u = b + np.bincount(u_row, w[u_col], n_u)
+    s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+    positive = prior * np.logaddexp(0, -z_p).mean()
+    negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    if negative >= 0:
+        g_p, g_u = (prior * (s_p - 1) - prior * s_p) / n_p, s_u / n_u
+    else:
+        g_p, g_u = prior * s_p / n_p, -s_u / n_u
+    return positive, negative, np.bincount(p_col, g_p[p_row], len(w)) + np.bincount(u_col, g_u[u_row], len(w)), g_p.sum() + g_u.sum()
 
-def _descend(start, p_row, p_col, n_p, u_row, u_col, n_u, prior, epochs):
+
+def _descend(start, p: list[np.ndarray], u: list[np.ndarray], prior, epochs):
     """Adam on the non-negative risk; weights stay at zero or above, so that no text gets less toxic by its length."""
+    (p_row, p_col), (u_row, u_col) = ((np.repeat(np.arange(len(r)), [len(x) for x in r]), np.concatenate([*r, np.empty(0, np.int64)]).astype(np.int64)) for r in (p, u))
     w, b = start.copy(), -1.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     rate, decay = 0.05, 1e-4
     for step in range(1, epochs + 1):
-        z_p = b + np.bincount(p_row, w[p_col], n_p)
-        z_u = b + np.bincount(u_row, w[u_col], n_u)
-        s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
-        # Logistic loss l(z) = log(1 + exp(-z)): derivatives s - 1 for a positive, s for a negative.
-        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        if negative >= 0:
-            g_p, g_u = (prior * (s_p - 1) - prior * s_p) / n_p, s_u / n_u
-        else:
-            g_p, g_u = prior * s_p / n_p, -s_u / n_u
-        grad = np.append(np.bincount(p_col, g_p[p_row], len(w)) + np.bincount(u_col, g_u[u_row], len(w)) + decay * w, g_p.sum() + g_u.sum())
+        _, _, g_w, g_b = risk(w, b, p_row, p_col, len(p), u_row, u_col, len(u), prior)
+        grad = np.append(g_w + decay * w, g_b)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     return w, b
 
 
-def _prior_bound(z_p: np.ndarray, z_u: np.ndarray) -> float:
-    """The smallest P_U(z >= c) / P_P(z >= c): no larger share of the unlabelled texts can be like the positives."""
-    cuts = np.quantile(z_p, np.linspace(0.05, 0.7, 66))
-    share_p = 1 - np.searchsorted(np.sort(z_p), cuts) / len(z_p)
-    share_u = 1 - np.searchsorted(np.sort(z_u), cuts) / len(z_u)
+def _at_least(scores: tuple[np.ndarray, np.ndarray], cuts: np.ndarray) -> np.ndarray:
+    """The share of the scores (sorted values, counts) that reach each cut."""
+    values, counts = scores
+    after = np.append(np.cumsum(counts[::-1])[::-1], 0)
+    return after[np.searchsorted(values, cuts)] / counts.sum()
+
+
+def _prior_bound(p, u) -> float:
+    """The smallest P_U(z >= c) / P_P(z >= c): no larger share of all texts can be like the positives."""
+    cuts = np.quantile(np.repeat(*p), np.linspace(0.05, 0.7, 66), method="inverted_cdf")
+    share_p, share_u = _at_least(p, cuts), _at_least(u, cuts)
     # Two standard errors, of either share, keep the smallest of many ratios from being too small.
-    high = (share_u + 2 * np.sqrt(share_u / len(z_u))) / np.maximum(share_p - 2 * np.sqrt(share_p * (1 - share_p) / len(z_p)), 0.05)
+    high = (share_u + 2 * np.sqrt(share_u / u[1].sum())) / np.maximum(share_p - 2 * np.sqrt(share_p * (1 - share_p) / p[1].sum()), 0.05)
     return float(np.clip(high.min(), 0.005, 0.5))
 
 
-def _balance(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
+def _balance(p, u, prior: float) -> float:
     """The cut c that makes prior * P(z < c | toxic) + P(z >= c, not toxic) smallest, by the corrected estimate."""
-    cuts = np.unique(np.quantile(np.concatenate([z_p, z_u]), np.linspace(0, 1, 2001)))
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-    miss = np.searchsorted(np.sort(z_p), cuts) / len(z_p)
-    taken = 1 - np.searchsorted(np.sort(z_u), cuts) / len(z_u)
-    risk = prior * miss + np.maximum(0, taken - prior * (1 - miss))
-    return float(cuts[np.nonzero(risk <= risk.min() + 1e-12)[0][-1]])
-
-
-def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """kind (p or u), features (distinct hashes): a bounded sample of the training part."""
-    toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    part = docs.filter(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
-    ids = part.select("doc_id").join(toxic, F.col("doc_id") == F.col("toxic_id"), "left").withColumn("kind", F.when(F.col("toxic_id").isNotNull(), "p").otherwise("u")).select("doc_id", "kind").distinct()
-    order = F.xxhash64("doc_id")
-    chosen = ids.filter("kind = 'p'").orderBy(order, "doc_id").limit(MAX_POSITIVES).unionByName(ids.filter("kind = 'u'").orderBy(order, "doc_id").limit(MAX_UNLABELLED))
-    # Bounded by the two limits, so it can be broadcast.
-    texts = part.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "kind", "text")
+    values = np.unique(np.concatenate([p[0], u[0]]))
+    cuts = (values[1:] + values[:-1]) / 2 if len(values) > 1 else values
+    found = _at_least(p, cuts)
+    lost = prior * (1 - found) + np.maximum(0, _at_least(u, cuts) - prior * found)
+    return float(cuts[np.nonzero(lost <= lost.min() + 1e-12)[0][-1]])
+
+
+def _columns(names: list[str], kinds: list, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+
+def feature_counts(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
+    """feature, n: in how many texts each known feature is (known None: every feature); feature null: all texts.
+
+    texts: one column. A task adds up what it reads and sends its sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(features)
+        total, n = np.zeros(0 if known is None else len(known), np.int64), 0
+        find = slots_of(known) if known is not None else None
+        every: dict[int, int] = {}
         for batch in batches:
-            packed = []
-            for text in batch.column(2):
-                found = {f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in memo[w]}
-                kept = sorted(found, key=lambda f: f * 0x9E3779B1 & 0xFFFFFFFF)[:MAX_DOC_FEATURES]
-                packed.append(np.array(sorted(kept), "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "kind", "features"])
+            for text in batch.column(0):
+                n += 1
+                if find:
+                    found = find(text.as_py())
+                    total[np.fromiter(found, np.int64, len(found))] += 1
+                else:
+                    for f in {f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in features(w)}:
+                        every[f] = every.get(f, 0) + 1
+        pairs = every.items() if known is None else ((int(known[k]), int(total[k])) for k in np.nonzero(total)[0])
+        rows = [(None, n), *pairs]
+        yield _columns(["feature", "n"], [pa.int64(), pa.int64()], *zip(*rows, strict=True))
 
-    return texts.mapInArrow(run, "doc_id long, kind string, features binary")
+    return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sorted((r.doc_id, r.kind, bytes(r.features)) for r in training_sample(docs, labels).collect())
-    of = lambda kind: [np.frombuffer(x, "<u4") for _, k, x in rows if k == kind]
-    return train(of("p"), of("u"))
+def hits(docs: DataFrame, names: np.ndarray) -> DataFrame:
+    """doc_id, slots: the places of each text's chosen features, as little-endian 32-bit numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = slots_of(names)
+        for batch in batches:
+            rows = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "slots"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, slots binary")
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents' columns, and toxicity_score (double, 0 to 1)."""
+
+def logits(found: DataFrame, model: Model) -> DataFrame:
+    """doc_id, z of each row of hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A word's features that the model knows; most words have none.
-        known = _Memo(lambda word: tuple(f for f in features(word) if f in model.weights))
         for batch in batches:
-            got = []
-            for text in batch.column("text"):
-                found: set[int] = set()
-                for fs in map(known.__getitem__, set(_WORD.findall((text.as_py() or "").lower()))):
-                    found.update(fs)
-                got.append(float(_sigmoid(np.float64(model.logit(found)))))
-            yield batch.append_column("toxicity_score", pa.array(got, pa.float64()))
+            z = model.logits([np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], ["doc_id", "z"])
+
+    return found.mapInArrow(run, "doc_id long, z double")
 
-    fields = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
-    return docs.mapInArrow(run, fields)
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400) -> tuple[Model, DataFrame]:
+    """The model, and the hits of all documents. prior: the share of toxic texts; estimated if not given."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    trains = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)
+    part = rows.filter(trains)
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    order = F.xxhash64("doc_id")
+    ids = part.select("doc_id").distinct()
+    positives = materialise(ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(MAX_POSITIVES), "positives")
+    sample = materialise(ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED), "unlabelled")
+
+    # Both samples are bounded by their limits, so they can be broadcast. One row an id: that of the least text.
+    confirmed = materialise(part.join(F.broadcast(positives), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"), "confirmed")
+    in_p = {r.feature: r.n for r in feature_counts(confirmed, None).collect() if r.feature is None or r.n > 1}
+    n_p = in_p.pop(None, 0)
+    known = np.array(sorted(f for f, n in in_p.items() if n >= max(2, n_p // 1000)), np.int64)
+    in_u = {r.feature: r.n for r in feature_counts(part.select("text"), known).collect()} if n_p else {}
+    n_u = in_u.pop(None, 0)
+    if not n_p or not n_u:
+        model = Model(np.zeros(0, np.int64), np.zeros(0), -100.0)
+        return model, hits(docs, model.names)
+    names, start = choose(known, np.array([in_p[f] for f in known.tolist()]), n_p, np.array([in_u.get(f, 0) for f in known.tolist()]), n_u)
+    found = materialise(hits(docs, names), "hits")
+    trained = found.filter(trains)
+    of = lambda some: [np.frombuffer(r.slots, "<u4") for r in sorted(trained.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("slots").alias("slots")).collect())]
+    p, u = of(positives), of(sample)
+
+    def scores(model: Model):
+        """Sorted bins and counts of the positives' and of all training texts' logits."""
+        mine = np.unique(np.floor(model.logits(p) * BINS) / BINS, return_counts=True)
+        rows = logits(trained, model).groupBy(F.floor(F.col("z") * BINS).alias("bin")).count().collect()
+        rows = sorted((r["bin"], r["count"]) for r in rows)
+        return mine, (np.array([b / BINS for b, _ in rows]), np.array([n for _, n in rows]))
+
+    if prior is None:
+        # Toxic texts are hit as often among all texts as among the positives, so the hit rates bound the prior;
+        # a first classifier gives a tighter bound.
+        hit_u = trained.agg(F.avg((F.octet_length("slots") > 0).cast("double"))).first()[0]
+        hit_p = np.mean([len(x) > 0 for x in p])
+        first = float(np.clip(hit_u / max(hit_p, 1e-3), 0.01, 0.5))
+        prior = min(first, _prior_bound(*scores(Model(names, *_descend(start, p, u, first, epochs // 2)))))
+    w, b = _descend(start, p, u, prior, epochs)
+    # The threshold of 0.5 is put where, by the same estimate, precision and recall of the training texts balance.
+    shift = _balance(*scores(Model(names, w, b)), prior)
+    return Model(names, w, float(b - shift)), found
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = fit(docs, labels)
-    rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    value = F.col("toxicity_score")
-    return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    model, found = fit(docs, labels)
+    value = 1 / (1 + F.exp(-F.col("z")))
+    rows = logits(found, model).select("doc_id", value.alias("score"))
+    return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
+    """The documents' columns, and a score (double, 0 to 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = slots_of(model.names)
+        for batch in batches:
+            z = model.logits([np.array(sorted(find(t.as_py())), np.int64) for t in batch.column("text")])
+            yield batch.append_column(name, pa.array(_sigmoid(z), pa.float64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is under 0.5."""
-    clash = "toxicity_score" in docs.columns
-    named = docs.withColumnRenamed("toxicity_score", "_own_score") if clash else docs
-    kept = score(named, fit(docs, labels)).filter("toxicity_score < 0.5").drop("toxicity_score")
-    return kept.withColumnRenamed("_own_score", "toxicity_score") if clash else kept
+    name = fresh_name(docs, "toxicity_score")
+    return score(docs, fit(docs, labels)[0], name).filter(F.col(name) < 0.5).drop(name)

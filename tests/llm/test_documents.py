@@ -451,6 +451,37 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, docs, empty):
     assert got[900].predicted == got[901].predicted == 0 and all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.reject(docs, lab.filter("false")).count() == docs.count()
     assert toxicity.judge(empty, lab).count() == 0
+    clash = docs.withColumn("toxicity_score", F.lit(7)).withColumn("_own_score", F.lit(8)).withColumn("slots", F.lit(9)).withColumn("z", F.lit(1))
+    assert toxicity.reject(clash, lab).columns == clash.columns
+
+
+def test_repeated_and_long_texts_train_once(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 30) + (" zorgle blarg" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 8)], "doc_id long, toxic int")
+    plain = {r.doc_id: r.score for r in toxicity.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    model, _ = toxicity.fit(spark.createDataFrame(rows + [rows[8]] * 3, "doc_id long, text string"), labels)
+    assert len(model.names) and plain[8] >= 0.5 > plain[9]
+    long = [(500, text(rng, 30_000)), (501, text(rng, 30_000) + " zorgle blarg"), (502, rows[9][1])]
+    got = {r.doc_id: r for r in toxicity.judge(spark.createDataFrame(rows + long, "doc_id long, text string"), labels).collect()}
+    assert got[500].predicted == 0 and got[501].predicted == 1 and got[502].score == got[9].score
+
+
+def test_risk_gradient_is_that_of_the_risk():
+    rng = np.random.default_rng(3)
+    p, u = ([np.flatnonzero(rng.random(6) < q) for _ in range(n)] for n, q in ((9, 0.6), (25, 0.3)))
+    flat = lambda r: (np.repeat(np.arange(len(r)), [len(x) for x in r]), np.concatenate(r))
+    for prior, sign in ((0.1, 1), (0.9, -1)):  # a small prior leaves the second term positive, a large one does not
+        w, b = rng.random(6), -1.0 if sign > 0 else -6.0
+        at = lambda w, b: toxicity.risk(w, b, *flat(p), len(p), *flat(u), len(u), prior)  # noqa: E731, B023
+        positive, negative, g, g_b = at(w, b)
+        z_p, z_u = (np.array([b + w[x].sum() for x in r]) for r in (p, u))
+        assert np.isclose(positive, prior * np.mean(np.log1p(np.exp(-z_p)))) and np.isclose(negative, np.mean(np.log1p(np.exp(z_u))) - prior * np.mean(np.log1p(np.exp(z_p))))
+        target = (lambda w, b: sum(at(w, b)[:2])) if negative >= 0 else (lambda w, b: -at(w, b)[1])  # noqa: B023
+        for k in range(6):
+            e = np.eye(6)[k] * 1e-6
+            assert abs((target(w + e, b) - target(w - e, b)) / 2e-6 - g[k]) < 1e-6
+        assert abs((target(w, b + 1e-6) - target(w, b - 1e-6)) / 2e-6 - g_b) < 1e-6
 
 
 def test_gradients_are_those_of_the_loss():
