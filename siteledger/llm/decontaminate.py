@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. Documents and benchmark items are read as words (lower case, letters and digits). Every run of ``min_match``
-   words of an item is a seed. A task hashes all windows of a document (Karp-Rabin, over the benchmark's own
+1. Documents and benchmark items are read as words (lower case, letters and digits); scripts without spaces between
+   words are read character by character. Every run of ``min_match`` words of an item is a seed; an item of fewer
+   words is a seed as a whole. A task hashes all windows of a document (Karp-Rabin, over the benchmark's own
    vocabulary) and joins them to the seeds, which are broadcast: the benchmark is dealt into blocks of at most
    BLOCK_WORDS words, each of which is held against all documents in turn.
 2. Only the document's words around shared seeds are passed on, and only if the seeds cover enough of the item:
@@ -10,9 +11,10 @@
    found by running Karp-Rabin over falling lengths, marked, and so on down to ``min_match``. Tiles may lie in any
    order, so reordered passages are found. The share of the item's words in tiles is its coverage.
 
-Defined cases: null and empty texts, on either side, match nothing; items of fewer than ``min_match`` words match
-nothing, since chance cannot be told apart; repeated rows give repeated results; rows with a null id are judged too;
-empty tables give empty results; other columns are ignored.
+Defined cases: null and empty texts, and items without a word, match nothing; very long texts are read whole; ties of
+equally long matches go to the first place of the item, then of the text; repeated rows give repeated results; rows
+with a null id are judged too; empty tables give empty results; other columns are ignored, or passed through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm.common import fresh_name
+
 BLOCK_WORDS = 2_000_000
-_WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana, Han: no spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -115,32 +121,35 @@ class Seeds:
         self.hashes = self.hashes[order]
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, np.int64)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
+        self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
 
-    def candidates(self, text: str, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    def candidates(self, words: list[str], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the item, the text's word ids around the seeds it shares)."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
-        h = rolling(ids, self.min_match)
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        hits = np.nonzero(hi > lo)[0]
-        if not len(hits):
+        get, m = self.vocabulary.get, self.min_match
+        ids = np.array([get(w, 0) for w in words], np.uint64)
+        h = rolling(ids, m)
+        seen = np.unique(h)  # each seed once, however often the text has it
+        lo, hi = np.searchsorted(self.hashes, seen, "left"), np.searchsorted(self.hashes, seen, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if not len(at):
             return
-        by_item: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-        for t in hits.tolist():
-            for k in range(lo[t], hi[t]):
-                in_item, in_text = by_item[int(self.owner[k])]
-                in_item.append(int(self.place[k]))
-                in_text.append(t)
-        for item, (in_item, in_text) in by_item.items():
-            n = len(self.items[item][1])
-            covered = np.zeros(n, bool)
-            for k in range(self.min_match):
-                covered[np.array(in_item) + k] = True
-            if covered.sum() < threshold * n:
+        # Seeds of m words cover m words each at most: items that cannot reach the threshold end here.
+        shared = np.bincount(self.owner[at], minlength=len(self.items))
+        may = shared * m >= threshold * self.sizes
+        at = at[may[self.owner[at]]]
+        for own in np.split(at[np.argsort(self.owner[at], kind="stable")], np.flatnonzero(np.diff(np.sort(self.owner[at]))) + 1):
+            if not len(own):
                 continue
+            item = int(self.owner[own[0]])
+            covered = np.zeros(int(self.sizes[item]), bool)
+            in_text = np.flatnonzero(np.isin(h, self.hashes[own]))
             keep = np.zeros(len(ids), bool)
-            for k in range(self.min_match):
-                keep[np.array(in_text) + k] = True
+            for k in range(m):
+                covered[self.place[own] + k] = True
+                keep[in_text + k] = True
+            if covered.sum() < threshold * len(covered):
+                continue
             # Tiles are made of shared seeds, so the words between can go; a 0 keeps the parts apart.
             edges = np.flatnonzero(np.diff(np.concatenate([[0], keep.view(np.int8), [0]])))
             parts = [np.append(ids[a:b], np.uint64(0)) for a, b in edges.reshape(-1, 2)]
@@ -163,13 +172,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("string").cast("binary")).alias("checksum"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, checksum long, item_id long, item_words int, matched_words int, tiles int, coverage double")
     for block in blocks(benchmark):
-        seeds = Seeds(block, min_match)
-        if seeds.items:
-            out = out.unionByName(_against(rows, seeds, threshold, min_match))
+        # Items shorter than min_match are seeds of their own length.
+        by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for item_id, text in block:
+            by_length[min(min_match, len(words_of(text)))].append((item_id, text))
+        seeds = [Seeds(items, n) for n, items in sorted(by_length.items()) if n]
+        if seeds:
+            out = out.unionByName(_against(rows, seeds, threshold))
     return out
 
 
-def _against(rows: DataFrame, seeds: Seeds, threshold: float, min_match: int) -> DataFrame:
+def _against(rows: DataFrame, seeds: list[Seeds], threshold: float) -> DataFrame:
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(seeds)
 
@@ -177,18 +190,20 @@ def _against(rows: DataFrame, seeds: Seeds, threshold: float, min_match: int) ->
         for batch in batches:
             out = []
             for doc_id, checksum, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for item, ids in shared.value.candidates(text.as_py() or "", threshold):
-                    out.append((doc_id, checksum, item, ids.astype("<u4").tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "checksum", "item", "found"])
+                words = words_of(text.as_py())
+                for some in shared.value:
+                    for item, ids in some.candidates(words, threshold):
+                        out.append((doc_id, checksum, some.min_match, item, ids.astype("<u4").tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "checksum", "seed", "item", "found"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, checksum, found, item_id, words in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "checksum", "found", "item_id", "words")), strict=True):
+            for doc_id, checksum, seed, found, item_id, words in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "checksum", "seed", "found", "item_id", "words")), strict=True):
                 item, text = (np.frombuffer(x, "<u4").astype(np.uint64) for x in (words, found))
-                got = tiles(item, text, min_match)
+                got = tiles(item, text, seed)
                 matched = sum(n for _, _, n in got)
                 if matched >= threshold * len(item):
                     out.append((doc_id, checksum, item_id, len(item), matched, len(got), matched / len(item)))
@@ -197,14 +212,16 @@ def _against(rows: DataFrame, seeds: Seeds, threshold: float, min_match: int) ->
             names = ["doc_id", "checksum", "item_id", "item_words", "matched_words", "tiles", "coverage"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    candidates = rows.mapInArrow(find, "doc_id long, checksum long, item long, found binary")
-    items = spark.createDataFrame([(k, item_id, ids.astype("<u4").tobytes()) for k, (item_id, ids) in enumerate(seeds.items)], "item long, item_id long, words binary")
-    joined = candidates.join(F.broadcast(items), "item")  # a block's words are bounded by BLOCK_WORDS
+    candidates = rows.mapInArrow(find, "doc_id long, checksum long, seed int, item long, found binary")
+    listed = [(some.min_match, k, item_id, ids.astype("<u4").tobytes()) for some in seeds for k, (item_id, ids) in enumerate(some.items)]
+    items = spark.createDataFrame(listed, "seed int, item long, item_id long, words binary")
+    joined = candidates.join(F.broadcast(items), ["seed", "item"])  # a block's words are bounded by BLOCK_WORDS
     return joined.mapInArrow(tile, "doc_id long, checksum long, item_id long, item_words int, matched_words int, tiles int, coverage double")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5) -> DataFrame:
     """The documents that hold no benchmark item."""
-    found = contaminated(docs, benchmark, threshold, min_match).select(F.col("doc_id").alias("_id"), F.col("checksum").alias("_sum")).distinct()
+    of_id, of_text = fresh_name(docs, "found_id"), fresh_name(docs, "found_sum")
+    found = contaminated(docs, benchmark, threshold, min_match).select(F.col("doc_id").alias(of_id), F.col("checksum").alias(of_text)).distinct()
     text_sum = F.crc32(docs["text"].cast("string").cast("binary"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_sum == F.col("_sum")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(of_id)) & (text_sum == F.col(of_text)), "left_anti")

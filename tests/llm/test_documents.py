@@ -423,14 +423,47 @@ def test_tiling_covers_what_the_textbook_does():
 def test_contamination_finds_leaks_and_reordered_ones(spark, docs, empty):
     item = "one two three four five six seven eight nine ten eleven twelve"
     swapped = "seven eight nine ten eleven twelve and one two three four five six"
-    table = spark.createDataFrame([(1, f"x y {item.upper()}, z"), (2, swapped), (3, "one two three four five and no more"), (4, None), (5, ""), (None, item)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "too short")], "item_id long, text string")
+    han = "\u6771\u4eac\u90fd\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059"
+    rows = [(1, f"x y {item.upper()}, z"), (2, swapped), (3, "one two three four five and no more"), (4, None), (5, ""), (None, item), (6, f"before {han} after"), (7, han[:4]), (8, "it is too, short"), (9, "too far short")]
+    names = "doc_id long, text string, _id int, _sum int, found_id int, Found_Sum int, checksum int, item int"
+    table = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], names).repartition(2)
+    bench = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, "too short"), (11, han), (12, "?!")], "item_id long, text string")
     got = sorted((tuple(r) for r in decontaminate.contaminated(table, bench).drop("checksum").collect()), key=repr)
-    assert got == [(1, 7, 12, 12, 1, 1.0), (2, 7, 12, 12, 2, 1.0), (None, 7, 12, 12, 1, 1.0)]
-    assert sorted(r.doc_id for r in decontaminate.remove(table, bench).collect()) == [3, 4, 5]
+    assert got == [(1, 7, 12, 12, 1, 1.0), (2, 7, 12, 12, 2, 1.0), (6, 11, 11, 11, 1, 1.0), (8, 10, 2, 2, 1, 1.0), (None, 7, 12, 12, 1, 1.0)]
+    left = decontaminate.remove(table, bench)
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 7, 9]
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
 
 
+def test_contamination_matches_brute_force(spark):
+    rng = random.Random(17)
+    vocabulary = WORDS[:9]
+    run = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, run(rng.randint(1, 24))) for k in range(12)]
+    docs = []
+    for i in range(40):
+        words = run(rng.randint(0, 40))
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(items)[1]
+            at, cut = rng.randint(0, len(words)), rng.randint(0, len(own))
+            words[at:at] = own[cut:] + own[:cut]
+        docs.append((i, words))
+    docs += [(3, docs[3][1]), (100, run(4000) + items[0][1])]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect())
+    want, near = Counter(), Counter()
+    for i, words in docs[:-1]:
+        for k, own in items:
+            least = min(5, len(own))
+            n = brute_tiling(own, words, least)
+            want[i, k] += n >= 0.5 * len(own)
+            near[i, k] += abs(n - 0.5 * len(own)) <= 2  # ties may be marked in another order
+    mine = {key: n for key, n in got.items() if key[0] != 100}
+    assert {k: n for k, n in want.items() if n and not near[k]}.items() <= mine.items() and all(want[k] or near[k] for k in mine)
+    assert got[100, 0] == 1
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark, docs, empty):
     rng = random.Random(4)
     rows, labels = [], []
