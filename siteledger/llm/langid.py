@@ -7,8 +7,9 @@ MAX_DOCS documents of each language, by the smallest hashes of their ids, and WI
 Training is seeded and sorted, so that equal input gives equal predictions. Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text all are;
-repeated rows are predicted each; rows with a null id are predicted but never trained on, as are those with a null
-language; an empty table gives an empty result; other columns are ignored.
+very long texts are read whole, in windows; ties of two languages go to the first by name; repeated rows are predicted
+each, and train once; rows with a null id are predicted but never trained on, as are those with a null language; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,11 +192,15 @@ def training_windows(docs: DataFrame) -> list[tuple[str, bytes]]:
     """A bounded sample of the training part (crc32 of the id modulo 3 is not 1), cut in the tasks."""
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1)
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(usable)
+    ids = part.select("doc_id", "lang").distinct().withColumn("order", F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63))
+    # A share of each language that holds three times MAX_DOCS ids on average is ranked, so that no task gets more.
+    share = materialise(ids.groupBy("lang").agg((F.lit(3.0 * MAX_DOCS) / F.count("*")).alias("share")), "share")
+    few = ids.join(share, "lang").filter(F.col("order") < F.col("share"))
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    # Tasks keep their own first MAX_DOCS of each language before anything is shuffled.
-    ids = part.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= MAX_DOCS).select("doc_id", "lang").distinct()
+    chosen = few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= MAX_DOCS).select("doc_id", "lang")
     # MAX_DOCS rows for each language; a written table, so that Spark knows its size and broadcasts it only if small.
-    texts = part.join(materialise(ids, "sample"), ["doc_id", "lang"])
+    # Of repeated rows one trains: that of the least text.
+    texts = part.join(materialise(chosen, "sample"), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -547,6 +547,54 @@ def test_probabilities_do_not_depend_on_padding():
     assert np.allclose(got[0], alone[0], atol=1e-4) and np.isclose(got[0].sum(), len(raw), atol=1e-3)
 
 
+def plain_network(net, raw):
+    """The network's mean language probabilities of one window, byte by byte, in plain Python."""
+    import math
+
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(p, data):
+        dim = len(p["b"])
+        h, out = [0.0] * dim, []
+        for byte in data:
+            a, s = p["x"][byte], [sum(h[j] * float(p["u"][j][k]) for j in range(dim)) for k in range(3 * dim)]
+            r, z = ([sig(float(a[g * dim + k]) + s[g * dim + k]) for k in range(dim)] for g in (0, 1))
+            new = [math.tanh(float(a[2 * dim + k]) + r[k] * (s[2 * dim + k] + float(p["b"][k]))) for k in range(dim)]
+            h = [(1 - z[k]) * new[k] + z[k] * h[k] for k in range(dim)]
+            out.append(h)
+        return out
+
+    total = [0.0] * len(net.languages)
+    for f, g in zip(states(net.forward, raw), states(net.backward, raw[::-1])[::-1]):
+        both = [*f, *g, 1.0]
+        logits = [sum(v * float(net.out[k][c]) for k, v in enumerate(both)) for c in range(len(total))]
+        e = [math.exp(v) for v in logits]
+        total = [t + v / sum(e) for t, v in zip(total, e)]
+    return total
+
+
+def test_predictions_match_a_plain_network():
+    net, rng = langid.Network.fresh(["a", "b", "c"], 5, 3), random.Random(2)
+    texts = [text(rng, n) for n in (1, 7, 30, 400)] + ["é" * 60, "x", None, "123"]
+    langs, scores = langid.predict_texts(net, texts)
+    for t, lang, score in zip(texts, langs, scores):
+        if not t or not re.search("[^\\W\\d_]", t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        raw = t.encode()
+        parts = [plain_network(net, raw[k : k + langid.WINDOW]) for k in range(0, len(raw), langid.WINDOW)]
+        total = [sum(p[c] for p in parts) for c in range(3)]
+        assert abs(score - max(total) / sum(total)) < 1e-3 and lang == "abc"[total.index(max(total))]
+
+
+def test_training_takes_each_id_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_DOCS", 10)
+    rng = random.Random(1)
+    rows = [(i, text(rng, 20), ["en", "fr"][i % 2]) for i in range(300)] + [(0, "zz " * 30, "en")] * 500
+    got = langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert {lang for lang, _ in got} == {"en", "fr"} and len(got) <= 2 * 10 * langid.WINDOWS_PER_DOC
+
+
 def test_language_is_learned_and_held_out(spark, empty):
     rng = random.Random(6)
     alphabet = {"aa": "abcdefg", "bb": "nopqrst"}
