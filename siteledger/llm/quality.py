@@ -2,34 +2,35 @@
 
 Base rules count words, symbols, repeated lines and repeated five-word windows of the whole text. For documents
 that pass, a vector of transformed statistics is held against a minimum-covariance-determinant estimate of its
-language and source: from a start by medians and median deviations, concentration steps take the half of the group
-that lies nearest (by Mahalanobis distance) and estimate mean and covariance from it again. A document whose
-distance to the last estimate exceeds the cut is rejected.
+language and source. There are several starts: the half of the group that is nearest to the medians on all axes
+together, and on each axis alone. From each, concentration steps take the half that lies nearest (by Mahalanobis
+distance) and estimate mean and covariance from it again, until the determinant falls no more; the start of the
+smallest determinant is kept. A document is rejected if its distance lies more than SPREADS robust standard deviations
+over the median distance of its group, so the cut follows each group's own distances.
 
-All sums are grouped with map-side combining, and the nearest half is found from counts of distance bins, so that
+All sums are grouped with map-side combining, and halves, medians and cuts are found from counts of bins, so that
 no group is gathered anywhere and equal input gives equal results. Groups of fewer than MIN_GROUP documents use
 their language's estimate, and languages as small as that the estimate over all.
 
-Defined cases: null and blank texts have no words and fail the base rules; null language and source are values of
-their own; repeated rows are judged each, and counted each; rows with a null id are judged too; an empty table gives
-an empty result; other columns are ignored.
+Defined cases: null and blank texts have no words and fail the base rules; very long texts are read whole; ties (equal
+distances) are on one side of a cut; null language and source are values of their own; repeated rows are judged each,
+and counted each; rows with a null id are judged too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import SPACE, materialise
 
 MIN_GROUP = 50
-#: Squared Mahalanobis distance over which a document is rejected. Clean statistics have tails far heavier than
-#: the normal distribution's, so the cut lies well beyond its quantiles (chi-squared, 3 degrees: 16.3 at 0.999).
-CUT = 150.0
-STEPS = 3
-BINS = 32  # distance bins for each doubling
-#: Statistics that hardly vary in a group would make any difference an outlier: no axis is narrower than this.
+SPREADS = 10.0
+BINS = 32  # bins for each doubling of a distance
+#: The axes are logarithms and a share: differences under four hundredths mean nothing, so no axis is narrower.
 FLOOR = 0.04
+#: A determinant that falls by less than this share of it has stopped falling.
+STILL = 1e-3
 VECTOR = ["x0", "x1", "x2"]
 
 
@@ -78,8 +79,6 @@ def with_vector(stats: DataFrame) -> DataFrame:
 
 def _quantile(df: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
     """For each group the smallest value (rounded to a bin) that at least this share of its rows reach."""
-    from pyspark.sql import Window
-
     bins = df.select(*keys, F.floor(value).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     # One row for each group and bin: at most some thousands a group, however many documents it has.
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
@@ -114,34 +113,57 @@ def _bin(distance: Column) -> Column:
 
 
 def estimates(rows: DataFrame, key: str = "cell", vector: list[str] = VECTOR) -> DataFrame:
-    """key, mean and Cholesky factor of each group's minimum-covariance-determinant estimate. rows: key and vector."""
+    """key, mean m<i>, Cholesky factor l<i><j> and determinant (its logarithm) of each group's estimate. rows: key and vector."""
     d = len(vector)
     # Estimates are written tables, so that Spark knows their size: it broadcasts them only while they are small.
-    # Start: medians and median absolute deviations of each axis, to a 200th.
     long = rows.select(key, F.posexplode(F.array(*vector)).alias("axis", "x"))
     median = _quantile(long, [key, "axis"], F.col("x") * 200, 0.5).select(key, "axis", ((F.col("bin") + 0.5) / 200).alias("med"))
     median = materialise(median, "median")
     spread = _quantile(long.join(median, [key, "axis"]), [key, "axis"], F.abs(F.col("x") - F.col("med")) * 200, 0.5)
-    start = median.join(spread, [key, "axis"]).groupBy(key).agg(
-        *[F.max(F.when(F.col("axis") == i, F.col("med"))).alias(f"m{i}") for i in range(d)],
-        *[F.max(F.when(F.col("axis") == i, F.greatest(1.4826 * (F.col("bin") + 0.5) / 200, F.lit(FLOOR)))).alias(f"l{i}{i}") for i in range(d)],
-    )
+    width = F.greatest(1.4826 * (F.col("bin") + 0.5) / 200, F.lit(FLOOR))
+    at = lambda c, i: F.max(F.when(F.col("axis") == i, c))
+    first = median.join(spread, [key, "axis"]).groupBy(key).agg(*[at(F.col("med"), i).alias(f"m{i}") for i in range(d)], *[at(width, i).alias(f"l{i}{i}") for i in range(d)])
     for i in range(d):
         for j in range(i):
-            start = start.withColumn(f"l{i}{j}", F.lit(0.0))
-    now = materialise(start, "mcd")
-    for _ in range(STEPS):
+            first = first.withColumn(f"l{i}{j}", F.lit(0.0))
+    # Start -1 is near on all axes, start i on axis i: the others are a thousand times as wide.
+    starts = first.select("*", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("start"))
+    wide = lambda i: F.when((F.col("start") >= 0) & (F.col("start") != i), 1000.0).otherwise(1.0)
+    now = starts.withColumns({f"l{i}{i}": F.col(f"l{i}{i}") * wide(i) for i in range(d)}).withColumn("determinant", F.lit(float("inf")))
+    now, settled = materialise(now, "mcd"), []
+    while True:
         far = rows.join(now, key).withColumn("bin", F.floor(_bin(_distance(vector, d))))
-        half = _quantile(far, [key], F.col("bin"), 0.5).withColumnRenamed("bin", "half")
-        near = far.join(materialise(half, "half"), key).filter(F.col("bin") <= F.col("half"))
+        half = _quantile(far, [key, "start"], F.col("bin"), 0.5).withColumnRenamed("bin", "half")
+        near = far.join(materialise(half, "half"), [key, "start"]).filter(F.col("bin") <= F.col("half"))
         shifted = [(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(vector)]  # about the last mean, for exactness
-        sums = near.groupBy(key, *[f"m{i}" for i in range(d)]).agg(F.count("*").alias("n"), *[F.sum(F.round(s, 9)).alias(f"s{i}") for i, s in enumerate(shifted)], *[F.sum(F.round(shifted[i] * shifted[j], 9)).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)])
+        exact = lambda c: F.sum(F.round(c, 9).cast("decimal(28,9)")).cast("double")
+        sums = near.groupBy(key, "start", "determinant", *[f"m{i}" for i in range(d)]).agg(F.count("*").alias("n"), *[exact(s).alias(f"s{i}") for i, s in enumerate(shifted)], *[exact(shifted[i] * shifted[j]).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)])
         n = F.col("n")
         # The half that lies nearest is narrower than the whole; 2.5 makes three normal axes agree again.
         cov = {f"c{i}{j}": 2.5 * (F.col(f"p{i}{j}") / n - F.col(f"s{i}") * F.col(f"s{j}") / n / n) for i in range(d) for j in range(i + 1)}
         moved = sums.withColumns(cov).withColumns({f"m{i}": F.col(f"m{i}") + F.col(f"s{i}") / n for i in range(d)})
-        now = materialise(_cholesky(moved, d).select(now.columns), "mcd")
-    return now
+        moved = _cholesky(moved, d).withColumn("was", F.col("determinant")).withColumn("determinant", sum(F.log(f"l{i}{i}") for i in range(d)) * 2)
+        moved = materialise(moved.select(*now.columns, (F.col("determinant") < F.col("was") + F.log1p(F.lit(-STILL))).alias("falls")), "mcd")
+        settled.append(moved.filter("not falls").drop("falls"))
+        now = materialise(moved.filter("falls").drop("falls"), "mcd")
+        # Every further round lowers each determinant by its share STILL, and the floors bound it, so rounds end.
+        if now.isEmpty():
+            break
+    every = settled[0]
+    for more in settled[1:]:
+        every = every.unionByName(more)
+    fields = [c for c in every.columns if c != key]
+    best = every.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct("determinant", "start")).alias("best"))
+    return materialise(best.select(key, *[F.col("best")[c].alias(c) for c in fields if c != "start"]), "mcd")
+
+
+def cuts(rows: DataFrame, fitted: DataFrame, key: str = "cell", vector: list[str] = VECTOR, spreads: float = SPREADS) -> DataFrame:
+    """key, cut: the square of the distance that lies ``spreads`` robust standard deviations over the median one."""
+    far = rows.join(fitted, key).select(key, (F.least(F.sqrt(_distance(vector, len(vector))), F.lit(1e4)) * BINS).alias("d"))
+    middle = materialise(_quantile(far, [key], F.col("d"), 0.5).withColumnRenamed("bin", "middle"), "middle")
+    spread = _quantile(far.join(middle, key), [key], F.abs(F.col("d") - F.col("middle") - 0.5), 0.5)
+    cut = (F.col("middle") + 0.5 + spreads * 1.4826 * (F.col("bin") + 0.5)) / BINS
+    return middle.join(spread, key).select(key, (cut * cut).alias("cut"))
 
 
 def cells(stats: DataFrame) -> DataFrame:
@@ -155,21 +177,22 @@ def cells(stats: DataFrame) -> DataFrame:
     return joined.select(F.col("p.lang").alias("lang"), F.col("p.source").alias("source"), cell.alias("cell"), F.array_distinct(F.array(own, of_lang, F.lit("\x03"))).alias("of"))
 
 
-def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept, and distance (null where the base failed)."""
+def judge(docs: DataFrame, spreads: float = SPREADS) -> DataFrame:
+    """doc_id, n_words, the base counts, base_failed, kept, and distance and its cut (null where the base failed)."""
     stats = with_vector(materialise(statistics(docs), "statistics"))
     groups = materialise(cells(stats), "cells")
-    on = stats["lang"].eqNullSafe(groups["lang"]) & stats["source"].eqNullSafe(groups["source"])
-    passing = stats.filter("not base_failed").join(groups.hint("merge"), on).select(groups["cell"], groups["of"], *VECTOR)
-    used = [r.cell for r in groups.select("cell").distinct().limit(2).collect()]
-    if not used:
-        return stats.select(*_OUT, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    if groups.isEmpty():
+        return stats.select(*_OUT, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("cut"))
+    named = groups.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "cell", "of")
+    on = stats["lang"].eqNullSafe(F.col("of_lang")) & stats["source"].eqNullSafe(F.col("of_source"))
+    passing = stats.filter("not base_failed").join(named, on).select("cell", "of", *VECTOR)
     # A document counts for its own cell and, where that is too small, for the wider ones that are in use.
-    wide = passing.select(F.explode("of").alias("cell"), *VECTOR).join(groups.select("cell").distinct(), "cell", "left_semi")
-    fitted = estimates(materialise(wide, "vectors"))
-    judged = stats.join(groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "cell"), stats["lang"].eqNullSafe(F.col("_lang")) & stats["source"].eqNullSafe(F.col("_source")) & ~F.col("base_failed"), "left")
-    far = judged.join(fitted, "cell", "left").withColumn("distance", _distance(VECTOR, len(VECTOR)))
-    return far.select(*_OUT, (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"), "distance")
+    wide = materialise(passing.select(F.explode("of").alias("cell"), *VECTOR).join(groups.select("cell").distinct(), "cell", "left_semi"), "vectors")
+    fitted = estimates(wide)
+    limits = materialise(fitted.join(cuts(wide, fitted, spreads=spreads), "cell"), "limits")
+    judged = stats.join(named, on & ~F.col("base_failed"), "left")
+    far = judged.join(limits, "cell", "left").withColumn("distance", _distance(VECTOR, len(VECTOR)))
+    return far.select(*_OUT, (~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cut"), F.lit(True))).alias("kept"), "distance", "cut")
 
 
 _OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -292,6 +292,65 @@ def test_quality_base_rules_match_brute_force(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def plain_quantile(values, share):
+    """The smallest bin that at least this share of the values reach."""
+    bins = sorted(np.floor(values))
+    return bins[max(0, int(np.ceil(share * len(bins) - 1e-9)) - 1)]
+
+
+def plain_estimate(x):
+    """Mean, Cholesky factor and log determinant by concentration steps from four starts, in numpy."""
+    n, d = x.shape
+    med = np.array([(plain_quantile(x[:, i] * 200, 0.5) + 0.5) / 200 for i in range(d)])
+    mad = np.array([max(1.4826 * (plain_quantile(abs(x[:, i] - med[i]) * 200, 0.5) + 0.5) / 200, quality.FLOOR) for i in range(d)])
+    best = None
+    for start in range(-1, d):
+        m, low, det = med, np.diag([mad[i] * (1000 if start >= 0 and start != i else 1) for i in range(d)]), np.inf
+        while True:
+            dist = plain_distance(x, m, low)
+            bins = np.floor(np.clip(np.log2(dist + 1e-9) * quality.BINS, -30 * quality.BINS, 40 * quality.BINS))
+            near = x[bins <= plain_quantile(bins, 0.5)]
+            m, cov, low = near.mean(0), 2.5 * np.cov(near.T, bias=True), np.zeros((d, d))
+            for i in range(d):
+                for j in range(i + 1):
+                    rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                    low[i, j] = np.sqrt(max(rest, quality.FLOOR**2)) if i == j else rest / low[j, j]
+            was, det = det, 2 * np.log(np.diag(low)).sum()
+            if not det < was + np.log1p(-quality.STILL):
+                break
+        if best is None or (det, start) < best[0]:
+            best = (det, start), m, low
+    return best[1:]
+
+
+def plain_distance(x, m, low):
+    return (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+
+
+def test_quality_distances_match_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for cell, n in (("a", 300), ("b", 81)):
+        x = rng.normal(0, [0.3, 1.0, 0.1], (n, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]])
+        x[: n // 5] += [2, 8, 0.5]
+        x[:10] = x[10]  # ties
+        rows += [(cell, *map(float, v)) for v in x]
+    table = quality.materialise(spark.createDataFrame(rows, "cell string, x0 double, x1 double, x2 double").repartition(3), "t")
+    fitted = {r.cell: r for r in quality.estimates(table).collect()}
+    limits = {r.cell: r.cut for r in quality.cuts(table, quality.estimates(table)).collect()}
+    for cell in "ab":
+        x = np.array([r[1:] for r in rows if r[0] == cell])
+        m, low = plain_estimate(x)
+        got = fitted[cell]
+        assert np.allclose([got[f"m{i}"] for i in range(3)], m, atol=1e-6)
+        assert np.allclose([[got[f"l{i}{j}"] if j <= i else 0 for j in range(3)] for i in range(3)], low, atol=1e-6)
+        dist = np.sqrt(plain_distance(x, m, low)) * quality.BINS
+        middle = plain_quantile(dist, 0.5)
+        cut = (middle + 0.5 + quality.SPREADS * 1.4826 * (plain_quantile(abs(dist - middle - 0.5), 0.5) + 0.5)) / quality.BINS
+        assert np.isclose(limits[cell], cut**2)
+        assert (plain_distance(x, m, low)[: len(x) // 5] > plain_distance(x, m, low)[len(x) // 5 :].max()).mean() > 0.9
+
+
 def test_quality_rejects_outliers_only(spark):
     rng = random.Random(5)
     rows = [(i, text(rng, rng.randint(30, 300)), ["en", "fr"][i % 2], "s") for i in range(300)]
