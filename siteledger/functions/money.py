@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.steps import bound
 from siteledger.functions.text import compact, let, trim_wide
 
 SCALE = 1_000_000  # quantities are integers in millionths
@@ -79,71 +80,70 @@ def unit_in(raw: Column) -> Column:
     return F.when(found != "", _unit_name(found))
 
 
-def price(raw: Column, role: Column, currency_hint: Column, amount_hint: Column, unit_hint: Column, conditions: Column) -> Column:
-    """struct(role, status, money, maximum, unit, conditions, totals_eligible): a price text read against its metadata.
+def with_price(df: DataFrame, raw: Column, role: Column, currency_hint: Column, amount_hint: Column, unit_hint: Column, conditions: Column, name: str = "price") -> DataFrame:
+    """Adds struct(role, status, money, maximum, unit, conditions, totals_eligible): a price text read against its metadata.
 
-    Metadata may supply a currency or unit that the text lacks; it never replaces what the text says.
+    | the text has | money | role |
+    | --- | --- | --- |
+    | one priced amount | that amount | as given, FROM after "from" |
+    | none, but is a bare number | that number in the metadata's currency | as given |
+    | two amounts with a dash | the first; the second is the maximum | RANGE |
+    | several otherwise, or a minus | none | as given, for review |
+
+    Metadata may supply a currency or unit that the text lacks; it never replaces what the text says: a difference is a
+    condition, and a price with one is for review.
     """
-    # Each step is evaluated once and handed to the next as a struct.
-    seen = F.struct(
-        raw.alias("raw"),
-        role.alias("role"),
-        F.regexp_extract_all(raw, F.lit(PRICED), F.lit(1)).alias("amounts"),
-        currency_in(raw).alias("currency"),
-        F.upper(trim_wide(currency_hint)).alias("currency_hint"),
-        commerce_decimal(amount_hint).alias("amount_hint"),
-        amount_hint.isNotNull().alias("has_amount_hint"),
-        commerce_decimal(raw).alias("bare"),
-        units_in(raw).alias("units"),
-        unit_in(raw).alias("unit"),
-        trim_wide(unit_hint).alias("unit_hint"),
-        conditions.alias("conditions"),
+    kept = df.columns
+    c = lambda name: F.col(f"_price_{name}")
+    step = lambda df, **columns: bound(df, **{f"_price_{name}": x for name, x in columns.items()})
+    df = step(
+        df,
+        raw=raw,
+        given=role,
+        amounts=F.regexp_extract_all(raw, F.lit(PRICED), F.lit(1)),
+        currency=currency_in(raw),
+        currency_hint=F.upper(trim_wide(currency_hint)),
+        amount_hint=commerce_decimal(amount_hint),
+        has_amount_hint=amount_hint.isNotNull(),
+        bare=commerce_decimal(raw),
+        is_amount=commerce_decimal(raw, 2).isNotNull(),
+        units=units_in(raw),
+        unit=unit_in(raw),
+        unit_hint=trim_wide(unit_hint),
+        known=conditions,
     )
-    return let(seen, lambda s: let(_amounts(s), lambda a: let(_judged(s, a), lambda j: _priced(s, a, j))))
-
-
-def _amounts(s: Column) -> Column:
-    n, raw = F.size(s["amounts"]), s["raw"]
-    first, second = (trim_wide(F.try_element_at(s["amounts"], F.lit(i))) for i in (1, 2))
-    visible = F.when(n == 1, commerce_decimal(first)).when(n == 0, s["bare"])
-    is_range = (n == 2) & raw.rlike("[–—-]")
-    negative = ~is_range & raw.rlike(r"(?:^|\s)[−-]\s*\d")
-    currency = F.when(n > 0, s["currency"]).otherwise(F.coalesce(s["currency_hint"], s["currency"]))
-    amount = F.when(is_range, first).when(~negative, visible)
-    return F.struct(n.alias("n"), visible.alias("visible"), is_range.alias("is_range"), money(amount, currency).alias("value"), F.when(is_range, money(second, currency)).alias("maximum"))
-
-
-def _judged(s: Column, a: Column) -> Column:
-    raw = s["raw"]
+    n = F.size(c("amounts"))
+    is_range = (n == 2) & c("raw").rlike("[–—-]")
+    first, second = (trim_wide(F.try_element_at(c("amounts"), F.lit(i))) for i in (1, 2))
+    df = step(df, n=n, is_range=is_range, negative=~is_range & c("raw").rlike(r"(?:^|\s)[−-]\s*\d"), first=first, second=second)
+    df = step(df, visible=F.when(c("n") == 1, commerce_decimal(c("first"))).when(c("n") == 0, c("bare")), of=F.when(c("n") > 0, c("currency")).otherwise(F.coalesce(c("currency_hint"), c("currency"))))
+    df = step(df, amount=F.when(c("is_range"), c("first")).when(~c("negative"), c("visible")), most=F.when(c("is_range"), c("second")))
+    df = step(df, value=money(c("amount"), c("of")), maximum=money(c("most"), c("of")))
     conflicts = compact(
-        F.when((a["n"] > 0) & s["currency_hint"].isNotNull() & ~s["currency_hint"].eqNullSafe(s["currency"]), F.lit("Visible currency conflicts with metadata")),
-        F.when(s["has_amount_hint"] & ~F.coalesce(s["amount_hint"] == a["visible"], F.lit(False)), F.lit("Visible amount conflicts with metadata")),
-        F.when(F.size(s["units"]) > 1, F.lit("Conflicting visible price units")),
-        F.when((s["unit_hint"] != "") & (s["unit_hint"] != s["unit"]), F.lit("Visible unit conflicts with metadata")),
+        F.when((c("n") > 0) & c("currency_hint").isNotNull() & ~c("currency_hint").eqNullSafe(c("currency")), F.lit("CURRENCY_CONFLICT")),
+        F.when(c("has_amount_hint") & ~F.coalesce(c("amount_hint") == c("visible"), F.lit(False)), F.lit("AMOUNT_CONFLICT")),
+        F.when(F.size(c("units")) > 1, F.lit("SEVERAL_UNITS")),
+        F.when((c("unit_hint") != "") & (c("unit_hint") != c("unit")), F.lit("UNIT_CONFLICT")),
     )
-    rest = F.regexp_replace(raw, rf"(?i){AMOUNT}\s*(?:{CODES}|₽|€|{RUBLES})(?=\s|$|/)", "")
-    rest = F.regexp_replace(rest, "(?iu)" + UNIT, "")
-    rest = F.regexp_replace(rest, r"(?iu)(?:^|\s)(?:от|from|цена|price)(?=\s|$|:)", "")
-    rest = F.regexp_replace(rest, r"[\s\u00A0\u202F:;,.()–—-]", "")
-    bare = s["currency_hint"].isNotNull() & F.coalesce(commerce_decimal(raw, 2).isNotNull(), F.lit(False))
-    role = F.when(a["is_range"], "RANGE").when(raw.rlike(r"(?iu)(?:^|\s)(?:от|from)(?=\s|\d|$)") & (s["role"] != "OLD"), "FROM").otherwise(s["role"])
-    leftover = F.when(~bare & (rest != ""), F.concat(F.lit("Unparsed price condition/text: "), raw))
-    return F.struct(role.alias("role"), conflicts.alias("conflicts"), F.concat(s["conditions"], compact(leftover), conflicts).alias("conditions"))
-
-
-def _priced(s: Column, a: Column, j: Column) -> Column:
-    review = a["value"].isNull() | (F.size(j["conflicts"]) > 0) | ((a["n"] > 1) & ~a["is_range"]) | (j["role"] == "UNKNOWN")
-    unit = F.coalesce(s["unit"], s["unit_hint"])
-    eligible = ~review & (j["role"] == "CURRENT") & a["value"]["minor"].isNotNull() & unit.isNotNull() & (F.size(j["conditions"]) == 0)
-    return F.struct(
-        j["role"].alias("role"),
-        F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED").alias("status"),
-        a["value"].alias("money"),
-        a["maximum"].alias("maximum"),
-        unit.alias("unit"),
-        j["conditions"].alias("conditions"),
+    rest = c("raw")
+    for read in (rf"(?i){AMOUNT}\s*(?:{CODES}|₽|€|{RUBLES})(?=\s|$|/)", "(?iu)" + UNIT, r"(?iu)(?:^|\s)(?:от|from|цена|price)(?=\s|$|:)", r"[\s\u00A0\u202F:;,.()–—-]"):
+        rest = F.regexp_replace(rest, read, "")
+    bare = c("currency_hint").isNotNull() & c("is_amount")
+    what = F.when(c("is_range"), "RANGE").when(c("raw").rlike(r"(?iu)(?:^|\s)(?:от|from)(?=\s|\d|$)") & (c("given") != "OLD"), "FROM").otherwise(c("given"))
+    df = step(df, role=what, conflicts=conflicts, leftover=F.when(~bare & (rest != ""), F.concat(F.lit("UNREAD_TEXT: "), c("raw"))), minor=c("value")["minor"])
+    review = c("value").isNull() | (F.size(c("conflicts")) > 0) | ((c("n") > 1) & ~c("is_range")) | (c("role") == "UNKNOWN")
+    df = step(df, review=review, unit_found=F.coalesce(c("unit"), c("unit_hint")), conditions=F.concat(c("known"), compact(c("leftover")), c("conflicts")))
+    eligible = ~c("review") & (c("role") == "CURRENT") & c("minor").isNotNull() & c("unit_found").isNotNull() & (F.size(c("conditions")) == 0)
+    found = F.struct(
+        c("role").alias("role"),
+        F.when(c("review"), "REQUIRES_REVIEW").otherwise("OBSERVED").alias("status"),
+        c("value").alias("money"),
+        c("maximum").alias("maximum"),
+        c("unit_found").alias("unit"),
+        c("conditions").alias("conditions"),
         F.coalesce(eligible, F.lit(False)).alias("totals_eligible"),
     )
+    return df.select(*[F.col(f"`{c}`") for c in kept], found.alias(name))
 
 
 def subtotal_minor(minor: Column, quantity_scaled: Column) -> Column:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteledger.functions.steps import bound as bound
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the folder that spark.checkpoint.dir names.
@@ -27,14 +29,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns, each computed once a row: the optimiser does not copy them into what uses them.
-
-    Nested conditions that are used many times would otherwise multiply the plan.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def require(df: DataFrame, bad: Column, message: str) -> DataFrame:
     """The same rows; a row for which ``bad`` holds fails the job.
 

@@ -108,7 +108,8 @@ def selections(parsed: DataFrame, key: str = "url") -> DataFrame:
 def visible_prices(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, ord, price: the page's price texts read against their metadata."""
     rows = parsed.select(key, F.explode("parse.prices").alias("p"))
-    return rows.select(key, "p.ord", money.price(F.col("p.raw"), F.col("p.role"), F.col("p.currency"), F.col("p.amount"), F.lit(None).cast("string"), F.array().cast("array<string>")).alias("price"))
+    priced = money.with_price(rows, F.col("p.raw"), F.col("p.role"), F.col("p.currency"), F.col("p.amount"), F.lit(None).cast("string"), F.array().cast("array<string>"))
+    return priced.select(key, "p.ord", "price")
 
 
 def selected_fields(captures: DataFrame) -> DataFrame:

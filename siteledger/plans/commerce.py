@@ -105,7 +105,7 @@ def _price_texts(spark, d):
     k = F.col("p_size") % 5
     text = F.when(k == 0, F.concat("amount", F.lit(" RUB/шт."))).when(k == 1, F.concat(F.lit("от "), F.col("amount"), F.lit(" RUB / м²"))).when(k == 2, F.concat("amount", F.lit(" RUB – 99999.00 RUB"))).when(k == 3, F.concat("amount", F.lit(" RUB/шт. по акции"))).otherwise(F.concat(F.lit("-"), F.col("amount"), F.lit(" RUB/шт.")))
     none = F.lit(None).cast("string")
-    return p.select("p_partkey", "p_size", "cents", text.alias("text"), money.price(text, F.lit("CURRENT"), none, none, none, F.array().cast("array<string>")).alias("price"))
+    return money.with_price(p.select("p_partkey", "p_size", "cents", text.alias("text")), F.col("text"), F.lit("CURRENT"), none, none, none, F.array().cast("array<string>"))
 
 
 @query(

@@ -117,7 +117,7 @@ def test_money(spark):
 )
 def test_price_texts(spark, raw, role, currency, amount, unit, want):
     df = spark.createDataFrame([(raw, role, currency, amount, unit)], "raw string, role string, c string, a string, u string")
-    p = df.select(money.price(F.col("raw"), F.col("role"), F.col("c"), F.col("a"), F.col("u"), F.array().cast("array<string>")).alias("p")).first().p
+    p = money.with_price(df, F.col("raw"), F.col("role"), F.col("c"), F.col("a"), F.col("u"), F.array().cast("array<string>"), "p").first().p
     assert (p.role, p.status, p.money and p.money.minor, p.unit, len(p.conditions), p.totals_eligible) == want
 
 
