@@ -160,32 +160,39 @@ def _balance(p, u, prior: float) -> float:
     return float(cuts[np.nonzero(lost <= lost.min() + 1e-12)[0][-1]])
 
 
-def _columns(names: list[str], kinds: list, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
 def feature_counts(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
     """feature, n: in how many texts each known feature is (known None: every feature); feature null: all texts.
 
     texts: one column. A task adds up what it reads and sends its sums.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(0 if known is None else len(known), np.int64), 0
-        find = slots_of(known) if known is not None else None
-        every: dict[int, int] = {}
+    def sums(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64())], ["feature", "n"])
+
+    def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, find = np.zeros(len(known), np.int64), 0, slots_of(known)
         for batch in batches:
             for text in batch.column(0):
-                n += 1
-                if find:
-                    found = find(text.as_py())
-                    total[np.fromiter(found, np.int64, len(found))] += 1
-                else:
-                    for f in {f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in features(w)}:
-                        every[f] = every.get(f, 0) + 1
-        pairs = every.items() if known is None else ((int(known[k]), int(total[k])) for k in np.nonzero(total)[0])
-        rows = [(None, n), *pairs]
-        yield _columns(["feature", "n"], [pa.int64(), pa.int64()], *zip(*rows, strict=True))
+                found = find(text.as_py())
+                total[np.fromiter(found, np.int64, len(found))] += 1
+            n += batch.num_rows
+        at = np.flatnonzero(total)
+        yield sums(known[at], total[at])
+        yield sums([None], [n])
+
+    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.fromiter({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in features(w)}, np.int64))
+                size += len(held[-1])
+                if size > 200_000:  # what a task holds does not grow with what it reads
+                    yield sums(*np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
+            yield sums([None], [batch.num_rows])
+        yield sums(*np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True))
+
+    run = of_all if known is None else of_known
 
     return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
@@ -226,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs:
 
     # Both samples are bounded by their limits, so they can be broadcast. One row an id: that of the least text.
     confirmed = materialise(part.join(F.broadcast(positives), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"), "confirmed")
-    in_p = {r.feature: r.n for r in feature_counts(confirmed, None).collect() if r.feature is None or r.n > 1}
+    in_p = {r.feature: r.n for r in feature_counts(confirmed, None).filter("feature is null or n > 1").collect()}
     n_p = in_p.pop(None, 0)
     known = np.array(sorted(f for f, n in in_p.items() if n >= max(2, n_p // 1000)), np.int64)
     in_u = {r.feature: r.n for r in feature_counts(part.select("text"), known).collect()} if n_p else {}
