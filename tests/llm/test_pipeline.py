@@ -75,6 +75,24 @@ def test_run_is_the_stages_one_after_another(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_stages_take_nulls_ties_and_clashing_columns(spark, folder):
+    rng = random.Random(5)
+    one, long = text(rng, 40), text(rng, 30_000)
+    rows = [(1, one, None, None, None), (1, one, None, None, None), (2, one, "en", "s", 1), (None, one, None, None, None), (None, None, None, None, None), (3, None, "en", None, None), (4, "", None, "s", 0), (5, " \n ", None, None, 3), (6, long, None, None, len(long)), (7, "word", None, None, 4)]
+    extra = "toxicity_score double, digest string, cuts int, found_id int, kept_id int, label string, node long, slots binary, sequence_id long, offset long, key string, g int"
+    table = spark.createDataFrame([(*r, *[None] * 12) for r in rows], f"{SCHEMA}, {extra}").repartition(3)
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.dtypes == table.dtypes
+        docs.write.parquet(f"{folder}/odd-{name}")
+        docs = spark.read.parquet(f"{folder}/odd-{name}")
+    kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert kept == sorted([(1, one), (3, None), (6, long), (7, "word")], key=repr)  # blank texts are one group, with null
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in packed} == {1, 3, 6, 7}
+
+
 def test_stages_take_an_empty_table(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
