@@ -7,7 +7,8 @@ until a pass changes nothing. Bins that stay underfull are dissolved and dealt a
 round, until one group is left, so that the loss does not grow with the number of groups. A group passes on half of
 its pieces at most and closes its fullest bins beyond that, so every round has fewer groups than the one before.
 
-Defined cases: null text packs as an empty document (its end token alone); repeated rows are packed each for
+Defined cases: null text packs as an empty document (its end token alone); very long texts are cut into pieces, none is
+lost; ties (equal lengths) are packed in the order of their keys; repeated rows are packed each for
 itself; rows with a null id are packed too; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -7,7 +7,8 @@ a slot stores a 32-bit fingerprint of the key, the offset and length of the docu
 that key. A lookup hashes the key once a level, so it takes constant time, and the fingerprint rejects a key that
 is not there. Shards hold ascending ranges of doc_id, so the manifest's bounds name the shards of a key.
 
-Defined cases: null text is empty (its end id alone); rows with a null id come first and are kept under a key of
+Defined cases: null text is empty (its end id alone); very long texts are encoded whole; ties (rows of one id) are in the
+order of their texts' hashes; rows with a null id come first and are kept under a key of
 their own; repeated rows of an id lie side by side and are all counted; an empty table gives no shard and an empty
 result; other columns are ignored. A task that runs twice writes a file of another name; only the file that its
 successful attempt reports is in the manifest.

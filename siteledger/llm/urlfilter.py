@@ -8,7 +8,7 @@ otherwise both sides are dealt by the hash prefix, after the URLs have been made
 Defined cases: a null URL, and one without ``://``, has an empty host and path; user info and port are part of the
 host; A-Z in the host is lower-cased, the path is left as it is; a rule's path fits any path that starts with it (an
 empty path starts with no ``/``); of rules of equal length the one with the longer host wins, then block before
-allow; repeated rows are judged each; empty tables give empty results; other columns are ignored.
+allow; very long URLs are expanded whole; repeated rows are judged each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

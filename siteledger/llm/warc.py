@@ -8,7 +8,8 @@ the magic occurs, and emits (offset, offset of the successor by the header's len
 whole records, so candidates alone prove nothing: pointer jumping from each file's start, doubling the distance
 every round, retains the offsets on the chain. The chain of a whole file ends at its size; another end is an error.
 
-Defined cases: a null html is an empty payload; null URLs are written as empty; control characters and white space in
+Defined cases: a null html is an empty payload; very long payloads are written whole; of equal payloads (ties) that of the
+smallest page_id is the response; null URLs are written as empty; control characters and white space in
 URLs are percent-encoded; rows with a null page_id are written without one, and rank after all others when a response is chosen; repeated rows of the
 smallest page_id are all responses; an empty table gives no archive and an empty result; other columns are ignored.
 """
