@@ -62,6 +62,8 @@ def facets(items: DataFrame, names: int = 20, values: int = 200) -> DataFrame:
     pairs = items.select(F.explode("attributes").alias("name", "all")).select("name", F.explode("all").alias("value"))
     counted = pairs.groupBy("name", "value").agg(F.count("*").alias("items"))
     chosen = counted.select("name").distinct().orderBy("name").limit(names)
-    by_name = Window.partitionBy("name")
-    rows = counted.join(F.broadcast(chosen), "name").withColumn("n", F.row_number().over(by_name.orderBy("value"))).withColumn("distinct_values", F.count("*").over(by_name))
-    return rows.filter(F.col("n") <= values).select("name", "value", "items", (F.col("distinct_values") > values).alias("limited"))
+    rows = counted.join(F.broadcast(chosen), "name")
+    # Tasks keep their own first values of a name before any is ranked as a whole; the counts need no order.
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("value"))).filter(F.col("n") <= values)
+    sizes = rows.groupBy("name").agg(F.count("*").alias("distinct_values"))
+    return first.join(F.broadcast(sizes), "name").select("name", "value", "items", (F.col("distinct_values") > values).alias("limited"))

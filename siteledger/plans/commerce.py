@@ -460,3 +460,38 @@ def j15_catalog_projection(spark, d):
     category_map = brands.select(F.col("p_brand").alias("category"), F.concat(F.lit("B/"), F.col("p_brand")).alias("target_category")).unionByName(brands.filter("p_brand not like '%5'").select(F.col("p_brand").alias("category"), F.lit("all").alias("target_category")))
     crumbs = p.select(F.col("p_partkey").alias("entity_source_id"), F.when(F.col("p_size") % 3 == 0, F.lit("unmapped")).otherwise(F.col("p_brand")).alias("category"))
     return catalog.project(p.select(F.col("p_partkey").alias("entity_source_id")), category_map, crumbs).select("entity_source_id", F.size("categories").alias("categories"), "product_key")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
+def c18_caps(spark, d):
+    return catalog.within_caps(t(spark, d, "part"), "p_brand", 1 << 40, "parts of a brand")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
+def r23_resume(spark, d):
+    """A prior queue's evidence and new inputs that overlap it."""
+    e = t(spark, d, "events").select("event_id", "user_id", "event_type")
+    seen = e.select("event_id")
+    witnesses, _ = queue.resume(e.filter("event_id % 3 <> 0"), seen, e.filter("event_id % 2 = 0"), seen)
+    return witnesses
+
+
+@query("SELECT event_id FROM events")
+def r24_budget(spark, d):
+    return queue.within_budget(t(spark, d, "events").select("event_id"), 1 << 40)
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Product' WHEN 1 THEN 'Article' WHEN 2 THEN 'Article' WHEN 3 THEN 'Service' ELSE 'Page' END AS type FROM part")
+def x13_entity_types(spark, d):
+    sets = [("Service", "Product", "Article"), ("Service", "NewsArticle"), ("BlogPosting",), ("Service",), ("WebPage",), ()]
+    classes = F.element_at(F.array(*[F.array(*map(F.lit, names)).cast("array<string>") for names in sets]), (F.col("p_size") % 6 + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", catalog.entity_type(classes).alias("type"))
+
+
+@query("SELECT p_partkey AS source_id, '/p/' || p_partkey AS request_target, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS brand, CASE WHEN p_size % 5 <> 0 THEN p_name || ' ' || p_type ELSE '' END AS body_text FROM part WHERE p_size % 3 <> 0")
+def j17_snapshot_items(spark, d):
+    p = t(spark, d, "part").withColumnRenamed("p_partkey", "source_id")
+    commerce = p.filter("p_size % 4 <> 0").select("source_id", F.col("p_brand").alias("brand"))
+    live = p.select(F.col("source_id").alias("entity_source_id"), F.concat(F.lit("/p/"), F.col("source_id").cast("string")).alias("request_target"), F.when(F.col("p_size") % 3 == 0, 404).otherwise(200).alias("expected_status"))
+    blocks = p.filter("p_size % 5 <> 0").select("source_id", F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.col("p_type").alias("text")), F.struct(F.lit(0).alias("ord"), F.col("p_name").alias("text")))).alias("b")).select("source_id", "b.*")
+    return catalog.items(p.select("source_id"), commerce, live, blocks).select("source_id", "request_target", "brand", "body_text")
