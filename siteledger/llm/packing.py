@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import materialise
-from siteledger.llm.tokens import default_vocabulary, encoder
+from siteledger.llm.tokens import Encoder, default_vocabulary, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -36,9 +36,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(n, head))] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, memo: int = 350_000) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, memo: int = 350_000, keep: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, memo)
+        enc = encoder(vocabulary, memo) if keep else Encoder(vocabulary, memo)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -146,10 +146,13 @@ def _exchange(a: list[int], b: list[int], size: list[int], room: int) -> tuple[i
     return best
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, end_id: int = 2, group: int = 16384, memo: int = 350_000) -> DataFrame:
-    """One row per piece with the sequence it is in and its place there. memo: units that a tokenising worker remembers."""
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, end_id: int = 2, group: int = 16384, memo: int = 350_000, keep: bool = True) -> DataFrame:
+    """One row per piece with the sequence it is in and its place there.
+
+    memo: units that a tokenising worker remembers; keep: whether it does so from task to task.
+    """
     spark = docs.sparkSession
-    all_pieces = materialise(pieces(docs, vocabulary or default_vocabulary(), capacity, end_id, memo), "pieces")
+    all_pieces = materialise(pieces(docs, vocabulary or default_vocabulary(), capacity, end_id, memo, keep), "pieces")
     numbered = all_pieces.withColumn("key", F.monotonically_increasing_id())
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = numbered.filter(F.col("length") == capacity).withColumn("sequence_id", F.col("key") * 2).withColumn("offset", F.lit(0).cast("long"))

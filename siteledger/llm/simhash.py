@@ -460,7 +460,7 @@ def digest() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
-def deduplicate(docs: DataFrame, seeds: int = 8, distance: int = 2, least: float = 0.8, size: int = 512, weight: int = 1_000_000) -> DataFrame:
+def deduplicate(docs: DataFrame, seeds: int = 6, distance: int = 2, least: float = 0.8, size: int = 512, weight: int = 1_000_000) -> DataFrame:
     """The documents without all but one of each group: its row with the smallest doc_id stays.
 
     Near copies have a five-word Jaccard similarity of ``least`` and more. A single fingerprint of shingles puts them
