@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import decontaminate, langid, negatives, packing, quality, shards, simhash, substrings, toxicity, urlfilter, warc
+from siteledger.llm import collocations, decontaminate, langid, negatives, packing, quality, shards, simhash, substrings, toxicity, urlfilter, warc
 from siteledger.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, scale=256, every=100, positives=5, negatives=10, low=30, high=90)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, subsumed=50, first=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -72,9 +76,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        w AS (SELECT lang, unnest(words) AS a, unnest(list_concat(words[2:], [NULL])) AS b, unnest(list_concat(words[3:], [NULL, NULL])[1:len(words)]) AS c FROM p WHERE len(words) > 0),
+        f1 AS (SELECT lang, a, count(*) AS f FROM w GROUP BY ALL),
+        f2 AS (SELECT lang, a, b, count(*) AS f FROM w WHERE b IS NOT NULL GROUP BY ALL),
+        f3 AS (SELECT lang, a, b, c, count(*) AS f FROM w WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY ALL),
+        s AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY ALL),
+        two AS (
+            SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, x.f AS l, y.f AS r
+            FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b LEFT JOIN s ON s.lang = f2.lang AND s.a = f2.a AND s.b = f2.b
+            WHERE f2.f >= 10 AND NOT coalesce(100 * s.f >= 50 * f2.f, false)),
+        three AS (
+            SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.f AS a, h.f AS h, t.f AS t, p.f AS p, e.f AS e
+            FROM f3 JOIN f1 h ON h.lang = f3.lang AND h.a = f3.a JOIN f2 t ON t.lang = f3.lang AND t.a = f3.b AND t.b = f3.c
+            JOIN f2 p ON p.lang = f3.lang AND p.a = f3.a AND p.b = f3.b JOIN f1 e ON e.lang = f3.lang AND e.a = f3.c),
+        cuts AS (
+            SELECT lang, phrase, a, 1 AS k, l, r FROM two
+            UNION ALL SELECT lang, phrase, a, 1, h, t FROM three
+            UNION ALL SELECT lang, phrase, a, 2, p, e FROM three),
+        scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+        least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least_cut)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op11_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
