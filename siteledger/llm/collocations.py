@@ -1,17 +1,16 @@
 """Phrase collocations by stripes.
 
-Every prefix of one or two words keys a stripe: a counter of the words that follow it, with the empty word for a
-prefix that ends its piece. Tasks count FLUSH words at a time and emit one stripe a prefix; stripes of a prefix are
-shuffled whole and merged elementwise. The merged stripes hold everything that is asked for: an entry is how often a
-phrase of two or three words occurs, the sum of a stripe is how often its prefix occurs (whatever follows), and
-the largest entry is the phrase's most frequent extension to the right; the entries of all stripes, taken by their last
-words, give the most frequent extension to the left.
-
-A prefix that is followed by very many different words is a hot key. The entries sent for it are counted (by a hash of
-the prefix, in tables of a few bytes a slot), and stripes of prefixes over HOT entries are split by the next word, so
-that no key brings more than about HOT entries to a task; sums of their parts are added up afterwards.
-
-Only entries and prefixes of ``least`` occurrences go on after the merge: a phrase occurs no more often than its parts.
+Every word keys a stripe: a counter of the words that follow it, each with a counter of its own next words; the empty word
+stands for the end of a piece. Tasks count FLUSH words at a time and emit one stripe a word; stripes of a word are shuffled
+whole and merged elementwise. The stripes hold everything that is asked for: their entries are the phrases of two and of
+three words, the sum of a stripe is how often its word occurs (whatever follows), an inner counter gives a phrase's most
+frequent extension to the right, and the inner entries, taken by their last two words, that to the left.
+
+A word that is followed by very many different words is a hot key. The entries sent are counted (by a hash of the word,
+in slots of a few bytes), and stripes in slots of over HOT entries are split by the next word, so that no key
+brings more than about HOT entries to a task.
+
+Only entries of ``least`` occurrences go on after the merge: a phrase occurs no more often than its parts.
 Scores are integers, from products of decimals of 38 digits; counts over 15 digits would raise an error.
 
 Defined cases: null, empty and blank texts have no words; very long texts are counted whole, a part at a time, and phrases
@@ -36,12 +35,13 @@ from siteledger.llm.common import materialise, shuffle_partitions
 FLUSH, FLUSH_WORDS, FLUSH_BYTES = 2_000_000, 1_000_000, 32 << 20
 #: Bytes of a text that are split at once.
 PART = 1 << 20
-#: Entries of a prefix that one task merges.
+#: Entries of a key that one task merges.
 HOT = 1 << 18
 END = b"\xff"  # stands in no UTF-8 text
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _GAP = re.compile(rb"[ \xff]")
-STRIPES = "lang string, prefix string, words int, next string, counts array<int>, total long"
+#: next: a line for each next word, with the words that follow both behind it; counts: a number for each of these.
+STRIPES = "lang string, word string, next string, counts string, entries int, total long"
 
 
 class _Numbers(dict):
@@ -61,35 +61,51 @@ def parts(text: bytes) -> Iterator[tuple[list[bytes], int]]:
     yield [END], 0
 
 
-def count_stripes(ids: np.ndarray, context: int, words: pa.Array) -> Iterator[tuple[int, pa.Array, pa.Array, pa.Array, np.ndarray]]:
-    """(words of the prefix, prefixes, next words, counts, totals) of an array of word numbers; 0 is END.
+def _counted(ids: np.ndarray, context: int, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the runs of n numbers that do not stand in ``context`` alone, with an END at most at their end."""
+    last = max(len(ids) - n + 1, 0)
+    fresh = np.arange(last) + n > context
+    for k in range(n - 1):
+        fresh &= ids[k : k + last] != 0
+    key = np.zeros(int(fresh.sum()), np.int64)
+    for k in range(n):
+        key = key * base + ids[k : k + last][fresh]
+    return np.unique(key, return_counts=True)
+
+
+def _joined(lengths: np.ndarray, values: pa.Array, by: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values), by)
 
-    The first ``context`` numbers were counted before and only complete prefixes.
+
+def count_stripes(ids: np.ndarray, context: int, words: pa.Array) -> list[pa.Array]:
+    """The columns of STRIPES but lang, of an array of word numbers, where 0 is END.
+
+    The first ``context`` numbers, two at most, were counted before.
     """
-    for n in (1, 2):
-        if len(ids) <= n:
-            continue
-        last = len(ids) - n
-        fresh = np.arange(last) + n >= context
-        for k in range(n):
-            fresh &= ids[k : k + last] != 0
-        key = np.zeros(int(fresh.sum()), np.int64)
-        for k in range(n + 1):
-            key = key * len(words) + ids[k : k + last][fresh]
-        entry, count = np.unique(key, return_counts=True)
-        if not len(entry):
-            continue
-        prefix, follow = np.divmod(entry, len(words))
-        start = np.flatnonzero(np.diff(prefix, prepend=-1))
-        offsets = pa.array(np.append(start, len(entry)).astype(np.int32))
-        named = [words.take(pa.array(p)) for p in ([prefix[start]] if n == 1 else np.divmod(prefix[start], len(words)))]
-        following = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(follow))), " ")
-        counts = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
-        yield n, named[0] if n == 1 else pc.binary_join_element_wise(*named, " "), following, counts, np.add.reduceat(count, start)
+    base = len(words)
+    pair, n_pair = _counted(ids, context, 2, base)
+    triple, n_triple = _counted(ids, context, 3, base)
+    inner = triple // base
+    outer = np.union1d(pair, inner)  # where a count begins or ends, one may lack
+    n_outer = np.zeros(len(outer), np.int64)
+    n_outer[np.searchsorted(outer, pair)] = n_pair
+    lengths = 1 + np.searchsorted(inner, outer, "right") - np.searchsorted(inner, outer, "left")
+    head = np.zeros(len(outer) + len(triple), bool)
+    head[np.cumsum(lengths) - lengths] = True
+    number, count = np.empty(len(head), np.int64), np.empty(len(head), np.int64)
+    number[head], number[~head] = outer % base, triple % base
+    count[head], count[~head] = n_outer, n_triple
+    lines, n_lines = _joined(lengths, words.take(pa.array(number)), " "), _joined(lengths, pa.array(count).cast(pa.string()), " ")
+    word, start = np.unique(outer // base, return_index=True)
+    sizes = np.diff(np.append(start, len(outer)))
+    added = lambda x: np.add.reduceat(x, start) if len(start) else x
+    return [words.take(pa.array(word)), _joined(sizes, lines, "\n"), _joined(sizes, n_lines, "\n"), pa.array(added(lengths).astype(np.int32)), pa.array(added(n_outer))]
 
 
 def stripes(docs: DataFrame) -> DataFrame:
-    """STRIPES: a task's stripe of each prefix: its next words joined by spaces, and the count of each."""
+    """STRIPES: the stripes that tasks have counted, several a word."""
+
+    names = [f.split()[0] for f in STRIPES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, held, size, read = _Numbers({END: 0}), {}, 0, 0
@@ -98,11 +114,10 @@ def stripes(docs: DataFrame) -> DataFrame:
             words = pa.array(["", *(w.decode() for w in list(numbers)[1:])])
             for lang, lists in held.items():
                 ids = np.concatenate(lists).astype(np.int64)
-                for n, prefix, follow, counts, totals in count_stripes(ids, context.get(lang, 0), words):
-                    for at in range(0, len(prefix), 50_000):
-                        end = at + 50_000
-                        own = prefix[at:end]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(np.full(len(own), n, np.int32)), follow[at:end], counts[at:end], pa.array(totals[at:end].astype(np.int64))], [f.split()[0] for f in STRIPES.split(", ")])
+                columns = count_stripes(ids, context.get(lang, 0), words)
+                for at in range(0, len(columns[0]), 10_000):
+                    own = [c[at : at + 10_000] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own[0]), pa.string()), *own], names)
 
         context: dict[str, int] = {}
         for batch in batches:
@@ -127,27 +142,25 @@ def stripes(docs: DataFrame) -> DataFrame:
 
 
 def merged(sent: DataFrame, least: int) -> DataFrame:
-    """lang, prefix, words, next, n: entries of ``least`` and more; next is null for the total of a prefix.
-
-    A prefix that was split has a total for each of its parts. sent: STRIPES, a written table.
-    """
+    """lang, word, second, third, n: phrases of ``least`` and more; third is null for those of two words. sent: STRIPES, a written table."""
     slots = 4096 * shuffle_partitions(sent.sparkSession)
-    slot = F.pmod(F.xxhash64("lang", "prefix"), F.lit(slots)).cast("int")
-    load = sent.groupBy(slot.alias("slot")).agg(F.sum(F.size("counts")).alias("load")).filter(F.col("load") > HOT)
+    slot = F.pmod(F.xxhash64("lang", "word"), F.lit(slots)).cast("int")
+    load = sent.groupBy(slot.alias("slot")).agg(F.sum("entries").alias("load")).filter(F.col("load") > HOT)
     load = materialise(load.select("slot", F.ceil(2 * F.col("load") / HOT).cast("int").alias("split")), "hot")
-    slotted = sent.withColumn("slot", slot).join(load, "slot", "left").drop("slot", "total").withColumn("part", F.lit(-1))
-    whole = slotted.filter("split is null").drop("split")
-    entry = slotted.filter("split is not null").select("*", F.posexplode(F.split("next", " ", -1)).alias("at", "one"))
-    single = entry.select("lang", "prefix", "words", F.col("one").alias("next"), F.array(F.col("counts")[F.col("at")]).alias("counts"), F.pmod(F.xxhash64("one"), "split").cast("int").alias("part"))
-    # All that follows stays with the stripes' partitioning.
-    key = ["lang", "prefix", "part"]
-    dealt = whole.unionByName(single).repartition(*key)
-    each = dealt.select(*key, "words", "counts", F.posexplode(F.split("next", " ", -1)).alias("at", "next")).select(*key, "words", "next", F.col("counts")[F.col("at")].alias("n"))
-    added = each.groupBy(*key, "words", "next").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("string")
-    large = (F.col("n") >= least) & (F.col("next") != "")
-    both = added.select(*key, "words", F.explode(F.when(large, F.array(none, F.col("next"))).otherwise(F.array(none))).alias("next"), "n")
-    return both.groupBy(*key, "words", "next").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("part") >= 0)).drop("part")
+
+    def lines(df: DataFrame, by: str, *keep: str) -> DataFrame:
+        return df.select(*keep, F.inline(F.arrays_zip(F.split("next", by, -1).alias("next"), F.split("counts", by, -1).alias("counts"))))
+
+    slotted = sent.select("lang", "word", "next", "counts", slot.alias("slot")).join(load, "slot", "left").drop("slot")
+    whole = slotted.filter("split is null").drop("split").withColumn("part", F.lit(0))
+    parts = lines(slotted.filter("split is not null"), "\n", "lang", "word", "split")
+    parts = parts.select("lang", "word", "next", "counts", F.pmod(F.xxhash64(F.substring_index("next", " ", 1)), "split").cast("int").alias("part"))
+    # Merging stays with the stripes' partitioning.
+    dealt = whole.unionByName(parts).repartition("lang", "word", "part")
+    line = lines(dealt, "\n", "lang", "word", "part").withColumn("second", F.substring_index("next", " ", 1)).filter("second != ''")
+    entry = line.select("lang", "word", "part", "second", F.posexplode(F.arrays_zip(F.split("next", " ", -1).alias("w"), F.split("counts", " ", -1).alias("n"))).alias("at", "e"))
+    entry = entry.select("lang", "word", "part", "second", F.when(F.col("at") > 0, F.col("e.w")).alias("third"), F.col("e.n").cast("long").alias("n")).filter("third is null or third != ''")
+    return entry.groupBy("lang", "word", "part", "second", "third").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).drop("part")
 
 
 def collocations(docs: DataFrame, least: int = 10, subsumed: int = 50, first: int = 2000) -> DataFrame:
@@ -161,21 +174,29 @@ def collocations(docs: DataFrame, least: int = 10, subsumed: int = 50, first: in
 
 def scored(sent: DataFrame, least: int, subsumed: int, first: int) -> DataFrame:
     """What collocations() returns, from the stripes (a written table)."""
-    size = sent.filter("words = 1").groupBy("lang").agg(F.sum("total").alias("n"))
+    one = sent.groupBy("lang", "word").agg(F.sum("total").alias("f"))
+    one = materialise(one, "totals")
+    size = one.groupBy("lang").agg(F.sum("f").alias("n"))
     kept = materialise(merged(sent, least), "merged")
-    total = materialise(kept.filter("next is null").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "totals")
-    found = kept.filter("next is not null").select("lang", "words", "prefix", "next", F.col("n").alias("a"))
-    found = found.withColumn("phrase", F.concat_ws(" ", "prefix", "next")).withColumn("suffix", F.when(F.col("words") == 2, F.concat_ws(" ", F.substring_index("prefix", " ", -1), "next")))
-    longer = found.filter("words = 2")
+    pair = kept.filter("third is null").select("lang", F.concat_ws(" ", "word", "second").alias("phrase"), F.col("n").alias("f"))
+    total = one.filter(F.col("f") >= least).withColumnRenamed("word", "phrase").unionByName(pair)
+    two = F.col("third").isNull()
+    found = kept.select(
+        "lang",
+        F.col("n").alias("a"),
+        F.concat_ws(" ", "word", "second", "third").alias("phrase"),
+        F.col("word").alias("head"),
+        F.when(two, F.col("second")).otherwise(F.concat_ws(" ", "second", "third")).alias("suffix"),
+        F.when(two, F.col("word")).otherwise(F.concat_ws(" ", "word", "second")).alias("prefix"),
+        F.coalesce("third", "second").alias("next"),
+        two.alias("two"),
+    )
+    longer = found.filter("not two")
     around = longer.select("lang", F.col("prefix").alias("phrase"), "a").unionByName(longer.select("lang", F.col("suffix").alias("phrase"), "a"))
     around = around.groupBy("lang", "phrase").agg(F.max("a").alias("around"))
-    open_ = found.join(around, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("around") < subsumed * F.col("a"), F.lit(True))).drop("around")
-
-    def of(part: str) -> DataFrame:
-        return total.select("lang", F.col("phrase").alias(part), F.col("f").alias(f"f_{part}"))
-
-    parted = open_.withColumn("head", F.substring_index("phrase", " ", 1)).join(of("prefix"), ["lang", "prefix"]).join(of("next"), ["lang", "next"])
-    parted = parted.join(of("head"), ["lang", "head"]).join(of("suffix"), ["lang", "suffix"], "left")
+    parted = found.join(around, ["lang", "phrase"], "left").filter(~F.col("two") | F.coalesce(100 * F.col("around") < subsumed * F.col("a"), F.lit(True)))
+    for part in ("head", "suffix", "prefix", "next"):
+        parted = parted.join(total.select("lang", F.col("phrase").alias(part), F.col("f").alias(f"f_{part}")), ["lang", part])
 
     def cut(k, left: str, right: str) -> Column:
         exact = [f"cast({c} as decimal(15,0))" for c in ("a", left, right)]
@@ -183,7 +204,7 @@ def scored(sent: DataFrame, least: int, subsumed: int, first: int) -> DataFrame:
         return F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r"))
 
     after_one, before_last = cut(1, "f_head", "f_suffix"), cut(2, "f_prefix", "f_next")
-    cuts = parted.select("lang", "phrase", "a", F.when(F.col("words") == 1, before_last).otherwise(F.least(after_one, before_last)).alias("cut"))
+    cuts = parted.select("lang", "phrase", "a", F.least(after_one, before_last).alias("cut"))
     phrases = cuts.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # First within parts of a language, so that no task ranks a whole one.

@@ -73,11 +73,9 @@ def test_small_parts_small_counts_and_split_stripes_change_nothing(docs, monkeyp
 
 def test_counts_of_billions_are_scored_exactly(spark):
     """Products beyond 64 bits, from stripes of made-up counts."""
-    from pyspark.sql import functions as F
-
     big = 7_000_000_019
-    sent = spark.createDataFrame([("x", "a", 1, "b", big), ("x", "b", 1, "", big + 5)], "lang string, prefix string, words int, next string, n long")
-    stripes = sent.select("lang", "prefix", "words", "next", F.array("n").alias("counts"), F.col("n").alias("total"))
+    sent = [("x", "a", "b ", f"{big} {big}", 2, big), ("x", "b", "", str(big + 5), 1, big + 5)]
+    stripes = spark.createDataFrame(sent, collocations.STRIPES)
     got = collocations.scored(stripes, 10, 50, 2000).collect()
     assert [(r.a, r.l, r.r, r.n, r.score) for r in got] == [(big, big, big + 5, 2 * big + 5, 1_000_000 * big * big // (big * (big + 5)))]
 
