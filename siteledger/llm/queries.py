@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import collocations, decontaminate, langid, negatives, packing, quality, shards, simhash, substrings, toxicity, urlfilter, warc
+from siteledger.llm import collocations, decontaminate, langid, negatives, packing, quality, shards, simhash, spotsigs, substrings, toxicity, urlfilter, warc
 from siteledger.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=10, subsumed=50, first=2000)
 
 
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
+    "op13_spotsigs": op13_spotsigs,
 }
 
 ORACLES: dict[str, str] = {
