@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.llm import setjoin
 from siteledger.llm.common import fresh_name, materialise
+from siteledger.llm.components import components
 
 ALL_BITS = 64
 MAX_DISTANCE = 4
@@ -337,25 +339,6 @@ def links(nodes: DataFrame, distance: int, group: int = 16, block: int = BLOCK)
     return pairs.unionByName(forest).unionByName(stars(many, distance)).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each connected component (src, dst); only for nodes that have a link.
-
-    Every round takes the smallest label over the neighbours and then jumps to the label's label. Rounds are
-    written to shared storage; both joins read written tables, so that the hub of a large group can be split.
-    """
-    edges = materialise(edges.union(edges.select("dst", "src")).toDF("src", "dst").distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("label")), "labels")
-    while True:
-        around = edges.join(labels, edges.src == labels.node).select(F.col("dst").alias("node"), "label")
-        least = materialise(labels.union(around).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        up = least.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        jumped = materialise(least.join(up, least.label == up["at"], "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        changed = jumped.join(labels.withColumnRenamed("label", "was"), "node").filter(F.col("label") != F.col("was")).limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach from a row."""
     rows = materialise(_fingerprints(docs.select(*_id_and_text(docs)), 1, lambda: lambda text: [shingle_fingerprint(text, shingle, 42)]), "fingerprints")
@@ -396,16 +379,6 @@ def similar(sets: list[np.ndarray], least: float, chunk: int = 4096) -> np.ndarr
     return both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-9
 
 
-def leaders(near: np.ndarray) -> np.ndarray:
-    """Places, most linked first, such that every place is one of them or linked to one of them."""
-    covered, out = np.zeros(len(near), bool), np.zeros(len(near), bool)
-    for k in np.lexsort((np.arange(len(near)), -near.sum(1))).tolist():
-        if not covered[k]:
-            out[k] = True
-            covered |= near[k]
-    return out
-
-
 def candidate_classes(prints: DataFrame, distance: int) -> DataFrame:
     """node, label: texts that fingerprints within the distance, of whichever seed, join. prints: node, seed, fp."""
     nodes = materialise(prints.groupBy("seed", "fp").agg(F.count("*").alias("n")), "nodes")
@@ -421,39 +394,20 @@ def verified_links(sets: DataFrame, sizes: DataFrame, least: float, size: int, w
     """src, dst: links with the components of all pairs in a class with a similarity of ``least`` and more.
 
     sets: label, node, shingles; sizes: label, node, words. Classes of up to ``size`` texts (and ``weight`` words) are
-    compared whole. Larger ones are dealt into such blocks; each block's leaders, with which every other text of the
-    block is linked, are dealt anew, until they fit one block. Where a round leaves over half of a class, all pairs
-    of its blocks are compared instead. So a large group of copies costs little more than its texts, and two texts
-    that are similar are in one component unless both are linked to leaders that are not similar to each other.
+    compared in one task each, larger ones by the join of setjoin, which loses no pair either.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        near = similar([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], least)
         nodes = pdf["node"].to_numpy()
-        return pd.DataFrame({"label": pdf["label"], "node": nodes, "root": nodes[labels_of(near)], "leader": leaders(near)})
+        root = nodes[labels_of(similar([x.view(np.uint64) for x in pdf["shingles"]], least))]
+        return pd.DataFrame({"src": nodes, "dst": root})[nodes != root]
 
-    found, round_ = [], 0
-    todo = materialise(sizes.withColumn("before", F.lit(None).cast("long")), "todo")
-    while True:
-        of_class = todo.groupBy("label").agg(F.count("*").alias("n"), F.sum("words").alias("sum"), F.max("before").alias("was"))
-        blocks = F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("sum") / weight), F.lit(1)).cast("int")
-        of_class = materialise(of_class.withColumn("blocks", blocks).withColumn("whole", F.coalesce(2 * F.col("n") > F.col("was"), F.lit(False)) & (blocks > 1)), "classes")
-        dealt = todo.drop("before").join(of_class, "label").withColumn("own", F.pmod(F.xxhash64("node", F.lit(round_)), "blocks").cast("int"))
-        others = F.when(F.col("whole"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-        dealt = dealt.withColumn("other", F.explode(others)).select("label", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        joined = sets.join(dealt, ["label", "node"]).groupBy("label", "i", "j").applyInPandas(run, "label string, node long, root long, leader boolean")
-        done = materialise(joined, "compared")
-        found.append(done.filter("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-        open_ = of_class.filter("blocks > 1 and not whole").select("label", F.col("n").alias("before"))
-        todo = materialise(todo.drop("before").join(done.filter("leader").select("label", "node").distinct(), ["label", "node"]).join(open_, "label"), "todo")
-        round_ += 1
-        if not todo.limit(1).count():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    of_class = sizes.groupBy("label").agg(((F.count("*") <= size) & (F.sum("words") <= weight)).alias("small"))
+    of_class = materialise(of_class, "classes")
+    small = sets.join(of_class.filter("small"), "label").select("label", "node", "shingles").groupBy("label").applyInPandas(run, "src long, dst long")
+    large = materialise(sets.join(of_class.filter("not small"), "label").select("label", "node", F.col("shingles").alias("members")), "large")
+    return materialise(small, "compared").unionByName(setjoin.linked(large, least))
 
 
 def digest() -> Column:
@@ -489,12 +443,12 @@ def deduplicate(docs: DataFrame, seeds: int = 6, distance: int = 2, least: float
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = pa.array([shingle_set(t.as_py(), 5).tobytes() for t in part.column(2)], pa.binary())
+                sets = pa.array([shingle_set(t.as_py(), 5).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["label", "node", "shingles"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("string").alias("text"))
     chosen = own.join(wanted.withColumnRenamed("digest", "of"), F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("digest") == F.col("of")))
-    sets = materialise(chosen.select("label", "node", "text").mapInArrow(read, "label string, node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    sets = materialise(chosen.select("label", "node", "text").mapInArrow(read, "label string, node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     labels = components(verified_links(sets, wanted.select("label", "node", "words"), least, size, weight))
     labelled = materialise(texts.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct("least.none", "least.doc_id", "digest").alias("first")), "labelled")
     kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
