@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from siteledger.llm.common import materialise, shuffle_partitions
 
 #: Words, different words, or bytes, that a task counts before it emits stripes; three numbers of words fit 63 bits.
-FLUSH, FLUSH_WORDS, FLUSH_BYTES = 2_000_000, 1_000_000, 32 << 20
+FLUSH, FLUSH_WORDS, FLUSH_BYTES = 1_000_000, 400_000, 16 << 20
 #: Bytes of a text that are split at once.
 PART = 1 << 20
 #: Entries of a key that one task merges.
-HOT = 1 << 18
+HOT = 1 << 21
 END = b"\xff"  # stands in no UTF-8 text
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _GAP = re.compile(rb"[ \xff]")
