@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.functions import money, urls
@@ -155,3 +155,29 @@ def classes_of(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, classes of the page's bound node; pages without one have an empty array."""
     bound = bound_nodes(parsed, key).select(key, F.col("node.classes").alias("classes"))
     return parsed.select(key).distinct().join(bound, key, "left").select(key, let(F.coalesce("classes", F.array().cast("array<string>")), lambda c: c).alias("classes"))
+
+
+def ordered_blocks(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, ord and the ordered walk's blocks: links and cards with their request target, each payload once a page.
+
+    parsed: key, url, and the parse's ``ordered``.
+    """
+    rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ordered").alias("b")).select(*dict.fromkeys([key, "url"]), "b.*")
+    target = urls.safe_target(urls.resolve(F.col("href"), F.col("url")), F.col("href"), urls.origin_of(F.col("url")))
+    linked = F.col("type").isin("link", "card")
+    rows = rows.withColumn("request_target", F.when(linked, target))
+    # What may not be followed is text: of its heading or paragraph, or of the block that has its label already.
+    unsafe = linked & F.col("request_target").isNull()
+    shown = rows.filter(~unsafe | F.coalesce(F.col("within") != "nested", F.lit(True)))
+    shown = shown.withColumn("type", F.when(unsafe, F.coalesce("within", F.lit("paragraph"))).otherwise(F.col("type")))
+    shown = shown.withColumn("level", F.when(F.col("type") == "heading", F.col("level")))
+    # Links of one target and label are the same whatever image they show; blocks that are no links repeat as they stand.
+    repeats = F.when(F.col("type") == "link", F.lit("")).when(F.col("type") == "card", F.col("source")).otherwise(F.col("ord").cast("string"))
+    again = Window.partitionBy(key, "type", "text", "request_target", "items", "repeats").orderBy("ord")
+    first = shown.withColumn("repeats", repeats).withColumn("n", F.row_number().over(again)).filter("n = 1")
+    return first.select(key, "ord", "type", "text", "level", "items", "rows", "request_target", "source")
+
+
+def limits(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, limit: pages whose content was worked out although it is over a bound of the walk."""
+    return parsed.select(key, F.explode("parse.limits").alias("limit"))

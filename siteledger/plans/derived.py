@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteledger.functions import http
@@ -45,6 +46,55 @@ def x7_x9_primary_and_blocks(spark, d):
     return _product_pages(spark, d).select("p_partkey", F.col("parse.primary").alias("primary"), (F.size(wanted) + 1).alias("blocks"))
 
 
+def _loose_pages(spark, d, *fields):
+    """A page for each part, of loose text, broken markup, links of all kinds, repeated links, cards, and what is no content."""
+    p = t(spark, d, "part")
+    name, link = F.col("p_name"), F.concat(F.lit("/c/"), (F.col("p_partkey") % 100).cast("string"))
+    card = lambda n: F.concat(F.lit(f'<div><a href="/k/{n}"><img src="/k{n}.png"></a><h3><a href="/k/{n}">K{n} '), "p_brand", F.lit("</a></h3><p>"), "p_type", F.lit("</p></div>"))
+    bare = F.when(F.col("p_size") % 3 == 0, F.lit("<nav>menu</nav><script>no</script><div hidden>no</div><button>no</button><p style='display:none'>no")).otherwise("")
+    body = F.concat(
+        F.when(F.col("p_size") % 2 == 0, F.lit("<header>top</header><main>")).otherwise(F.lit("<header>top</header>")),
+        *(name, F.lit(" <b>is <i>"), "p_type", F.lit("</b></i><div>made by "), "p_brand", F.lit("</div>"), bare, F.lit("<p>see <a href='"), link, F.lit("'>"), name, F.lit("</a><h2><a href='")),
+        *(link, F.lit("#part'>"), name, F.lit("</a></h2><a href='/cart/add'>Buy</a><table>"), "p_brand", F.lit("<tr><td>size<td>"), F.col("p_size").cast("string"), F.lit("</table><ul><li>a<li>b</ul>")),
+        F.when(F.col("p_size") % 5 == 0, F.concat(card(1), card(2), card(1))).otherwise(""),
+        F.lit("end<br>of page"),
+    )
+    page = p.select("p_partkey", F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("url"), body.alias("html"))
+    return html.parsed(page, fields=fields)
+
+
+@query(
+    """WITH b AS (
+        SELECT p_partkey, unnest([
+            {'at': 0, 'type': 'paragraph', 'text': p_name || ' is ' || p_type, 'target': NULL, 'more': NULL},
+            {'at': 1, 'type': 'paragraph', 'text': 'made by ' || p_brand, 'target': NULL, 'more': NULL},
+            {'at': 2, 'type': 'paragraph', 'text': 'see ' || p_name, 'target': NULL, 'more': NULL},
+            {'at': 3, 'type': 'link', 'text': p_name, 'target': '/c/' || p_partkey % 100, 'more': NULL},
+            {'at': 4, 'type': 'paragraph', 'text': 'Buy', 'target': NULL, 'more': NULL},
+            {'at': 5, 'type': 'paragraph', 'text': p_brand, 'target': NULL, 'more': NULL},
+            {'at': 6, 'type': 'table', 'text': NULL, 'target': NULL, 'more': 'size,' || p_size},
+            {'at': 7, 'type': 'list', 'text': NULL, 'target': NULL, 'more': 'a,b'},
+            {'at': 8, 'type': 'card', 'text': 'K1 ' || p_brand, 'target': '/k/1', 'more': p_type},
+            {'at': 9, 'type': 'card', 'text': 'K2 ' || p_brand, 'target': '/k/2', 'more': p_type},
+            {'at': 10, 'type': 'paragraph', 'text': 'end' || chr(10) || 'of page', 'target': NULL, 'more': NULL}]) AS b, p_size FROM part)
+    SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY b.at) AS place, b.type AS type, b.text AS text, b.target AS target, b.more AS more FROM b WHERE p_size % 5 = 0 OR b.at NOT IN (8, 9)"""
+)
+def x10_ordered_walk(spark, d):
+    blocks = structured.ordered_blocks(_loose_pages(spark, d, "ordered"), "p_partkey")
+    more = F.when(F.col("rows").isNotNull(), F.concat_ws(",", F.flatten("rows"))).when(F.col("items").isNotNull(), F.concat_ws(",", "items"))
+    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("ord"))
+    return blocks.select("p_partkey", place.cast("bigint").alias("place"), "type", "text", F.col("request_target").alias("target"), more.alias("more"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'main' ELSE 'body' END AS region,
+        regexp_replace(concat_ws(' ', p_name, 'is', p_type || 'made by', p_brand || 'see', p_name || p_name || 'Buy' || p_brand || 'size' || p_size || 'ab', ''), ' $', '')
+        || CASE WHEN p_size % 5 = 0 THEN 'K1 ' || p_brand || p_type || 'K2 ' || p_brand || p_type || 'K1 ' || p_brand || p_type ELSE '' END || 'end of page' AS text FROM part"""
+)
+def x8_primary_content(spark, d):
+    return _loose_pages(spark, d, "primary", "text").select("p_partkey", F.col("parse.primary").alias("region"), F.col("parse.text").alias("text"))
+
+
 @query("SELECT p_partkey, '/c/' || p_partkey AS href, 'One' AS label FROM part UNION ALL SELECT p_partkey, '/c/x', 'Two' FROM part")
 def x11_cards(spark, d):
     return structured.cards(_product_pages(spark, d), "p_partkey").select("p_partkey", "href", "label")

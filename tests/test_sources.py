@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteledger.operators import catalog, structured
-from siteledger.sources import html, jsonld, readers
+from siteledger.sources import html, jsonld, readers, tree
 
 PAGE = """<!DOCTYPE html><html lang="ru"><head><title> A  <b>page</b> &amp; more </title><meta name="description" content="Desc"><link rel=canonical href="/canon"><base href="/base/">
 <meta name="robots" content="noindex"><script>var t="<a href='/no'>";</script><script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Product","url":"/p","name":"P","sku":"S1","brand":{"name":"B"},
@@ -148,3 +148,94 @@ def test_unknown_declarations_do_not_end_the_page(markup):
     got = html.parse(f"<a href=/1>x</a>{markup}<h2>h</h2><a href=/2>y</a><!-- a --><p>text</p>")
     assert [x["href"] for x in got["links"]] == ["/1", "/2"]
     assert "text" in got["text"] and ("[foo[" in markup or got["headings"][0]["text"] == "h")
+
+
+def shape(node):
+    return node if isinstance(node, str) else f"<{node.tag}>" + "".join(map(shape, node.children)) + f"</{node.tag}>"
+
+
+@pytest.mark.parametrize(
+    ("markup", "body"),
+    [
+        ("<p>a<p>b<div>c</p>d", "<p>a</p><p>b</p><div>c<p></p>d</div>"),
+        ("<b>1<i>2</b>3</i>4", "<b>1<i>2</i></b><i>3</i>4"),
+        ("<b>1<p>2</b>3</p>4", "<b>1</b><p><b>2</b>3</p>4"),
+        ("<a>1<div>2<a>3</a>4</div>", "<a>1</a><div><a>2</a><a>3</a>4</div>"),
+        ("<table>x<tr><b>y<td>1<td>2<tr><td>3</table>z", "x<b>y</b><table><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></tbody></table><b>z</b>"),
+        ("<table><td>1<table><tr><th>2</table>3</table>4", "<table><tbody><tr><td>1<table><tbody><tr><th>2</th></tr></tbody></table>3</td></tr></tbody></table>4"),
+        ("<ul><li>1<ul><li>2</ul><li>3</ul>", "<ul><li>1<ul><li>2</li></ul></li><li>3</li></ul>"),
+        ("<dl><dt>1<dd>2<dt>3</dl>", "<dl><dt>1</dt><dd>2</dd><dt>3</dt></dl>"),
+        ("<h1>1<h2>2</h1>3", "<h1>1</h1><h2>2</h2>3"),
+        ("<select><option>1<option>2<div>3</div></select>4", "<select><option>1</option><option>23</option></select>4"),
+        ("<svg><path/><p>1", "<svg><path></path></svg><p>1</p>"),
+        ("<textarea><p>1</textarea><tr><td>2", "<textarea><p>1</textarea>2"),
+        ("<button>1<button>2", "<button>1</button><button>2</button>"),
+    ],
+)
+def test_trees_follow_the_standard(markup, body):
+    assert "".join(map(shape, tree.built(markup).body.children)) == body
+
+
+def ordered(markup, url="https://a.example/p"):
+    return [(b["type"], *(b[k] for k in ("text", "level", "items", "rows", "href", "source") if b[k] is not None)) for b in html.parse(markup, ("ordered",), url)["ordered"]]
+
+
+def test_the_ordered_walk_keeps_loose_text():
+    assert ordered("<main>loose <b>text</b><div>more</div>tail<br>end</main>") == [("paragraph", "loose text"), ("paragraph", "more"), ("paragraph", "tail\nend")]
+    assert ordered("<main><form>f <input value=x><section>s</section></form><nav>n</nav><span>a<p>b</p>c</span></main>") == [("paragraph", "f"), ("paragraph", "s"), ("paragraph", "a"), ("paragraph", "b"), ("paragraph", "c")]
+    assert ordered("<header>out</header>in<footer>out</footer><p style='display : none'>x</p><div hidden>y</div>") == [("paragraph", "in")]
+
+
+def test_the_ordered_walk_names_links_media_and_whole_blocks():
+    got = ordered("<main><h2><a href=/x>X</a></h2><p>see <a href='https://a.example/y'>Y</a> <img src=i.png alt=I><a href=/z><img src=z.png alt=Z></a></p><a href=https://b.example/>foreign</a><a href=/f.pdf?v=1>File</a><ul><li>1<li><a href=/w>2</a></ul><table><tr><th>a<td>b<table><tr><td>in</table></table></main>")
+    assert got == [
+        ("link", "X", "/x"),
+        ("paragraph", "see Y"),
+        ("link", "Y", "https://a.example/y"),
+        ("image", "I", "i.png"),
+        ("link", "Z", "/z", "z.png"),
+        ("paragraph", "foreign"),
+        ("document", "File", "/f.pdf?v=1"),
+        ("list", ["1", "2"]),
+        ("link", "2", "/w"),
+        ("table", [["a", "bin"]]),
+    ]
+
+
+def test_cards_are_repeated_siblings_with_one_linked_image():
+    card = "<div><a href='{0}'><img src={0}.png></a><h3><a href='{0}'>Card {0}</a></h3><p>about {0}</p>from {0}<a href=/cart>Buy</a></div>"
+    one, two = card.format("/1"), card.format("/2")
+    assert ordered(f"<main>{one}{two}<p>end</p></main>") == [("card", "Card /1", ["about /1", "from /1"], "/1", "/1.png"), ("card", "Card /2", ["about /2", "from /2"], "/2", "/2.png"), ("paragraph", "end")]
+    assert [b[0] for b in ordered(f"<main>{one}</main>")] == ["image", "link", "paragraph", "paragraph", "link"]
+
+
+def test_deep_and_long_pages_are_kept_whole_and_say_so():
+    deep = html.parse("<div>" * 300 + "<p>x</p>", ("blocks", "ordered", "limits"))
+    assert [b["text"] for b in deep["blocks"]] == [b["text"] for b in deep["ordered"]] == ["x"] and deep["limits"] == ["DOM_DEPTH"]
+    long = html.parse("<p>x</p>" * 10_001, ("blocks", "ordered", "limits"))
+    assert len(long["blocks"]) == len(long["ordered"]) == 10_001 and long["limits"] == ["DOM_BLOCKS"]
+    assert html.parse("<p>x", ("limits",))["limits"] == []
+    nested = "<div>" * 5000 + "<b>x</b>" * 5000
+    assert html.sanitize_one(nested) == "<b>x</b>" * 5000 and html.parse(nested)["text"] == "x" * 5000
+
+
+def test_work_follows_the_page():
+    import time
+
+    def seconds(n):
+        page = "<div>" * 150 + "".join(f"<div><h3><a href=/{k}>C{k}</a></h3><a href=/{k}><img src={k}.png></a></div>" for k in range(n)) + "</div>" * 150
+        began = time.process_time()
+        assert len(html.parse(page)["cards"]) == n
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(3000) < 10 * seconds(600)
+
+
+def test_the_primary_region_is_the_one_that_is_usable():
+    name = lambda markup: html.parse(markup, ("primary",))["primary"]
+    assert name("<main hidden>x</main><main>y</main>") == "main" and name("<main>x</main><main>y</main>") == "body"
+    assert name("<main><script>x</script><nav>n</nav></main><div role=main>z</div>") == "[role=main]"
+    assert name("<main><img src=i></main>") == "main" and name("<header><main>x</main></header><p id=content>y</p>") == "#content"
+    assert name("<article>x<h1>h</h1></article>") == "article" and name("<h1>h</h1><article>x</article>") == "body" and name("<article>x</article>") == "article"
+    assert name("<div style='a:b; visibility:hidden !important'><main>x</main></div><div id=main>y</div>") == "#main"
