@@ -40,20 +40,35 @@ def rules(texts: DataFrame, token: str = TOKEN) -> DataFrame:
     return grouped.filter(~agent & (F.col("value") != "")).join(chosen, ["host", "grp"]).select("host", "ord", (F.col("name") == "allow").alias("allow"), F.col("value").alias("pattern"))
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """'*' is any run, a last '$' is the end, everything else stands for itself."""
-    body = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"), F.when(pattern.endswith("$"), F.lit("$")).otherwise(F.lit("")))
+def fits(target: Column, pattern: Column) -> Column:
+    """Whether a pattern fits a target: '*' is any run, a last '$' is the end, everything else stands for itself.
+
+    The parts between stars are sought one after another, each from where the one before ended.
+    """
+    whole = pattern.endswith("$")
+    parts = F.split(F.regexp_replace(pattern, r"\$$", ""), r"\*", -1)
+    first, last, n = F.get(parts, 0), F.get(parts, F.size(parts) - 1), F.size(parts)
+    middle = F.slice(parts, 2, F.greatest(n - F.when(whole, 2).otherwise(1), F.lit(0)))
+    found = lambda at, part: F.when(at > 0, F.when(part == "", at).otherwise(F.call_function("locate", part, target, at)))
+    after = F.aggregate(middle, F.length(first) + 1, lambda at, part: F.coalesce(F.when(found(at, part) > 0, found(at, part) + F.length(part)), F.lit(0)))
+    ends = F.when(n == 1, target == first).otherwise((after > 0) & target.endswith(last) & (F.length(target) - F.length(last) + 1 >= after))
+    return target.startswith(first) & F.when(whole, ends).otherwise(after > 0)
 
 
 def allowed(targets: DataFrame, rule_rows: DataFrame) -> DataFrame:
     """targets (host, request_target) with allowed: the longest literal wins, allow wins ties, default allow.
 
-    Rules are joined on the host; rows of a target with rules are combined on the map side.
+    A rule's literal up to its first wildcard is its key. A target is expanded to its prefixes of the lengths that the
+    literals of its host have, and joined to the rules by equality; only patterns with a wildcard are then checked further.
+    So a host of many rules costs each target about the rules that fit it.
     """
     distinct = targets.select("host", "request_target").distinct()
-    ruled = rule_rows.select("host", "allow", pattern_regex(F.col("pattern")).alias("regex"), F.length(F.regexp_replace("pattern", r"[*$]", "")).alias("weight"))
-    hits = distinct.join(ruled, "host").filter(F.expr("request_target rlike regex"))
+    literal = F.regexp_extract("pattern", r"^([^*]*?)(?:\*|\$$|$)", 1)
+    ruled = rule_rows.select("host", "allow", "pattern", literal.alias("literal"), F.length(F.regexp_replace("pattern", r"[*$]", "")).alias("weight"))
+    # A literal has at most as many lengths as a URL has characters.
+    lengths = ruled.groupBy("host").agg(F.collect_set(F.length("literal")).alias("lengths"))
+    prefixes = distinct.join(lengths, "host").select("host", "request_target", F.explode(F.filter("lengths", lambda n: n <= F.length("request_target"))).alias("length"))
+    keyed = prefixes.select("host", "request_target", F.expr("left(request_target, length)").alias("literal"))
+    hits = keyed.join(ruled, ["host", "literal"]).filter(~F.col("pattern").rlike(r"\*|\$$") | fits(F.col("request_target"), F.col("pattern")))
     verdicts = hits.groupBy("host", "request_target").agg(F.max_by("allow", F.struct("weight", "allow")).alias("verdict"))
     return targets.join(verdicts, ["host", "request_target"], "left").withColumn("allowed", F.coalesce("verdict", F.lit(True))).drop("verdict")

@@ -6,10 +6,12 @@ identity gives null with an error code, and stays in the data for review.
 
 from __future__ import annotations
 
-from urllib.parse import quote
+import re
+from unicodedata import category, normalize
+from urllib.parse import quote, unquote_to_bytes
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +67,61 @@ def identity(raw: Column) -> Column:
     return F.struct(ok(raw).alias("raw_url"), ok(origin).alias("origin"), ok(target).alias("request_target"), ok(F.concat(origin, target)).alias("crawl_key"), ok(fragment).alias("fragment"), error.alias("error"))
 
 
+#: The authority of an absolute URL that is not plain ASCII, or holds an escape.
+WIDE_HOST = r"(?i)^https?://([^/?#]*(?:[^\x00-\x7f]|%)[^/?#]*)"
+# What no host may hold, what a host is read without, and what is read as a full stop.
+_HOST_BARS = re.compile(r"[\x00-\x20#/:<>?@\[\]\\^`{|}%\x7f]")
+_HOST_DROPS = re.compile("[\u00ad\u034f\u180b-\u180d\u200b\u2060\u2064\ufe00-\ufe0f\ufeff]")
+_HOST_STOPS = re.compile("[\u3002\uff0e\uff61]")
+
+
+def ascii_host(host: str | None) -> str | None:
+    """A host in lower-case ASCII: compatibility forms are mapped and each wide label is written in Punycode; None if it has none."""
+    if host is None:
+        return None
+    try:
+        wide = unquote_to_bytes(host).decode()
+        wide = _HOST_STOPS.sub(".", normalize("NFKC", normalize("NFKC", _HOST_DROPS.sub("", wide)).lower()))
+        labels = []
+        for label in wide.split("."):
+            if label.startswith("xn--"):
+                plain = label[4:].encode().decode("punycode")
+                if plain.isascii() or normalize("NFKC", plain.lower()) != plain:
+                    return None
+            elif not label.isascii():
+                if category(label[0])[0] == "M" or any(category(c) in ("Cc", "Cn", "Co", "Cs") for c in label):
+                    return None
+                label = "xn--" + label.encode("punycode").decode()
+            labels.append(label)
+    except (UnicodeError, ValueError, OverflowError):
+        return None
+    out = ".".join(labels)
+    return None if not out.strip(".") or _HOST_BARS.search(out) else out
+
+
+@F.pandas_udf(T.StringType())
+def _ascii_hosts(host: pd.Series) -> pd.Series:
+    return pd.Series([ascii_host(h) for h in host], dtype=object)
+
+
+def with_identity(rows: DataFrame, url: str, name: str = "identity") -> DataFrame:
+    """Adds the identity of a URL column, international hosts included; raw_url stays as it was spelled.
+
+    Only the distinct hosts outside ASCII pass through Python; each is mapped once and joined to the rows that have it.
+    """
+    authority = F.when(F.col(url).rlike(WIDE_HOST), F.regexp_extract(url, WIDE_HOST, 1))
+    wide = rows.select(authority.alias("_authority")).filter("_authority is not null").distinct()
+    port = F.regexp_extract("_authority", r"(:[0-9]*)$", 1)
+    bare = F.when(~F.col("_authority").contains("@"), F.regexp_replace("_authority", r":[0-9]*$", ""))
+    mapped = wide.select("_authority", F.concat(_ascii_hosts(bare), port).alias("_ascii"))
+    joined = rows.withColumn("_authority", authority).join(mapped, "_authority", "left")
+    rest = F.regexp_extract(url, r"(?i)^https?://[^/?#]*(.*)$", 1)
+    spelled = F.when(F.col("_authority").isNull(), F.col(url)).otherwise(F.concat(F.regexp_extract(url, "(?i)^(https?://)", 1), F.col("_ascii"), rest))
+    me = identity(spelled)
+    me = F.when(me["error"].isNull(), me.withField("raw_url", F.col(url))).otherwise(me.withField("error", F.lit("INVALID_URL")))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], me.alias(name))
+
+
 def remove_dot_segments(path: str) -> str:
     out: list[str] = []
     parts = path.split("/")[1:]

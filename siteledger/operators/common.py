@@ -59,3 +59,11 @@ def ranked(df: DataFrame, order: list[Column], name: str, buckets: int | None =
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     numbered = dealt.withColumn("_own", own).join(F.broadcast(starts.select("_range", "_start")), "_range")
     return numbered.withColumn(name, F.col("_start") + F.col("_own")).drop("_range", "_start", "_own")
+
+
+def locale_order(column: str, locale: str = "UNICODE") -> list[Column]:
+    """Sort keys of a text in a locale's order (an ICU collation of Spark); texts that it takes as equal go by their bytes.
+
+    Equality and joins stay those of bytes: only the sort key is collated.
+    """
+    return [F.collate(F.col(column), locale).asc(), F.col(column).asc()]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteledger.functions.text import collapse
 from siteledger.operators.routes import limited
@@ -32,14 +37,36 @@ def verify_routes(scope: DataFrame, routes: DataFrame, responses: DataFrame, ent
     return rows.select("crawl_key", status.alias("status"), reason.alias("reason"))
 
 
+def missing_facts(facts: list[str], text: str) -> int:
+    """How many of the facts the text does not contain; it is read once, whatever their number."""
+    if len(facts) < 4:
+        return sum(f not in text for f in facts)
+    automaton = ahocorasick.Automaton()
+    for k, fact in enumerate(facts):
+        automaton.add_word(fact, k)
+    automaton.make_automaton()
+    return len(facts) - len({k for _, k in automaton.iter(text)})
+
+
 def content_acceptance(facts: DataFrame, pages: DataFrame, key: str = "source_id") -> DataFrame:
     """key, facts, missing, accepted: every factual text of an entity is contained in its page's text.
 
-    Facts are gathered per entity (bounded by the entity), so that the page text is joined once, not for each fact.
+    Facts are gathered per entity (bounded by the entity), so that the page text is joined once, and an automaton of them
+    reads it once. Without a page every fact is missing.
     """
     per = facts.withColumn("fact", collapse(F.col("fact"))).filter("fact != ''").select(key, "fact").distinct().groupBy(key).agg(F.collect_list("fact").alias("facts"))
     text = pages.select(key, collapse(F.col("text")).alias("text"))
-    rows = per.join(text, key, "left").select(key, F.size("facts").alias("facts"), F.size(F.filter("facts", lambda f: ~F.coalesce(F.contains(F.col("text"), f), F.lit(False)))).alias("missing"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, missing = [], []
+            for own, page in zip(batch.column(1), batch.column(2), strict=True):
+                n.append(len(own))
+                missing.append(missing_facts(own.as_py(), page.as_py() or ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(missing, pa.int32())], [key, "facts", "missing"])
+
+    joined = per.join(text, key, "left").select(key, "facts", "text")
+    rows = joined.mapInArrow(run, T.StructType([joined.schema[key], T.StructField("facts", T.IntegerType()), T.StructField("missing", T.IntegerType())]))
     return rows.withColumn("accepted", F.col("missing") == 0)
 
 

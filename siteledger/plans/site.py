@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.functions import digest, http, robots, urls
-from siteledger.operators import catalog, queue, registry, reports, routes, verify
+from siteledger.operators import catalog, common, queue, registry, reports, routes, verify
 from siteledger.sources import html
 
 QUERIES: dict = {}
@@ -303,15 +303,41 @@ def j25_uncovered_sample(spark, d):
     return verify.uncovered_sample(rows, rows.filter("page_id % 3 = 0"), 100, 2000)
 
 
-@query("""WITH f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS fact, text FROM documents), n AS (SELECT doc_id, trim(regexp_replace(fact, '\\s+', ' ', 'g')) AS fact, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM f), x AS (SELECT DISTINCT doc_id, fact, text FROM n WHERE fact <> '')
-    SELECT doc_id, count(*) AS facts, count(*) FILTER (NOT contains(text, fact)) AS missing, count(*) FILTER (NOT contains(text, fact)) = 0 AS accepted FROM x GROUP BY doc_id""")
+@query("""WITH f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS fact FROM documents), o AS (SELECT doc_id, fact FROM f UNION ALL SELECT xor(doc_id, 1), fact FROM f),
+    n AS (SELECT DISTINCT doc_id, trim(regexp_replace(fact, '\\s+', ' ', 'g')) AS fact FROM o), t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents), x AS (SELECT doc_id, fact, text FROM n LEFT JOIN t USING (doc_id) WHERE fact <> '')
+    SELECT doc_id, count(*) AS facts, count(*) FILTER (NOT coalesce(contains(text, fact), false)) AS missing, count(*) FILTER (NOT coalesce(contains(text, fact), false)) = 0 AS accepted FROM x GROUP BY doc_id""")
 def j22_content_acceptance(spark, d):
     docs = t(spark, d, "documents")
+    # Facts of a document, and those of its neighbour, which it has only where both repeat a line.
     facts = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("fact"))
+    facts = facts.unionByName(facts.withColumn("doc_id", F.col("doc_id").bitwiseXOR(F.lit(1))))
     out = verify.content_acceptance(facts, docs, "doc_id")
     return out.select("doc_id", F.col("facts").cast("long"), F.col("missing").cast("long"), "accepted")
 
 
+#: Host labels in their own script and, a public fact of each, in Punycode.
+WIDE_HOSTS = [("b\u00fccher", "xn--bcher-kva"), ("M\u00dcNCHEN", "xn--mnchen-3ya"), ("\u043f\u0440\u0438\u043c\u0435\u0440", "xn--e1afmkfd"), ("\u4f8b\u3048", "xn--r8jz45g"), ("fa\u00df", "xn--fa-hia"), ("%D0%9F%D0%A0%D0%98%D0%9C%D0%95%D0%A0", "xn--e1afmkfd"), ("Plain", "plain")]
+
+
+@query(
+    f"""WITH h AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{w}', '{a}')" for k, (w, a) in enumerate(WIDE_HOSTS))}) AS v(k, wide, ascii))
+    SELECT c_custkey, 'HTTPS://' || wide || '.example:443/c/' || c_custkey || '?q=' || wide || '#f' AS raw_url, 'https://' || ascii || '.example' AS origin,
+        'https://' || ascii || '.example/c/' || c_custkey || '?q=' || {ENCODE.format("wide")} AS crawl_key FROM customer JOIN h ON c_custkey % 7 = k"""
+)
+def u1_international_hosts(spark, d):
+    k = F.col("c_custkey") % 7
+    wide = F.get(F.array(*[F.lit(w) for w, _ in WIDE_HOSTS]), k.cast("int"))
+    rows = t(spark, d, "customer").select("c_custkey", F.concat(F.lit("HTTPS://"), wide, F.lit(".example:443/c/"), F.col("c_custkey").cast("string"), F.lit("?q="), wide, F.lit("#f")).alias("url"))
+    return urls.with_identity(rows, "url").select("c_custkey", "identity.raw_url", "identity.origin", "identity.crawl_key")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY k COLLATE de, k, doc_id) - 1 AS locale_rank, row_number() OVER (ORDER BY k, doc_id) - 1 AS byte_rank FROM (SELECT doc_id, left(text, 8) AS k FROM documents)")
+def w9_locale_order(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.substring("text", 1, 8).alias("k"))
+    by_locale = common.ranked(rows, [*common.locale_order("k", "de"), F.col("doc_id").asc()], "locale_rank")
+    return common.ranked(by_locale, [F.col("k").asc(), F.col("doc_id").asc()], "byte_rank").select("doc_id", "locale_rank", "byte_rank")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'SIZE' WHEN doc_id % 7 = 1 THEN 'HASH' END AS reason FROM documents WHERE doc_id % 7 IN (0, 1) AND octet_length(encode(text)) > 0")
 def j24_fact_audit(spark, d):
     docs = t(spark, d, "documents")

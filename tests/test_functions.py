@@ -136,3 +136,35 @@ def test_digest_ignores_order_and_partitions(spark):
 
 def test_let_binds_once(spark):
     assert spark.range(1).select(let(F.col("id") + 1, lambda x: x * x).alias("v")).first().v == 1
+
+
+def test_international_hosts():
+    hosts = {"BÜCHER.example": "xn--bcher-kva.example", "faß.de": "xn--fa-hia.de", "例え。テスト": "xn--r8jz45g.xn--zckzah", "ｅｘ­ample.com": "example.com", "%E4%BE%8B.jp": "xn--fsq.jp", "ok.example": "ok.example", "xn--bcher-kva": "xn--bcher-kva"}
+    assert {h: urls.ascii_host(h) for h in hosts} == hosts
+    assert [urls.ascii_host(h) for h in (None, "", "a b", "ü/x", "́a.com", "xn--a-", "xn--aü", "%FF.com", "%2e", "a\uffff.com")] == [None] * 10
+
+
+def test_identities_of_international_hosts(spark):
+    rows = [(1, "http://bücher.example:80/ä", "x"), (2, "https://u@bücher.example/", "x"), (3, "https://plain.example/a?b", "x"), (4, None, "x"), (5, "https://́.example/", "x"), (6, "https://BÜCHER.example:8443", "x")]
+    got = {r.id: r.identity for r in urls.with_identity(spark.createDataFrame(rows, "id int, url string, identity_ string"), "url").collect()}
+    assert [got[k].crawl_key for k in range(1, 7)] == ["http://xn--bcher-kva.example/%C3%A4", None, "https://plain.example/a?b", None, None, "https://xn--bcher-kva.example:8443/"]
+    assert got[1].raw_url == rows[0][1] and [got[k].error for k in (2, 4, 5)] == ["INVALID_URL"] * 3
+
+
+def test_robots_patterns_without_regexes(spark):
+    import re
+
+    patterns = ["/", "/a", "/a*", "*", "*b", "/a*b", "/a*b$", "/a$", "/*a*a$", "$", "", "/a**b", "*$", "/a.b", "/a*bb$", "/é*", "/ab*ab$"]
+    targets = ["/", "/a", "/ab", "/abb", "/axbxb", "/axb/", "/aa", "/a.b", "/axb", "/éb", "/abab", "/ab", "/aab", "/baa"]
+    quoted = lambda p: "^" + ".*".join(map(re.escape, p.removesuffix("$").split("*"))) + ("$" if p.endswith("$") else "")
+    df = spark.createDataFrame([(p, t) for p in patterns for t in targets], "p string, t string")
+    for r in df.select("p", "t", robots.fits(F.col("t"), F.col("p")).alias("fits")).collect():
+        assert r.fits == bool(re.search(quoted(r.p), r.t)), r
+
+
+def test_a_host_of_many_rules_costs_what_fits(spark):
+    rules = [("h", k % 2 == 0, f"/p{k}/") for k in range(3000)] + [("h", False, "/p7/x*y$"), ("h", True, "/")]
+    targets = [("h", f"/p{k}/page{k % 5}") for k in range(0, 3000, 50)] + [("h", "/p7/x1y"), ("h", "/p7/x1z"), ("other", "/p1/")]
+    got = {(r.host, r.request_target): r.allowed for r in robots.allowed(spark.createDataFrame(targets, "host string, request_target string"), spark.createDataFrame(rules, "host string, allow boolean, pattern string")).collect()}
+    assert all(got[("h", f"/p{k}/page{k % 5}")] == (k % 2 == 0) for k in range(0, 3000, 50))
+    assert not got[("h", "/p7/x1y")] and not got[("h", "/p7/x1z")] and got[("other", "/p1/")]
