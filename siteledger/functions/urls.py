@@ -111,12 +111,14 @@ def with_identity(rows: DataFrame, url: str, name: str = "identity") -> DataFram
     """
     authority = F.when(F.col(url).rlike(WIDE_HOST), F.regexp_extract(url, WIDE_HOST, 1))
     wide = rows.select(authority.alias("_authority")).filter("_authority is not null").distinct()
+    # Rows of plain hosts match nothing; each gets a key of its own, so that they are dealt evenly.
+    plain = F.concat(F.lit("/"), F.pmod(F.xxhash64(url), F.lit(4096)).cast("string"))
     port = F.regexp_extract("_authority", r"(:[0-9]*)$", 1)
     bare = F.when(~F.col("_authority").contains("@"), F.regexp_replace("_authority", r":[0-9]*$", ""))
     mapped = wide.select("_authority", F.concat(_ascii_hosts(bare), port).alias("_ascii"))
-    joined = rows.withColumn("_authority", authority).join(mapped, "_authority", "left")
+    joined = rows.withColumn("_authority", F.coalesce(authority, plain)).join(mapped, "_authority", "left")
     rest = F.regexp_extract(url, r"(?i)^https?://[^/?#]*(.*)$", 1)
-    spelled = F.when(F.col("_authority").isNull(), F.col(url)).otherwise(F.concat(F.regexp_extract(url, "(?i)^(https?://)", 1), F.col("_ascii"), rest))
+    spelled = F.when(authority.isNull(), F.col(url)).otherwise(F.concat(F.regexp_extract(url, "(?i)^(https?://)", 1), F.col("_ascii"), rest))
     me = identity(spelled)
     me = F.when(me["error"].isNull(), me.withField("raw_url", F.col(url))).otherwise(me.withField("error", F.lit("INVALID_URL")))
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], me.alias(name))

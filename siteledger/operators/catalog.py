@@ -166,6 +166,44 @@ def coverage(entities: DataFrame, facts: DataFrame, required: dict[str, tuple[st
     return wanted.join(seen, ["source_id", "name"], "left").groupBy("type", "name").agg(F.count("*").alias("entities"), F.count("seen").alias("observed"))
 
 
+#: Fields that a type has to have where its source shows them, as (rule, what the source shows, the field).
+CONDITIONAL_FIELDS = {
+    "Page": (("images-if-observed", "images", "images"),),
+    "Product": (("observed-prices", "prices", "prices"), ("observed-offers", "offers", "offers"), ("observed-specifications", "specifications", "specifications"), ("observed-media", "media", "media")),
+    "Article": (("observed-author", "author", "author"), ("observed-publication-date", "publication-date", "publication_date")),
+    "Service": (("observed-prices", "prices", "prices"),),
+}
+
+
+def shown_by_source(parsed: DataFrame, key: str = "source_id") -> DataFrame:
+    """key, shown: what each parsed page shows of that which a field may depend on."""
+    any_node = lambda test: F.exists("parse.ld", lambda n: F.coalesce(test(n), F.lit(False)))
+    has = {
+        "images": F.exists("parse.ordered", lambda b: b["type"] == "image"),
+        "media": F.size("parse.media") > 0,
+        "prices": F.size("parse.prices") > 0,
+        "offers": any_node(lambda n: F.size(n["offers"]) > 0),
+        "specifications": F.size("parse.attributes") > 0,
+        "author": any_node(lambda n: n["author"] != ""),
+        "publication-date": any_node(lambda n: n["date_published"] != ""),
+    }
+    return parsed.select(key, F.explode(compact(*[F.when(c, F.lit(k)) for k, c in has.items()])).alias("shown"))
+
+
+def conditional_coverage(entities: DataFrame, facts: DataFrame, shown: DataFrame, rules: dict = CONDITIONAL_FIELDS) -> DataFrame:
+    """type, rule, applies, covered: of the entities whose source shows something, how many have the field for it.
+
+    entities: source_id, type; facts: source_id, name, status; shown: source_id, shown. A rule without a case gives a row of 0.
+    """
+    spark = entities.sparkSession
+    triples = spark.createDataFrame([(kind, *rule) for kind, own in rules.items() for rule in own], "type string, rule string, shown string, name string")
+    cases = entities.select("source_id", "type").join(F.broadcast(triples), "type").join(shown.distinct(), ["source_id", "shown"])
+    have = facts.filter("status = 'OBSERVED'").select("source_id", "name").distinct().withColumn("have", F.lit(1))
+    counts = cases.join(have, ["source_id", "name"], "left").groupBy("type", "rule").agg(F.count("*").alias("applies"), F.count("have").alias("covered"))
+    all_rules = triples.select("type", "rule").distinct().join(counts, ["type", "rule"], "left")
+    return all_rules.select("type", "rule", F.coalesce("applies", F.lit(0)).alias("applies"), F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
 def within_caps(rows: DataFrame, key: str, cap: int, what: str) -> DataFrame:
     """Counts by key; more than the cap fails the job instead of being cut."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.functions import urls
+from siteledger.functions import http, urls
 from siteledger.functions.text import compact
 from siteledger.operators.common import bound, ranked, require, written
 
@@ -15,18 +15,21 @@ INFORMATION = ("about", "contact", "kontak", "dostav", "oplata", "garant", "inst
 CONTEXT = ["kind", "input_id", "html_sha256", "source_url", "observed_at", "base_url", "role"]
 
 
-def link_witnesses(parsed: DataFrame) -> DataFrame:
+def link_witnesses(parsed: DataFrame, input_id: Column | None = None, source: Column | None = None) -> DataFrame:
     """One witness for each distinct link of a parsed page. parsed: url, observed_at, html_sha256, parse.
 
+    input_id and source: where they are not the digest of the HTML and the page's own URL.
+
     A page's links are made distinct before anything is shuffled: menus repeat on every page.
     """
     base = F.coalesce(urls.resolve(F.col("parse.base"), F.col("url")), F.col("url"))
-    links = parsed.select("url", "observed_at", "html_sha256", base.alias("base_url"), F.explode("parse.links").alias("l"))
+    own = [(F.col("html_sha256") if input_id is None else input_id).alias("input_id"), (F.col("url") if source is None else source).alias("source_url")]
+    links = parsed.select(*own, "observed_at", "html_sha256", base.alias("base_url"), F.explode("parse.links").alias("l"))
     return links.select(
         F.lit("dom-link").alias("kind"),
-        F.col("html_sha256").alias("input_id"),
+        "input_id",
         "html_sha256",
-        F.col("url").alias("source_url"),
+        "source_url",
         "observed_at",
         F.concat(F.lit("a["), F.col("l.ord"), F.lit("]")).alias("locator"),
         F.col("l.href").alias("raw_reference"),
@@ -38,6 +41,63 @@ def link_witnesses(parsed: DataFrame) -> DataFrame:
     )
 
 
+WITNESS_KINDS = ("capture-inventory", "observation", "requested-url", "raw-link", "selected-link", "dom-link")
+
+
+def _witness(rows: DataFrame, kind: Column, reference: Column, locator: Column, base: Column | None = None, html: Column | None = None) -> DataFrame:
+    text = lambda c, t="string": (F.lit(None) if c is None else c).cast(t)
+    has = lambda c, t: F.col(c) if c in rows.columns else F.lit(None).cast(t)
+    return rows.select(
+        kind.alias("kind"),
+        "input_id",
+        text(html).alias("html_sha256"),
+        has("source_url", "string").alias("source_url"),
+        has("observed_at", "timestamp").alias("observed_at"),
+        locator.alias("locator"),
+        reference.alias("raw_reference"),
+        text(base).alias("base_url"),
+        F.lit("").alias("label"),
+        F.lit("other").alias("role"),
+        F.lit(False).alias("action_control"),
+        reference.startswith("#").alias("fragment_only"),
+    )
+
+
+def inventory_witnesses(inventory: DataFrame) -> DataFrame:
+    """One witness for each URL that a capture lists. inventory: input_id, ord, url."""
+    return _witness(inventory, F.lit("capture-inventory"), F.col("url"), F.concat(F.lit("inventory.urls["), F.col("ord"), F.lit("]")))
+
+
+def observed_witnesses(observations: DataFrame) -> DataFrame:
+    """The witnesses of observed pages: the page itself, where it ended, what was asked for, and the links that it shows.
+
+    observations: input_id, source_url, document_url, observed_at, format (dom-html or selected-fields), html_sha256, title,
+    requested_url, raw_links array<string>, parse (null for selected fields). A page whose title is a challenge's is evidence
+    of itself, but none of its links is.
+    """
+    rows = observations.withColumn("_challenged", http.access_challenge(F.lit(None).cast("map<string,string>"), F.col("title")).isNotNull())
+    html, key = F.col("html_sha256"), lambda c: urls.identity(F.col(c))["crawl_key"]
+    ended = rows.filter(~key("source_url").eqNullSafe(key("document_url")))
+    own = _witness(rows, F.lit("observation"), F.col("source_url"), F.lit("source_url"), html=html)
+    own = own.unionByName(_witness(ended, F.lit("observation"), F.col("document_url"), F.lit("document_url"), html=html))
+    own = own.unionByName(_witness(rows.filter("requested_url is not null"), F.lit("requested-url"), F.col("requested_url"), F.lit("requested_url"), html=html))
+    shown = rows.filter("not _challenged")
+    dom = F.col("format") == "dom-html"
+    base = F.when(dom, F.coalesce(urls.resolve(F.col("parse.base"), F.col("document_url")), F.col("document_url"))).otherwise(F.col("document_url"))
+    raw = shown.withColumn("_base", base).select("*", F.posexplode("raw_links").alias("_ord", "_link"))
+    links = _witness(raw, F.when(dom, "raw-link").otherwise("selected-link"), F.col("_link"), F.concat(F.lit("links["), F.col("_ord"), F.lit("]")), F.col("_base"), F.when(dom, html))
+    seen = shown.filter(dom).select("input_id", F.col("source_url").alias("source"), "observed_at", "html_sha256", F.col("document_url").alias("url"), "parse")
+    anchors = link_witnesses(seen, F.col("input_id"), F.col("source"))
+    return own.unionByName(links).unionByName(anchors)
+
+
+def distinct_witnesses(witnesses: DataFrame) -> DataFrame:
+    """Each witness once, whichever inputs tell it, with the digest of its content and how many inputs do."""
+    content = [c for c in witnesses.columns if c not in ("input_id", "locator")]
+    digest = F.sha2(F.to_json(F.struct(*content)), 256)
+    return witnesses.groupBy(digest.alias("witness_id"), *content).agg(F.count_distinct("input_id").alias("inputs"), F.min("locator").alias("locator"))
+
+
 def with_identity(witnesses: DataFrame) -> DataFrame:
     """Adds queue_key, id, url, origin and request_target; what cannot be resolved keeps a key of its own."""
     spaced = F.trim("raw_reference") != F.col("raw_reference")

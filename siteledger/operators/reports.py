@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteledger.functions import urls
+
 
 def completeness(ledger: DataFrame) -> DataFrame:
     s = F.col("status")
@@ -92,11 +94,49 @@ def package_defects(listed: DataFrame, present: DataFrame) -> DataFrame:
     return rows.select("path", reason.alias("reason")).filter("reason is not null")
 
 
-def package_blockers(entities: DataFrame, blocks: DataFrame, assets: DataFrame) -> DataFrame:
-    """note, ord: why a package cannot be applied. entities: source_id, type; blocks: source_id, type, asset_sha256; assets: sha256, status."""
+def package_integrity(listed: DataFrame, present: DataFrame, counts: DataFrame, entities: DataFrame, routes: DataFrame, key: Column) -> DataFrame:
+    """subject, reason, rows: everything that is wrong with a package, each defect of a subject once.
+
+    listed/present: path, sha256. counts: entities, routes (one row, as the manifest claims). entities: source_id, type, title,
+    stable_key. routes: request_target, route_key, entity_key, expected_status. key: an entity's key from its own columns.
+    Keys are computed anew from their parts, and everything is counted by key, so no table is gathered.
+    """
+    bad_path = ~F.col("path").rlike("^[a-zA-Z0-9_./-]+$") | F.col("path").startswith("/") | F.exists(F.split("path", "/"), lambda x: x.isin("", ".", ".."))
+    unsafe = listed.filter(bad_path | ~F.coalesce(F.col("sha256").rlike("^[a-f0-9]{64}$"), F.lit(False))).select(F.col("path").alias("subject"), F.lit("UNSAFE_PACKAGE_PATH_OR_HASH").alias("reason"))
+    files = package_defects(listed, present).select(F.col("path").alias("subject"), "reason")
+    counted = entities.agg(F.count("*").alias("n")).select(F.lit("entities").alias("subject"), "n").unionByName(routes.agg(F.count("*").alias("n")).select(F.lit("routes").alias("subject"), "n"))
+    claimed = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).cast("long").alias("claimed")) for c in ("entities", "routes")])))
+    amounts = counted.join(claimed, "subject", "left").filter(~F.col("n").eqNullSafe(F.col("claimed"))).select("subject", F.lit("PACKAGE_COUNT_MISMATCH").alias("reason"))
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    reason = F.when(blank("source_id") | blank("title"), "ENTITY_INCOMPLETE").when(~F.col("stable_key").eqNullSafe(key), "ENTITY_KEY_MISMATCH")
+    keys = entities.withColumn("reason", reason)
+    own = keys.filter("reason is not null").select(F.coalesce("source_id", F.lit("")).alias("subject"), "reason")
+    twice = keys.groupBy("stable_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("stable_key").alias("subject"), F.lit("ENTITY_KEY_REPEATED").alias("reason"))
+    known = entities.select(F.col("stable_key").alias("entity_key")).distinct().withColumn("known", F.lit(True))
+    matched = routes.join(known, "entity_key", "left")
+    lost = (F.col("expected_status") == 200) & F.col("known").isNull()
+    reason = F.coalesce(urls.target_error(F.col("request_target")), F.when(~F.col("route_key").eqNullSafe(F.sha2("request_target", 256)), "ROUTE_KEY_MISMATCH"), F.when(lost, "ROUTE_WITHOUT_ENTITY"))
+    routed = matched.withColumn("reason", reason).filter("reason is not null").select(F.coalesce("request_target", F.lit("")).alias("subject"), "reason")
+    again = routes.groupBy("request_target").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("request_target").alias("subject"), F.lit("ROUTE_REPEATED").alias("reason"))
+    out = files
+    for more in (unsafe, amounts, own, twice, routed, again):
+        out = out.unionByName(more)
+    return out.groupBy("subject", "reason").agg(F.count("*").alias("rows"))
+
+
+def package_blockers(entities: DataFrame, blocks: DataFrame, assets: DataFrame, links: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
+    """note, rows: why a package cannot be applied. entities: source_id, type; blocks: source_id, type, asset_sha256; assets: sha256, status.
+
+    links: request_target of link and card blocks, which have to be safe routes; products: source_id, warnings array<string>.
+    """
     kinds = ("heading", "paragraph", "list", "table", "quote", "image", "document", "link", "card")
     have = assets.filter("status = 'FETCHED'").select(F.col("sha256").alias("asset_sha256")).distinct()
     missing = blocks.filter("asset_sha256 is not null").join(have, "asset_sha256", "left_anti").select(F.concat(F.lit("ASSET_UNAVAILABLE:"), F.col("asset_sha256")).alias("note"))
     unknown = blocks.filter(~F.col("type").isin(*kinds)).select(F.concat(F.lit("UNSUPPORTED_BLOCK:"), F.col("type")).alias("note"))
     types = entities.filter(~F.col("type").isin("Page", "Product", "Article", "Service")).select(F.concat(F.lit("UNSUPPORTED_TYPE:"), F.col("type")).alias("note"))
-    return missing.unionByName(unknown).unionByName(types).groupBy("note").agg(F.count("*").alias("rows"))
+    notes = missing.unionByName(unknown).unionByName(types)
+    if links is not None:
+        notes = notes.unionByName(links.select(F.concat(F.lit("UNSAFE_LINK:"), urls.target_error(F.col("request_target"))).alias("note")).filter("note is not null"))
+    if products is not None:
+        notes = notes.unionByName(products.select(F.explode("warnings").alias("w")).select(F.concat(F.lit("PRODUCT_WARNING:"), F.col("w")).alias("note")))
+    return notes.groupBy("note").agg(F.count("*").alias("rows"))

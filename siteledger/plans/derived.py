@@ -270,6 +270,65 @@ def j9_package_integrity(spark, d):
     return reports.package_defects(p.filter("m <> 1").select("path", "sha256"), p.filter("m <> 0").select("path", F.when(F.col("m") == 2, "x").otherwise(F.col("sha256")).alias("sha256")))
 
 
+@query(
+    """WITH e AS (SELECT *, p_partkey % 13 AS m FROM part), d AS (
+        SELECT 'f' || p_partkey AS subject, 'MISSING' AS reason FROM e WHERE m = 0 UNION ALL SELECT 'f' || p_partkey, 'UNLISTED' FROM e WHERE m = 1 UNION ALL SELECT 'f' || p_partkey, 'HASH_MISMATCH' FROM e WHERE m = 2
+        UNION ALL SELECT '../f' || p_partkey, 'UNSAFE_PACKAGE_PATH_OR_HASH' FROM e WHERE m = 3
+        UNION ALL SELECT CAST(p_partkey AS VARCHAR), CASE m WHEN 4 THEN 'ENTITY_INCOMPLETE' ELSE 'ENTITY_KEY_MISMATCH' END FROM e WHERE m IN (4, 5)
+        UNION ALL SELECT sha256('part:' || p_partkey), 'ENTITY_KEY_REPEATED' FROM e WHERE m = 6
+        UNION ALL SELECT '/p/' || p_partkey, CASE m WHEN 7 THEN 'ROUTE_KEY_MISMATCH' ELSE 'ROUTE_WITHOUT_ENTITY' END FROM e WHERE m IN (5, 7, 8)
+        UNION ALL SELECT '/p/' || p_partkey, 'ROUTE_REPEATED' FROM e WHERE m = 9
+        UNION ALL SELECT '/upload/' || p_partkey, 'RESERVED_ROUTE_COLLISION' FROM e WHERE m = 10
+        UNION ALL SELECT 'routes', 'PACKAGE_COUNT_MISMATCH')
+    SELECT subject, reason, count(*) AS rows FROM d GROUP BY ALL"""
+)
+def j9_package_integrity_all(spark, d):
+    p = t(spark, d, "part").withColumn("m", (F.col("p_partkey") % 13).cast("int"))
+    m, id_ = F.col("m"), F.col("p_partkey").cast("string")
+    again = lambda df, k: df.unionByName(df.filter(m == k))
+    path, sha = F.concat(F.when(m == 3, F.lit("../f")).otherwise("f"), id_), F.sha2("p_name", 256)
+    listed = p.filter("m <> 1").select(path.alias("path"), sha.alias("sha256"))
+    present = p.filter("m <> 0").select(path.alias("path"), F.when(m == 2, F.sha2("p_type", 256)).otherwise(sha).alias("sha256"))
+    key = F.sha2(F.concat(F.lit("part:"), id_), 256)
+    entities = again(p.select("m", id_.alias("source_id"), F.lit("part").alias("type"), F.when(m == 4, "").otherwise(F.col("p_name")).alias("title"), F.when(m == 5, F.concat(F.lit("old"), id_)).otherwise(key).alias("stable_key")), 6).drop("m")
+    target = F.concat(F.when(m == 10, F.lit("/upload/")).otherwise("/p/"), id_)
+    routes_ = again(p.select("m", target.alias("request_target"), F.when(m == 7, "old").otherwise(F.sha2(target, 256)).alias("route_key"), F.when(m == 8, F.lit("none")).otherwise(key).alias("entity_key"), F.lit(200).alias("expected_status")), 9).drop("m")
+    counts = entities.agg(F.count("*").alias("entities")).withColumn("routes", F.lit(-1))
+    return reports.package_integrity(listed, present, counts, entities, routes_, F.sha2(F.concat_ws(":", "type", "source_id"), 256))
+
+
+@query(
+    """WITH e AS (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'Page' WHEN p_size % 4 = 1 THEN 'Article' WHEN p_size % 4 = 2 THEN 'Service' ELSE 'Product' END AS type, p_size FROM part),
+    r AS (SELECT * FROM (VALUES ('Page', 'images-if-observed', 3), ('Product', 'observed-prices', 0), ('Product', 'observed-offers', 1), ('Product', 'observed-specifications', 0), ('Product', 'observed-media', 3), ('Article', 'observed-author', 5), ('Article', 'observed-publication-date', 2), ('Service', 'observed-prices', 0)) AS v(type, rule, needs)),
+    x AS (SELECT r.type, rule, CASE needs WHEN 0 THEN true WHEN 1 THEN p_size % 5 <> 0 WHEN 2 THEN p_size % 2 = 1 WHEN 3 THEN p_size % 3 = 0 ELSE false END AS applies, p_size % 7 <> 0 AS have FROM r JOIN e ON e.type = r.type)
+    SELECT type, rule, count(*) FILTER (applies) AS applies, count(*) FILTER (applies AND have) AS covered FROM x GROUP BY 1, 2"""
+)
+def a8_conditional_coverage(spark, d):
+    p = t(spark, d, "part")
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "Page").when(size % 4 == 1, "Article").when(size % 4 == 2, "Service").otherwise("Product")
+    offers = F.when(size % 5 != 0, F.lit(',"offers":[{"@type":"Offer","price":"1"}]')).otherwise("")
+    dated = F.when(size % 2 == 1, F.lit(',"datePublished":"2026-01-01"')).otherwise("")
+    image = F.when(size % 3 == 0, F.lit("<img src=/i.png>")).otherwise("")
+    markup = F.concat(F.lit('<script type="application/ld+json">{"@context":"https://schema.org","@type":"Thing"'), offers, dated, F.lit("}</script><main><span class=price>5 RUB</span><table><tr><td>a<td>b</table>"), image, F.lit("</main>"))
+    parsed = html.parsed(p.select("p_partkey", markup.alias("html")), fields=("ordered", "media", "prices", "ld", "attributes"))
+    names = ("images", "prices", "offers", "specifications", "media", "author", "publication_date")
+    facts = p.select(F.col("p_partkey").alias("source_id"), F.explode(F.array(*map(F.lit, names))).alias("name"), F.when(size % 7 != 0, "OBSERVED").otherwise("ABSENT").alias("status"))
+    shown = catalog.shown_by_source(parsed, "p_partkey").withColumnRenamed("p_partkey", "source_id")
+    return catalog.conditional_coverage(p.select(F.col("p_partkey").alias("source_id"), kind.alias("type")), facts, shown)
+
+
+@query("SELECT 'UNSAFE_LINK:UNSAFE_ROUTE' AS note, count(*) AS rows FROM part WHERE p_size % 4 = 1 UNION ALL SELECT 'UNSAFE_LINK:RESERVED_ROUTE_COLLISION', count(*) FROM part WHERE p_size % 4 = 2 UNION ALL SELECT 'PRODUCT_WARNING:' || p_brand, count(*) FROM part WHERE p_size % 6 = 0 GROUP BY 1")
+def j5_links_and_warnings(spark, d):
+    p = t(spark, d, "part")
+    m = F.col("p_size") % 4
+    targets = p.select(F.when(m == 1, "/a/%2e%2E/b").when(m == 2, "/upload/x").otherwise("/fine?a=b").alias("request_target"))
+    warned = p.select("p_partkey", F.when(F.col("p_size") % 6 == 0, F.array("p_brand")).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    none = p.filter("false")
+    blocks, assets = none.select(F.lit("image").alias("type"), F.lit("x").alias("asset_sha256")), none.select(F.lit("x").alias("sha256"), F.lit("FETCHED").alias("status"))
+    return reports.package_blockers(none.select(F.lit("Page").alias("type")), blocks, assets, targets, warned)
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_key FROM part WHERE p_partkey % 2 = 1")
 def j14_not_reconciled(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_key"), (F.col("p_partkey") % 2).alias("m"))

@@ -207,6 +207,35 @@ def _queue(spark, d):
     return queue.queue(witnesses, seen, F.col("origin"))
 
 
+@query(
+    f"""WITH {HREFS}, o AS (SELECT page_id, url, page_id % 5 <> 4 AS dom, page_id % 11 = 3 AS challenged FROM pages), w AS (
+        SELECT 'capture-inventory' AS kind, NULL AS source_url, url AS raw_reference, 'inventory.urls[' || page_id || ']' AS locator FROM o
+        UNION ALL SELECT 'observation', url, url, 'source_url' FROM o
+        UNION ALL SELECT 'observation', url, regexp_replace(url, '#.*$', '') || 'x', 'document_url' FROM o WHERE page_id % 7 = 2
+        UNION ALL SELECT 'requested-url', url, 'https://req.example/' || page_id, 'requested_url' FROM o WHERE page_id % 3 = 0
+        UNION ALL SELECT CASE WHEN dom THEN 'raw-link' ELSE 'selected-link' END, url, '/r' || k, 'links[' || k || ']' FROM o, range(2) r(k) WHERE NOT challenged
+        UNION ALL SELECT 'dom-link', h.url, href, 'a[' || ord || ']' FROM hrefs h JOIN o ON o.page_id = h.page_id WHERE dom AND NOT challenged)
+    SELECT * FROM w"""
+)
+def r16_witness_kinds(spark, d):
+    p = pages(spark, d, fields=("base", "links", "title"))
+    n, dom = F.col("page_id"), F.col("page_id") % 5 != 4
+    seen = p.select(
+        F.lit("pages").alias("input_id"),
+        F.col("url").alias("source_url"),
+        F.when(n % 7 == 2, F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("x"))).otherwise(F.col("url")).alias("document_url"),
+        "observed_at",
+        F.when(dom, "dom-html").otherwise("selected-fields").alias("format"),
+        "html_sha256",
+        F.when(n % 11 == 3, "KillBot user verification").otherwise(F.col("parse.title")).alias("title"),
+        F.when(n % 3 == 0, F.concat(F.lit("https://req.example/"), n.cast("string"))).alias("requested_url"),
+        F.array(F.lit("/r0"), F.lit("/r1")).alias("raw_links"),
+        F.when(dom, F.col("parse")).alias("parse"),
+    )
+    listed = queue.inventory_witnesses(p.select(F.lit("pages").alias("input_id"), n.alias("ord"), "url"))
+    return listed.unionByName(queue.observed_witnesses(seen)).select("kind", "source_url", "raw_reference", "locator")
+
+
 QUEUE = (
     TARGETS
     + f""", {IDENTITY}, seen AS (SELECT DISTINCT origin || request_target AS url FROM ids WHERE page_id % 4 = 0),

@@ -218,3 +218,32 @@ def test_locale_order_differs_from_bytes(spark):
     df = spark.createDataFrame([(w,) for w in ("zebra", "Äpfel", "apple", "Zug", "éa", "e")], "w string")
     assert [r.w for r in df.orderBy(*common.locale_order("w", "de")).collect()] == ["Äpfel", "apple", "e", "éa", "zebra", "Zug"]
     assert df.filter("w = 'apfel'").count() == 0
+
+
+def test_witnesses_of_challenge_pages_are_only_their_own(spark):
+    from siteledger.sources import html
+
+    page = '<base href="/b/"><title>{0}</title><nav><a href="x">X</a></nav><a href="#f">F</a><area href="/y">'
+    rows = [(1, "https://a.example/1", "https://a.example/1", "dom-html", page.format("ok"), None), (2, "https://a.example/2", "https://a.example/2b", "dom-html", page.format("KillBot user verification"), "https://a.example/q"), (3, "https://a.example/3", "https://a.example/3", "selected-fields", None, None)]
+    df = spark.createDataFrame([(f"i{k}", u, u2, dt.datetime(2026, 1, k), f, f"h{k}", h, asked, ["/raw"], u2) for k, u, u2, f, h, asked in rows], "input_id string, source_url string, document_url string, observed_at timestamp, format string, html_sha256 string, html string, requested_url string, raw_links array<string>, url string")
+    parsed = html.parsed(df).withColumn("title", F.col("parse.title")).drop("url")
+    got = queue.observed_witnesses(parsed)
+    assert sorted((r.kind, r.source_url[-1], r.raw_reference, r.base_url, r.role) for r in got.collect()) == sorted([
+        ("observation", "1", "https://a.example/1", None, "other"), ("observation", "2", "https://a.example/2", None, "other"), ("observation", "2", "https://a.example/2b", None, "other"), ("observation", "3", "https://a.example/3", None, "other"),
+        ("requested-url", "2", "https://a.example/q", None, "other"), ("raw-link", "1", "/raw", "https://a.example/b/", "other"), ("selected-link", "3", "/raw", "https://a.example/3", "other"),
+        ("dom-link", "1", "x", "https://a.example/b/", "navigation"), ("dom-link", "1", "#f", "https://a.example/b/", "other"), ("dom-link", "1", "/y", "https://a.example/b/", "other"),
+    ])
+    twice = queue.distinct_witnesses(got.unionByName(got.withColumn("input_id", F.lit("again"))))
+    assert twice.count() == got.count() and {r.inputs for r in twice.collect()} == {2}
+    assert {r.kind for r in queue.inventory_witnesses(spark.createDataFrame([("c", 0, "https://a.example/")], "input_id string, ord int, url string")).collect()} == {queue.WITNESS_KINDS[0]}
+
+
+def test_conditional_fields_apply_where_the_source_shows_them(spark):
+    from siteledger.operators import catalog
+
+    entities = spark.createDataFrame([("a", "Page"), ("b", "Page"), ("c", "Article")], "source_id string, type string")
+    shown = spark.createDataFrame([("a", "images"), ("a", "images"), ("b", "prices"), ("c", "author")], "source_id string, shown string")
+    facts = spark.createDataFrame([("a", "images", "OBSERVED"), ("c", "author", "ABSENT")], "source_id string, name string, status string")
+    got = {(r.type, r.rule): (r.applies, r.covered) for r in catalog.conditional_coverage(entities, facts, shown).collect()}
+    assert got.pop(("Page", "images-if-observed")) == (1, 1) and got.pop(("Article", "observed-author")) == (1, 0)
+    assert len(got) == 6 and {*got.values()} == {(0, 0)}
