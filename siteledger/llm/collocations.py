@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import materialise, shuffle_partitions
+from siteledger.llm.common import frugal, materialise, shuffle_partitions
 
 #: Words, different words, or bytes, that a task counts before it emits stripes; three numbers of words fit 63 bits.
 FLUSH, FLUSH_WORDS, FLUSH_BYTES = 1_000_000, 400_000, 16 << 20
@@ -138,7 +138,7 @@ def stripes(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     text, lang = F.col("text").cast("string").cast("binary"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(run, STRIPES)
+    return docs.select(lang.alias("lang"), text.alias("text")).mapInArrow(frugal(run), STRIPES)
 
 
 def merged(sent: DataFrame, least: int) -> DataFrame:

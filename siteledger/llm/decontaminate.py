@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import fresh_name
+from siteledger.llm.common import fresh_name, frugal
 
 BLOCK_WORDS = 2_000_000
 #: Thai, Lao, Burmese, Khmer, kana, Han: no spaces between words.
@@ -212,11 +212,11 @@ def _against(rows: DataFrame, seeds: list[Seeds], threshold: float) -> DataFrame
             names = ["doc_id", "checksum", "item_id", "item_words", "matched_words", "tiles", "coverage"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    candidates = rows.mapInArrow(find, "doc_id long, checksum long, seed int, item long, found binary")
+    candidates = rows.mapInArrow(frugal(find), "doc_id long, checksum long, seed int, item long, found binary")
     listed = [(some.min_match, k, item_id, ids.astype("<u4").tobytes()) for some in seeds for k, (item_id, ids) in enumerate(some.items)]
     items = spark.createDataFrame(listed, "seed int, item long, item_id long, words binary")
     joined = candidates.join(F.broadcast(items), ["seed", "item"])  # a block's words are bounded by BLOCK_WORDS
-    return joined.mapInArrow(tile, "doc_id long, checksum long, item_id long, item_words int, matched_words int, tiles int, coverage double")
+    return joined.mapInArrow(frugal(tile), "doc_id long, checksum long, item_id long, item_words int, matched_words int, tiles int, coverage double")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5) -> DataFrame:

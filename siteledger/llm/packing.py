@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import materialise
+from siteledger.llm.common import frugal, materialise
 from siteledger.llm.tokens import Encoder, default_vocabulary, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(frugal(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import fresh_path, materialise, shuffle_partitions
+from siteledger.llm.common import fresh_path, frugal, materialise, shuffle_partitions
 from siteledger.llm.tokens import default_vocabulary, encoder
 
 MAGIC = b"IDSHARD1"
@@ -200,7 +200,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     # The text's hash only breaks ties, so that even the rows of one id can be dealt to several shards.
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(shards or shuffle_partitions(spark), *key).sortWithinPartitions(*key)
-    written = materialise(ranged.mapInArrow(run, "uri string, low long, high long, documents long, ids long"), "manifest")
+    written = materialise(ranged.mapInArrow(frugal(run), "uri string, low long, high long, documents long, ids long"), "manifest")
     # One row a shard: their starts are a running sum over the shards.
     manifest, start = [], 0
     for m in sorted(written.collect(), key=lambda m: (m.low, m.high)):
@@ -232,7 +232,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession)))
-    return manifest.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
@@ -258,9 +258,9 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 rows += [{"doc_id": key, "ids": ids.astype(np.int64).tolist()} for ids in shard.get(key)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(shards_of, "doc_id long, uri string")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(frugal(shards_of), "doc_id long, uri string")
     spread = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)))  # a shard's keys may go to eight tasks
-    return spread.repartition("uri", "salt").sortWithinPartitions("uri").drop("salt").mapInArrow(run, "doc_id long, ids array<long>")
+    return spread.repartition("uri", "salt").sortWithinPartitions("uri").drop("salt").mapInArrow(frugal(run), "doc_id long, ids array<long>")
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:

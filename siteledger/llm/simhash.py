@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm import setjoin
-from siteledger.llm.common import fresh_name, materialise
+from siteledger.llm.common import fresh_name, frugal, materialise
 from siteledger.llm.components import components
 
 ALL_BITS = 64
@@ -123,7 +123,7 @@ def _fingerprints(rows: DataFrame, count: int, of) -> DataFrame:
 
     kept = rows.schema.fields[1:]
     names = [*(f.name for f in kept), *(f"fp{k}" for k in range(count))]
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"fp{k} long" for k in range(count))]))
+    return rows.mapInArrow(frugal(run), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"fp{k} long" for k in range(count))]))
 
 
 def _id_and_text(docs: DataFrame) -> list[Column]:
@@ -153,7 +153,7 @@ def correlations(nodes: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["seed", "i", "j", "n"])
 
     out: dict[int, np.ndarray] = {}
-    for r in nodes.mapInArrow(run, "seed int, i int, j int, n long").groupBy("seed", "i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in nodes.mapInArrow(frugal(run), "seed int, i int, j int, n long").groupBy("seed", "i", "j").agg(F.sum("n").alias("n")).collect():
         got = out.setdefault(r.seed, np.zeros((ALL_BITS + 1, ALL_BITS + 1)))  # 65 x 65 / 2 a seed at most
         got[r.i, r.j] = got[r.j, r.i] = r.n
     for seed, sums in out.items():
@@ -228,7 +228,7 @@ def second_moments(nodes: DataFrame, masks: dict[int, list[int]]) -> dict[tuple[
             cols = [np.full(len(at), seed, np.int32), np.full(len(at), k, np.int32), at.astype(np.int32), got[at]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["seed", "k", "slot", "n"])
 
-    added = nodes.mapInArrow(run, "seed int, k int, slot int, n long").groupBy("seed", "k", "slot").agg(F.sum("n").alias("n"))
+    added = nodes.mapInArrow(frugal(run), "seed int, k int, slot int, n long").groupBy("seed", "k", "slot").agg(F.sum("n").alias("n"))
     squares = F.sum(F.when(F.col("slot") < SKETCH, F.col("n").cast("double") * F.col("n")))
     found = added.groupBy("seed", "k").agg(F.max(F.when(F.col("slot") == SKETCH, F.col("n"))).alias("n"), squares.alias("f2")).collect()
     return {(r.seed, r.k): (float(r.n or 0), float(r.f2 or 0)) for r in found}
@@ -448,7 +448,7 @@ def deduplicate(docs: DataFrame, seeds: int = 6, distance: int = 2, least: float
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("string").alias("text"))
     chosen = own.join(wanted.withColumnRenamed("digest", "of"), F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("digest") == F.col("of")))
-    sets = materialise(chosen.select("label", "node", "text").mapInArrow(read, "label string, node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    sets = materialise(chosen.select("label", "node", "text").mapInArrow(frugal(read), "label string, node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     labels = components(verified_links(sets, wanted.select("label", "node", "words"), least, size, weight))
     labelled = materialise(texts.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct("least.none", "least.doc_id", "digest").alias("first")), "labelled")
     kept = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import fresh_name, materialise
+from siteledger.llm.common import fresh_name, frugal, materialise
 
 #: From a character that is not white space to the end of the sentence or line.
 _SENTENCE = re.compile(r"\S[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*[.!?]*")
@@ -80,7 +80,7 @@ def units(docs: DataFrame, min_unit: int) -> DataFrame:
 
     names = ["doc_id", "checksum", "idx", "start", "stop", "words", "h1", "h2"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, UNITS)
+    return rows.mapInArrow(frugal(run), UNITS)
 
 
 def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2) -> DataFrame:
@@ -112,7 +112,7 @@ def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documen
             at = np.array(out, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, k])) for k in range(5)], ["doc_id", "checksum", "start", "length", "words"])
 
-    return own.mapInArrow(run, "doc_id long, checksum long, start long, length long, words long")
+    return own.mapInArrow(frugal(run), "doc_id long, checksum long, start long, length long, words long")
 
 
 def remove(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2) -> DataFrame:

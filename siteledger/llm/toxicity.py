@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteledger.llm.common import crc_mod, fresh_name, materialise
+from siteledger.llm.common import crc_mod, fresh_name, frugal, materialise
 
 MAX_POSITIVES = 5_000
 MAX_UNLABELLED = 10_000
@@ -194,7 +194,7 @@ def feature_counts(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
 
     run = of_all if known is None else of_known
 
-    return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(frugal(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def hits(docs: DataFrame, names: np.ndarray) -> DataFrame:
@@ -206,7 +206,7 @@ def hits(docs: DataFrame, names: np.ndarray) -> DataFrame:
             rows = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "slots"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, slots binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, slots binary")
 
 
 def logits(found: DataFrame, model: Model) -> DataFrame:
@@ -217,7 +217,7 @@ def logits(found: DataFrame, model: Model) -> DataFrame:
             z = model.logits([np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], ["doc_id", "z"])
 
-    return found.mapInArrow(run, "doc_id long, z double")
+    return found.mapInArrow(frugal(run), "doc_id long, z double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400) -> tuple[Model, DataFrame]:
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFr
             z = model.logits([np.array(sorted(find(t.as_py())), np.int64) for t in batch.column("text")])
             yield batch.append_column(name, pa.array(_sigmoid(z), pa.float64()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -101,4 +101,4 @@ def test_stages_take_an_empty_table(spark, folder):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 11)] and {*queries.ORACLES} <= {*queries.QUERIES}
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 14)] and {*queries.ORACLES} <= {*queries.QUERIES}
