@@ -118,6 +118,75 @@ def items(entities: DataFrame, commerce: DataFrame, routes: DataFrame, blocks: D
     return joined.withColumn("body_text", F.coalesce("body_text", F.lit("")))
 
 
+def categories_of(crumbs: DataFrame, routes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """entity_source_id, category_ids, category: the categories that a page's crumbs lead to, in order, and the deepest one.
+
+    crumbs: entity_source_id, place, request_target; routes: request_target, entity_source_id (live ones); kinds: entity_source_id,
+    page_kind. Only pages that were observed to be categories count. Where no crumb is one, the deepest category whose path
+    begins the page's own path is taken as category, but not as one of category_ids, which are observed.
+    """
+    live = routes.select("request_target", F.col("entity_source_id").alias("category_id"))
+    chosen = kinds.filter("page_kind = 'CATEGORY'").select(F.col("entity_source_id").alias("category_id")).distinct()
+    known = live.join(chosen, "category_id", "left_semi")
+    found = crumbs.join(known, "request_target").groupBy("entity_source_id", "category_id").agg(F.min("place").alias("place"))
+    # As many categories as the page has crumbs.
+    own = found.groupBy("entity_source_id").agg(F.array_sort(F.collect_list(F.struct("place", "category_id"))).alias("chain"))
+    # The path's ancestors are an equi-join key each: /a/b/c has /a/b/, /a/b, /a/, /a.
+    path = urls.path_of(F.col("request_target"))
+    parts = F.split(path, "/")
+    upto = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
+    above = routes.select("entity_source_id", F.explode(F.array_distinct(F.flatten(F.transform(upto, lambda p: F.array(p, F.concat(p, F.lit("/"))))))).alias("ancestor")).filter("ancestor <> '/'")
+    nearest = above.join(known.withColumnRenamed("request_target", "ancestor"), "ancestor").filter("category_id <> entity_source_id")
+    nearest = nearest.groupBy("entity_source_id").agg(F.max_by("category_id", F.struct(F.length("ancestor"), "ancestor")).alias("nearest"))
+    rows = routes.select("entity_source_id").distinct().join(own, "entity_source_id", "left").join(nearest, "entity_source_id", "left")
+    ids = F.transform(F.coalesce("chain", F.array().cast(own.schema["chain"].dataType)), lambda c: c["category_id"])
+    return rows.select("entity_source_id", ids.alias("category_ids"), F.coalesce(F.get(ids, F.size(ids) - 1), F.col("nearest")).alias("category"))
+
+
+def snapshot_items(entities: DataFrame, routes: DataFrame, commerce: DataFrame, crumbs: DataFrame, attributes: DataFrame, prices: DataFrame, images: DataFrame) -> DataFrame:
+    """id, title, request_target, page_kind, is_product, category_ids, attributes, prices, thumbnail, blockers, errors: an item for each entity.
+
+    entities: source_id, source_url, title. routes: request_target, entity_source_id, expected_status. commerce: entity_source_id,
+    source_url, request_target, page_kind (null: not observed). crumbs: entity_source_id, place, request_target. attributes:
+    entity_source_id, name, value. prices: entity_source_id, ord, minor. images: entity_source_id, ord, public_path (of verified images).
+    An entity without a live route, with two commerce rows, or with a commerce row of another page is an error of its row.
+    """
+    live = routes.filter("expected_status = 200").select("request_target", "entity_source_id")
+    first = live.groupBy("entity_source_id").agg(F.min("request_target").alias("own_target"))
+    mine = commerce.groupBy("entity_source_id").agg(F.count("*").alias("n"), F.min(F.struct("request_target", "source_url", "page_kind")).alias("c"))
+    bound = mine.select("entity_source_id", "n", "c.request_target", F.col("c.source_url").alias("seen_url"), "c.page_kind")
+    routed = bound.join(live.withColumn("live", F.lit(True)), ["entity_source_id", "request_target"], "left").select("entity_source_id", "n", F.col("request_target").alias("seen_target"), "seen_url", "page_kind", F.coalesce("live", F.lit(False)).alias("live"))
+    in_order = lambda df, *cols: df.groupBy("entity_source_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))  # noqa: E731 - as many as the page shows
+    shown = F.trim(F.coalesce("value", F.lit(""))) != ""
+    named = in_order(attributes.filter(shown).dropDuplicates(["entity_source_id", "name"]), "name", "value").select("entity_source_id", F.map_from_entries("all").alias("attributes"))
+    priced = in_order(prices, "ord", "minor").select("entity_source_id", F.transform("all", lambda p: p["minor"]).alias("prices"))
+    photo = images.filter("public_path is not null").groupBy("entity_source_id").agg(F.min_by("public_path", F.struct("ord", "public_path")).alias("thumbnail"))
+    category = categories_of(crumbs, live, commerce.select("entity_source_id", "page_kind")).select("entity_source_id", "category_ids")
+    rows = entities.withColumnRenamed("source_id", "entity_source_id")
+    for part in (first, routed, named, priced, photo, category):
+        rows = rows.join(part, "entity_source_id", "left")
+    observed = F.col("n").isNotNull()
+    errors = compact(
+        F.when(F.col("own_target").isNull(), F.lit("ENTITY_ROUTE_MISSING")),
+        F.when(F.col("n") > 1, F.lit("DUPLICATE_COMMERCE")),
+        F.when(observed & (~F.col("live") | ~F.col("seen_url").eqNullSafe(F.col("source_url"))), F.lit("COMMERCE_BINDING")),
+    )
+    kind = F.coalesce("page_kind", F.lit("UNKNOWN"))
+    return rows.select(
+        F.col("entity_source_id").alias("id"),
+        "title",
+        F.when(observed & F.col("live"), F.col("seen_target")).otherwise(F.col("own_target")).alias("request_target"),
+        kind.alias("page_kind"),
+        (kind == "PRODUCT").alias("is_product"),
+        F.coalesce("category_ids", F.array().cast(category.schema["category_ids"].dataType)).alias("category_ids"),
+        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+        F.coalesce("prices", F.array().cast("array<bigint>")).alias("prices"),
+        "thumbnail",
+        F.when(~observed, F.array(F.lit("COMMERCE_NOT_OBSERVED"))).otherwise(F.array().cast("array<string>")).alias("blockers"),
+        errors.alias("errors"),
+    )
+
+
 def tiles(links: DataFrame, most: int = 40) -> DataFrame:
     """Category tiles of each page: named linked images of the page's own origin, none below another tile's path.
 

@@ -181,3 +181,33 @@ def ordered_blocks(parsed: DataFrame, key: str = "url") -> DataFrame:
 def limits(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, limit: pages whose content was worked out although it is over a bound of the walk."""
     return parsed.select(key, F.explode("parse.limits").alias("limit"))
+
+
+def page_links(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, ord, label, request_target, trail: links of the primary region to other pages of the site, repeats kept."""
+    rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.page_links").alias("l"))
+    target = urls.safe_target(urls.resolve(F.col("l.href"), F.col("url")), F.col("l.href"), urls.origin_of(F.col("url")))
+    return rows.select(key, "l.ord", "l.label", target.alias("request_target"), "l.trail").filter("request_target is not null")
+
+
+def breadcrumbs(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, source, chain, place, label, request_target, status: the chains of a page from its root downwards.
+
+    Chains come from trail markup (its links in order) and from structured lists of crumbs, which are put into order by their
+    positions. A list whose positions are missing, repeated or not 1 to n is kept in its own order for review; so is a chain with
+    a crumb that leads nowhere on the site, but for the last one, which may be the page itself.
+    """
+    own = page_links(parsed, key).filter("trail is not null")
+    place = F.row_number().over(Window.partitionBy(key, "trail").orderBy("ord"))
+    marked = own.select(key, F.lit("markup").alias("source"), F.col("trail").alias("chain"), place.alias("place"), "label", "request_target", F.lit("OBSERVED").alias("status"))
+    lists = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ld").alias("node")).filter(F.array_contains("node.classes", "BreadcrumbList") & F.col("node.schema_org"))
+    entries = lists.select(*dict.fromkeys([key, "url"]), F.col("node.ord").alias("chain"), F.size("node.listed").alias("n"), F.posexplode("node.listed").alias("given", "e"))
+    position = F.when(F.col("e.position").rlike("^[1-9][0-9]{0,8}$"), F.col("e.position").cast("int"))
+    target = urls.safe_target(urls.resolve(F.col("e.url"), F.col("url")), F.col("e.url"), urls.origin_of(F.col("url")))
+    entries = entries.select(key, "chain", "n", "given", position.alias("position"), F.col("e.name").alias("label"), target.alias("request_target"))
+    # A chain is as long as its page's list; a row for each list tells whether its positions are 1 to n.
+    sound = entries.groupBy(key, "chain").agg(((F.count_distinct("position") == F.max("n")) & (F.max("position") == F.max("n"))).alias("sound"), F.count_if(F.col("request_target").isNull() & (F.coalesce("position", F.lit(0)) < F.col("n"))).alias("lost"))
+    sound = sound.withColumn("sound", F.coalesce("sound", F.lit(False)))
+    joined = entries.join(sound, [key, "chain"])
+    status = F.when(F.col("sound") & (F.col("lost") == 0), "OBSERVED").otherwise("REQUIRES_REVIEW")
+    return marked.unionByName(joined.select(key, F.lit("list").alias("source"), "chain", F.when(F.col("sound"), F.col("position")).otherwise(F.col("given") + 1).alias("place"), "label", "request_target", status.alias("status")))

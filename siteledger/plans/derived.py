@@ -329,6 +329,75 @@ def j5_links_and_warnings(spark, d):
     return reports.package_blockers(none.select(F.lit("Page").alias("type")), blocks, assets, targets, warned)
 
 
+def _crumb_pages(spark, d):
+    """A page for each part below its brand and type: a trail in the markup, and a structured list that some pages have wrong."""
+    p = t(spark, d, "part").withColumn("m", F.col("p_partkey") % 6).withColumn("brand", F.regexp_replace("p_brand", "[^0-9A-Za-z]", "")).withColumn("kind", F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    m, path = F.col("m"), F.concat(F.lit("/b/"), "brand", F.lit("/"), "kind", F.lit("/"), F.col("p_partkey").cast("string"))
+    entry = lambda pos, name, url: F.concat(F.lit('{"@type":"ListItem","position":'), pos, F.lit(',"name":"'), name, F.lit('","item":"'), url, F.lit('"}'))
+    second = F.when(m == 1, F.lit("1")).when(m == 2, F.lit("3")).when(m == 3, F.lit("null")).otherwise("2")
+    listed = F.concat_ws(",", entry(second, F.col("kind"), F.concat(F.lit("/b/"), "brand", F.lit("/"), "kind")), entry(F.lit("1"), F.col("brand"), F.when(m == 4, F.lit("https://elsewhere.example/x")).otherwise(F.concat(F.lit("/b/"), "brand"))))
+    trail = F.concat(F.lit('<nav aria-label="breadcrumb"><a href="/">Home</a> / <a href="/b/'), "brand", F.lit('">'), "brand", F.lit('</a><a href="/b/'), "brand", F.lit('/gone">?</a><a href="/cart">Cart</a><a href="#x">x</a></nav>'))
+    body = F.concat(F.lit('<script type="application/ld+json">{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":['), listed, F.lit("]}</script><main>"), F.when(m != 5, trail).otherwise(""), F.lit('<h1>x</h1><a href="/else">Else</a></main>'))
+    page = p.select("p_partkey", "p_name", "m", "brand", "kind", path.alias("path"), F.concat(F.lit("https://shop.example"), path).alias("url"), body.alias("html"))
+    return html.parsed(page, fields=("page_links", "ld"))
+
+
+CRUMBS = "p AS (SELECT p_partkey, p_name, p_partkey % 6 AS m, regexp_replace(p_brand, '[^0-9A-Za-z]', '', 'g') AS brand, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS kind FROM part)"
+
+
+@query(
+    f"""WITH {CRUMBS} SELECT p_partkey, 'markup' AS source, 1 AS place, 'Home' AS label, '/' AS target, 'OBSERVED' AS status FROM p WHERE m <> 5
+    UNION ALL SELECT p_partkey, 'markup', 2, brand, '/b/' || brand, 'OBSERVED' FROM p WHERE m <> 5 UNION ALL SELECT p_partkey, 'markup', 3, '?', '/b/' || brand || '/gone', 'OBSERVED' FROM p WHERE m <> 5
+    UNION ALL SELECT p_partkey, 'list', CASE WHEN m IN (1, 2, 3) THEN 1 ELSE 2 END, kind, '/b/' || brand || '/' || kind, CASE WHEN m IN (1, 2, 3, 4) THEN 'REQUIRES_REVIEW' ELSE 'OBSERVED' END FROM p
+    UNION ALL SELECT p_partkey, 'list', CASE WHEN m IN (1, 2, 3) THEN 2 ELSE 1 END, brand, CASE WHEN m <> 4 THEN '/b/' || brand END, CASE WHEN m IN (1, 2, 3, 4) THEN 'REQUIRES_REVIEW' ELSE 'OBSERVED' END FROM p"""
+)
+def c16_breadcrumbs(spark, d):
+    return structured.breadcrumbs(_crumb_pages(spark, d), "p_partkey").select("p_partkey", "source", "place", "label", F.col("request_target").alias("target"), "status")
+
+
+@query(
+    f"""WITH {CRUMBS}, c AS (SELECT 'cb' || brand AS id, '/b/' || brand AS target FROM (SELECT DISTINCT brand FROM p) UNION ALL SELECT 'ck' || brand || kind, '/b/' || brand || '/' || kind FROM (SELECT DISTINCT brand, kind FROM p WHERE m <> 0))
+    SELECT 'p' || p_partkey AS id, '/b/' || brand || '/' || kind || '/' || p_partkey AS target, CASE WHEN m = 5 THEN '' ELSE 'cb' || brand END AS observed, coalesce(CASE WHEN m <> 5 THEN 'cb' || brand END, k.id, b.id) AS category
+    FROM p LEFT JOIN c k ON k.target = '/b/' || brand || '/' || kind JOIN c b ON b.target = '/b/' || brand"""
+)
+def j15_categories(spark, d):
+    pages = _crumb_pages(spark, d)
+    p = pages.drop("parse", "url")
+    crumbs = structured.breadcrumbs(pages, "p_partkey").filter("source = 'markup'").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("entity_source_id"), "place", "request_target")
+    brands = p.select(F.concat(F.lit("cb"), "brand").alias("entity_source_id"), F.concat(F.lit("/b/"), "brand").alias("request_target")).distinct()
+    kinds = p.filter("m <> 0").select(F.concat(F.lit("ck"), "brand", "kind").alias("entity_source_id"), F.concat(F.lit("/b/"), "brand", F.lit("/"), "kind").alias("request_target")).distinct()
+    own = p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("entity_source_id"), F.col("path").alias("request_target"))
+    known = brands.unionByName(kinds)
+    found = catalog.categories_of(crumbs, known.unionByName(own), known.select("entity_source_id", F.lit("CATEGORY").alias("page_kind")))
+    return own.join(found, "entity_source_id").select(F.col("entity_source_id").alias("id"), F.col("request_target").alias("target"), F.concat_ws(",", "category_ids").alias("observed"), "category")
+
+
+@query(
+    f"""WITH x AS (SELECT *, p_partkey % 8 AS m, {AMOUNT} AS cents FROM part)
+    SELECT 'p' || p_partkey AS id, CASE WHEN m = 0 THEN NULL ELSE '/p/' || p_partkey END AS target, CASE WHEN m = 1 THEN 'UNKNOWN' ELSE 'PRODUCT' END AS page_kind,
+        CASE WHEN m = 1 THEN '' WHEN p_size % 2 = 0 THEN 'Brand=' || p_brand || ';Type=' || p_type ELSE 'Type=' || p_type END AS attributes, CASE WHEN m = 1 THEN NULL ELSE cents END AS price,
+        CASE WHEN p_size % 3 = 0 THEN '/media/' || p_partkey || '-1' END AS thumbnail, CASE WHEN m = 1 THEN 'COMMERCE_NOT_OBSERVED' ELSE '' END AS blockers,
+        CASE m WHEN 0 THEN 'ENTITY_ROUTE_MISSING,COMMERCE_BINDING' WHEN 2 THEN 'DUPLICATE_COMMERCE' WHEN 3 THEN 'COMMERCE_BINDING' ELSE '' END AS errors FROM x"""
+)
+def j17_snapshot_details(spark, d):
+    p = _parts(spark, d).withColumn("m", (F.col("p_partkey") % 8).cast("int")).withColumn("entity_source_id", F.concat(F.lit("p"), F.col("p_partkey")))
+    m, path = F.col("m"), F.concat(F.lit("/p/"), F.col("p_partkey").cast("string"))
+    page = F.concat(F.lit("https://shop.example"), path)
+    entities = p.select(F.col("entity_source_id").alias("source_id"), page.alias("source_url"), F.col("p_name").alias("title"))
+    routes_ = p.select(path.alias("request_target"), "entity_source_id", F.when(m == 0, 404).otherwise(200).alias("expected_status"))
+    seen = p.filter("m <> 1")
+    commerce = seen.select("entity_source_id", F.when(m == 3, "https://other.example/").otherwise(page).alias("source_url"), path.alias("request_target"), F.lit("PRODUCT").alias("page_kind"), "m")
+    commerce = commerce.unionByName(commerce.filter("m = 2")).drop("m")
+    facts = seen.select("entity_source_id", F.explode(F.create_map(F.lit("Type"), F.col("p_type"), F.lit("Brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" "))).alias("name", "value"))
+    prices = seen.select("entity_source_id", F.lit(0).alias("ord"), F.col("cents").alias("minor"))
+    images = p.select("entity_source_id", F.explode(F.array(F.lit(2), F.lit(1), F.lit(0))).alias("ord"), "p_partkey", "p_size")
+    images = images.select("entity_source_id", "ord", F.when((F.col("p_size") % 3 == 0) & (F.col("ord") > 0), F.concat(F.lit("/media/"), F.col("p_partkey"), F.lit("-"), F.col("ord"))).alias("public_path"))
+    none = routes_.filter("false").select("entity_source_id", F.lit(1).alias("place"), "request_target")
+    got = catalog.snapshot_items(entities, routes_, commerce, none, facts, prices, images)
+    shown = F.concat_ws(";", F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return got.select("id", F.col("request_target").alias("target"), "page_kind", shown.alias("attributes"), F.get("prices", F.lit(0)).alias("price"), "thumbnail", F.concat_ws(",", "blockers").alias("blockers"), F.concat_ws(",", "errors").alias("errors"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_key FROM part WHERE p_partkey % 2 = 1")
 def j14_not_reconciled(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_key"), (F.col("p_partkey") % 2).alias("m"))

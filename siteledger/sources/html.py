@@ -34,6 +34,9 @@ FILE_LINK = re.compile(r"\.(?:pdf|docx?|xlsx?|zip|jpe?g|png|gif|webp|avif|svg|mp
 LINK = "struct<ord:int,href:string,tag:string,label:string,role:string,action_control:boolean,fragment_only:boolean>"
 BLOCK = "struct<ord:int,type:string,text:string,level:int,items:array<string>,rows:array<array<string>>,source:string,alt:string>"
 ORDERED = "struct<ord:int,type:string,text:string,level:int,items:array<string>,rows:array<array<string>>,href:string,source:string,within:string>"
+PAGE_LINK = "struct<ord:int,href:string,label:string,trail:int>"
+# What names a breadcrumb trail.
+TRAIL_CLASS, TRAIL_LABELS = "breadcrumb", ("breadcrumb", "Хлебные крошки")
 FIELDS = {
     "title": "string",
     "description": "string",
@@ -51,6 +54,7 @@ FIELDS = {
     "primary": "string",
     "blocks": f"array<{BLOCK}>",
     "ordered": f"array<{ORDERED}>",
+    "page_links": f"array<{PAGE_LINK}>",
     "limits": "array<string>",
     "text": "string",
     "forms": "int",
@@ -386,6 +390,22 @@ def _srcset(value: str) -> list[str]:
     return [part.split()[0] for part in value.split(",") if part.split()]
 
 
+def _page_links(region: Node) -> list[dict]:
+    """The links of a region that no script acts on, in order; trail numbers the breadcrumb trail that a link stands in."""
+    out, todo, trails = [], [(region, None)], 0
+    while todo:
+        node, trail = todo.pop()
+        if node.hidden() or node.tag in ("template", "noscript", "script", "style"):
+            continue
+        if trail is None and (TRAIL_CLASS in node.attrs.get("class", "").split() or node.attrs.get("aria-label") in TRAIL_LABELS):
+            trail, trails = trails, trails + 1
+        acts = any(k.startswith("on") for k in node.attrs) or node.attrs.get("role") == "button" or {"data-cart", "data-action"} & {*node.attrs}
+        if node.tag == "a" and "href" in node.attrs and not acts:
+            out.append({"ord": len(out), "href": node.attrs["href"], "label": plain(node), "trail": trail})
+        todo.extend((c, trail) for c in reversed(node.elements()))
+    return out
+
+
 def parse(html: str | None, fields: tuple[str, ...] | None = None, url: str | None = None) -> dict:
     """A value for each of FIELDS, or of the given ones: what none of them needs is not worked out."""
     wanted = set(fields or FIELDS)
@@ -417,7 +437,7 @@ def parse(html: str | None, fields: tuple[str, ...] | None = None, url: str | No
         if "url(" in n.attrs.get("style", ""):
             media.extend(m.strip("'\" ") for m in re.findall(r"url\(([^)]*)\)", n.attrs["style"]))
     headings = [n for n in nodes if re.fullmatch("h[1-6]", n.tag)]
-    name, region = _primary(nodes, body) if wanted & {"primary", "blocks", "ordered", "limits", "text"} else (None, body)
+    name, region = _primary(nodes, body) if wanted & {"primary", "blocks", "ordered", "page_links", "limits", "text"} else (None, body)
     gone = inactive(region, name == "body")
     base = first(n.attrs.get("href") for n in _own(nodes, "base") if n.attrs.get("href"))
     ordered = Walk(region, gone, urljoin(url or "", base or "") or None).out if wanted & {"ordered", "limits"} else []
@@ -443,6 +463,7 @@ def parse(html: str | None, fields: tuple[str, ...] | None = None, url: str | No
         "primary": name,
         "blocks": blocks,
         "ordered": ordered,
+        "page_links": _page_links(region) if "page_links" in wanted else [],
         "limits": limits,
         "text": " ".join(text_of(region, gone).split()) if "text" in wanted else None,
         "forms": len(forms),

@@ -7,7 +7,9 @@ import json
 OFFER = "struct<kind:string,types:array<string>,id:string,url:string,sku:string,item_id:string,price:string,low:string,high:string,currency:string,unit:string,availability:string,valid_until:string,customer:string,region:string,vat:string>"
 PROPERTY = "struct<name:string,value:string,unit:string>"
 VARIANT = f"struct<id:string,sku:string,name:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>>"
-NODE = f"struct<ord:int,schema_org:boolean,classes:array<string>,url:string,id:string,name:string,description:string,sku:string,brand:string,author:string,date_published:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>,variants:array<{VARIANT}>>"
+#: An entry of an ordered list: position and name as spelled, and what it leads to.
+LISTED = "struct<position:string,name:string,url:string>"
+NODE = f"struct<ord:int,schema_org:boolean,classes:array<string>,url:string,id:string,name:string,description:string,sku:string,brand:string,author:string,date_published:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>,variants:array<{VARIANT}>,listed:array<{LISTED}>>"
 
 
 def _json(value) -> str | None:
@@ -57,6 +59,16 @@ def _offers(node: dict) -> list[dict]:
     return out
 
 
+def _listed(node: dict) -> list[dict]:
+    out = []
+    for entry in _list(node.get("itemListElement")):
+        if isinstance(entry, dict):
+            item = entry.get("item")
+            url = _text(item.get("@id", item.get("url"))) if isinstance(item, dict) else _text(item)
+            out.append({"position": _text(entry.get("position")), "name": _text(entry.get("name")) or (_text(item.get("name")) if isinstance(item, dict) else None), "url": url or _text(entry.get("url"))})
+    return out
+
+
 def nodes(scripts: list[str]) -> list[dict]:
     out: list[dict] = []
 
@@ -70,7 +82,7 @@ def nodes(scripts: list[str]) -> list[dict]:
         own = any("schema.org" in str(c) for c in _list(node.get("@context"))) or schema_org
         if "@type" in node:
             variants = [{"id": _text(v.get("@id")) or _text(v.get("url")), "sku": _text(v.get("sku")), "name": _text(v.get("name")), "properties": _properties(v), "offers": _offers(v)} for v in _list(node.get("hasVariant")) if isinstance(v, dict)]
-            out.append({"ord": len(out), "schema_org": own, "classes": [_name(str(k)) for k in _list(node["@type"])], "url": _text(node.get("url")), "id": _text(node.get("@id")), "name": _text(node.get("name", node.get("headline"))), "description": _text(node.get("description")), "sku": _text(node.get("sku")), "brand": _text(node.get("brand", node.get("manufacturer"))), "author": _text(node.get("author")), "date_published": _text(node.get("datePublished")), "properties": _properties(node), "offers": _offers(node), "variants": variants})
+            out.append({"ord": len(out), "schema_org": own, "classes": [_name(str(k)) for k in _list(node["@type"])], "url": _text(node.get("url")), "id": _text(node.get("@id")), "name": _text(node.get("name", node.get("headline"))), "description": _text(node.get("description")), "sku": _text(node.get("sku")), "brand": _text(node.get("brand", node.get("manufacturer"))), "author": _text(node.get("author")), "date_published": _text(node.get("datePublished")), "properties": _properties(node), "offers": _offers(node), "variants": variants, "listed": _listed(node)})
         add(node.get("@graph"), own)
 
     for script in scripts:
