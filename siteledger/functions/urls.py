@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteledger.functions.steps import bound
 from siteledger.functions.text import WIDE_SPACE
 
 ABSOLUTE = r"(?i)^https?://"
@@ -239,6 +240,18 @@ def safe_target(absolute: Column, raw: Column, origin: Column) -> Column:
     return F.when(fine, me["request_target"])
 
 
+def with_safe_target(rows: DataFrame, href: str, page: str = "url", name: str = "request_target") -> DataFrame:
+    """Adds the safe target of a reference on its page, in steps, so that no part is worked out more than once a row."""
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    rows = bound(rows, _absolute=resolve(F.col(href), F.col(page)), _origin=origin_of(F.col(page)))
+    rows = bound(rows, _me=identity(F.col("_absolute")))
+    rows = bound(rows, _path=decode_path(path_of(F.col("_me.request_target"))), _acts=acts(F.col("_me.request_target")))
+    raw, path = F.col(href), F.col("_path")
+    plain = (F.regexp_replace(raw, WIDE_SPACE, "") != "") & ~raw.startswith("#") & ~raw.rlike(r"[\x00-\x20\\]") & (F.col("_me.origin") == F.col("_origin"))
+    fine = plain & ~F.regexp_replace(F.col("_me.raw_url"), "[?#].*$", "").rlike(MEDIA) & path.isNotNull() & ~path.rlike(SAFE_PATH_BAR) & ~F.col("_acts")
+    return rows.select(*kept, F.when(fine, F.col("_me.request_target")).alias(name))
+
+
 def is_media(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*$", "").rlike(MEDIA)
 

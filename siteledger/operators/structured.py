@@ -163,9 +163,8 @@ def ordered_blocks(parsed: DataFrame, key: str = "url") -> DataFrame:
     parsed: key, url, and the parse's ``ordered``.
     """
     rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ordered").alias("b")).select(*dict.fromkeys([key, "url"]), "b.*")
-    target = urls.safe_target(urls.resolve(F.col("href"), F.col("url")), F.col("href"), urls.origin_of(F.col("url")))
     linked = F.col("type").isin("link", "card")
-    rows = rows.withColumn("request_target", F.when(linked, target))
+    rows = urls.with_safe_target(rows, "href")
     # What may not be followed is text: of its heading or paragraph, or of the block that has its label already.
     unsafe = linked & F.col("request_target").isNull()
     shown = rows.filter(~unsafe | F.coalesce(F.col("within") != "nested", F.lit(True)))
@@ -185,9 +184,8 @@ def limits(parsed: DataFrame, key: str = "url") -> DataFrame:
 
 def page_links(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, ord, label, request_target, trail: links of the primary region to other pages of the site, repeats kept."""
-    rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.page_links").alias("l"))
-    target = urls.safe_target(urls.resolve(F.col("l.href"), F.col("url")), F.col("l.href"), urls.origin_of(F.col("url")))
-    return rows.select(key, "l.ord", "l.label", target.alias("request_target"), "l.trail").filter("request_target is not null")
+    rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.page_links").alias("l")).select(*dict.fromkeys([key, "url"]), "l.*")
+    return urls.with_safe_target(rows, "href").select(key, "ord", "label", "request_target", "trail").filter("request_target is not null")
 
 
 def breadcrumbs(parsed: DataFrame, key: str = "url") -> DataFrame:
@@ -203,8 +201,8 @@ def breadcrumbs(parsed: DataFrame, key: str = "url") -> DataFrame:
     lists = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ld").alias("node")).filter(F.array_contains("node.classes", "BreadcrumbList") & F.col("node.schema_org"))
     entries = lists.select(*dict.fromkeys([key, "url"]), F.col("node.ord").alias("chain"), F.size("node.listed").alias("n"), F.posexplode("node.listed").alias("given", "e"))
     position = F.when(F.col("e.position").rlike("^[1-9][0-9]{0,8}$"), F.col("e.position").cast("int"))
-    target = urls.safe_target(urls.resolve(F.col("e.url"), F.col("url")), F.col("e.url"), urls.origin_of(F.col("url")))
-    entries = entries.select(key, "chain", "n", "given", position.alias("position"), F.col("e.name").alias("label"), target.alias("request_target"))
+    entries = entries.select(*dict.fromkeys([key, "url"]), "chain", "n", "given", position.alias("position"), F.col("e.name").alias("label"), F.col("e.url").alias("href"))
+    entries = urls.with_safe_target(entries, "href")
     # A chain is as long as its page's list; a row for each list tells whether its positions are 1 to n.
     sound = entries.groupBy(key, "chain").agg(((F.count_distinct("position") == F.max("n")) & (F.max("position") == F.max("n"))).alias("sound"), F.count_if(F.col("request_target").isNull() & (F.coalesce("position", F.lit(0)) < F.col("n"))).alias("lost"))
     sound = sound.withColumn("sound", F.coalesce("sound", F.lit(False)))
