@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from siteledger.llm.common import fresh_name, frugal
 
 BLOCK_WORDS = 2_000_000
+#: Pairs of equal windows that are looked at one by one; texts that repeat themselves have more.
+PLACES = 20_000
 #: Thai, Lao, Burmese, Khmer, kana, Han: no spaces between words.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
@@ -58,7 +60,7 @@ def tiles(item: np.ndarray, text: np.ndarray, min_match: int, first: int = 20) -
     free_i, free_t = item > 0, text > 0
     out: list[tuple[int, int, int]] = []
     length = max(min_match, min(first, len(item)))
-    while True:
+    while free_i.any() and free_t.any():
         queues = defaultdict(list)
         longest = _scan(item, text, free_i, free_t, length, queues)
         if longest > 2 * length:
@@ -66,7 +68,7 @@ def tiles(item: np.ndarray, text: np.ndarray, min_match: int, first: int = 20) -
             continue
         for n in sorted(queues, reverse=True):
             for i, t in queues[n]:
-                if free_i[i : i + n].all() and free_t[t : t + n].all():
+                if free_i[i] and free_t[t] and free_i[i : i + n].all() and free_t[t : t + n].all() and (item[i : i + n] == text[t : t + n]).all():
                     free_i[i : i + n] = free_t[t : t + n] = False
                     out.append((i, t, n))
         if longest:
@@ -74,6 +76,7 @@ def tiles(item: np.ndarray, text: np.ndarray, min_match: int, first: int = 20) -
         if length == min_match:
             return out
         length = max(min_match, length // 2)
+    return out
 
 
 def _scan(item, text, free_i, free_t, length: int, queues) -> int:
@@ -83,8 +86,11 @@ def _scan(item, text, free_i, free_t, length: int, queues) -> int:
     hashes = rolling(text, length)
     for t in np.nonzero(run)[0].tolist():
         at[int(hashes[t])].append(t)
+    own = rolling(item, length)
+    if sum(len(at[h]) for h in own.tolist() if h in at) > PLACES:
+        return _scan_repeats(own, np.where(run, hashes, ~hashes), np.convolve(free_i, np.ones(length, np.int64), "valid") == length, run, length, queues)
     longest = 0
-    for i, h in enumerate(rolling(item, length).tolist()):
+    for i, h in enumerate(own.tolist()):
         if h not in at or not free_i[i : i + length].all():
             continue
         for t in at[h]:
@@ -100,6 +106,24 @@ def _scan(item, text, free_i, free_t, length: int, queues) -> int:
     return longest
 
 
+def _scan_repeats(own: np.ndarray, hashes: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, length: int, queues) -> int:
+    """As _scan, for texts that repeat themselves: matches grow along their diagonals, for all places of the text at once."""
+    grown = np.zeros(len(hashes) + 1, np.int64)  # windows of the match that ends at each place, one to the right
+    longest = 0
+    for i in range(len(own) + 1):
+        if i < len(own) and free_i[i]:
+            equal = (hashes == own[i]) & free_t
+        else:
+            equal = np.zeros(len(hashes), bool)
+        going = np.append(equal, False)
+        for t in np.flatnonzero((grown > 0) & ~going).tolist():
+            n = int(grown[t])
+            queues[n + length - 1].append((i - n, t - n))
+            longest = max(longest, n + length - 1)
+        grown = np.append(0, np.where(equal, grown[:-1] + 1, 0))
+    return longest
+
+
 class Seeds:
     """The seeds of one block of the benchmark, for lookups by arrays of hashes."""
 
@@ -157,13 +181,33 @@ class Seeds:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks that fit a broadcast, by a bound on their words."""
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = sized.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    n = -(-total // BLOCK_WORDS)
-    for b in range(n):
-        part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield sorted((r.item_id, r.text) for r in part.collect())
+    """The benchmark's items in blocks that fit a broadcast: of at most BLOCK_WORDS words, or of one item with more.
+
+    Items are dealt by hashes; a block that turns out too large is dealt once more. Only counts are known before a block is read.
+    """
+    unspaced = "[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}]"
+    # Runs of letters and digits, and two more (itself and what follows) for each character of an unspaced script.
+    words = F.regexp_count("text", F.lit(r"(?U)\w+")) + 2 * F.regexp_count("text", F.lit(unspaced))
+    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text != ''").withColumn("words", F.greatest(words, F.lit(1)))
+    todo = [(sized, 0)]
+    while todo:
+        some, turn = todo.pop()
+        whole = some.agg(F.sum("words").alias("words"), F.count("*").alias("n")).first()
+        if not whole.n:
+            continue
+        if whole.words <= BLOCK_WORDS or whole.n == 1 or turn > 20:
+            yield sorted((r.item_id, r.text) for r in some.select("item_id", "text").collect())
+            continue
+        n = -(-2 * whole.words // BLOCK_WORDS)
+        part = F.pmod(F.xxhash64("item_id", "text", F.lit(turn)), F.lit(n))
+        sums = some.groupBy(part.alias("part")).agg(F.sum("words").alias("words")).collect()  # a row a block
+        # Neighbouring parts are read together as long as they fit.
+        low, held = 0, 0
+        for r in [*sorted(sums, key=lambda r: r.part), None]:
+            if r is None or held and held + r.words > BLOCK_WORDS:
+                todo.append((some.filter((part >= low) & (part < (r.part if r is not None else n))), turn + 1))
+                low, held = (r.part if r is not None else n), 0
+            held += r.words if r is not None else 0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_match: int = 5) -> DataFrame:

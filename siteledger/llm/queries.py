@@ -32,7 +32,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    return substrings.repeats(table(spark, sf_dir, "documents"), by=substrings.BOTH)
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

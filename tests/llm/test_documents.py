@@ -372,6 +372,92 @@ def test_repeats_are_found_with_their_offsets(spark, docs, empty):
     assert substrings.remove(docs).columns == docs.columns and substrings.remove(empty).count() == 0
 
 
+def test_constant_texts_are_tiled_in_time_that_follows_their_length():
+    import time
+
+    rng = np.random.default_rng(3)
+    for n, m in ((20_000, 300), (30, 12), (700, 90)):
+        for words in (1, 2):
+            item, t = rng.integers(1, words + 1, m).astype(np.uint64), rng.integers(1, words + 1, n).astype(np.uint64)
+            began = time.process_time()
+            got = decontaminate.tiles(item, t, 5)
+            assert time.process_time() - began < 2
+            marked_i, marked_t = np.zeros(m, int), np.zeros(n, int)
+            for i, at, size in got:
+                assert size >= 5 and (item[i : i + size] == t[at : at + size]).all()
+                marked_i[i : i + size] += 1
+                marked_t[at : at + size] += 1
+            assert marked_i.max() == 1 and marked_t.max() == 1
+            if words == 1:
+                assert marked_i.sum() == m if n > m else n
+    item, t = rng.integers(1, 3, 60).astype(np.uint64), rng.integers(1, 3, 300).astype(np.uint64)
+    plain = decontaminate.tiles(item, t, 5)
+    was, decontaminate.PLACES = decontaminate.PLACES, 0
+    try:
+        assert sorted(n for *_, n in decontaminate.tiles(item, t, 5)) == sorted(n for *_, n in plain)
+    finally:
+        decontaminate.PLACES = was
+
+
+def test_blocks_of_the_benchmark_are_bounded_by_what_is_read_as_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1000)
+    rows = [(k, "\u4e2d\u6587" * 150) for k in range(40)] + [(100 + k, "some words here " * 60) for k in range(30)] + [(500, "x " * 5000), (501, None), (502, "")]
+    got = list(decontaminate.blocks(spark.createDataFrame(rows, "item_id long, text string")))
+    assert sorted(i for block in got for i, _ in block) == sorted(i for i, t in rows if t)
+    sizes = [sum(len(decontaminate.words_of(t)) for _, t in block) for block in got]
+    assert [n for n in sizes if n > 1000] == [5000] and len(got) < 60
+
+
+def brute_lines(rows, min_words):
+    """What stays of every text if each line that stood before is cut, by plain loops."""
+    texts = sorted({(i, zlib.crc32(t.encode()), t) for i, t in rows if i is not None and t})
+    first, owners, out = {}, {}, {}
+    key = lambda line: " ".join(line.lower().split()).rstrip(".!?")
+    for i, c, t in texts:
+        for k, line in enumerate(t.split("\n")):
+            if line.strip():
+                first.setdefault(key(line), (i, c, k))
+                owners.setdefault(key(line), set()).add((i, c))
+    for i, c, t in texts:
+        lines, run, gone = list(re.finditer(r"[^\n]+", t)), [], set()
+        at = {m.start(): k for k, m in enumerate(re.finditer(r"(?m)^.*$", t))}
+        for m in [*(m for m in lines if m[0].strip()), None]:
+            if m is not None and len(owners[key(m[0])]) > 1 and first[key(m[0])] != (i, c, at[m.start()]):
+                run.append(m)
+                continue
+            if run and sum(len(x[0].split()) for x in run) >= min_words:
+                tail = run[-1][0].rstrip()  # white space behind a closing mark belongs to no unit
+                gone |= set(range(run[0].start() + len(run[0][0]) - len(run[0][0].lstrip()), run[-1].start() + len(tail if tail[-1] in ".!?" else run[-1][0])))
+            run = []
+        out[i, c] = "".join(x for k, x in enumerate(t) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("min_words", [0, 6])
+def test_lines_are_cut_as_plain_loops_cut_them(spark, min_words):
+    rng = random.Random(31)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 5, 9]))) + rng.choice([".", "", "! Go on"]) for _ in range(25)]
+    rows = [(i, "\n".join(rng.choice(["", "  ", "\t"]) + (rng.choice(pool) if rng.random() < 0.6 else text(rng, 7)) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    rows += [(7, rows[7][1]), (60, rows[8][1].upper()), (61, "\n\n \n"), (62, None)]
+    want = brute_lines(rows, min_words)
+    got = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=min_words, by=("line",)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((i, want.get((i, zlib.crc32((t or "").encode())), t)) for i, t in rows), key=repr)
+
+
+def test_lines_and_sentences_give_the_spans_of_both(spark):
+    whole = "A line of several sentences. Each is new here, but not there! So the whole line goes as it stands once more"
+    inner = "This sentence stands inside of other lines and has more than twenty words, which is what it takes to be cut out of them today."
+    rows = [(1, f"{whole}\n{inner} First."), (2, f"top\n{whole.upper()}.\nend"), (3, f"Here before. {inner} And after.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda by: sorted((r.doc_id, r.start, r.length, r.words) for r in substrings.repeats(table, by=by).collect())
+    line, sentence = (2, 4, len(whole) + 1, len(whole.split())), (3, 13, len(inner), len(inner.split()))
+    assert spans(("line",)) == [line] and spans(("sentence",)) == spans(substrings.BOTH) == [line, sentence]
+    # Sentences that stand in other orders are no line; a line of short sentences is.
+    rows = [(1, "One two. Three four. Five six."), (2, "x\nOne two. Three four. Five six.\ny"), (3, "Five six. One two. Three four.")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.text for r in substrings.remove(table, min_words=0, by=("line",)).orderBy("doc_id").collect()] == [rows[0][1], "x\n\ny", rows[2][1]]
+
+
 def brute_cut(rows, min_words, min_documents):
     """What stays of every text, by plain loops over the units (None ids take no part)."""
     texts = {(i, zlib.crc32(t.encode()), t) for i, t in rows if i is not None and t}
