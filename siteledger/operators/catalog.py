@@ -273,7 +273,13 @@ def conditional_coverage(entities: DataFrame, facts: DataFrame, shown: DataFrame
     return all_rules.select("type", "rule", F.coalesce("applies", F.lit(0)).alias("applies"), F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
+def caps(rows: DataFrame, key: str, cap: int) -> DataFrame:
+    """key, n, verdict of each key: WITHIN, or OVER if it has more rows than the cap. Nothing is cut."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.withColumn("verdict", F.when(F.col("n") > cap, "OVER").otherwise("WITHIN"))
+
+
 def within_caps(rows: DataFrame, key: str, cap: int, what: str) -> DataFrame:
     """Counts by key; more than the cap fails the job instead of being cut."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.select(key, F.when(F.col("n") > cap, F.raise_error(F.lit(f"more than {cap} {what}")).cast("long")).otherwise(F.col("n")).alias("n"))
+    over = F.col("verdict") == "OVER"
+    return caps(rows, key, cap).select(key, F.when(over, F.raise_error(F.lit(f"more than {cap} {what}")).cast("long")).otherwise(F.col("n")).alias("n"))

@@ -210,11 +210,17 @@ def resume(prior_witnesses: DataFrame, prior_observations: DataFrame, witnesses:
     return prior_witnesses.unionByName(witnesses).distinct(), prior_observations.unionByName(observations).distinct()
 
 
+def budget_verdict(entries: DataFrame, limit: int) -> DataFrame:
+    """One row: entries, budget, verdict (WITHIN or EXCEEDED)."""
+    n = entries.agg(F.count("*").alias("entries"))
+    return n.select("entries", F.lit(limit).cast("long").alias("budget"), F.when(F.col("entries") > limit, "EXCEEDED").otherwise("WITHIN").alias("verdict"))
+
+
 def within_budget(entries: DataFrame, limit: int, what: str = "entries") -> DataFrame:
     """The same rows; more than the limit fails the job instead of being cut."""
-    n = entries.count()
-    if n > limit:
-        raise ValueError(f"{n} {what} exceed the budget of {limit}")
+    found = budget_verdict(entries, limit).first()
+    if found.verdict != "WITHIN":
+        raise ValueError(f"{found.entries} {what} exceed the budget of {limit}")
     return entries
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.functions import http, urls
-from siteledger.operators.common import written
+from siteledger.operators.common import ranked, written
 
 ACCEPTED = ("FETCHED", "RENDERED")
 
@@ -144,7 +144,8 @@ def discovery_closure(seeds: DataFrame, links: DataFrame, budget: int | None = 1
         reached = edges.join(frontier, edges.src == frontier.crawl_key, "left_semi").select(F.col("dst").alias("crawl_key")).distinct()
         fresh = reached.join(visited, "crawl_key", "left_anti")
         if budget is not None:
-            fresh = fresh.orderBy("crawl_key").limit(budget - size)
+            # Numbered range by range: the cut of a large level is no single task.
+            fresh = ranked(fresh, [F.col("crawl_key").asc()], "_place").filter(F.col("_place") < budget - size).drop("_place")
         frontier = written(fresh.withColumn("level", F.lit(level + 1)), "frontier")
         n = frontier.count()
         if not n:

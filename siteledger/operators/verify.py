@@ -121,6 +121,7 @@ def coverage(checks: DataFrame) -> DataFrame:
     )
 
 
-def readiness(checks: DataFrame) -> DataFrame:
-    """One row: checks, ready (at least one check, and all PASS)."""
-    return checks.agg(F.count("*").alias("checks"), (F.count_if(F.coalesce(F.col("status") != "PASS", F.lit(True))) == 0).alias("all_pass")).select("checks", (F.col("all_pass") & (F.col("checks") > 0)).alias("ready"))
+def readiness(checks: DataFrame, *by: str) -> DataFrame:
+    """checks, ready (at least one check, and all PASS): one row, or one for each group of ``by``."""
+    failed = F.count_if(F.coalesce(F.col("status") != "PASS", F.lit(True)))
+    return checks.groupBy(*by).agg(F.count("*").alias("checks"), ((failed == 0) & (F.count("*") > 0)).alias("ready"))

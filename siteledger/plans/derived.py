@@ -252,7 +252,7 @@ def j3_observed_plan(spark, d):
 def j6_route_defects(spark, d):
     p, m = t(spark, d, "part"), F.col("p_partkey") % 6
     r = p.select(F.concat(F.lit("/"), (F.floor(F.col("p_partkey") / 2) * 2).cast("string")).alias("request_target"), F.when(m == 0, "no").otherwise("yes").alias("entity_source_id"), F.when(m == 1, 301).when(m == 2, 418).otherwise(200).alias("expected_status"), F.lit(None).cast("string").alias("redirect_to"))
-    return routes.route_defects(r, p.limit(1).select(F.lit("yes").alias("source_id")))
+    return routes.route_defects(r, spark.createDataFrame([("yes",)], "source_id string"))
 
 
 @query(f"WITH {TARGETS} SELECT substring(href, 2) AS label, request_target, min(ord) AS ord FROM targets WHERE request_target IN (SELECT request_target FROM targets WHERE page_id % 2 = 0) AND substring(href, 2) <> '' GROUP BY 1, 2")

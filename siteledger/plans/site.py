@@ -122,9 +122,13 @@ def u9_robots_sitemaps(spark, d):
     return robots.sitemaps(texts).select("host", F.col("url").alias("sitemap"))
 
 
-@query("SELECT page_id, true AS is_html FROM pages")
+@query("SELECT page_id, page_id % 6 NOT IN (3, 4) AS is_html FROM pages")
 def u12_html_responses(spark, d):
-    return pages(spark, d, False).select("page_id", http.is_html(F.lit("text/plain"), F.col("html")).alias("is_html"))
+    """Typed and untyped HTML, HTML behind comments and space, and what only looks like it or is plain text."""
+    m, body = F.col("page_id") % 6, F.col("html")
+    typed = F.when(m == 0, "Text/HTML; charset=utf-8").when(m == 1, "application/xhtml+xml").when(m == 5, F.lit(None).cast("string")).otherwise("text/plain")
+    shown = F.when(m.isin(0, 1), "no markup").when(m == 2, F.concat(F.lit(" \n<!-- a > b --> <!--x-->\t"), body)).when(m == 3, F.concat(F.lit("text before "), body)).when(m == 4, "< p>1 < 2").otherwise(body)
+    return pages(spark, d, False).select("page_id", http.is_html(typed, shown).alias("is_html"))
 
 
 @query(f"WITH {IDENTITY} SELECT page_id, 'page_' || left(sha256(origin || request_target), 24) AS id, sha256(request_target) AS route_key, sha256('url:' || origin || request_target) AS queue_id, sha256('[\"demo\",\"Page\",\"' || origin || request_target || '\"]') AS entity_key FROM ids")
