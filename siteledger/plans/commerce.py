@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteledger.functions import http, money
-from siteledger.operators import cart, catalog, importing, journal, queue, registry, reports, routes, search, verify
+from siteledger.operators import cart, catalog, common, importing, journal, queue, registry, reports, routes, search, verify
 from siteledger.streaming import jobs
 
 QUERIES: dict = {}
@@ -471,6 +471,17 @@ def c18_caps(spark, d):
     return catalog.caps(p, "p_brand", p.count() // 25)
 
 
+@query("SELECT user_id AS source_url, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS observed_at FROM events GROUP BY 1")
+def t5_latest_observations(spark, d):
+    """The state of the queue's stream after five batches, in no order of time, one of which came twice."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("source_url"), F.col("ts").alias("observed_at"), F.col("event_id").alias("input_id"), F.col("event_type").alias("status"))
+    folder = common.fresh_folder(spark, "observations")
+    for epoch, part in enumerate((3, 1, 4, 0, 2)):
+        for _ in range(1 + (part == 4)):
+            jobs.apply_batch(e.filter(F.pmod(F.xxhash64("input_id"), F.lit(5)) == part), folder, epoch, ["source_url"], ["observed_at", "input_id"], least=0)
+    return jobs.current_state(spark, folder).select("source_url", "status", "observed_at")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
 def r23_resume(spark, d):
     """A prior queue's evidence and new inputs that overlap it."""

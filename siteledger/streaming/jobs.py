@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
@@ -14,35 +14,87 @@ from siteledger.operators import cart as carts
 from siteledger.operators.journal import replay
 
 
-def _versions(spark, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+#: Deltas that a state is read from at most; then they are merged into its base.
+MOST_DELTAS = 64
+
+
+def _listed(spark, folder: str) -> tuple[dict[int, int], dict[int, int]]:
+    """epoch -> bytes of the complete bases and deltas of a state."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    bases, deltas = {}, {}
+    for status in fs.listStatus(path(folder)) if fs.exists(path(folder)) else []:
+        name = status.getPath().getName()
+        if name[:1] in ("b", "d") and name[1:].isdigit() and fs.exists(path(f"{folder}/{name}/_SUCCESS")):
+            (bases if name[0] == "b" else deltas)[int(name[1:])] = fs.getContentSummary(status.getPath()).getLength()
+    return bases, deltas
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """One row for each key, the last in order; a column's metadata tell what it is."""
+    role = {f.name: f.metadata.get("ledger", "") for f in rows.schema.fields}
+    keys = [c for c, r in role.items() if r == "key"]
+    order = sorted((c for c, r in role.items() if r.startswith("order")), key=role.get)
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*[_marked(F.col(c) if c in keys else F.col("_row")[c], c, role[c]) for c in rows.columns])
+
+
+def _marked(value: Column, name: str, role: str) -> Column:
+    return value.alias(name, metadata={"ledger": role}) if role else value.alias(name)
+
+
+def apply_batch(batch: DataFrame, folder: str, epoch: int, keys: list[str], order: list[str], least: int = 16 << 20) -> None:
+    """Add a batch to a state: the last row of each of its keys is written as the delta of its epoch.
+
+    What is written follows the batch. Only when the deltas have grown to the size of the base (and to ``least`` bytes), or are
+    MOST_DELTAS, are both merged into a new base, after which what it replaces is removed. A batch that comes again writes its delta
+    again, or nothing if a base has it already.
+    """
+    spark = batch.sparkSession
+    bases, _ = _listed(spark, folder)
+    base = max(bases, default=-1)
+    if epoch <= base:
+        return
+    role = {c: "key" for c in keys} | {c: f"order{n:02}" for n, c in enumerate(order)}
+    marked = batch.select(*[_marked(F.col(c), c, role.get(c, "")) for c in batch.columns])
+    _latest(marked).write.mode("overwrite").parquet(f"{folder}/d{epoch}")
+    _, deltas = _listed(spark, folder)
+    open_ = [n for n in deltas if base < n <= epoch]
+    size = sum(deltas[n] for n in open_)
+    if len(open_) >= MOST_DELTAS or size >= max(least, bases.get(base, 0)):
+        _read(spark, folder, base, open_).write.mode("overwrite").parquet(f"{folder}/b{epoch}")
+        _remove(spark, folder, [f"b{n}" for n in bases] + [f"d{n}" for n in deltas if n <= epoch])
+
+
+def _read(spark, folder: str, base: int, deltas: list[int]) -> DataFrame:
+    paths = ([f"{folder}/b{base}"] if base >= 0 else []) + [f"{folder}/d{n}" for n in sorted(deltas)]
+    return _latest(spark.read.parquet(*paths))
+
+
+def _remove(spark, folder: str, names: list[str]) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        fs.delete(path(f"{folder}/{name}"), True)
 
 
 def current_state(spark, folder: str) -> DataFrame | None:
-    versions = _versions(spark, folder)
-    return spark.read.parquet(f"{folder}/v{versions[-1]}") if versions else None
+    """The last row of each key, deleted ones included: the base merged with the deltas after it."""
+    bases, deltas = _listed(spark, folder)
+    base = max(bases, default=-1)
+    after = [n for n in deltas if n > base]
+    return _read(spark, folder, base, after) if bases or after else None
 
 
 def journal_tail(changes: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Ledger state from a stream of changes (keys, sequence, present, value), as numbered table versions.
+    """Ledger state from a stream of changes (keys, sequence, present, value), exactly once, by deltas and a base.
 
-    A batch merges by sequence with the version before it, so a replayed batch gives the same version again.
     Tombstones are kept in the state, or a late older write would revive a deleted key.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in _versions(spark, folder) if v < epoch]
-        rows = batch.select(*keys, "sequence", "present", "value")
-        if before:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/v{before[-1]}"))
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct("present", "value"), "sequence").alias("l"), F.max("sequence").alias("sequence"))
-        last.select(*keys, "sequence", "l.present", "l.value").write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        apply_batch(batch.select(*keys, "sequence", "present", "value"), folder, epoch, keys, ["sequence"])
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -125,18 +177,12 @@ def request_pacing(requests: DataFrame, interval: str = "1 second", delay: str =
 
 
 def observation_queue(observations: DataFrame, folder: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """The latest observation of each page as numbered versions: late, older observations never override newer ones."""
-    key = F.struct("observed_at", "snapshot_sha256", "input_id")
+    """The latest observation of each page: late, older observations never override newer ones. then: gets the state after each batch."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in _versions(spark, folder) if v < epoch]
         rows = batch.select("source_url", "observed_at", "snapshot_sha256", "input_id", "status")
-        if before:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/v{before[-1]}"))
-        best = rows.groupBy("source_url").agg(F.max_by(F.struct("observed_at", "snapshot_sha256", "input_id", "status"), key).alias("o"))
-        best.select("source_url", "o.*").write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        apply_batch(rows, folder, epoch, ["source_url"], ["observed_at", "snapshot_sha256", "input_id"])
         if then:
-            then(spark.read.parquet(f"{folder}/v{epoch}"))
+            then(current_state(batch.sparkSession, folder))
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

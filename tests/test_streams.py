@@ -76,3 +76,34 @@ def test_late_observations_never_override(spark, tmp_path):
 @pytest.mark.parametrize("name", ["nothing-there"])
 def test_no_state_yet(spark, tmp_path, name):
     assert jobs.current_state(spark, f"file://{tmp_path}/{name}") is None
+
+
+def test_a_batch_writes_what_it_brings(spark, tmp_path):
+    import os
+
+    folder, schema = f"file://{tmp_path}/s", "k string, sequence long, present boolean, value string"
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / "s" / name).rglob("*.parquet"))
+    jobs.apply_batch(spark.createDataFrame([(f"k{i}", i, True, f"{i * 7919:x}") for i in range(20_000)], schema), folder, 0, ["k"], ["sequence"], least=0)
+    assert os.listdir(tmp_path / "s") == ["b0"]
+    small = spark.createDataFrame([("k1", 30_000, True, "new"), ("k2", 1, True, "late"), ("k3", 30_001, False, None)], schema)
+    for epoch in (1, 1, 2):
+        jobs.apply_batch(small, folder, epoch, ["k"], ["sequence"], least=0)
+    assert sorted(os.listdir(tmp_path / "s")) == ["b0", "d1", "d2"] and size("d1") * 20 < size("b0")
+    state = {r.k: (r.sequence, r.value) for r in jobs.current_state(spark, folder).collect()}
+    assert len(state) == 20_000 and state["k1"] == (30_000, "new") and state["k2"] == (2, f"{2 * 7919:x}") and state["k3"] == (30_001, None)
+    jobs.apply_batch(spark.createDataFrame([(f"n{i}", i, True, f"{i * 104729:x}") for i in range(30_000)], schema), folder, 3, ["k"], ["sequence"], least=0)
+    assert os.listdir(tmp_path / "s") == ["b3"]
+    jobs.apply_batch(small.limit(0), folder, 3, ["k"], ["sequence"], least=0)  # comes again after its base was written
+    assert os.listdir(tmp_path / "s") == ["b3"] and jobs.current_state(spark, folder).count() == 50_000
+    assert {r.k: r.value for r in jobs.live_keys(jobs.current_state(spark, folder), ["k"]).filter("k in ('k1', 'k3')").collect()} == {"k1": "new"}
+
+
+def test_many_small_batches_are_merged(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(jobs, "MOST_DELTAS", 4)
+    folder = f"file://{tmp_path}/s"
+    for epoch in range(9):
+        jobs.apply_batch(spark.createDataFrame([("a", epoch, f"v{epoch}"), (f"b{epoch}", 0, "x")], "k string, n int, v string").coalesce(1), folder, epoch, ["k"], ["n"])
+    assert sorted(os.listdir(tmp_path / "s")) == ["b7", "d8"]
+    assert {r.k: r.v for r in jobs.current_state(spark, folder).collect()} == {"a": "v8"} | {f"b{k}": "x" for k in range(9)}
