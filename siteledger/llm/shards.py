@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from siteledger.llm.common import fresh_path, frugal, materialise, shuffle_partitions
 from siteledger.llm.tokens import default_vocabulary, encoder
 
+#: Ids that are read from a shard at once.
+READ_IDS = 1 << 20
 MAGIC = b"IDSHARD1"
 #: The key under which rows with a null id are indexed.
 NULL_KEY = -(1 << 63)
@@ -165,6 +167,13 @@ class ShardReader:
     def read(self, start: int, n: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at(n * self.width, start * self.width), f"<u{self.width}")
 
+    def checksum(self, start: int, n: int) -> int:
+        """The CRC-32 of n ids as 32-bit numbers, READ_IDS at a time."""
+        crc = 0
+        for at in range(0, n, READ_IDS):
+            crc = zlib.crc32(self.read(start + at, min(READ_IDS, n - at)).astype("<u4").tobytes(), crc)
+        return crc
+
     def payload(self, block: int = 1 << 20) -> Iterator[np.ndarray]:
         for at in range(0, self.footer["ids"], block):
             yield self.read(at, min(block, self.footer["ids"] - at))
@@ -222,14 +231,22 @@ def read(manifest: DataFrame) -> DataFrame:
                 # The index gives the offset of a key's first row; the others of the key follow by their counts.
                 before = np.cumsum(shard.counts) - shard.counts
                 starts = shard.start[shard.hash.find(shard.keys)] + before - before[first]
-                for at in range(0, len(starts), 2048):
-                    some = slice(at, min(at + 2048, len(starts)))
-                    lo, hi = int(starts[some].min()), int((starts[some] + shard.counts[some]).max())
-                    ids = shard.read(lo, hi - lo).astype("<u4")
-                    crcs = [zlib.crc32(ids[s - lo : s - lo + n].tobytes()) for s, n in zip(starts[some].tolist(), shard.counts[some].tolist(), strict=True)]
+                total, at = np.cumsum(shard.counts), 0
+                while at < len(starts):
+                    # As many documents as READ_IDS ids allow, at least one.
+                    end = max(at + 1, int(np.searchsorted(total, total[at] - shard.counts[at] + READ_IDS, "right")))
+                    some, lo = slice(at, end), int(starts[at])
+                    if (starts[some] != lo + np.append(0, np.cumsum(shard.counts[some])[:-1])).any():
+                        raise ValueError(f"{m['uri']}: the index and the order of the documents differ")
+                    if end == at + 1:
+                        crcs = [shard.checksum(lo, int(shard.counts[at]))]
+                    else:
+                        ids = shard.read(lo, int(shard.counts[some].sum())).astype("<u4")
+                        crcs = [zlib.crc32(ids[s - lo : s - lo + n].tobytes()) for s, n in zip(starts[some].tolist(), shard.counts[some].tolist(), strict=True)]
                     keys = [None if k == NULL_KEY else k for k in shard.keys[some].tolist()]
                     cols = [pa.array(keys, pa.int64()), pa.array(m["start"] + starts[some]), pa.array(shard.counts[some]), pa.array(crcs, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at = end
 
     n = max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession)))
     return manifest.repartition(n).mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -240,12 +257,15 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 
     The bounds of the manifest (one row a shard) are searched in the tasks; keys go to the shards that may have them.
     """
-    bounds = [(m.uri, m.low, m.high) for m in manifest.collect()]
+    bounds = sorted(((m.uri, m.low, m.high) for m in manifest.collect()), key=lambda b: b[1:])
 
     def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shards are ranges one after another: only the rows of one key can stand in several.
         low, high = np.array([b[1] for b in bounds]), np.array([b[2] for b in bounds])
         for batch in batches:
-            rows = [{"doc_id": k, "uri": bounds[i][0]} for k in batch.column(0).to_pylist() if k is not None for i in np.nonzero((low <= k) & (k <= high))[0]]
+            asked = np.array([k for k in batch.column(0).to_pylist() if k is not None], np.int64)
+            first, end = np.searchsorted(high, asked, "left"), np.searchsorted(low, asked, "right")
+            rows = [{"doc_id": k, "uri": bounds[i][0]} for k, a, b in zip(asked.tolist(), first.tolist(), end.tolist(), strict=True) for i in range(a, b)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("uri", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

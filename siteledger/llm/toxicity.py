@@ -38,6 +38,8 @@ from siteledger.llm.common import crc_mod, fresh_name, frugal, materialise
 
 MAX_POSITIVES = 5_000
 MAX_UNLABELLED = 10_000
+#: A feature is one if so many standard deviations lie between its share among positives and that of all texts.
+CLEAR = 4.0
 #: Score bins for each unit of the logit.
 BINS = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,10 +98,14 @@ def _sigmoid(x):
 
 def choose(known: np.ndarray, k_p: np.ndarray, n_p: int, k_u: np.ndarray, n_u: int) -> tuple[np.ndarray, np.ndarray]:
     """Features, and their starting weights, whose share among positives clearly exceeds that among all texts."""
-    a, b = k_p / n_p, k_u / n_u
-    spread = np.sqrt((a * (1 - a) + 0.25 / n_p) / n_p + (b * (1 - b) + 0.25 / n_u) / n_u)
-    ratio = (k_p + 0.5) / (n_p + 1) / ((k_u + 0.5) / (n_u + 1))
-    score = np.where(((a - b) / spread > 2.5) & (ratio > 3), (a - b) / spread * np.minimum(np.log(ratio), 6), 0.0)
+    a, b = k_p / n_p, (k_u + 0.5) / (n_u + 1)
+    spread = np.sqrt((a * (1 - a) + 0.25 / n_p) / n_p + b * (1 - b) / n_u)
+    ratio = (k_p + 0.5) / (n_p + 1) / b
+    # How unlikely the positives' count is at the share of all texts: the root of the deviance, which also holds for few positives.
+    part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / q), 0.0)
+    root = np.sqrt(np.maximum(2 * (part(k_p, a, b) + part(n_p - k_p, 1 - a, 1 - b)), 0))
+    clear = (root > CLEAR) & (ratio > 3)
+    score = np.where(clear, np.maximum((a - b) / spread, 2.5) * np.minimum(np.log(ratio), 6), 0.0)
     return known[score > 0], np.minimum(np.log1p(score[score > 0]), 3.0) * 0.3
 
 
@@ -160,53 +166,69 @@ def _balance(p, u, prior: float) -> float:
     return float(cuts[np.nonzero(lost <= lost.min() + 1e-12)[0][-1]])
 
 
-def feature_counts(texts: DataFrame, known: np.ndarray | None) -> DataFrame:
-    """feature, n: in how many texts each known feature is (known None: every feature); feature null: all texts.
+def _sums(names, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64())], ["feature", "n"])
 
-    texts: one column. A task adds up what it reads and sends its sums.
-    """
 
-    def sums(names: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64())], ["feature", "n"])
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """feature, n: in how many texts each feature is; feature null: all texts. texts: one column. A task sends sums of what it reads."""
 
-    def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, find = np.zeros(len(known), np.int64), 0, slots_of(known)
-        for batch in batches:
-            for text in batch.column(0):
-                found = find(text.as_py())
-                total[np.fromiter(found, np.int64, len(found))] += 1
-            n += batch.num_rows
-        at = np.flatnonzero(total)
-        yield sums(known[at], total[at])
-        yield sums([None], [n])
-
-    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
                 held.append(np.fromiter({f for w in set(_WORD.findall((text.as_py() or "").lower())) for f in features(w)}, np.int64))
                 size += len(held[-1])
                 if size > 200_000:  # what a task holds does not grow with what it reads
-                    yield sums(*np.unique(np.concatenate(held), return_counts=True))
+                    yield _sums(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
-            yield sums([None], [batch.num_rows])
-        yield sums(*np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True))
-
-    run = of_all if known is None else of_known
+            yield _sums([None], [batch.num_rows])
+        yield _sums(*np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True))
 
     return texts.mapInArrow(frugal(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def hits(docs: DataFrame, names: np.ndarray) -> DataFrame:
-    """doc_id, slots: the places of each text's chosen features, as little-endian 32-bit numbers."""
+def slot_counts(found: DataFrame, size: int) -> DataFrame:
+    """feature, n: in how many rows each of the ``size`` places is; feature null: all rows. found: slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for slots in batch.column(0):
+                total[np.frombuffer(slots.as_buffer(), "<u4")] += 1  # distinct places
+            n += batch.num_rows
+        at = np.flatnonzero(total)
+        yield _sums(at, total[at])
+        yield _sums([None], [n])
+
+    return found.select("slots").mapInArrow(frugal(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def hits(docs: DataFrame, names: np.ndarray, column: str = "slots") -> DataFrame:
+    """The rows of docs (text among their columns) with the places of each text's features in ``names``, as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = slots_of(names)
         for batch in batches:
-            rows = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "slots"])
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                rows = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in part.column(part.schema.get_field_index("text"))]
+                yield part.append_column(column, pa.array(rows, pa.binary()))
+
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(column, T.BinaryType())]))
+
+
+def chosen(rows: DataFrame, column: str, place: np.ndarray) -> DataFrame:
+    """The rows with the places of ``column`` turned into those that ``place`` names (-1: none); an array of places read once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            moved = [place[np.frombuffer(x.as_buffer(), "<u4")] if x.is_valid else place[:0] for x in batch.column(at)]
+            new = pa.array([x[x >= 0].astype("<u4").tobytes() for x in moved], pa.binary())
+            yield batch.set_column(at, column, new)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, slots binary")
+    return rows.mapInArrow(frugal(run), rows.schema)
 
 
 def logits(found: DataFrame, model: Model) -> DataFrame:
@@ -220,8 +242,11 @@ def logits(found: DataFrame, model: Model) -> DataFrame:
     return found.mapInArrow(frugal(run), "doc_id long, z double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400) -> tuple[Model, DataFrame]:
-    """The model, and the hits of all documents. prior: the share of toxic texts; estimated if not given."""
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400, column: str = "slots") -> tuple[Model, DataFrame]:
+    """The model, and the docs with a column of the places of each text's features in it. prior: the share of toxic texts; estimated if not given.
+
+    Texts are read once: the places of all features that a positive has are written down, and all else comes from that table.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     trains = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)
     part = rows.filter(trains)
@@ -233,16 +258,22 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs:
 
     # Both samples are bounded by their limits, so they can be broadcast. One row an id: that of the least text.
     confirmed = materialise(part.join(F.broadcast(positives), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"), "confirmed")
-    in_p = {r.feature: r.n for r in feature_counts(confirmed, None).filter("feature is null or n > 1").collect()}
+    in_p = {r.feature: r.n for r in feature_counts(confirmed).filter("feature is null or n > 1").collect()}
     n_p = in_p.pop(None, 0)
     known = np.array(sorted(f for f, n in in_p.items() if n >= max(2, n_p // 1000)), np.int64)
-    in_u = {r.feature: r.n for r in feature_counts(part.select("text"), known).collect()} if n_p else {}
+    whole = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
+    wide = materialise(hits(whole, known, column), "features")
+    slim = wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{column}`").alias("slots"))
+    in_u = {r.feature: r.n for r in slot_counts(slim.filter(trains), len(known)).collect()} if n_p else {}
     n_u = in_u.pop(None, 0)
     if not n_p or not n_u:
         model = Model(np.zeros(0, np.int64), np.zeros(0), -100.0)
-        return model, hits(docs, model.names)
-    names, start = choose(known, np.array([in_p[f] for f in known.tolist()]), n_p, np.array([in_u.get(f, 0) for f in known.tolist()]), n_u)
-    found = materialise(hits(docs, names), "hits")
+        return model, chosen(wide, column, np.full(len(known), -1))
+    names, start = choose(known, np.array([in_p[f] for f in known.tolist()]), n_p, np.array([in_u.get(k, 0) for k in range(len(known))]), n_u)
+    place = np.full(len(known), -1)
+    place[np.searchsorted(known, names)] = np.arange(len(names))
+    kept = chosen(wide, column, place)
+    found = materialise(chosen(slim, "slots", place), "hits")
     trained = found.filter(trains)
     of = lambda some: [np.frombuffer(r.slots, "<u4") for r in sorted(trained.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("slots").alias("slots")).collect())]
     p, u = of(positives), of(sample)
@@ -264,14 +295,15 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs:
     w, b = _descend(start, p, u, prior, epochs)
     # The threshold of 0.5 is put where, by the same estimate, precision and recall of the training texts balance.
     shift = _balance(*scores(Model(names, w, b)), prior)
-    return Model(names, w, float(b - shift)), found
+    return Model(names, w, float(b - shift)), kept
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model, found = fit(docs, labels)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model, found = fit(narrow, labels)
     value = 1 / (1 + F.exp(-F.col("z")))
-    rows = logits(found, model).select("doc_id", value.alias("score"))
+    rows = logits(found.select("doc_id", "slots"), model).select("doc_id", value.alias("score"))
     return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -289,5 +321,14 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFr
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is under 0.5."""
-    name = fresh_name(docs, "toxicity_score")
-    return score(docs, fit(docs, labels)[0], name).filter(F.col(name) < 0.5).drop(name)
+    column = fresh_name(docs, "toxicity_slots")
+    model, found = fit(docs, labels, column=column)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            z = model.logits([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(at)])
+            yield batch.filter(pa.array(_sigmoid(z) < 0.5)).select(names)
+
+    return found.mapInArrow(frugal(run), docs.schema)
