@@ -37,8 +37,16 @@ def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
     A nested identity (url, sku, offered item) that names something else than the owner is a limitation, and so is an
     identity that several offers share; such offers are kept for review.
     """
-    owner = bound_nodes(parsed, key).join(parsed.select(key, F.col("url").alias("_page")).distinct() if key != "url" else parsed.select("url").distinct().withColumn("_page", F.col("url")), key)
-    rows = owner.select(key, "_page", F.col("node.sku").alias("owner_sku"), F.posexplode("node.offers").alias("ord", "o"))
+    owner = bound_nodes(parsed, key).join(_page_of(parsed, key), key)
+    return _offer_rows(owner.select(key, "_page", F.col("node.sku").alias("owner_sku"), F.posexplode("node.offers").alias("ord", "o")), [key])
+
+
+def _page_of(parsed: DataFrame, key: str) -> DataFrame:
+    return parsed.select(key, F.col("url").alias("_page")).distinct() if key != "url" else parsed.select("url").distinct().withColumn("_page", F.col("url"))
+
+
+def _offer_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The offers of each owner. rows: keys, _page, owner_sku, ord, o."""
     rows = rows.filter(F.arrays_overlap("o.types", F.array(F.lit("Offer"), F.lit("AggregateOffer"))))
     page = urls.identity(F.col("_page"))["crawl_key"]
     foreign = compact(
@@ -53,7 +61,7 @@ def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
     named = {"priceValidUntil": "valid_until", "eligibleCustomerType": "customer", "eligibleRegion": "region", "valueAddedTaxIncluded": "vat"}
     conditions = compact(*[F.concat(F.lit(f"{name}: "), F.col(f"o.{c}")) for name, c in named.items()])
     out = rows.select(
-        key,
+        *keys,
         "ord",
         identity.alias("offer_identity"),
         kind.alias("kind"),
@@ -62,9 +70,10 @@ def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
         F.col("o.unit").alias("unit"),
         conditions.alias("conditions"),
         foreign.alias("limitations"),
+        F.struct(money.quantity(F.col("o.least")).alias("least"), money.quantity(F.col("o.step")).alias("step"), money.quantity(F.col("o.most")).alias("most"), F.col("o.most").isNotNull().alias("most_given")).alias("quantities"),
     )
-    shared = out.groupBy(key, "offer_identity").agg(F.count("*").alias("_n"))
-    both = out.join(shared, [key, "offer_identity"])
+    shared = out.groupBy(*keys, "offer_identity").agg(F.count("*").alias("_n"))
+    both = out.join(shared, [*keys, "offer_identity"])
     return both.withColumn("limitations", F.concat("limitations", compact(F.when(F.col("_n") > 1, F.lit("DUPLICATE_OFFER_IDENTITY"))))).drop("_n")
 
 
@@ -92,6 +101,61 @@ def variants(parsed: DataFrame, key: str = "url") -> DataFrame:
     return counts.select(key, checked.alias("variant_id"), "sku", "name", "attributes")
 
 
+def variant_prices(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, variant_id, and the offers of each variant as by offers(), with status: its own prices, never the page's."""
+    ids = variants(parsed, key).select(key, "variant_id")
+    rows = bound_nodes(parsed, key).join(_page_of(parsed, key), key).select(key, "_page", F.explode("node.variants").alias("v"))
+    attributes = F.array_sort(F.transform("v.properties", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))))
+    named = rows.withColumn("variant_id", urls.stable_id("variant", F.concat_ws("|", F.col(key).cast("string"), F.coalesce("v.sku", F.lit("")), F.to_json(attributes))))
+    offered = named.join(ids, [key, "variant_id"], "left_semi").select(key, "_page", "variant_id", F.col("v.sku").alias("owner_sku"), F.posexplode("v.offers").alias("ord", "o"))
+    own = _offer_rows(offered, [key, "variant_id"])
+    review = (F.size("limitations") > 0) | F.col("money").isNull() | ((F.col("kind") == "range") & F.col("maximum").isNull())
+    return own.withColumn("status", F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED"))
+
+
+def variant_purchases(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, variant_id, price_id, blockers: whether each variant's own prices and quantities allow an exact total."""
+    from siteledger.operators.catalog import purchase_rule
+
+    ids = variants(parsed, key).select(key, "variant_id")
+    p = variant_prices(parsed, key)
+    exact = (F.col("kind") == "exact") & (F.size("conditions") == 0) & F.col("unit").isNotNull()
+    whole = lambda c: money.scaled(F.col(f"quantities.{c}"), 6)
+    rows = p.select("variant_id", "ord", F.col("offer_identity").alias("id"), F.lit("CURRENT").alias("role"), "status", F.col("money.minor").alias("minor"), F.col("money.currency").alias("currency"), "unit", "conditions", exact.alias("eligible"), whole("least").alias("min_quantity"), whole("step").alias("quantity_step"), whole("most").alias("max_quantity"), F.col("quantities.most_given").alias("max_given"))
+    joined = ids.select(F.col("variant_id").alias("owner")).join(rows.withColumnRenamed("variant_id", "owner"), "owner", "left").withColumn("selection_required", F.lit(False))
+    return ids.join(purchase_rule(joined), ids["variant_id"] == F.col("owner")).select(key, "variant_id", "price_id", "blockers")
+
+
+def node_facts(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, name, value, unit, status, evidence: what the page's own node says of itself, in long form.
+
+    Names are name, sku, brand and description, and property:<name> for each property with a value; of a repeated one the first counts.
+    """
+    n = bound_nodes(parsed, key).select(key, "node")
+    at = F.concat(F.lit("ld["), F.col("node.ord").cast("string"), F.lit("]."))
+    value = lambda c: F.nullif(trim_wide(F.col(f"node.{c}")), F.lit(""))
+    fixed = F.array(*[F.struct(F.lit(c).alias("name"), value(c).alias("value"), F.lit(None).cast("string").alias("unit"), F.concat(at, F.lit(c)).alias("evidence")) for c in ("name", "sku", "brand", "description")])
+    own = n.select(key, F.explode(fixed).alias("f")).select(key, "f.*")
+    listed = n.select(key, at.alias("at"), F.posexplode("node.properties").alias("ord", "p")).filter(trim_wide(F.coalesce("p.value", F.lit(""))) != "")
+    first = listed.groupBy(key, F.concat(F.lit("property:"), trim_wide(F.col("p.name"))).alias("name")).agg(F.min_by(F.struct(trim_wide(F.col("p.value")).alias("value"), F.col("p.unit").alias("unit"), F.concat("at", F.lit("additionalProperty["), F.col("ord"), F.lit("]")).alias("evidence")), "ord").alias("f"))
+    rows = own.unionByName(first.select(key, "name", "f.value", "f.unit", "f.evidence"))
+    return rows.select(key, "name", "value", "unit", F.when(F.col("value").isNotNull(), "OBSERVED").otherwise("ABSENT").alias("status"), "evidence")
+
+
+def home_logo(parsed: DataFrame, key: str = "url") -> DataFrame:
+    """key, alt: a home page's logo text, only if header images that link home are the page's one image of its own, with one text."""
+    me = urls.identity(F.col("url"))
+    home = parsed.filter(me["request_target"] == "/").select(*dict.fromkeys([key, "url"]), "parse.og_images", "parse.logos")
+    resolved = lambda c: urls.identity(urls.resolve(F.col(c), F.col("url")))
+    images = home.select(key, "url", F.explode("og_images").alias("raw")).withColumn("image", resolved("raw"))
+    own = images.filter(F.col("image.origin") == urls.origin_of(F.col("url"))).groupBy(key).agg(F.count_distinct("image.crawl_key").alias("n"), F.min("image.crawl_key").alias("expected")).filter("n = 1")
+    shown = home.select(key, "url", F.explode("logos").alias("l")).select(key, "url", "l.*").filter(~F.col("href").startswith("#"))
+    shown = shown.withColumn("to", resolved("href")).withColumn("image", resolved("source"))
+    leads = (F.col("to.origin") == urls.origin_of(F.col("url"))) & (F.col("to.request_target") == "/") & (F.coalesce("to.fragment", F.lit("")) == "")
+    fits = shown.filter(leads).join(own, key).filter(F.col("image.crawl_key") == F.col("expected"))
+    return fits.groupBy(key).agg(F.count_distinct("alt").alias("n"), F.min("alt").alias("alt")).filter("n = 1").select(key, "alt")
+
+
 def attributes(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, name, value: two-cell rows and item properties of the page and its bound node; the last write of a name wins."""
     own = parsed.select(key, F.explode("parse.attributes").alias("a")).select(key, trim_wide(F.col("a.name")).alias("name"), F.col("a.value").alias("value"), F.struct(F.lit(1).alias("source"), F.col("a.ord").alias("ord")).alias("place"))

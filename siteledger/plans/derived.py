@@ -398,6 +398,84 @@ def j17_snapshot_details(spark, d):
     return got.select("id", F.col("request_target").alias("target"), "page_kind", shown.alias("attributes"), F.get("prices", F.lit(0)).alias("price"), "thumbnail", F.concat_ws(",", "blockers").alias("blockers"), F.concat_ws(",", "errors").alias("errors"))
 
 
+def _variant_pages(spark, d):
+    """A product of three variants for each part: one with a price and quantities, one with two prices or a limited one, one without."""
+    p = _parts(spark, d).withColumn("id", F.col("p_partkey").cast("string"))
+    offer = lambda price, more="": F.concat(F.lit('{"@type":"Offer","price":"'), price, F.lit('","priceCurrency":"RUB","priceSpecification":{"unitText":"piece"}' + more + "}"))
+    one = offer(F.col("amount"), ',"eligibleQuantity":{"minValue":2,"stepValue":"0.5","maxValue":10}')
+    two = F.when(F.col("p_size") % 2 == 0, F.concat(offer(F.col("amount"), ',"sku":"A"'), F.lit(","), offer(F.concat(F.lit("1"), "amount"), ',"sku":"A"'))).otherwise(offer(F.col("amount"), ',"url":"/p/elsewhere"'))
+    variant = lambda sku, size, offers: F.concat(F.lit('{"@type":"Product","sku":"' + sku + '","name":"' + sku + '","additionalProperty":[{"name":"Size","value":"' + size + '"}],"offers":['), offers, F.lit("]}"))
+    extra = F.concat(F.lit(',"additionalProperty":[{"name":"Weight","value":"'), F.col("p_size").cast("string"), F.lit('","unitText":"kg"},{"name":"Weight","value":"other"},{"name":"Empty","value":" "}]'))
+    brand = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit(',"brand":{"name":" '), "p_brand", F.lit('"}'))).otherwise("")
+    node = F.concat(F.lit('{"@context":"https://schema.org","@type":"Product","url":"/p/'), "id", F.lit('","sku":"S'), "id", F.lit('","name":"'), "p_name", F.lit('"'), brand, extra, F.lit(',"hasVariant":['), variant("V1", "1", one), F.lit(","), variant("V2", "2", two), F.lit(","), variant("V3", "3", F.lit("")), F.lit("]}"))
+    page = p.select("p_partkey", F.concat(F.lit("https://shop.example/p/"), "id").alias("url"), F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>")).alias("html"))
+    return html.parsed(page, fields=("ld",))
+
+
+@query(
+    f"""WITH v AS (SELECT p_partkey, p_size, unnest(['V1', 'V2', 'V3']) AS sku FROM part)
+    SELECT p_partkey, sku, CASE WHEN sku = 'V1' THEN 1 WHEN sku = 'V2' AND p_size % 2 = 0 THEN 0 WHEN sku = 'V2' THEN 0 ELSE 0 END AS chosen,
+        CASE WHEN sku = 'V1' THEN '' ELSE 'CURRENT_EXACT_PRICE_UNKNOWN,MIN_QUANTITY_UNKNOWN,QUANTITY_STEP_UNKNOWN' END AS blockers FROM v"""
+)
+def c14_variant_purchases(spark, d):
+    pages = _variant_pages(spark, d)
+    names = structured.variants(pages, "p_partkey").select("variant_id", "sku")
+    got = structured.variant_purchases(pages, "p_partkey").join(names, "variant_id")
+    return got.select("p_partkey", "sku", F.col("price_id").isNotNull().cast("int").alias("chosen"), F.concat_ws(",", "blockers").alias("blockers"))
+
+
+@query(
+    f"""WITH o AS (SELECT p_partkey, 'V1' AS sku, 0 AS ord, {AMOUNT} AS minor, 'OBSERVED' AS status, '' AS limitations FROM part
+        UNION ALL SELECT p_partkey, 'V2', 0, {AMOUNT}, 'REQUIRES_REVIEW', CASE WHEN p_size % 2 = 0 THEN 'OFFER_SKU_FOREIGN,DUPLICATE_OFFER_IDENTITY' ELSE 'OFFER_URL_FOREIGN' END FROM part
+        UNION ALL SELECT p_partkey, 'V2', 1, CAST('1' || {TEXT.format(AMOUNT)} AS DECIMAL(18, 2)) * 100, 'REQUIRES_REVIEW', 'OFFER_SKU_FOREIGN,DUPLICATE_OFFER_IDENTITY' FROM part WHERE p_size % 2 = 0)
+    SELECT p_partkey, sku, ord, CAST(minor AS BIGINT) AS minor, status, limitations FROM o"""
+)
+def c14_variant_prices(spark, d):
+    pages = _variant_pages(spark, d)
+    names = structured.variants(pages, "p_partkey").select("variant_id", "sku")
+    got = structured.variant_prices(pages, "p_partkey").join(names, "variant_id")
+    return got.select("p_partkey", "sku", "ord", F.col("money.minor").alias("minor"), "status", F.concat_ws(",", "limitations").alias("limitations"))
+
+
+@query(
+    """SELECT p_partkey, 'name' AS name, p_name AS value, NULL AS unit, 'OBSERVED' AS status, 'ld[0].name' AS evidence FROM part
+    UNION ALL SELECT p_partkey, 'sku', 'S' || p_partkey, NULL, 'OBSERVED', 'ld[0].sku' FROM part UNION ALL SELECT p_partkey, 'description', NULL, NULL, 'ABSENT', 'ld[0].description' FROM part
+    UNION ALL SELECT p_partkey, 'brand', CASE WHEN p_size % 3 <> 0 THEN p_brand END, NULL, CASE WHEN p_size % 3 <> 0 THEN 'OBSERVED' ELSE 'ABSENT' END, 'ld[0].brand' FROM part
+    UNION ALL SELECT p_partkey, 'property:Weight', CAST(p_size AS VARCHAR), 'kg', 'OBSERVED', 'ld[0].additionalProperty[0]' FROM part"""
+)
+def x15_node_facts(spark, d):
+    return structured.node_facts(_variant_pages(spark, d), "p_partkey")
+
+
+@query("SELECT p_partkey, p_brand || ' logo' AS alt FROM part WHERE p_size % 4 = 1")
+def x18_home_logo(spark, d):
+    """Logos with one text; others have two texts, two own images, or an image that is not the page's."""
+    p = t(spark, d, "part")
+    m, image = F.col("p_size") % 4, F.lit("/logo.png")
+    meta = lambda c: F.concat(F.lit('<meta property="og:image" content="'), c, F.lit('">'))
+    logo = lambda alt, src="/logo.png", href="/": F.concat(F.lit(f'<a href="{href}"><img src="{src}" alt="'), alt, F.lit('"></a>'))
+    head = F.concat(meta(image), meta(F.lit("https://cdn.example/x.png")), F.when(m == 2, meta(F.lit("/second.png"))).otherwise(""))
+    alt = F.concat("p_brand", F.lit(" logo"))
+    shown = F.concat(logo(alt), logo(F.lit("not home"), href="/about"), logo(F.lit("anchor"), href="#top"), F.when(m == 3, logo(F.lit("other text"))).otherwise(""))
+    body = F.concat(head, F.lit("<body><header>"), F.when(m == 0, F.lit('<a href="/"><img src="/elsewhere.png" alt="x"></a>')).otherwise(shown), F.lit("</header>"), logo(F.lit("outside")))
+    page = p.select("p_partkey", F.concat(F.lit("https://home"), F.col("p_partkey").cast("string"), F.lit(".example/")).alias("url"), body.alias("html"))
+    return structured.home_logo(html.parsed(page, fields=("og_images", "logos")), "p_partkey")
+
+
+@query("SELECT p_partkey, '<p>' || p_name || ' &amp; ' || p_brand || '</p>' || CASE WHEN p_size % 2 = 0 THEN '<a href=\"/p?a&amp;b\">' ELSE '<a>' END || p_type || '</a>alt<ul><li>1</li></ul>' AS html FROM part")
+def x12_sanitised(spark, d):
+    href = F.when(F.col("p_size") % 2 == 0, "/p?a&amp;b").otherwise("javascript:x")
+    raw = F.concat(F.lit("<div onclick=x><p class=c>"), "p_name", F.lit(" &amp; "), "p_brand", F.lit("<script>1</script></p><form><input value=q><a href='"), href, F.lit("' onclick=y>"), "p_type", F.lit("</a></form><img src=i alt=alt><ul><li style=s>1</ul></div><iframe>x</iframe>"))
+    return t(spark, d, "part").select("p_partkey", html.sanitize(raw).alias("html"))
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 4) AS public FROM events")
+def u2_public_ipv6(spark, d):
+    n = F.lower(F.hex(F.col("event_id") % 65536))
+    address = F.concat(F.get(F.array(*map(F.lit, ("2a00:1450:", "fe80::", "fd00:", "2001:db8:", "2606:4700::"))), (F.col("event_id") % 5).cast("int")), n, F.when(F.col("event_id") % 5 == 0, F.lit("::1")).when((F.col("event_id") % 5).isin(2, 3), F.lit("::1")).otherwise(""))
+    return t(spark, d, "events").select("event_id", http.public_address(address).alias("public"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_key FROM part WHERE p_partkey % 2 = 1")
 def j14_not_reconciled(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_key"), (F.col("p_partkey") % 2).alias("m"))

@@ -55,6 +55,9 @@ FIELDS = {
     "blocks": f"array<{BLOCK}>",
     "ordered": f"array<{ORDERED}>",
     "page_links": f"array<{PAGE_LINK}>",
+    "og_images": "array<string>",
+    "site_names": "array<string>",
+    "logos": "array<struct<ord:int,href:string,source:string,alt:string>>",
     "limits": "array<string>",
     "text": "string",
     "forms": "int",
@@ -390,6 +393,18 @@ def _srcset(value: str) -> list[str]:
     return [part.split()[0] for part in value.split(",") if part.split()]
 
 
+def _logos(nodes: list[Node]) -> list[dict]:
+    """Linked images of the page's header, with their alternative text."""
+    out = []
+    for n in nodes:
+        if n.tag == "img" and n.attrs.get("alt", "").strip(WIDE):
+            up = list(n.ancestors())
+            link = next((u for u in up if u.tag == "a"), None)
+            if link is not None and "href" in link.attrs and any(u.tag == "header" or u.attrs.get("role") == "banner" for u in link.ancestors()):
+                out.append({"ord": len(out), "href": link.attrs["href"], "source": n.attrs.get("src", ""), "alt": n.attrs["alt"]})
+    return out
+
+
 def _page_links(region: Node) -> list[dict]:
     """The links of a region that no script acts on, in order; trail numbers the breadcrumb trail that a link stands in."""
     out, todo, trails = [], [(region, None)], 0
@@ -465,6 +480,9 @@ def parse(html: str | None, fields: tuple[str, ...] | None = None, url: str | No
         "ordered": ordered,
         "page_links": _page_links(region) if "page_links" in wanted else [],
         "limits": limits,
+        "og_images": [v for n in _own(nodes, "meta", property="og:image") if (v := n.attrs.get("content"))],
+        "site_names": [v for n in _own(nodes, "meta", property="og:site_name") if (v := n.attrs.get("content", "")).strip(WIDE)],
+        "logos": _logos(nodes) if "logos" in wanted else [],
         "text": " ".join(text_of(region, gone).split()) if "text" in wanted else None,
         "forms": len(forms),
         "search_forms": sum(1 for f in forms if f.attrs.get("role") == "search" or any(n.tag == "input" and (n.attrs.get("type") == "search" or n.attrs.get("name") in ("q", "s", "query", "search")) for n in f.walk())),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-OFFER = "struct<kind:string,types:array<string>,id:string,url:string,sku:string,item_id:string,price:string,low:string,high:string,currency:string,unit:string,availability:string,valid_until:string,customer:string,region:string,vat:string>"
+OFFER = "struct<kind:string,types:array<string>,id:string,url:string,sku:string,item_id:string,price:string,low:string,high:string,currency:string,unit:string,availability:string,valid_until:string,customer:string,region:string,vat:string,least:string,step:string,most:string>"
 PROPERTY = "struct<name:string,value:string,unit:string>"
 VARIANT = f"struct<id:string,sku:string,name:string,properties:array<{PROPERTY}>,offers:array<{OFFER}>>"
 #: An entry of an ordered list: position and name as spelled, and what it leads to.
@@ -53,6 +53,8 @@ def _offers(node: dict) -> list[dict]:
         kind = "AggregateOffer" if "AggregateOffer" in types else "Offer"
         measure = spec.get("referenceQuantity") if isinstance(spec.get("referenceQuantity"), dict) else {}
         row = {"kind": kind, "types": types, "id": _text(o.get("@id")), "url": _text(o.get("url")), "sku": _text(o.get("sku")) or _text(item.get("sku")), "item_id": _text(item.get("@id")) or _text(item.get("url")), "price": pick("price"), "low": _text(o.get("lowPrice")), "high": _text(o.get("highPrice")), "currency": pick("priceCurrency"), "unit": _text(spec.get("unitText")) or _text(measure.get("unitText")), "availability": _text(o.get("availability")), "valid_until": _json(o.get("priceValidUntil")), "customer": _json(o.get("eligibleCustomerType")), "region": _json(o.get("eligibleRegion")), "vat": _json(spec.get("valueAddedTaxIncluded"))}
+        allowed = o.get("eligibleQuantity") if isinstance(o.get("eligibleQuantity"), dict) else {}
+        row |= {"least": _text(allowed.get("minValue")), "step": _text(allowed.get("stepValue")), "most": _text(allowed.get("maxValue"))}
         out.append(row)
         if kind == "AggregateOffer":
             out.extend(_offers(o))
