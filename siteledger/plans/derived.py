@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteledger.functions import http
-from siteledger.operators import catalog, importing, queue, registry, reports, routes, structured
+from siteledger.operators import catalog, common, importing, queue, registry, reports, routes, structured
 from siteledger.plans.commerce import AMOUNT, TEXT, _import, _inventory, _parts, t
 from siteledger.plans.site import TARGETS, links
-from siteledger.sources import html
+from siteledger.sources import html, readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -476,6 +476,47 @@ def u2_public_ipv6(spark, d):
     return t(spark, d, "events").select("event_id", http.public_address(address).alias("public"))
 
 
+@query(
+    """SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN html ELSE 'body of ' || page_id END) AS sha256 FROM pages
+    WHERE page_id % 4 IN (0, 1) AND page_id % 5 <> 2 AND page_id % 7 <> 6"""
+)
+def s1_accepted_pages(spark, d):
+    n = F.col("page_id")
+    status = F.when(n % 4 == 0, "FETCHED").when(n % 4 == 1, "RENDERED").when(n % 4 == 2, "FAILED").otherwise("EXCLUDED")
+    mime = F.when(n % 7 == 6, "text/plain").when(n % 7 == 5, "application/XHTML+xml").otherwise("Text/HTML; charset=utf-8")
+    ledger = t(spark, d, "pages").select("page_id", status.alias("status"), F.when(n % 5 == 2, 404).otherwise(200).alias("http_status"), mime.alias("mime"), F.when(n % 3 == 0, F.col("html")).alias("dom"), F.concat(F.lit("body of "), n.cast("string")).alias("body"))
+    return registry.accepted_pages(ledger).select("page_id", F.sha2("html", 256).alias("sha256"))
+
+
+@query("SELECT event_id AS sequence, event_type, user_id FROM events")
+def s5_exported_events(spark, d):
+    """The log as it comes back from its JSON lines."""
+    folder = common.fresh_folder(spark, "events")
+    readers.export_events(t(spark, d, "events").select(F.col("event_id").alias("sequence"), "event_type", "user_id"), folder)
+    return spark.read.schema("sequence long, event_type string, user_id long").json(folder)
+
+
+@query("SELECT p_brand, count(*) AS parts, true AS same FROM part GROUP BY 1")
+def s6_named_by_content(spark, d):
+    """A result is stored under its content: the same rows in another order are there already, other rows go elsewhere."""
+    folder, p = common.fresh_folder(spark, "results"), t(spark, d, "part")
+    rows = p.groupBy("p_brand").agg(F.count("*").alias("parts"))
+    path = readers.write_named_by_content(rows, folder)
+    same = readers.write_named_by_content(rows.repartition(3).orderBy(F.desc("p_brand")), folder) == path
+    other = readers.write_named_by_content(rows.withColumn("parts", F.col("parts") + 1), folder) != path
+    return spark.read.parquet(path).withColumn("same", F.lit(same and other))
+
+
+@query(
+    """SELECT 'file' AS section, 'data/' || p_partkey AS name, sha256(p_name) AS value FROM part UNION ALL SELECT 'count', 'entities', CAST(count(*) AS VARCHAR) FROM part
+    UNION ALL SELECT 'count', 'routes', CAST(count(*) AS VARCHAR) FROM part WHERE p_size % 2 = 0 UNION ALL SELECT DISTINCT 'blocker', p_brand, NULL FROM part WHERE p_size % 3 = 0"""
+)
+def s7_package_manifest(spark, d):
+    p = t(spark, d, "part")
+    files = p.select(F.concat(F.lit("data/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").cast("binary").alias("content"))
+    return reports.package_manifest(files, p, p.filter("p_size % 2 = 0"), p.filter("p_size % 3 = 0").select(F.col("p_brand").alias("note")))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS item_key FROM part WHERE p_partkey % 2 = 1")
 def j14_not_reconciled(spark, d):
     p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_key"), (F.col("p_partkey") % 2).alias("m"))
