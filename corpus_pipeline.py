@@ -17,26 +17,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siteledger.llm import decontaminate, packing, simhash, substrings, toxicity
-from siteledger.llm.common import materialise, table
+from siteledger.llm.common import bounded_batches, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return substrings.remove(docs, by=substrings.BOTH)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     # Workers also serve other stages, so they remember less than in op8, and nothing after a task.
     return packing.pack(docs, memo=100_000, keep=False)
 

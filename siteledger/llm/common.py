@@ -39,14 +39,48 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written since a temporary() began, for each one that is open.
+_OPEN: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function that returns a DataFrame, and removes the tables that it has written but for those that its result reads."""
+
+    @wraps(make)
+    def cleaned(*args, **options) -> DataFrame:
+        _OPEN.append([])
+        try:
+            out = make(*args, **options)
+        finally:
+            made = _OPEN.pop()
+        needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in out.inputFiles()}
+        spark = out.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            if path.rsplit("/", 1)[-1] not in needed:
+                at(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(at(path), True)
+            elif _OPEN:
+                _OPEN[-1].append(path)
+        return out
+
+    return cleaned
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let batches between Spark and Python end at so many bytes, in this session; texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the table does not have (Spark tells names apart without case)."""
     taken = {c.lower() for c in df.columns}

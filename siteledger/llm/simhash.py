@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.llm import setjoin
-from siteledger.llm.common import fresh_name, frugal, materialise
+from siteledger.llm.common import fresh_name, frugal, materialise, temporary
 from siteledger.llm.components import components
 
 ALL_BITS = 64
@@ -414,6 +414,7 @@ def digest() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
 
 
+@temporary
 def deduplicate(docs: DataFrame, seeds: int = 6, distance: int = 2, least: float = 0.8, size: int = 512, weight: int = 1_000_000) -> DataFrame:
     """The documents without all but one of each group: its row with the smallest doc_id stays.
 

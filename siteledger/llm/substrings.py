@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteledger.llm.common import fresh_name, frugal, materialise
+from siteledger.llm.common import fresh_name, frugal, materialise, temporary
 
 #: From a character that is not white space to the end of the sentence or line.
 _SENTENCE = re.compile(r"\S[^.!?\n]*(?:[.!?]+(?=[^\s.!?])[^.!?\n]*)*[.!?]*")
@@ -136,10 +136,11 @@ def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documen
     return own.mapInArrow(frugal(run), "doc_id long, checksum long, start long, length long, words long")
 
 
+@temporary
 def remove(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2, by: tuple[str, ...] = ("sentence",)) -> DataFrame:
     """The documents without repeated passages; n_chars, where there is one, is the new length."""
     of_sum, of_id, key, cuts = (fresh_name(docs, n) for n in ("text_sum", "cut_id", "cut_sum", "cuts"))
-    spans = repeats(docs, min_unit, min_words, min_documents, by).groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
+    spans = materialise(repeats(docs, min_unit, min_words, min_documents, by), "spans").groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
     keyed = docs.withColumn(of_sum, F.crc32(F.col("text").cast("string").cast("binary")))
     joined = keyed.join(spans.select(F.col("doc_id").alias(of_id), F.col("checksum").alias(key), cuts), (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(of_sum) == F.col(key)), "left")
     # What lies between spans, in code points: SQL substring counts from 1.

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteledger.llm.common import crc_mod, fresh_name, frugal, materialise
+from siteledger.llm.common import crc_mod, fresh_name, frugal, materialise, temporary
 
 MAX_POSITIVES = 5_000
 MAX_UNLABELLED = 10_000
@@ -204,46 +204,47 @@ def slot_counts(found: DataFrame, size: int) -> DataFrame:
     return found.select("slots").mapInArrow(frugal(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def hits(docs: DataFrame, names: np.ndarray, column: str = "slots") -> DataFrame:
-    """The rows of docs (text among their columns) with the places of each text's features in ``names``, as little-endian 32-bit numbers."""
+def hits(rows: DataFrame, names: np.ndarray) -> DataFrame:
+    """The rows with the places of their text's features in ``names`` for the text, as little-endian 32-bit numbers. rows: the text is last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = slots_of(names)
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                rows = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in part.column(part.schema.get_field_index("text"))]
-                yield part.append_column(column, pa.array(rows, pa.binary()))
+                *kept, texts = batch.slice(low, 1024).columns
+                slots = [np.array(sorted(find(t.as_py())), "<u4").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(slots, pa.binary())], out)
 
-    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(column, T.BinaryType())]))
+    fields = [*rows.schema.fields[:-1], T.StructField("slots", T.BinaryType())]
+    out = [f.name for f in fields]
+    return rows.mapInArrow(frugal(run), T.StructType(fields))
 
 
-def chosen(rows: DataFrame, column: str, place: np.ndarray) -> DataFrame:
-    """The rows with the places of ``column`` turned into those that ``place`` names (-1: none); an array of places read once a task."""
+def chosen(rows: DataFrame, place: np.ndarray) -> DataFrame:
+    """The rows with their slots turned into the places that ``place`` names (-1: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(column)
-            moved = [place[np.frombuffer(x.as_buffer(), "<u4")] if x.is_valid else place[:0] for x in batch.column(at)]
-            new = pa.array([x[x >= 0].astype("<u4").tobytes() for x in moved], pa.binary())
-            yield batch.set_column(at, column, new)
+            at = batch.schema.get_field_index("slots")
+            moved = [place[np.frombuffer(x.as_buffer(), "<u4")] for x in batch.column(at)]
+            yield batch.set_column(at, "slots", pa.array([x[x >= 0].astype("<u4").tobytes() for x in moved], pa.binary()))
 
     return rows.mapInArrow(frugal(run), rows.schema)
 
 
 def logits(found: DataFrame, model: Model) -> DataFrame:
-    """doc_id, z of each row of hits."""
+    """doc_id, digest, z of each row of hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = model.logits([np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], ["doc_id", "z"])
+            z = model.logits([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.float64())], ["doc_id", "digest", "z"])
 
-    return found.mapInArrow(frugal(run), "doc_id long, z double")
+    return found.select("doc_id", "digest", "slots").mapInArrow(frugal(run), "doc_id long, digest string, z double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400, column: str = "slots") -> tuple[Model, DataFrame]:
-    """The model, and the docs with a column of the places of each text's features in it. prior: the share of toxic texts; estimated if not given.
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs: int = 400) -> tuple[Model, DataFrame]:
+    """The model, and doc_id, digest (of the text) and the places of each text's features in it. prior: the share of toxic texts; estimated if not given.
 
     Texts are read once: the places of all features that a positive has are written down, and all else comes from that table.
     """
@@ -261,19 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs:
     in_p = {r.feature: r.n for r in feature_counts(confirmed).filter("feature is null or n > 1").collect()}
     n_p = in_p.pop(None, 0)
     known = np.array(sorted(f for f, n in in_p.items() if n >= max(2, n_p // 1000)), np.int64)
-    whole = docs.withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs
-    wide = materialise(hits(whole, known, column), "features")
-    slim = wide.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{column}`").alias("slots"))
-    in_u = {r.feature: r.n for r in slot_counts(slim.filter(trains), len(known)).collect()} if n_p else {}
+    keyed = rows.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
+    wide = materialise(hits(keyed, known), "features")
+    in_u = {r.feature: r.n for r in slot_counts(wide.filter(trains), len(known)).collect()} if n_p else {}
     n_u = in_u.pop(None, 0)
     if not n_p or not n_u:
         model = Model(np.zeros(0, np.int64), np.zeros(0), -100.0)
-        return model, chosen(wide, column, np.full(len(known), -1))
+        return model, chosen(wide, np.full(len(known), -1))
     names, start = choose(known, np.array([in_p[f] for f in known.tolist()]), n_p, np.array([in_u.get(k, 0) for k in range(len(known))]), n_u)
     place = np.full(len(known), -1)
     place[np.searchsorted(known, names)] = np.arange(len(names))
-    kept = chosen(wide, column, place)
-    found = materialise(chosen(slim, "slots", place), "hits")
+    found = materialise(chosen(wide, place), "hits")
     trained = found.filter(trains)
     of = lambda some: [np.frombuffer(r.slots, "<u4") for r in sorted(trained.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("slots").alias("slots")).collect())]
     p, u = of(positives), of(sample)
@@ -295,15 +294,14 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, epochs:
     w, b = _descend(start, p, u, prior, epochs)
     # The threshold of 0.5 is put where, by the same estimate, precision and recall of the training texts balance.
     shift = _balance(*scores(Model(names, w, b)), prior)
-    return Model(names, w, float(b - shift)), kept
+    return Model(names, w, float(b - shift)), found
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, found = fit(narrow, labels)
+    model, found = fit(docs, labels)
     value = 1 / (1 + F.exp(-F.col("z")))
-    rows = logits(found.select("doc_id", "slots"), model).select("doc_id", value.alias("score"))
+    rows = logits(found, model).select("doc_id", value.alias("score"))
     return rows.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -319,16 +317,13 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFr
     return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+@temporary
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under 0.5."""
-    column = fresh_name(docs, "toxicity_slots")
-    model, found = fit(docs, labels, column=column)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            z = model.logits([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(at)])
-            yield batch.filter(pa.array(_sigmoid(z) < 0.5)).select(names)
-
-    return found.mapInArrow(frugal(run), docs.schema)
+    """The documents whose score is under 0.5. Verdicts are joined by the id and the digest of the text."""
+    model, found = fit(docs, labels)
+    of_id, of_text, key = (fresh_name(docs, n) for n in ("toxic_id", "toxic_text", "text_digest"))
+    toxic = logits(found, model).filter("z >= 0").select(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text)).distinct()
+    toxic = materialise(toxic, "toxic")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_text))
+    return keyed.join(toxic, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
