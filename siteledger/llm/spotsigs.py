@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import materialise
+from siteledger.llm.components import components
+from siteledger.llm.setjoin import linked
 
 COMMON, SPREAD = 200, 100
 CHAIN = 3
@@ -84,6 +86,23 @@ def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(pruned)
 
 
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id: documents whose fingerprints are linked by a likeness of ``least`` and more; the smallest id names a class.
+
+    Equal fingerprints are one set. Sets meet only in neighbouring partitions of length and by a rare signature that both have
+    early in their order; their similarity is then computed. No link between different sets is lost.
+    """
+    anchors = common_words(docs)
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.coalesce(F.col("text").cast("string"), F.lit("")), anchors).alias("signs")), "signatures")
+    nodes = materialise(rows.groupBy("signs").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = nodes.select(F.lit("all").alias("label"), "node", F.col("signs").alias("members"))
+    labels = components(linked(sets, least)).select("node", F.col("label").alias("root"))
+    named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    classes = materialise(named.join(smallest, "root").select("signs", "class_id"), "classes")
+    return rows.join(classes, "signs").select("doc_id", "class_id")
+
+
 def following(docs: DataFrame) -> DataFrame:
     """doc_id, digest, next_id, next_digest: the next document, after the last the first. docs: doc_id, digest, one row a document.
 

@@ -131,3 +131,37 @@ def test_pruning_by_partitions_loses_nothing(spark, least):
     for a, b, near in df.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b"), least)).collect():
         exact = len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
         assert near == (exact if exact >= least else 0.0)
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    rng = random.Random(14)
+    common, rare = "the of und a".split(), [f"w{i}x" for i in range(400)]
+    make = lambda n: [rng.choice(common if rng.random() < 0.4 else rare) for _ in range(n)]
+    rows = [(i, " ".join(make(rng.randint(60, 160) if i < 12 else rng.randint(1, 60)))) for i in range(60)]
+    for k in range(30):  # copies with a few words changed, at the end and in between
+        words = rows[k % 12][1].split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(rare)
+        rows.append((100 + k, " ".join(words + make(rng.randint(0, 3)))))
+    rows += [(200, None), (201, ""), (202, "!"), (203, rows[3][1]), (None, rows[4][1])]
+    table = [(i, t, "en", None, None, None) for i, t in rows]
+    anchors = brute_anchors(table)
+    signs = [brute_signs(t or "", anchors) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if not signs[a] | signs[b] or signs[a] and signs[b] and len(signs[a] & signs[b]) >= 0.8 * len(signs[a] | signs[b]):
+                parent[find(a)] = find(b)
+    smallest = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            smallest[find(k)] = min(i, smallest.get(find(k), i))
+    want = sorted(((i, smallest[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+    assert 55 < len(set(smallest.values())) < 80
+    assert sorted(map(tuple, spotsigs.near_duplicates(spark.createDataFrame(table, SCHEMA).repartition(3)).collect()), key=repr) == want
