@@ -189,7 +189,7 @@ def test_the_ordered_walk_keeps_loose_text():
 def test_the_ordered_walk_names_links_media_and_whole_blocks():
     got = ordered("<main><h2><a href=/x>X</a></h2><p>see <a href='https://a.example/y'>Y</a> <img src=i.png alt=I><a href=/z><img src=z.png alt=Z></a></p><a href=https://b.example/>foreign</a><a href=/f.pdf?v=1>File</a><ul><li>1<li><a href=/w>2</a></ul><table><tr><th>a<td>b<table><tr><td>in</table></table></main>")
     assert got == [
-        ("link", "X", "/x"),
+        ("link", "X", 2, "/x"),  # of a heading, which it is if the link may not be followed
         ("paragraph", "see Y"),
         ("link", "Y", "https://a.example/y"),
         ("image", "I", "i.png"),
