@@ -96,7 +96,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.coalesce(F.col("text").cast("string"), F.lit("")), anchors).alias("signs")), "signatures")
     nodes = materialise(rows.groupBy("signs").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()), "sets")
     sets = nodes.select(F.lit("all").alias("label"), "node", F.col("signs").alias("members"))
-    labels = components(linked(sets, least)).select("node", F.col("label").alias("root"))
+    labels = components(linked(sets, least, partitioned=True)).select("node", F.col("label").alias("root"))
     named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least_id").alias("class_id"))
     classes = materialise(named.join(smallest, "root").select("signs", "class_id"), "classes")

@@ -326,4 +326,5 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic = materialise(toxic, "toxic")
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_text))
-    return keyed.join(toxic, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Dealt by the key whatever the size, so that a small table costs what a large one does.
+    return keyed.join(toxic.hint("merge"), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

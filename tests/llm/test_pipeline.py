@@ -102,3 +102,27 @@ def test_stages_take_an_empty_table(spark, folder):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == [*range(1, 14)] and {*queries.ORACLES} <= {*queries.QUERIES}
+
+
+def test_only_the_tables_of_a_result_stay(spark):
+    from siteledger.llm import common
+
+    made = []
+
+    @common.temporary
+    def inner(df):
+        made.append(common.materialise(df, "gone"))
+        return common.materialise(made[0].withColumn("b", made[0]["a"] + 1), "inner")
+
+    @common.temporary
+    def outer(df):
+        made.append(inner(df))
+        made.append(common.materialise(df.union(df), "also-gone"))
+        return made[1].filter("b > 1")
+
+    out = outer(spark.createDataFrame([(0,), (1,)], "a int"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [path(f"{common.work_dir(spark)}/{s.getPath().getName()}") for s in path(common.work_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path(common.work_dir(spark)))]
+    names = [p.getName() for p in there]
+    assert not [n for n in names if n.startswith(("gone-", "also-gone-"))] and len([n for n in names if n.startswith("inner-")]) == 1

@@ -55,6 +55,7 @@ def test_families_have_the_components_of_brute_force(spark, least):
     want = brute(rows, least)
     assert 5 < len(set(want.values())) < len(rows) - 20
     assert found(spark, rows, least) == want
+    assert found(spark, rows, least, lambda sets, t: setjoin.linked(sets, t, partitioned=True)) == want
 
 
 def test_chains_and_stars_lose_no_link(spark):
