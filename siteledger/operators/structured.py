@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import money, urls
 from siteledger.functions.text import compact, let, trim_wide
+from siteledger.operators.common import require
 
 CLASSES = ("Product", "Article", "BlogPosting", "NewsArticle", "Service")
 
@@ -20,12 +21,17 @@ def bound_nodes(parsed: DataFrame, key: str = "url") -> DataFrame:
 
     parsed: url, parse. Foreign nodes (related products, listings) never describe the page.
     """
+    return _bound(parsed, key).select(key, "node")
+
+
+def _bound(parsed: DataFrame, key: str) -> DataFrame:
+    """key, _page, node: bound_nodes with the page's url beside each, so that no join brings it back."""
     page = urls.identity(F.col("url"))["crawl_key"]
     kinds = F.array_intersect("node.classes", F.array(*map(F.lit, CLASSES)))
     rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ld").alias("node"))
     mine = rows.filter(F.col("node.schema_org") & (F.size(kinds) == 1) & ((_own_key(F.col("node.url"), F.col("url")) == page) | (_own_key(F.col("node.id"), F.col("url")) == page)))
-    one = mine.groupBy(key).agg(F.count("*").alias("n"), F.min_by("node", "node.ord").alias("node"))
-    return one.filter("n = 1").select(key, "node")
+    one = mine.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("url").alias("_page"), "node"), "node.ord").alias("one"))
+    return one.filter("n = 1").select(key, "one._page", "one.node")
 
 
 def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
@@ -37,12 +43,7 @@ def offers(parsed: DataFrame, key: str = "url") -> DataFrame:
     A nested identity (url, sku, offered item) that names something else than the owner is a limitation, and so is an
     identity that several offers share; such offers are kept for review.
     """
-    owner = bound_nodes(parsed, key).join(_page_of(parsed, key), key)
-    return _offer_rows(owner.select(key, "_page", F.col("node.sku").alias("owner_sku"), F.posexplode("node.offers").alias("ord", "o")), [key])
-
-
-def _page_of(parsed: DataFrame, key: str) -> DataFrame:
-    return parsed.select(key, F.col("url").alias("_page")).distinct() if key != "url" else parsed.select("url").distinct().withColumn("_page", F.col("url"))
+    return _offer_rows(_bound(parsed, key).select(key, "_page", F.col("node.sku").alias("owner_sku"), F.posexplode("node.offers").alias("ord", "o")), [key])
 
 
 def _offer_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,8 +73,7 @@ def _offer_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
         foreign.alias("limitations"),
         F.struct(money.quantity(F.col("o.least")).alias("least"), money.quantity(F.col("o.step")).alias("step"), money.quantity(F.col("o.most")).alias("most"), F.col("o.most").isNotNull().alias("most_given")).alias("quantities"),
     )
-    shared = out.groupBy(*keys, "offer_identity").agg(F.count("*").alias("_n"))
-    both = out.join(shared, [*keys, "offer_identity"])
+    both = out.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "offer_identity")))
     return both.withColumn("limitations", F.concat("limitations", compact(F.when(F.col("_n") > 1, F.lit("DUPLICATE_OFFER_IDENTITY"))))).drop("_n")
 
 
@@ -83,47 +83,47 @@ def offer_prices(offer_rows: DataFrame, visible: DataFrame, key: str = "url") ->
     visible: key, minor of the page's current prices.
     """
     seen = visible.groupBy(key).agg(F.count_distinct("minor").alias("visible_amounts"), F.min("minor").alias("visible_minor"))
-    rows = offer_rows.join(seen, key, "left")
+    rows = offer_rows.join(seen.hint("merge"), key, "left")
     mismatch = (F.col("kind") == "exact") & (F.col("visible_amounts") == 1) & (F.col("visible_minor") != F.col("money.minor"))
     open_range = (F.col("kind") == "range") & F.col("maximum").isNull()
     review = (F.size("limitations") > 0) | F.col("money").isNull() | open_range | F.coalesce(mismatch, F.lit(False))
     return rows.withColumn("status", F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED")).drop("visible_amounts", "visible_minor")
 
 
+def _named_variants(parsed: DataFrame, key: str) -> DataFrame:
+    """key, _page, variant_id, attributes, v: the bound node's variants, named by their sorted attributes; a repeated id fails."""
+    rows = _bound(parsed, key).select(key, "_page", F.explode("node.variants").alias("v"))
+    attributes = F.array_sort(F.transform("v.properties", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))))
+    named = rows.withColumn("attributes", attributes)
+    named = named.withColumn("variant_id", urls.stable_id("variant", F.concat_ws("|", F.col(key).cast("string"), F.coalesce("v.sku", F.lit("")), F.to_json("attributes"))))
+    counted = named.withColumn("_n", F.count("*").over(Window.partitionBy(key, "variant_id")))
+    return require(counted, F.col("_n") > 1, "two variants have one identity").drop("_n")
+
+
 def variants(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, variant_id, sku, name, attributes: variants of the bound node, named by their sorted attributes; a repeated id fails."""
-    rows = bound_nodes(parsed, key).select(key, F.explode("node.variants").alias("v"))
-    attributes = F.array_sort(F.transform("v.properties", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))))
-    made = rows.select(key, F.col("v.sku").alias("sku"), F.col("v.name").alias("name"), attributes.alias("attributes"))
-    made = made.withColumn("variant_id", urls.stable_id("variant", F.concat_ws("|", F.col(key).cast("string"), F.coalesce("sku", F.lit("")), F.to_json("attributes"))))
-    counts = made.groupBy(key, "variant_id").agg(F.count("*").alias("n"), F.first("sku").alias("sku"), F.first("name").alias("name"), F.first("attributes").alias("attributes"))
-    checked = F.when(F.col("n") > 1, F.raise_error(F.lit("two variants have one identity")).cast("string")).otherwise(F.col("variant_id"))
-    return counts.select(key, checked.alias("variant_id"), "sku", "name", "attributes")
+    return _named_variants(parsed, key).select(key, "variant_id", F.col("v.sku").alias("sku"), F.col("v.name").alias("name"), "attributes")
 
 
 def variant_prices(parsed: DataFrame, key: str = "url") -> DataFrame:
-    """key, variant_id, and the offers of each variant as by offers(), with status: its own prices, never the page's."""
-    ids = variants(parsed, key).select(key, "variant_id")
-    rows = bound_nodes(parsed, key).join(_page_of(parsed, key), key).select(key, "_page", F.explode("node.variants").alias("v"))
-    attributes = F.array_sort(F.transform("v.properties", lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))))
-    named = rows.withColumn("variant_id", urls.stable_id("variant", F.concat_ws("|", F.col(key).cast("string"), F.coalesce("v.sku", F.lit("")), F.to_json(attributes))))
-    offered = named.join(ids, [key, "variant_id"], "left_semi").select(key, "_page", "variant_id", F.col("v.sku").alias("owner_sku"), F.posexplode("v.offers").alias("ord", "o"))
-    own = _offer_rows(offered, [key, "variant_id"])
+    """key, variant_id, sku, and the offers of each variant as by offers(), with status: its own prices, never the page's."""
+    offered = _named_variants(parsed, key).select(key, "_page", "variant_id", F.col("v.sku").alias("owner_sku"), F.posexplode("v.offers").alias("ord", "o"))
+    own = _offer_rows(offered.withColumn("sku", F.col("owner_sku")), [key, "variant_id", "sku"])
     review = (F.size("limitations") > 0) | F.col("money").isNull() | ((F.col("kind") == "range") & F.col("maximum").isNull())
     return own.withColumn("status", F.when(review, "REQUIRES_REVIEW").otherwise("OBSERVED"))
 
 
 def variant_purchases(parsed: DataFrame, key: str = "url") -> DataFrame:
-    """key, variant_id, price_id, blockers: whether each variant's own prices and quantities allow an exact total."""
+    """key, variant_id, sku, price_id, blockers: whether each variant's own prices and quantities allow an exact total."""
     from siteledger.operators.catalog import purchase_rule
 
-    ids = variants(parsed, key).select(key, "variant_id")
+    ids = variants(parsed, key).select(key, "variant_id", "sku")
     p = variant_prices(parsed, key)
     exact = (F.col("kind") == "exact") & (F.size("conditions") == 0) & F.col("unit").isNotNull()
     whole = lambda c: money.scaled(F.col(f"quantities.{c}"), 6)
     rows = p.select("variant_id", "ord", F.col("offer_identity").alias("id"), F.lit("CURRENT").alias("role"), "status", F.col("money.minor").alias("minor"), F.col("money.currency").alias("currency"), "unit", "conditions", exact.alias("eligible"), whole("least").alias("min_quantity"), whole("step").alias("quantity_step"), whole("most").alias("max_quantity"), F.col("quantities.most_given").alias("max_given"))
-    joined = ids.select(F.col("variant_id").alias("owner")).join(rows.withColumnRenamed("variant_id", "owner"), "owner", "left").withColumn("selection_required", F.lit(False))
-    return ids.join(purchase_rule(joined), ids["variant_id"] == F.col("owner")).select(key, "variant_id", "price_id", "blockers")
+    joined = ids.select(F.col("variant_id").alias("owner")).join(rows.withColumnRenamed("variant_id", "owner").hint("merge"), "owner", "left").withColumn("selection_required", F.lit(False))
+    return ids.join(purchase_rule(joined).hint("merge"), ids["variant_id"] == F.col("owner")).select(key, "variant_id", "sku", "price_id", "blockers")
 
 
 def node_facts(parsed: DataFrame, key: str = "url") -> DataFrame:
@@ -152,7 +152,7 @@ def home_logo(parsed: DataFrame, key: str = "url") -> DataFrame:
     shown = home.select(key, "url", F.explode("logos").alias("l")).select(key, "url", "l.*").filter(~F.col("href").startswith("#"))
     shown = shown.withColumn("to", resolved("href")).withColumn("image", resolved("source"))
     leads = (F.col("to.origin") == urls.origin_of(F.col("url"))) & (F.col("to.request_target") == "/") & (F.coalesce("to.fragment", F.lit("")) == "")
-    fits = shown.filter(leads).join(own, key).filter(F.col("image.crawl_key") == F.col("expected"))
+    fits = shown.filter(leads).join(own.hint("merge"), key).filter(F.col("image.crawl_key") == F.col("expected"))
     return fits.groupBy(key).agg(F.count_distinct("alt").alias("n"), F.min("alt").alias("alt")).filter("n = 1").select(key, "alt")
 
 
@@ -211,14 +211,14 @@ def page_images(parsed: DataFrame, assets: DataFrame, key: str = "url") -> DataF
 def cards(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, ord, href, label, image of repeated sibling cards: at least two of one signature on the page."""
     rows = parsed.select(key, F.explode("parse.cards").alias("c")).select(key, "c.*")
-    many = rows.groupBy(key, "signature").agg(F.count("*").alias("n")).filter("n >= 2").select(key, "signature")
-    return rows.join(many, [key, "signature"], "left_semi").groupBy(key, "href", "label", "image").agg(F.min("ord").alias("ord"))
+    many = rows.withColumn("_n", F.count("*").over(Window.partitionBy(key, "signature"))).filter("_n >= 2")
+    return many.groupBy(key, "href", "label", "image").agg(F.min("ord").alias("ord"))
 
 
 def classes_of(parsed: DataFrame, key: str = "url") -> DataFrame:
     """key, classes of the page's bound node; pages without one have an empty array."""
     bound = bound_nodes(parsed, key).select(key, F.col("node.classes").alias("classes"))
-    return parsed.select(key).distinct().join(bound, key, "left").select(key, let(F.coalesce("classes", F.array().cast("array<string>")), lambda c: c).alias("classes"))
+    return parsed.select(key).distinct().join(bound.hint("merge"), key, "left").select(key, let(F.coalesce("classes", F.array().cast("array<string>")), lambda c: c).alias("classes"))
 
 
 def ordered_blocks(parsed: DataFrame, key: str = "url") -> DataFrame:
@@ -270,6 +270,6 @@ def breadcrumbs(parsed: DataFrame, key: str = "url") -> DataFrame:
     # A chain is as long as its page's list; a row for each list tells whether its positions are 1 to n.
     sound = entries.groupBy(key, "chain").agg(((F.count_distinct("position") == F.max("n")) & (F.max("position") == F.max("n"))).alias("sound"), F.count_if(F.col("request_target").isNull() & (F.coalesce("position", F.lit(0)) < F.col("n"))).alias("lost"))
     sound = sound.withColumn("sound", F.coalesce("sound", F.lit(False)))
-    joined = entries.join(sound, [key, "chain"])
+    joined = entries.join(sound.hint("merge"), [key, "chain"])
     status = F.when(F.col("sound") & (F.col("lost") == 0), "OBSERVED").otherwise("REQUIRES_REVIEW")
     return marked.unionByName(joined.select(key, F.lit("list").alias("source"), "chain", F.when(F.col("sound"), F.col("position")).otherwise(F.col("given") + 1).alias("place"), "label", "request_target", status.alias("status")))
