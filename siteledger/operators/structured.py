@@ -9,6 +9,7 @@ from siteledger.functions import money, urls
 from siteledger.functions.text import compact, let, trim_wide
 from siteledger.operators.common import require
 
+PROPERTY_FACTS = "array<struct<name:string,value:string,unit:string,evidence:string>>"
 CLASSES = ("Product", "Article", "BlogPosting", "NewsArticle", "Service")
 
 
@@ -24,12 +25,17 @@ def bound_nodes(parsed: DataFrame, key: str = "url") -> DataFrame:
     return _bound(parsed, key).select(key, "node")
 
 
-def _bound(parsed: DataFrame, key: str) -> DataFrame:
-    """key, _page, node: bound_nodes with the page's url beside each, so that no join brings it back."""
+def _bound(parsed: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """key, _page, node: bound_nodes with the page's url beside each, so that no join brings it back.
+
+    tasks: into how many the nodes are dealt by their key, for tables whose share of a shuffle partition would be large to sort.
+    """
     page = urls.identity(F.col("url"))["crawl_key"]
     kinds = F.array_intersect("node.classes", F.array(*map(F.lit, CLASSES)))
     rows = parsed.select(*dict.fromkeys([key, "url"]), F.explode("parse.ld").alias("node"))
     mine = rows.filter(F.col("node.schema_org") & (F.size(kinds) == 1) & ((_own_key(F.col("node.url"), F.col("url")) == page) | (_own_key(F.col("node.id"), F.col("url")) == page)))
+    if tasks:
+        mine = mine.repartition(tasks, key)
     one = mine.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("url").alias("_page"), "node"), "node.ord").alias("one"))
     return one.filter("n = 1").select(key, "one._page", "one.node")
 
@@ -126,19 +132,20 @@ def variant_purchases(parsed: DataFrame, key: str = "url") -> DataFrame:
     return ids.join(purchase_rule(joined).hint("merge"), ids["variant_id"] == F.col("owner")).select(key, "variant_id", "sku", "price_id", "blockers")
 
 
-def node_facts(parsed: DataFrame, key: str = "url") -> DataFrame:
+def node_facts(parsed: DataFrame, key: str = "url", tasks: int | None = None) -> DataFrame:
     """key, name, value, unit, status, evidence: what the page's own node says of itself, in long form.
 
     Names are name, sku, brand and description, and property:<name> for each property with a value; of a repeated one the first counts.
     """
-    n = bound_nodes(parsed, key).select(key, "node")
     at = F.concat(F.lit("ld["), F.col("node.ord").cast("string"), F.lit("]."))
-    value = lambda c: F.nullif(trim_wide(F.col(f"node.{c}")), F.lit(""))
-    fixed = F.array(*[F.struct(F.lit(c).alias("name"), value(c).alias("value"), F.lit(None).cast("string").alias("unit"), F.concat(at, F.lit(c)).alias("evidence")) for c in ("name", "sku", "brand", "description")])
-    own = n.select(key, F.explode(fixed).alias("f")).select(key, "f.*")
-    listed = n.select(key, at.alias("at"), F.posexplode("node.properties").alias("ord", "p")).filter(trim_wide(F.coalesce("p.value", F.lit(""))) != "")
-    first = listed.groupBy(key, F.concat(F.lit("property:"), trim_wide(F.col("p.name"))).alias("name")).agg(F.min_by(F.struct(trim_wide(F.col("p.value")).alias("value"), F.col("p.unit").alias("unit"), F.concat("at", F.lit("additionalProperty["), F.col("ord"), F.lit("]")).alias("evidence")), "ord").alias("f"))
-    rows = own.unionByName(first.select(key, "name", "f.value", "f.unit", "f.evidence"))
+    fact = lambda name, value, unit, evidence: F.struct(name.alias("name"), value.alias("value"), unit.alias("unit"), evidence.alias("evidence"))
+    fixed = F.array(*[fact(F.lit(c), F.nullif(trim_wide(F.col(f"node.{c}")), F.lit("")), F.lit(None).cast("string"), F.concat(at, F.lit(c))) for c in ("name", "sku", "brand", "description")])
+    listed = F.transform("node.properties", lambda p, k: fact(F.concat(F.lit("property:"), trim_wide(p["name"])), trim_wide(F.coalesce(p["value"], F.lit(""))), p["unit"], F.concat(at, F.lit("additionalProperty["), k.cast("string"), F.lit("]"))))
+    given = F.filter(listed, lambda f: f["value"] != "")
+    # A page's facts come from one row of it, so the first of a name is known beside it.
+    facts = _bound(parsed, key, tasks).select(key, F.posexplode(F.concat(fixed, F.coalesce(given, F.array().cast(PROPERTY_FACTS)))).alias("ord", "f"))
+    first = facts.groupBy(key, F.col("f.name").alias("name")).agg(F.min_by("f", "ord").alias("f"))
+    rows = first.select(key, "name", "f.value", "f.unit", "f.evidence")
     return rows.select(key, "name", "value", "unit", F.when(F.col("value").isNotNull(), "OBSERVED").otherwise("ABSENT").alias("status"), "evidence")
 
 

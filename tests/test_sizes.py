@@ -44,3 +44,22 @@ def test_a_parse_of_one_field_is_that_of_all(spark):
     page = '<title>t</title><main><h2><a href="/x">a</a></h2><img src=i.png><form><input type=search></form><p>b</main>'
     whole = html.parse(page)
     assert all(html.parse(page, (f,)) == {f: whole[f]} for f in html.FIELDS)
+
+
+def test_facts_of_a_node_come_from_one_parse_dealt_by_rows(spark):
+    plan = _plan(catalog.QUERIES["x15_node_facts"](spark, SMALL))
+    assert plan.count("MapInArrow") == 1 and len(re.findall("Exchange", plan)) == 2
+
+
+def test_a_parse_leaves_no_tree_to_the_garbage_collector():
+    import gc
+
+    from siteledger.sources.tree import Node
+
+    gc.collect()
+    gc.disable()
+    try:
+        html.parse("<main><p>a<p>b<a href=/x>c</a></main>", ("links", "base"))
+        assert not [o for o in gc.get_objects() if isinstance(o, Node)]
+    finally:
+        gc.enable()
