@@ -63,3 +63,7 @@ def test_a_parse_leaves_no_tree_to_the_garbage_collector():
         assert not [o for o in gc.get_objects() if isinstance(o, Node)]
     finally:
         gc.enable()
+
+
+def test_witnesses_of_all_kinds_come_from_one_parse(spark):
+    assert "MapInArrow" not in _plan(catalog.QUERIES["r16_witness_kinds"](spark, SMALL))
