@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteledger.llm.common import fresh_name, frugal, materialise, temporary
@@ -101,19 +101,18 @@ def units(docs: DataFrame, min_unit: int, by: tuple[str, ...]) -> DataFrame:
 
 def repeats(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_documents: int = 2, by: tuple[str, ...] = ("sentence",)) -> DataFrame:
     """doc_id, checksum (of the text), start, length, words: the passages to cut out."""
-    all_units = materialise(units(docs, min_unit, by), "units")
-    place = F.struct("doc_id", "checksum", "idx")
+    # Units are sent once, to the others of their digest; the rows of one that is frequent wait in a buffer that spills.
+    digest, place = Window.partitionBy("h1", "h2"), F.struct("doc_id", "checksum", "idx")
+    placed = units(docs, min_unit, by).withColumn("first", F.min(place).over(digest)).withColumn("last", F.max(place).over(digest))
     # Repeated rows of a document count once: a digest is repeated if its first and last places differ.
-    digests = all_units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     other = F.struct("first.doc_id", "first.checksum") != F.struct("last.doc_id", "last.checksum")
-    repeated = digests.filter("first != last" if min_documents < 2 else other)
+    repeated = placed.filter("first != last" if min_documents < 2 else other)
     if min_documents > 2:
-        many = all_units.join(repeated, ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "checksum").distinct()
-        repeated = repeated.join(many.groupBy("h1", "h2").count().filter(F.col("count") >= min_documents), ["h1", "h2"], "left_semi")
-    repeated = materialise(repeated.select("h1", "h2", "first"), "repeated")
-    found = all_units.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).select(*[c for c in all_units.columns if c not in ("h1", "h2")])
+        numbered = repeated.withColumn("number", F.dense_rank().over(digest.orderBy("doc_id", "checksum")))
+        repeated = numbered.withColumn("documents", F.max("number").over(digest)).filter(F.col("documents") >= min_documents)
+    found = repeated.filter(place != F.col("first"))
     # One row a document: as large as the document at most.
-    own = found.distinct().groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("idx", (-F.col("n")).alias("less"), "start", "stop", "words"))).alias("units"))
+    own = found.groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_set(F.struct("idx", (-F.col("n")).alias("less"), "start", "stop", "words"))).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +141,9 @@ def remove(docs: DataFrame, min_unit: int = 4, min_words: int = 20, min_document
     of_sum, of_id, key, cuts = (fresh_name(docs, n) for n in ("text_sum", "cut_id", "cut_sum", "cuts"))
     spans = materialise(repeats(docs, min_unit, min_words, min_documents, by), "spans").groupBy("doc_id", "checksum").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(cuts))
     keyed = docs.withColumn(of_sum, F.crc32(F.col("text").cast("string").cast("binary")))
-    joined = keyed.join(spans.select(F.col("doc_id").alias(of_id), F.col("checksum").alias(key), cuts), (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(of_sum) == F.col(key)), "left")
+    cut = spans.select(F.col("doc_id").alias(of_id), F.col("checksum").alias(key), cuts)
+    # Spans grow with the documents, so they are not broadcast at any size.
+    joined = keyed.join(cut.hint("merge"), (F.col("doc_id").cast("long") == F.col(of_id)) & (F.col(of_sum) == F.col(key)), "left")
     # What lies between spans, in code points: SQL substring counts from 1.
     stops = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda s: s["start"] + s["length"]))
     starts = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.length("text").cast("long")))

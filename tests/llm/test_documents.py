@@ -753,3 +753,12 @@ def test_language_is_learned_and_held_out(spark, empty):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 502)) and got[None].lang_pred == "aa"
     assert all(r.lang_pred == "und" for r in langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect())
     assert langid.identify(empty).count() == 0
+
+
+def test_units_are_sent_once_to_those_of_their_digest_and_spans_are_not_broadcast(spark):
+    line = " ".join(f"word{k}" for k in range(30)) + "."
+    docs = spark.createDataFrame([(k, f"{line} own {k} here now.") for k in range(4)], "doc_id long, text string")
+    plan = substrings.repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(h1") == 1
+    assert "BroadcastHashJoin" not in substrings.remove(docs)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.start, r.words) for r in substrings.repeats(docs, min_documents=3).collect()) == [(1, 0, 30), (2, 0, 30), (3, 0, 30)]
