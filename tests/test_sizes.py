@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from siteledger.functions import urls
 from siteledger.operators import common
 from siteledger.plans import catalog, derived
 from siteledger.sources import html
@@ -67,3 +68,10 @@ def test_a_parse_leaves_no_tree_to_the_garbage_collector():
 
 def test_witnesses_of_all_kinds_come_from_one_parse(spark):
     assert "MapInArrow" not in _plan(catalog.QUERIES["r16_witness_kinds"](spark, SMALL))
+
+
+def test_parts_of_an_identity_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("https://A.example:443/x?q#f",), ("http://b.example:80",), ("https://u@c/",), ("http://d.example/é",), (None,)], "url string")
+    got = rows.select(urls.identity(F.col("url"))["crawl_key"].alias("key"))
+    assert len(re.findall("regexp_extract|RegExpExtract", got._jdf.queryExecution().optimizedPlan().toString())) <= 5
+    assert [r.key for r in got.collect()] == ["https://a.example/x?q", "http://b.example/", None, "http://d.example/%C3%A9", None]
