@@ -212,6 +212,40 @@ def test_facts_are_sought_in_one_reading(spark):
     assert sorted(map(tuple, got.collect())) == [("e", 2, 1, False), ("f", 1, 1, False)]
 
 
+def test_facts_are_settled_by_entity_across_batches(spark):
+    from siteledger.operators import verify
+
+    facts = [("e", "a  b"), ("f", "x"), ("e", "a\u00a0b"), (None, "n"), ("e", "q"), ("e", None), ("g", " \t"), ("h", "\ufeffx\u2003y\u200b"), ("e", "b\u3000c")]
+    pages = [("e", "a\tb\u2029c"), ("f", None), (None, "n"), ("g", "g"), ("z", "z"), ("e", "q"), ("h", "x\x0b\r\ny\u200b")]
+    want = [("e", 3, 1, False), ("e", 3, 2, False), ("f", 1, 1, False), ("h", 1, 0, True), (None, 1, 1, False)]
+    pages = spark.createDataFrame(pages, "source_id string, text string")
+    rows = spark.createDataFrame(facts, "source_id string, fact string")
+    arrays = spark.createDataFrame([(k, [f, f]) for k, f in facts] + [("e", None), ("y", [])], "source_id string, fact array<string>")
+    for size in ("1", "2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for some in (rows, arrays):
+                got = verify.content_acceptance(some, pages)
+                assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_facts_in_a_long_text_read_it_a_bounded_number_of_times(monkeypatch):
+    from siteledger.operators import verify
+
+    made, automaton = [], verify.ahocorasick.Automaton
+    monkeypatch.setattr(verify.ahocorasick, "Automaton", lambda: made.append(1) or automaton())
+    text = " ".join(f"w{k}" for k in range(20_000))
+    facts = [f"w{k} w{k + 1}" for k in range(0, 20_010, 3)]
+    missing = sum(f not in text for f in facts)
+    assert 0 < missing < 10
+    # Few facts are sought one by one, many short ones in one reading.
+    assert verify.missing_facts(facts[-100:], text) == missing and not made
+    assert verify.missing_facts(facts, text) == missing and made
+    assert verify.missing_facts([], text) == 0 and verify.missing_facts(facts, "") == len(facts)
+
+
 def test_locale_order_differs_from_bytes(spark):
     from siteledger.operators import common
 

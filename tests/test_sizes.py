@@ -75,3 +75,17 @@ def test_parts_of_an_identity_are_worked_out_once(spark):
     got = rows.select(urls.identity(F.col("url"))["crawl_key"].alias("key"))
     assert len(re.findall("regexp_extract|RegExpExtract", got._jdf.queryExecution().optimizedPlan().toString())) <= 5
     assert [r.key for r in got.collect()] == ["https://a.example/x?q", "http://b.example/", None, "http://d.example/%C3%A9", None]
+
+
+def test_content_acceptance_sends_texts_once_and_collapses_them_where_they_are_read(spark):
+    plan = _plan(catalog.QUERIES["j22_content_acceptance"](spark, SMALL))
+    assert len(re.findall("Exchange", plan)) == 1 and plan.count("split(") == 1 and "regexp_replace" not in plan and "Join" not in plan
+
+
+def test_collapsed_is_collapse(spark):
+    from siteledger.functions.text import collapse, collapsed
+
+    # Each character below U+3100 and the byte order mark, alone, doubled, beside spaces and at both ends.
+    odd = [x for c in map(chr, [*range(0x3100), 0xFEFF, 0x1F600]) for x in (f"a{c}b", f"a {c}{c} b", f"{c} a{c}")] + ["", " ", "a", "  a   b\n\n c "]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select("x", collapse(F.col("x")).alias("want")).collect()
+    assert len(rows) > 37_000 and not [r for r in rows if collapsed(r.x) != r.want]
