@@ -281,3 +281,22 @@ def test_conditional_fields_apply_where_the_source_shows_them(spark):
     got = {(r.type, r.rule): (r.applies, r.covered) for r in catalog.conditional_coverage(entities, facts, shown).collect()}
     assert got.pop(("Page", "images-if-observed")) == (1, 1) and got.pop(("Article", "observed-author")) == (1, 0)
     assert len(got) == 6 and {*got.values()} == {(0, 0)}
+
+
+def test_entities_take_their_type_from_their_own_markup(spark, tmp_path):
+    from siteledger.plans import site
+
+    ld = '<script type="application/ld+json">%s</script>'
+    own = [
+        (4, "https://a.example/p", ld % '{"@type":"Product","name":"P"}' + ld % '{"@type":"Article","name":"A"}'),
+        (12, "https://a.example/a", "<title>T</title>" + ld % '{"@graph":[{"@type":"Service"},{"@type":"NewsArticle","headline":"N"}]}'),
+        (20, "https://a.example/contacts", ld % '{"@type":"Service","name":"S"}' + "<h1> </h1>"),
+        (28, "https://a.example/contacts", "<h1>H</h1>" + ld % '{"@type":"Thing","name":"X"}'),
+        (36, "https://a.example/", ld % '{"@type":"Thing","name":"X"}'),
+        (44, "https://a.example/x", None),
+        (2, "https://a.example/x", "<title>T</title>"),
+        (6, "https://a.example/x", "<title>T</title>"),
+    ]
+    spark.createDataFrame(own, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.title, r.type, r.page_type) for r in site.x14_entities(spark, str(tmp_path)).collect()}
+    assert got == {4: ("P", "Product", "product"), 12: ("T", "Article", "article"), 20: ("S", "Service", "service"), 28: ("H", "Page", "contacts"), 36: ("", "Page", "home"), 44: ("", "Page", "text"), 2: ("T", "Service", "service"), 6: ("T", "Page", "home")}
