@@ -94,6 +94,20 @@ def test_tiles_below_another_are_dropped(spark):
     assert issues == [(1, "CATALOG_COVERAGE_LOST"), (1, "CATALOG_IMAGES_MISSING"), (1, "HTML_CATALOG_STRUCTURE_MISSING"), (2, "HTML_CATALOG_STRUCTURE_MISSING")]
 
 
+def test_pages_keep_all_their_tiles(spark, tmp_path):
+    from siteledger.plans import derived
+
+    page = "<main>" + "".join(f'<a href="/tile-{k}">tile {k}</a><a href="/tile-{k}/below">below</a>' for k in range(150)) + "</main>"
+    spark.createDataFrame([(1, "https://a.example/", page), (2, "https://b.example/", '<a href="/x">x</a><a href="/one">one</a>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page, r.url) for r in derived.x20_tiles(spark, str(tmp_path)).collect())
+    # Every fifth link has no image and every seventh advertises; what stands below a tile is none.
+    linked = [(k, s) for n, (k, s) in enumerate((k, s) for k in range(150) for s in ("", "/below")) if n % 5 and n % 7]
+    want = [(1, f"https://a.example/tile-{k}{s}") for k, s in linked if not s or (k, "") not in linked]
+    assert len(want) > 120 and got == sorted([*want, (2, "https://b.example/one")])
+    links = spark.range(100).selectExpr("1L page", "'https://a.example/' page_url", "cast(99 - id as int) ord", "concat('tile ', id) label", "concat('https://a.example/t', id) url", "'https://img.example/i.png' image")
+    assert [(r.n, r.label) for r in catalog.tiles(links).orderBy("n").collect()] == [(k + 1, f"tile {99 - k}") for k in range(100)]
+
+
 def test_offers_of_all_kinds_and_conditions(spark):
     def page(i, offers):
         node = {"@context": "https://schema.org", "@type": "Product", "url": "/d", "offers": offers}
