@@ -35,3 +35,21 @@ def test_queries_match_their_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_entry_gives_the_next_batch(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["x14_entities", "x20_tiles", "x7_x9_primary_and_blocks"])
+def test_queries_that_do_their_whole_job_match_their_sql(spark, name):
+    test_queries_match_their_sql(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_all_blocks_of_a_page_are_returned_in_order(spark):
+    part = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey = 7").first()
+    got = entry.queries()["x7_x9_primary_and_blocks"](spark, DATA).filter("p_partkey = 7").orderBy("place").collect()
+    assert [(r.primary, r.place, r.type, r.level, r.text, r.more) for r in got] == [
+        ("main", 1, "heading", 1, part.p_name, None),
+        ("main", 2, "table", None, None, f"Type:,{part.p_type}"),
+        ("main", 3, "heading", 3, "One", None),
+        ("main", 4, "heading", 3, "Two", None),
+    ]
